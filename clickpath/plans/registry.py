@@ -92,3 +92,54 @@ def attributed_sql(lookback: str = "INTERVAL 90 MINUTE", imp: str = "impression_
 
 def with_ctes(*ctes: str) -> str:
     return "WITH " + ",\n".join(c.strip() for c in ctes)
+
+
+QUERY_LOG_SQL = """
+query_log AS (
+  SELECT
+    CASE WHEN event_type IN ('view', 'signup') THEN 'cql_' ELSE 'presto_' END || CAST(event_id AS VARCHAR)
+      AS query_id,
+    CASE event_type
+      WHEN 'view' THEN 'SELECT impressions, last_updated FROM publishers WHERE publisher_id = '''
+                       || pub || ''''
+      WHEN 'click' THEN 'SELECT publishers_id, timestamp, impressions FROM impression_tracking WHERE cookie_id = '''
+                       || cookie || ''' AND timestamp >= TIMESTAMP ''' || minute_txt || ''''
+      WHEN 'purchase' THEN 'SELECT advertisers_id, COUNT(*) as total_conversions FROM conversion_tracking '
+                       || 'WHERE timestamp = TIMESTAMP ''' || minute_txt
+                       || ''' AND advertisers_id IS NOT NULL GROUP BY advertisers_id'
+      WHEN 'signup' THEN 'UPDATE advertisers SET conversions = ?, last_updated = ? WHERE advertiser_id = ?'
+      ELSE 'SELECT cookie_id FROM conversions_identified WHERE cookie_id IN (''' || cookie
+           || ''', ''CID_0'') AND publishers_id BETWEEN ''' || pub || ''' AND ''PID_999'''
+    END AS query_text,
+    'pipeline ' || event_type || ' statement' AS query_description,
+    CASE WHEN event_type IN ('view', 'signup') THEN 'HCD' ELSE 'Presto' END AS query_type,
+    CASE WHEN event_type = 'signup' THEN ['[[' || CAST(user_id AS VARCHAR) || ', 1]]', minute_txt, adv] END
+      AS parameters,
+    ts AS start_time,
+    ts + to_microseconds(CAST(floor(value * 40.0 * 1000) AS BIGINT)) AS end_time,
+    value * 40.0 AS execution_time_ms,
+    CASE WHEN event_type = 'error' THEN NULL ELSE CAST(k AS BIGINT) END AS rows_returned,
+    event_type <> 'error' AS success,
+    CASE WHEN event_type = 'error' THEN 'Query exceeded maximum time limit' END AS error_message,
+    event_type = 'signup' AS prepared,
+    CASE WHEN event_type = 'error' THEN 3 ELSE 0 END AS retry_count
+  FROM (
+    SELECT event_id, ts, user_id, event_type, value, k,
+           'PID_' || lpad(CAST(k % 20 AS VARCHAR), 3, '0') AS pub,
+           'AID_' || lpad(CAST(k % 5 AS VARCHAR), 3, '0') AS adv,
+           'CID_' || CAST(user_id AS VARCHAR) AS cookie,
+           strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S') AS minute_txt
+    FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events))
+)"""
+
+
+def fingerprint_sql(col: str) -> str:
+    """DuckDB form of clickpath.functions.text.query_fingerprint (RE2, backrefs as \\1)."""
+    s = f"upper(trim({col}))"
+    rules = ((r"(\w+\s*=\s*)'[^']*'", r"\1"), (r'(\w+\s*=\s*)"[^"]*"', r"\1"),
+             (r"(\w+\s*=\s*)\d+(\.\d+)?", r"\1"), (r"(\bIN\s*\()\s*[^)]+(\))", r"\1\2"),
+             (r"(\bBETWEEN\s+)[^A]+(\bAND\s+)[^\s]+", r"\1\2"))
+    for pat, rep in rules:
+        pat = pat.replace("'", "''")
+        s = f"regexp_replace({s}, '{pat}', '{rep}', 'g')"
+    return f"trim(regexp_replace({s}, '\\s+', ' ', 'g'))"

@@ -111,3 +111,52 @@ def volume_conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
         trunc_to(F.col("o_orderdate").cast("timestamp_ntz"), DAY).alias("timestamp"),
         F.concat(F.lit("CID_"), F.col("o_custkey").cast("string")).alias("cookie_id"),
     )
+
+
+# --- query log derived from events ----------------------------------------------------------
+# Each event stands for one statement the pipeline issued (fixed templates below): a view is
+# a hot-store point read, a click a lake range read, a purchase a per-minute conversion count,
+# a signup a prepared series update, and an error a failed lake query.  The log grows with
+# the events table, so pattern analytics run at table scale.
+
+def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "value", "props"])
+    k = F.get_json_object("props", "$.k").cast("int")
+    pub = _padded("PID_", k % PUBLISHER_MOD)
+    adv = _padded("AID_", k % ADVERTISER_MOD)
+    cookie = F.concat(F.lit("CID_"), F.col("user_id").cast("string"))
+    minute_txt = F.date_format(minute_of("ts"), "yyyy-MM-dd HH:mm:ss")
+    et = F.col("event_type")
+    text = (F.when(et == "view", F.concat(
+                F.lit("SELECT impressions, last_updated FROM publishers WHERE publisher_id = '"), pub, F.lit("'")))
+            .when(et == "click", F.concat(
+                F.lit("SELECT publishers_id, timestamp, impressions FROM impression_tracking WHERE cookie_id = '"),
+                cookie, F.lit("' AND timestamp >= TIMESTAMP '"), minute_txt, F.lit("'")))
+            .when(et == "purchase", F.concat(
+                F.lit("SELECT advertisers_id, COUNT(*) as total_conversions FROM conversion_tracking "
+                      "WHERE timestamp = TIMESTAMP '"), minute_txt,
+                F.lit("' AND advertisers_id IS NOT NULL GROUP BY advertisers_id")))
+            .when(et == "signup", F.lit("UPDATE advertisers SET conversions = ?, last_updated = ? "
+                                        "WHERE advertiser_id = ?"))
+            .otherwise(F.concat(
+                F.lit("SELECT cookie_id FROM conversions_identified WHERE cookie_id IN ('"), cookie,
+                F.lit("', 'CID_0') AND publishers_id BETWEEN '"), pub, F.lit("' AND 'PID_999'"))))
+    hcd = et.isin("view", "signup")
+    ms = F.col("value") * F.lit(40.0)
+    return ev.select(
+        F.concat(F.when(hcd, F.lit("cql_")).otherwise(F.lit("presto_")), F.col("event_id").cast("string"))
+        .alias("query_id"),
+        text.alias("query_text"),
+        F.concat(F.lit("pipeline "), et, F.lit(" statement")).alias("query_description"),
+        F.when(hcd, F.lit("HCD")).otherwise(F.lit("Presto")).alias("query_type"),
+        F.when(et == "signup", F.array(F.concat(F.lit("[["), F.col("user_id").cast("string"), F.lit(", 1]]")),
+                                       minute_txt, adv)).alias("parameters"),
+        F.col("ts").alias("start_time"),
+        F.timestamp_add("MICROSECOND", F.floor(ms * 1000).cast("bigint"), F.col("ts")).alias("end_time"),
+        ms.alias("execution_time_ms"),
+        F.when(et == "error", F.lit(None).cast("bigint")).otherwise(k.cast("bigint")).alias("rows_returned"),
+        (et != "error").alias("success"),
+        F.when(et == "error", F.lit("Query exceeded maximum time limit")).alias("error_message"),
+        (et == "signup").alias("prepared"),
+        F.when(et == "error", F.lit(3)).otherwise(F.lit(0)).alias("retry_count"),
+    )
