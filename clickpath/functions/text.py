@@ -91,7 +91,7 @@ def _bytes(v: Column) -> Column:
 def format_metric(value, metric_name) -> Column:
     """Display text by metric name: percent/rate ``x.xx%``, bytes/memory in 1024
     steps, seconds ``x.xxxs``, time/latency ``x.xxms``, else a grouped number."""
-    v, n = col_(value).cast("double"), F.lower(col_(metric_name))
+    v, n = col_(value).cast("double"), col_(metric_name)
     grouped = F.regexp_replace(F.format_number(v, 3), r"\.?0+$", "")
     return (F.when(n.contains("percent") | n.contains("rate"), F.format_string("%.2f%%", v))
             .when(n.contains("bytes") | n.contains("memory"), _bytes(v))

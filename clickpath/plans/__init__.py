@@ -1,6 +1,6 @@
 """Named queries (``QUERIES``) and their DuckDB oracle SQL (``ORACLE``)."""
 
-from . import q_core, q_fraud, q_querylog, q_reports, q_series  # noqa: F401  (registers queries)
+from . import q_core, q_fraud, q_maint, q_querylog, q_reports, q_series, q_services  # noqa: F401  (registers queries)
 from .registry import AS_OF, ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE", "AS_OF"]

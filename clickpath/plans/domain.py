@@ -23,3 +23,46 @@ def attributed(spark: SparkSession, sf: str, lookback_seconds: int = 5400,
     return first_touch_attribution(impressions(spark, sf), conversions(spark, sf),
                                    lookback_seconds=lookback_seconds, as_of=AS_OF,
                                    strategy=strategy)
+
+
+# --- service run statistics derived from the pipeline's own outputs --------------------------
+SERVICE_DESCRIPTIONS = (
+    ("generate_traffic", "Raw impression and conversion intake"),
+    ("hcd_to_presto", "Minute rollup of raw impressions into the lake"),
+    ("presto_insights", "First-touch attribution of conversions"),
+    ("presto_to_hcd", "Per-entity series publishing"),
+    ("presto_cleanup", "Retention purge of lake tables"),
+)
+
+
+def service_points(spark: SparkSession, sf: str) -> DataFrame:
+    """Long-form stats (name, metric, ts epoch seconds, value): one point per minute run."""
+    from pyspark.sql import functions as F
+
+    from ..functions.timecols import epoch_seconds
+    from ..operators.rollup import rollup_stats
+    raw_i = adapters.raw_impressions(spark, sf)
+    raw_c = adapters.raw_conversions(spark, sf)
+    imp = impressions(spark, sf)
+
+    def pts(df, name, metric, ts_col, value):
+        return df.groupBy(ts_col).agg(value.cast("double").alias("value")).select(
+            F.lit(name).alias("name"), F.lit(metric).alias("metric"),
+            epoch_seconds(ts_col).alias("ts"), "value")
+    rs = rollup_stats(raw_i)
+    return (pts(raw_i, "generate_traffic", "impressions_generated", "bucket_date", F.count(F.lit(1)))
+            .unionByName(pts(raw_c, "generate_traffic", "conversions_generated", "bucket_date", F.count(F.lit(1))))
+            .unionByName(rs.select(F.lit("hcd_to_presto").alias("name"), F.lit("impressions_aggregated").alias("metric"),
+                                   epoch_seconds("timestamp").alias("ts"),
+                                   F.col("impressions_aggregated").cast("double").alias("value")))
+            .unionByName(rs.select(F.lit("hcd_to_presto").alias("name"), F.lit("impressions_processed").alias("metric"),
+                                   epoch_seconds("timestamp").alias("ts"),
+                                   F.col("impressions_processed").cast("double").alias("value")))
+            .unionByName(pts(attributed(spark, sf), "presto_insights", "conversions_identified",
+                             "conversion_timestamp", F.count(F.lit(1))))
+            .unionByName(pts(imp.where(F.col("publishers_id").isNotNull()), "presto_to_hcd", "publishers_updated",
+                             "timestamp", F.countDistinct("publishers_id"))))
+
+
+def service_descriptions(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(SERVICE_DESCRIPTIONS), "name string, description string")
