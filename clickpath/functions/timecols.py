@@ -36,15 +36,24 @@ def ntz(value) -> Column:
 
 
 def epoch_micros(c) -> Column:
-    """Microseconds since 1970-01-01 of a wall-clock timestamp (time-zone free)."""
-    return F.timestamp_diff("MICROSECOND", _epoch0(), col_(c))
+    """Microseconds since 1970-01-01 of a wall-clock ``timestamp_ntz``.
+
+    Built from date parts, which do not depend on the session time zone
+    (``timestamp_diff`` would cast to a session-zone timestamp and shift by a
+    daylight-saving offset)."""
+    t = col_(c).cast("timestamp_ntz")
+    days = F.unix_date(F.to_date(t)).cast("bigint")
+    secs = F.hour(t).cast("bigint") * 3600 + F.minute(t).cast("bigint") * 60
+    micros = (F.date_part(F.lit("SECOND"), t) * F.lit(1_000_000)).cast("bigint")   # seconds with fraction
+    return days * F.lit(86_400_000_000) + secs * F.lit(1_000_000) + micros
 
 
 def epoch_seconds(c) -> Column:
-    return F.timestamp_diff("SECOND", _epoch0(), col_(c))
+    return F.floor(epoch_micros(c) / F.lit(1_000_000)).cast("bigint")
 
 
 def from_epoch_micros(c) -> Column:
+    """``timestamp_ntz`` from epoch microseconds (no session time zone involved)."""
     return F.timestamp_add("MICROSECOND", col_(c), _epoch0())
 
 
@@ -61,7 +70,7 @@ def minute_of(c) -> Column:
 
 def add_seconds(c, seconds) -> Column:
     q = seconds if isinstance(seconds, Column) else F.lit(int(seconds))
-    return F.timestamp_add("SECOND", q, col_(c))
+    return F.timestamp_add("SECOND", q, col_(c).cast("timestamp_ntz"))
 
 
 def previous_full_minute(as_of) -> Column:
@@ -80,8 +89,10 @@ def time_slice(c, start=None, end=None) -> Column:
 
 
 def seconds_between(a, b) -> Column:
-    """Whole seconds from ``a`` to ``b`` (``date_diff('second', a, b)``)."""
-    return F.timestamp_diff("SECOND", col_(a), col_(b))
+    """Whole seconds from ``a`` to ``b`` (``date_diff('second', a, b)``), wall clock."""
+    d = epoch_micros(b) - epoch_micros(a)
+    # truncate toward zero like date_diff
+    return F.when(d >= 0, F.floor(d / F.lit(1_000_000))).otherwise(-F.floor(-d / F.lit(1_000_000))).cast("bigint")
 
 
 def shift(value, seconds: int) -> str:

@@ -5,9 +5,9 @@ query_type (engine), parameters, start_time, end_time, execution_time_ms,
 rows_returned, success, error_message, prepared, retry_count.
 
 The reference keeps one metrics object per fingerprint and overwrites its
-timing on every repeat; here that is a group-by on the fingerprint with
-``min_by``/``max_by`` over ``(start_time, query_id)`` -- a distributed
-aggregate with map-side combine, however hot a pattern is.
+timing on every repeat; here that is a two-level group-by (exact text, then
+fingerprint) with first/last taken over ``(start_time, query_id)`` -- a
+distributed aggregate with map-side combine, however hot a pattern is.
 """
 
 from __future__ import annotations
@@ -27,19 +27,31 @@ def with_fingerprint(log: DataFrame) -> DataFrame:
 
 def query_log_patterns(log: DataFrame) -> DataFrame:
     """One row per fingerprint: repeat_count, the first statement's id/text/type,
-    and the latest execution's start, time, rows and outcome."""
-    order = F.struct("start_time", "query_id")
-    g = with_fingerprint(log).groupBy("simplified_query_text").agg(
-        F.count(F.lit(1)).alias("repeat_count"),
-        F.min_by("query_id", order).alias("query_id"),
-        F.min_by("query_text", order).alias("query_text"),
-        F.min_by("query_type", order).alias("query_type"),
-        F.min_by("query_description", order).alias("query_description"),
-        F.max("start_time").alias("start_time"),
-        F.max_by("execution_time_ms", order).alias("execution_time_ms"),
-        F.max_by("rows_returned", order).alias("rows_returned"),
-        F.max_by("success", order).alias("success"))
-    return g
+    and the latest execution's start, time, rows and outcome.
+
+    Two-level aggregation: statements are first combined per exact text (map-side,
+    cheap string hashing), so the fingerprint regexes run once per distinct text
+    rather than once per execution; the per-text partials then merge per
+    fingerprint.  First/last are ``min``/``max`` of structs led by
+    ``(start_time, query_id)`` -- a total order, as ``min_by``/``max_by`` would give.
+    """
+    per_text = log.groupBy("query_text").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min(F.struct("start_time", "query_id", "query_type", "query_description")).alias("first"),
+        F.max(F.struct("start_time", "query_id", "execution_time_ms", "rows_returned", "success")).alias("last"))
+    fp = per_text.withColumn("simplified_query_text", query_fingerprint("query_text"))
+    g = fp.groupBy("simplified_query_text").agg(
+        F.sum("n").alias("repeat_count"),
+        F.min(F.struct(F.col("first.start_time").alias("t"), F.col("first.query_id").alias("i"),
+                       F.col("query_text").alias("text"), F.col("first.query_type").alias("type"),
+                       F.col("first.query_description").alias("desc"))).alias("f"),
+        F.max("last").alias("l"))
+    return g.select(
+        "simplified_query_text", "repeat_count",
+        F.col("f.i").alias("query_id"), F.col("f.text").alias("query_text"), F.col("f.type").alias("query_type"),
+        F.col("f.desc").alias("query_description"), F.col("l.start_time").alias("start_time"),
+        F.col("l.execution_time_ms").alias("execution_time_ms"), F.col("l.rows_returned").alias("rows_returned"),
+        F.col("l.success").alias("success"))
 
 
 def query_log_summary(patterns: DataFrame, by_engine: bool = False) -> DataFrame:

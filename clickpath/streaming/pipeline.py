@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.risk import risk_level
+from ..functions.timecols import seconds_between
 from ..operators.attribution import LOOKBACK_SECONDS
 from ..sources.adapters import ADVERTISER_MOD, CONVERSION_TYPES, IMPRESSION_TYPES, PUBLISHER_MOD
 
@@ -110,7 +111,8 @@ def stream_attribution(dom: DataFrame, lookback_seconds: int = LOOKBACK_SECONDS,
         F.col("ca").alias("advertisers_id"), F.col("first.ip").alias("publishers_id"), F.col("cc").alias("cookie_id"),
         cts.cast("timestamp_ntz").alias("conversion_timestamp"),
         F.col("first.its").cast("timestamp_ntz").alias("impression_timestamp"),
-        (F.unix_seconds(cts) - F.unix_seconds(F.col("first.its"))).cast("bigint").alias("time_to_conversion_seconds"),
+        seconds_between(F.col("first.its").cast("timestamp_ntz"), cts.cast("timestamp_ntz"))
+        .alias("time_to_conversion_seconds"),
         created.alias("created_at"))
 
 

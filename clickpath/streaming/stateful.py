@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from ..functions.timecols import epoch_seconds
 from ..operators.attribution import LOOKBACK_SECONDS
 from ..operators.series import entity_series_merge
 from ..sources.adapters import CONVERSION_TYPES, IMPRESSION_TYPES
@@ -79,7 +80,7 @@ def publisher_minute_stream(dom: DataFrame) -> DataFrame:
     """Finalised per-minute impression totals per publisher (append mode)."""
     g = (of_types(dom, IMPRESSION_TYPES)
          .groupBy(F.window("ts", "1 minute"), "publishers_id").agg(F.count(F.lit(1)).alias("count")))
-    return g.select("publishers_id", F.unix_seconds(F.col("window.start")).alias("ts"), "count")
+    return g.select("publishers_id", epoch_seconds(F.col("window.start").cast("timestamp_ntz")).alias("ts"), "count")
 
 
 def series_sink(spark: SparkSession, base: str, id_col: str = "publishers_id", metric: str = "impressions",
