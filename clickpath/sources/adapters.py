@@ -91,7 +91,7 @@ def volume_impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     plans a shuffle (sort-merge) join, or a broadcast when AQE measures a
     small side at runtime.
     """
-    li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_suppkey", "l_shipdate"])
+    li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_suppkey", "l_shipdate"], spread_rows=True)
     od = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey"])
     j = li.join(od, li.l_orderkey == od.o_orderkey)
     facts = j.select(
