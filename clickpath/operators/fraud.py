@@ -36,7 +36,9 @@ def _cookie_filter(df: DataFrame, cookies) -> DataFrame:
     if cookies is None:
         return df
     if isinstance(cookies, DataFrame):
-        return df.join(F.broadcast(cookies.select("cookie_id").distinct()), "cookie_id", "left_semi")
+        # no forced broadcast: the planner broadcasts a small (e.g. limit(100)) list by
+        # its size estimate, and shuffles a large one
+        return df.join(cookies.select("cookie_id").distinct(), "cookie_id", "left_semi")
     cookies = list(cookies)
     return df.where(F.col("cookie_id").isin(cookies)) if cookies else df
 
