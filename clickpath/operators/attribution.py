@@ -67,15 +67,20 @@ def first_touch_attribution(impressions: DataFrame, conversions: DataFrame,
 def eligible_conversions(impressions: DataFrame, conversion_attempts: DataFrame,
                          window_seconds: int = LOOKBACK_SECONDS, span_factor: int = 4) -> DataFrame:
     """Keep conversion attempts whose cookie has an impression (any advertiser) in
-    ``[t - window, t]`` (the generator's tracker keeps ``ts >= now - 90 min``)."""
+    ``[t - window, t]`` (the generator's tracker keeps ``ts >= now - 90 min``).
+
+    Attempts with the same (cookie, time) share one answer, so only distinct keys
+    go through the range lookup (a hot cookie adds no window rows), and the
+    attempts are semi-joined back; AQE splits a skewed key on that join.
+    """
     attempts = conversion_attempts.where(F.col("cookie_id").isNotNull())
-    probe_cols = attempts.columns
-    imp = impressions.where(F.col("cookie_id").isNotNull()).select("cookie_id", "timestamp")
-    imp = imp.distinct()
+    probes = attempts.select("cookie_id", "timestamp").distinct()
+    imp = impressions.where(F.col("cookie_id").isNotNull()).select("cookie_id", "timestamp").distinct()
     lo = -int(window_seconds) * 1_000_000
-    hit = range_lookup(imp, attempts.withColumn("__probe_ts", F.col("timestamp")), ["cookie_id"],
+    hit = range_lookup(imp, probes.withColumn("__probe_ts", F.col("timestamp")), ["cookie_id"],
                        "timestamp", "__probe_ts", F.col("timestamp"), lo, 0, "max", span_factor)
-    return hit.where(F.col(_OUT).isNotNull()).select(*probe_cols)
+    ok = hit.where(F.col(_OUT).isNotNull()).select("cookie_id", "timestamp")
+    return attempts.join(ok, ["cookie_id", "timestamp"], "left_semi")
 
 
 def attribution_stats(impressions: DataFrame, conversion_attempts: DataFrame,

@@ -51,3 +51,15 @@ def test_fraud_broadcasts_only_bounded_sides(spark):
     assert "BroadcastExchange" in text
     opt = _optimized(QUERIES["fraud_report"](spark, SF_MID))
     assert "GlobalLimit 100" in opt
+
+
+def test_attribution_window_is_split_by_time_bucket(spark):
+    """A hot cookie is spread over (advertiser, cookie, bucket) window partitions."""
+    text = _plan(QUERIES["first_touch_attribution"](spark, SF_MID))
+    window_lines = [ln for ln in text.split("\n") if "Window [" in ln or "hashpartitioning(" in ln]
+    assert any("__bucket" in ln and "cookie_id" in ln for ln in window_lines)
+
+
+def test_eligibility_probes_are_deduplicated(spark):
+    opt = _optimized(QUERIES["eligible_conversions"](spark, SF_MID))
+    assert "LeftSemi" in opt and "Aggregate [cookie_id" in opt
