@@ -106,13 +106,24 @@ def read_table_version(spark: SparkSession, base: str) -> DataFrame:
 
 
 def upsert_by_key(existing: DataFrame, updates: DataFrame, keys, order_col: str | None = None) -> DataFrame:
-    """Primary-key last-write-wins: per key keep the row with the greatest
-    ``order_col`` (write time), updates beating existing rows on ties."""
+    """Primary-key last-write-wins.
+
+    Without ``order_col`` the update batch is the newest write: existing rows whose
+    key is updated are dropped with a left-anti join and the (de-duplicated) updates
+    appended.  A small batch is broadcast by the planner, so the existing table is
+    scanned once and never shuffled; a large one becomes a sort-merge anti join.
+    With ``order_col`` (a write time) the newest row per key wins across both sides,
+    updates winning ties -- a row_number over the key.
+    """
     keys = [keys] if isinstance(keys, str) else list(keys)
     cols = existing.columns
+    if order_col is None:
+        latest = updates.select(*cols).dropDuplicates(keys)
+        kept = existing.join(latest.select(*keys), keys, "left_anti")
+        return kept.unionByName(latest)
     u = (existing.select(*cols, F.lit(0).alias("__src"))
          .unionByName(updates.select(*cols, F.lit(1).alias("__src"))))
-    order = ([F.col(order_col).desc_nulls_last()] if order_col else []) + [F.col("__src").desc()]
+    order = [F.col(order_col).desc_nulls_last(), F.col("__src").desc()]
     w = Window.partitionBy(*keys).orderBy(*order)
     return u.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") == 1).select(*cols)
 
@@ -139,7 +150,8 @@ def purge_table(spark: SparkSession, base: str, ts_col: str, as_of, hours: int =
                 partition_by=("hour_key",)) -> str:
     """Apply the purge to a versioned table: hour partitions wholly before the cutoff
     are skipped by partition pruning, the boundary hour is filtered row by row,
-    and the result becomes the next version."""
+    and the result becomes the next version.  The work is proportional to what is
+    retained (one retention period), not to what was ever written."""
     cutoff = shift(as_of, -hours * HOUR)
     cur = read_table_version(spark, base)
     kept = cur.where((F.col("hour_key") >= hour_key(ntz(cutoff))) & (F.col(ts_col) >= ntz(cutoff)))
