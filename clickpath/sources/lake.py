@@ -88,10 +88,14 @@ def latest_version(spark: SparkSession, base: str) -> str | None:
 
 
 def write_version(spark: SparkSession, df: DataFrame, base: str, partition_by=None) -> str:
-    """Write ``df`` as the next version of ``base`` (complete before it becomes visible)."""
+    """Write ``df`` as the next version of ``base``.
+
+    A version counts only once its ``_SUCCESS`` marker exists, so readers never see
+    a partial write; a job that died mid-write left an invisible ``v=n`` that the
+    retry simply overwrites."""
     v = _versions(spark, base)
     path = os.path.join(base, f"v={(v[-1] + 1) if v else 0}")
-    w = df.write.mode("errorifexists").option("maxRecordsPerFile", WRITE_BATCH_ROWS)
+    w = df.write.mode("overwrite").option("maxRecordsPerFile", WRITE_BATCH_ROWS)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)

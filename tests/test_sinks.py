@@ -64,3 +64,15 @@ def test_sample_rows_and_counts(spark):
     assert r.t == "x" * 30 + "..." and r.b == "<binary: 3 bytes>"
     counts = {r.table_name: r.row_count for r in L.table_row_counts({"a": df, "b": df.limit(0)}).collect()}
     assert counts == {"a": 1, "b": 0}
+
+
+def test_failed_version_write_is_invisible_and_retried(spark, scratch):
+    base = os.path.join(scratch, "t")
+    df = spark.createDataFrame([("a", 1)], "k string, v int")
+    L.write_version(spark, df, base)
+    # simulate a crash: files of v=1 without the _SUCCESS marker
+    df.write.parquet(os.path.join(base, "v=1"))
+    os.remove(os.path.join(base, "v=1", "_SUCCESS"))
+    assert L.latest_version(spark, base).endswith("v=0")
+    path = L.write_version(spark, df.withColumn("v", F.lit(2)), base)
+    assert path.endswith("v=1") and L.read_table_version(spark, base).first().v == 2
