@@ -95,7 +95,8 @@ def write_version(spark: SparkSession, df: DataFrame, base: str, partition_by=No
     retry simply overwrites."""
     v = _versions(spark, base)
     path = os.path.join(base, f"v={(v[-1] + 1) if v else 0}")
-    w = df.write.mode("overwrite").option("maxRecordsPerFile", WRITE_BATCH_ROWS)
+    w = (df.write.mode("overwrite").option("partitionOverwriteMode", "static")
+         .option("maxRecordsPerFile", WRITE_BATCH_ROWS))
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
