@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timecols import MINUTE, epoch_micros, from_epoch_micros, time_slice
@@ -93,23 +93,33 @@ def publisher_conversions_trailing(attributed: DataFrame, lookback_minutes: int
     """Attributed conversions per publisher by impression time over ``[t - 90m, t + 1m)``,
     stamped ``t``, for every minute ``t`` with a non-zero count (a rolling sum).
 
-    Rows are first counted per (publisher, impression minute) with a map-side
-    combine; each of those is then spread over the ``lookback_minutes + 1``
-    minutes it contributes to, and summed.  The fan-out is a constant (91) over
-    already-aggregated rows, never over pairs of facts.
+    Change-point form, proportional to the output: a (publisher, impression minute)
+    count ``n`` adds ``+n`` at that minute and ``-n`` one look-back + 1 minute later.
+    A running sum over each publisher's change points gives the count on every
+    segment between consecutive change points, and only segments with a positive
+    count are expanded into their minutes -- each output minute is produced once,
+    instead of spreading every input row over 91 minutes.  The window holds two
+    rows per active minute of a publisher (bounded by time, not by volume).
     """
     step = MINUTE * 1_000_000
     m = epoch_micros("impression_timestamp")
     per_minute = (attributed.where(F.col("publishers_id").isNotNull())
                   .groupBy("publishers_id", (m - F.pmod(m, F.lit(step))).alias("__m"))
                   .agg(F.count(F.lit(1)).alias("__n")))
-    spread = per_minute.select(
-        "publishers_id", "__n",
-        F.explode(F.sequence(F.lit(0), F.lit(int(lookback_minutes)))).alias("__k"),
-        F.col("__m"))
-    return (spread.groupBy("publishers_id",
-                           from_epoch_micros(F.col("__m") + F.col("__k").cast("bigint") * F.lit(step)).alias("timestamp"))
-            .agg(F.sum("__n").cast("bigint").alias("total_conversions")))
+    span = F.lit((int(lookback_minutes) + 1) * step)
+    deltas = per_minute.select(
+        "publishers_id",
+        F.explode(F.array(F.struct(F.col("__m").alias("c"), F.col("__n").alias("d")),
+                          F.struct((F.col("__m") + span).alias("c"), (-F.col("__n")).alias("d")))).alias("e"))
+    changes = (deltas.groupBy("publishers_id", F.col("e.c").alias("c")).agg(F.sum("e.d").alias("d")))
+    w = Window.partitionBy("publishers_id").orderBy("c")
+    seg = (changes.withColumn("v", F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+           .withColumn("next", F.lead("c").over(w))
+           .where((F.col("v") > 0) & F.col("next").isNotNull()))
+    minutes = F.sequence(F.col("c"), F.col("next") - F.lit(step), F.lit(step))
+    return seg.select("publishers_id", F.explode(minutes).alias("__t"), "v").select(
+        "publishers_id", from_epoch_micros(F.col("__t")).alias("timestamp"),
+        F.col("v").cast("bigint").alias("total_conversions"))
 
 
 def publisher_conversions_minute(attributed: DataFrame) -> DataFrame:

@@ -206,3 +206,23 @@ def test_timeline_repeat(spark):
     rows = conversion_timeline(imp, att, 5400).collect()
     assert len(rows) == 4   # each impression appears once per conversion it lies under
     assert sum(1 for r in rows if r.publishers_id == "P2") == 2
+
+
+def test_trailing_counts_match_brute_force(spark):
+    import random
+    from clickpath.operators.rollup import publisher_conversions_trailing
+    from tests.conftest import ATT_SCHEMA
+    rnd = random.Random(3)
+    base = ts("2024-01-01 00:00")
+    mins = {"P1": [rnd.randrange(0, 600) for _ in range(120)], "P2": [rnd.randrange(0, 2000, 97) for _ in range(15)]}
+    rows = [("A1", p, "C", base + dt.timedelta(minutes=m + 1), base + dt.timedelta(minutes=m, seconds=rnd.randrange(60)),
+             60, None) for p, ms in mins.items() for m in ms]
+    got = {(r.publishers_id, r.timestamp): r.total_conversions for r in
+           publisher_conversions_trailing(spark.createDataFrame(rows, ATT_SCHEMA)).collect()}
+    want = {}
+    for p, ms in mins.items():
+        for t in range(0, 2200):
+            n = sum(1 for m in ms if t - 90 <= m <= t)
+            if n:
+                want[(p, base + dt.timedelta(minutes=t))] = n
+    assert got == want
