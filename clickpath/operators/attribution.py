@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timecols import localtime_or, seconds_between, shift, time_slice
-from .lookup import _OUT, join_lookup, range_lookup
+from .lookup import _OUT, earliest_lookup, join_lookup, range_lookup
 
 LOOKBACK_SECONDS = 90 * 60   # fixed value: 90-minute attribution look-back
 
@@ -28,7 +28,8 @@ def first_touch_attribution(impressions: DataFrame, conversions: DataFrame,
     are dropped.  ``conv_start``/``conv_end`` restrict the conversions handled (the
     per-minute job is ``[m, m + 1 minute)``) and prune the impression scan with
     literal bounds so the filter reaches Parquet.
-    ``strategy``: "window" (RANGE frame, no pairs) or "join" (equi-join + residual).
+    ``strategy``: "window" (running frame, O(n) per partition), "range" (sliding RANGE
+    frame) or "join" (equi-join + residual); all three give the same rows.
     """
     keys = ["advertisers_id", "cookie_id"]
     conv = conversions.where(F.col("advertisers_id").isNotNull() & F.col("cookie_id").isNotNull()
@@ -49,9 +50,12 @@ def first_touch_attribution(impressions: DataFrame, conversions: DataFrame,
     lo = -int(lookback_seconds) * 1_000_000
     hi = -1
     payload = F.struct(F.col("timestamp").alias("t"), F.col("publishers_id").alias("p"))
-    lookup = range_lookup if strategy == "window" else join_lookup
-    hit = lookup(imp, conv, keys, "timestamp", "conversion_timestamp", payload, lo, hi,
-                 "min", span_factor).where(F.col(_OUT).isNotNull())
+    if strategy == "window":
+        hit = earliest_lookup(imp, conv, keys, "timestamp", "conversion_timestamp", payload, lo, hi, span_factor)
+    else:
+        lookup = range_lookup if strategy == "range" else join_lookup
+        hit = lookup(imp, conv, keys, "timestamp", "conversion_timestamp", payload, lo, hi, "min", span_factor)
+    hit = hit.where(F.col(_OUT).isNotNull())
     return hit.select(
         "advertisers_id",
         F.col(f"{_OUT}.p").alias("publishers_id"),
@@ -77,8 +81,8 @@ def eligible_conversions(impressions: DataFrame, conversion_attempts: DataFrame,
     probes = attempts.select("cookie_id", "timestamp").distinct()
     imp = impressions.where(F.col("cookie_id").isNotNull()).select("cookie_id", "timestamp").distinct()
     lo = -int(window_seconds) * 1_000_000
-    hit = range_lookup(imp, probes.withColumn("__probe_ts", F.col("timestamp")), ["cookie_id"],
-                       "timestamp", "__probe_ts", F.col("timestamp"), lo, 0, "max", span_factor)
+    hit = earliest_lookup(imp, probes.withColumn("__probe_ts", F.col("timestamp")), ["cookie_id"],
+                          "timestamp", "__probe_ts", F.col("timestamp"), lo, 0, span_factor)
     ok = hit.where(F.col(_OUT).isNotNull()).select("cookie_id", "timestamp")
     return attempts.join(ok, ["cookie_id", "timestamp"], "left_semi")
 

@@ -13,7 +13,7 @@ Plan shape (one shuffle of facts ∪ probes, then a sort-based window):
 * the window is partitioned by ``keys + bucket``: a hot key (one cookie with a
   third of all rows) is split over many buckets and therefore many tasks, and
   each window partition holds at most ``(span_factor + 1) * |lo|`` of time;
-* the RANGE frame evaluates the aggregate; nothing is joined, so no pairs.
+* a window evaluates the answer; nothing is joined, so no pairs.
 
 ``join_lookup`` is the equi-join form of the same question (keys + bucket as the
 join key, the time range as residual condition, then a group-by), kept for
@@ -69,6 +69,33 @@ def range_lookup(facts: DataFrame, probes: DataFrame, keys, fact_time: str, prob
     return out.select(*keys, *probe_cols, _OUT)
 
 
+def earliest_lookup(facts: DataFrame, probes: DataFrame, keys, fact_time: str, probe_time: str,
+                    payload, lo: int, hi: int, span_factor: int = 4) -> DataFrame:
+    """``range_lookup`` with agg="min" where the payload is ordered by time first
+    (e.g. ``struct(ts, id)``): the earliest fact in ``[t+lo, t+hi]`` or null."""
+    keys = list(keys)
+    width = _bucket_width(lo, span_factor)
+    f = facts.select(*keys, epoch_micros(fact_time).alias(_T),
+                     F.struct(epoch_micros(fact_time).alias("t"), payload.alias("v")).alias(_PAYLOAD))
+    f = _with_buckets(f, lo, width).withColumn(_PROBE, F.lit(False)).withColumn("__pt", F.lit(None).cast("bigint"))
+    probe_cols = [c for c in probes.columns if c not in keys]
+    p = probes.select(*keys, *probe_cols, epoch_micros(probe_time).alias("__pt"))
+    p = (p.withColumn(_B, F.floor(F.col("__pt") / F.lit(width)))
+         .withColumn(_T, F.col("__pt") + F.lit(int(lo)))            # marker at the window start
+         .withColumn(_PROBE, F.lit(True)))
+    for c in probe_cols:
+        f = f.withColumn(c, F.lit(None).cast(probes.schema[c].dataType))
+    p = p.withColumn(_PAYLOAD, F.lit(None).cast(f.schema[_PAYLOAD].dataType))
+    u = f.unionByName(p)
+    w = (Window.partitionBy(*keys, _B)
+         .orderBy(F.col(_T).desc(), F.col(_PROBE).asc(), F.col(_PAYLOAD).desc())
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    nearest = F.last(_PAYLOAD, ignorenulls=True).over(w)
+    out = u.withColumn("__near", nearest).where(F.col(_PROBE))
+    hit = F.when(F.col("__near.t") <= F.col("__pt") + F.lit(int(hi)), F.col("__near.v"))
+    return out.select(*keys, *probe_cols, hit.alias(_OUT))
+
+
 def join_lookup(facts: DataFrame, probes: DataFrame, keys, fact_time: str, probe_time: str,
                 payload, lo: int, hi: int, agg: str = "min", span_factor: int = 4) -> DataFrame:
     """Same contract as ``range_lookup`` as keys+bucket equi-join with a range residual.

@@ -64,6 +64,13 @@ def q_first_touch_join(spark, sf):
     return domain.attributed(spark, sf, strategy="join")
 
 
+@register("first_touch_attribution_range", with_ctes(ADAPTER_SQL, attributed_sql())
+          + f"\nSELECT {ATTR_COLS} FROM attributed")
+def q_first_touch_range(spark, sf):
+    """Sliding RANGE-frame form (kept for comparison with the running-frame default)."""
+    return domain.attributed(spark, sf, strategy="range")
+
+
 @register("first_touch_attribution_24h",
           with_ctes(ADAPTER_SQL, attributed_sql("INTERVAL 24 HOUR")) + f"\nSELECT {ATTR_COLS} FROM attributed")
 def q_first_touch_24h(spark, sf):

@@ -8,7 +8,7 @@ from clickpath.operators.attribution import eligible_conversions, first_touch_at
 from tests.conftest import CONV_SCHEMA, IMP_SCHEMA, ts
 
 AS_OF = "2024-02-01 00:00:00"
-STRATEGIES = ("window", "join")
+STRATEGIES = ("window", "range", "join")
 
 
 def _attr(spark, imps, convs, strategy, **kw):
