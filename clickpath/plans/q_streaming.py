@@ -51,6 +51,13 @@ def q_stream_attribution(spark, sf):
     return _run(spark, sf, "attribution", lambda d: P.stream_attribution(d, as_of=AS_OF))
 
 
+@register("stream_attribution_state", with_ctes(ADAPTER_SQL, attributed_sql()) + """
+SELECT advertisers_id, publishers_id, cookie_id, conversion_timestamp, impression_timestamp,
+       time_to_conversion_seconds, created_at FROM attributed""")
+def q_stream_attribution_state(spark, sf):
+    return _run(spark, sf, "attribution-state", lambda d: ST.stream_attribution_state(d, as_of=AS_OF))
+
+
 @register("stream_fraud_velocity", with_ctes(ADAPTER_SQL) + """
 SELECT cookie_id, bucket_date AS timestamp, count(*) AS conversion_count,
        CASE WHEN count(*) >= 20 THEN 'high' WHEN count(*) >= 10 THEN 'medium'

@@ -40,7 +40,7 @@ def _tracker_fn(window_seconds: int):
         known = np.array(state.get[0] if state.exists else [], dtype="int64")
         outs = []
         for pdf in pdfs:
-            t = pdf["ts"].astype("datetime64[us]").astype("int64").to_numpy()
+            t = pdf["__us"].to_numpy(dtype="int64")       # epoch micros (same clock as the watermark)
             is_imp = pdf["event_type"].isin(list(IMPRESSION_TYPES)).to_numpy()
             is_conv = pdf["event_type"].isin(list(CONVERSION_TYPES)).to_numpy()
             known = np.union1d(known, t[is_imp])
@@ -71,7 +71,8 @@ def stream_cookie_window(dom: DataFrame, window_seconds: int = LOOKBACK_SECONDS)
     """Conversion attempts flagged ``eligible`` when their cookie had an impression
     (any advertiser) in ``[t - window, t]`` among the rows seen so far."""
     rows = of_types(dom, (*IMPRESSION_TYPES, *CONVERSION_TYPES)).select(
-        "cookie_id", "ts", "event_type", "advertisers_id", F.col("event_id").cast("string").alias("event_id"))
+        "cookie_id", "ts", F.unix_micros("ts").alias("__us"), "event_type", "advertisers_id",
+        F.col("event_id").cast("string").alias("event_id"))
     return rows.groupBy("cookie_id").applyInPandasWithState(
         _tracker_fn(window_seconds), TRACKER_OUT, TRACKER_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
@@ -120,3 +121,74 @@ def dual_write_sink(sinks: dict):
         finally:
             batch.unpersist()
     return fn
+
+
+# --- first-touch attribution as per-key state (no pairs) -------------------------------------
+
+ATTR_OUT = ("advertisers_id string, publishers_id string, cookie_id string, conversion_us bigint, "
+            "impression_us bigint, time_to_conversion_seconds bigint")
+ATTR_STATE = "imp_minutes array<bigint>, imp_pubs array<string>, pending array<bigint>"
+
+
+def _attribution_fn(lookback_seconds: int):
+    span = int(lookback_seconds) * 1_000_000
+
+    def fn(key, pdfs, state):
+        adv, cookie = key
+        if state.exists:
+            minutes, pubs, pending = state.get
+            book = dict(zip(minutes, pubs))
+            pend = set(pending)
+        else:
+            book, pend = {}, set()
+        for pdf in pdfs:
+            t = pdf["__us"].to_numpy(dtype="int64")       # epoch micros (same clock as the watermark)
+            kind = pdf["event_type"].to_numpy()
+            pub = pdf["publishers_id"].to_numpy()
+            for ti, ki, pi in zip(t, kind, pub):
+                if ki in IMPRESSION_TYPES:
+                    cur = book.get(int(ti))
+                    if cur is None or pi < cur:
+                        book[int(ti)] = pi          # one row per minute: the smallest publisher
+                elif ki in CONVERSION_TYPES:
+                    pend.add(int(ti))               # equal conversions collapse
+        wm = state.getCurrentWatermarkMs() * 1000
+        ready = sorted(c for c in pend if c < wm)   # no impression before c can still arrive
+        if ready and book:
+            ms = np.array(sorted(book), dtype="int64")
+            out = []
+            for c in ready:
+                i = int(np.searchsorted(ms, c - span, side="left"))
+                if i < len(ms) and ms[i] < c:
+                    out.append((adv, book[int(ms[i])], cookie, c, int(ms[i]), (c - int(ms[i])) // 1_000_000))
+            if out:
+                yield pd.DataFrame(out, columns=["advertisers_id", "publishers_id", "cookie_id",
+                                                 "conversion_us", "impression_us", "time_to_conversion_seconds"])
+        pend -= set(ready)
+        # keep only impressions a pending or future conversion can still reach
+        horizon = (min(pend) if pend else wm) - span
+        book = {m: p for m, p in book.items() if m >= horizon}
+        if not book and not pend:
+            state.remove()
+            return
+        state.update((sorted(book), [book[m] for m in sorted(book)], sorted(pend)))
+        nxt = (min(pend) if pend else max(book) + span) // 1000 + 1
+        state.setTimeoutTimestamp(max(nxt, state.getCurrentWatermarkMs() + 1))
+    return fn
+
+
+def stream_attribution_state(dom: DataFrame, lookback_seconds: int = LOOKBACK_SECONDS, as_of=None) -> DataFrame:
+    """First-touch attribution as per-(advertiser, cookie) state: one entry per
+    impression minute for one look-back, conversions held until the watermark passes
+    them, then answered by a sorted search.  No (conversion x impression) pairs are
+    formed, and state per key is bounded by the look-back in minutes."""
+    rows = of_types(dom, (*IMPRESSION_TYPES, *CONVERSION_TYPES)).select(
+        "advertisers_id", "cookie_id", "ts", F.unix_micros("ts").alias("__us"), "event_type", "publishers_id")
+    out = rows.groupBy("advertisers_id", "cookie_id").applyInPandasWithState(
+        _attribution_fn(lookback_seconds), ATTR_OUT, ATTR_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    created = F.lit(str(as_of)).cast("timestamp_ntz") if as_of is not None else F.localtimestamp()
+    return out.where(F.col("cookie_id").isNotNull()).select(
+        "advertisers_id", "publishers_id", "cookie_id",
+        F.timestamp_micros("conversion_us").cast("timestamp_ntz").alias("conversion_timestamp"),
+        F.timestamp_micros("impression_us").cast("timestamp_ntz").alias("impression_timestamp"),
+        "time_to_conversion_seconds", created.alias("created_at"))

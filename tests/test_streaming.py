@@ -38,3 +38,29 @@ def test_late_event_dropped_and_counted(spark, scratch):
     assert dropped == 1
     late = spark.read.parquet(sink).where(F.col("timestamp") == F.lit("2024-01-01 09:00:00").cast("timestamp_ntz"))
     assert late.count() == 0
+
+
+def test_state_attribution_across_micro_batches(spark, scratch):
+    import time as _time
+    from clickpath.streaming.stateful import stream_attribution_state
+    schema = spark.read.parquet("/root/testdata/sf0.001/events.parquet").schema
+    src = os.path.join(scratch, "src")
+    names = [f.name for f in schema.fields]
+
+    def put(i, rows):
+        full = [tuple({"event_id": n, "ts": t, "user_id": 7, "event_type": e, "value": 1.0,
+                       "props": '{"k": 3}'}[c] for c in names) for n, t, e in rows]
+        spark.createDataFrame(full, schema).coalesce(1).write.mode("append").parquet(src)
+        _time.sleep(1.1)     # distinct modification times keep the file order
+
+    put(0, [(1, dt.datetime(2024, 1, 1, 10, 0, 20), "view")])
+    put(1, [(2, dt.datetime(2024, 1, 1, 10, 30, 40), "purchase"), (3, dt.datetime(2024, 1, 1, 10, 30, 50), "signup")])
+    put(2, [(4, P.HEARTBEAT_TS, P.HEARTBEAT)])
+    put(3, [(5, P.HEARTBEAT_TS, P.HEARTBEAT)])
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    out = stream_attribution_state(P.domain_stream(stream), as_of="2024-02-01 00:00:00")
+    sink = os.path.join(scratch, "sink")
+    P.run_available_now(out, sink, os.path.join(scratch, "ck"))
+    rows = spark.read.parquet(sink).collect()
+    assert [(r.publishers_id, r.conversion_timestamp, r.impression_timestamp, r.time_to_conversion_seconds)
+            for r in rows] == [("PID_003", dt.datetime(2024, 1, 1, 10, 30), dt.datetime(2024, 1, 1, 10, 0), 1800)]
