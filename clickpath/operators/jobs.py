@@ -15,15 +15,26 @@ from pyspark.sql import functions as F
 from ..functions.timecols import MINUTE, epoch_seconds, shift
 from ..sources import lake
 from .attribution import LOOKBACK_SECONDS, first_touch_attribution
-from .rollup import entity_metric, impression_rollup, scan_minute_buckets
+from .rollup import WRITE_BATCH_ROWS, entity_metric, impression_rollup, scan_minute_buckets
 from .series import entity_series_merge
 
 
-def rollup_minute(raw_impressions: DataFrame, minute, lake_path: str, buckets: int = 10) -> DataFrame:
-    """Roll up one minute of raw impressions and append it to the lake table."""
+def rollup_minute(raw_impressions: DataFrame, minute, lake_path: str, buckets: int = 10) -> dict:
+    """Roll up one minute of raw impressions, append it to the lake table and return
+    the run statistics (raw rows read, groups written, write batches).
+
+    The statistics are collected with ``observe`` while the write runs -- one job,
+    instead of counting the data again after writing it.
+    """
+    from pyspark.sql import Observation
+    obs = Observation("rollup_minute")
     roll = impression_rollup(scan_minute_buckets(raw_impressions, minute, buckets))
+    roll = roll.observe(obs, F.count(F.lit(1)).alias("impressions_aggregated"),
+                        F.coalesce(F.sum("impressions"), F.lit(0)).cast("bigint").alias("impressions_processed"))
     lake.append_facts(roll, lake_path, "timestamp", "publishers_id")
-    return roll
+    stats = dict(obs.get)
+    stats["impressions_batches"] = -(-stats["impressions_aggregated"] // WRITE_BATCH_ROWS)
+    return stats
 
 
 def attribute_minute(spark: SparkSession, impressions_path: str, conversions_path: str, minute,

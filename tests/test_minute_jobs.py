@@ -36,7 +36,9 @@ def test_minute_jobs_equal_batch(spark, scratch):
     minutes = sorted({r[0] for r in raw_i.select("bucket_date").limit(3).collect()})
     roll_path = os.path.join(scratch, "roll")
     for m in minutes:
-        jobs.rollup_minute(raw_i, m, roll_path)
+        stats = jobs.rollup_minute(raw_i, m, roll_path)
+        raw_rows = raw_i.where(F.col("bucket_date") == F.lit(m)).count()
+        assert stats["impressions_processed"] == raw_rows and stats["impressions_batches"] == 1
         jobs.publish_minute(spark, roll_path, series, m, as_of="2024-02-01 00:00:00")
     final = lake.read_table_version(spark, series)
     assert final.count() == spark.read.parquet(roll_path).select("publishers_id").distinct().count()
