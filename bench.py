@@ -3,7 +3,7 @@
 Runs each query on ``$BENCH_SF_DIR`` (default /root/testdata/sf0.1) with
 ``local[$BENCH_CPUS]`` and prints one JSON line.  Every timing forces the whole
 plan with the ``noop`` sink (no driver collect); one warm-up run, then the
-median of ``$BENCH_RUNS`` (default 3) runs.
+median of ``$BENCH_RUNS`` (default 5) runs.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ HEADLINE = (
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "5"))
     only = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q]
     from clickpath.plans import QUERIES
     from clickpath.session import build_session
