@@ -17,7 +17,6 @@ restarted driver or lost executor resumes from the last committed batch.
 from __future__ import annotations
 
 import datetime as _dt
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
