@@ -91,18 +91,32 @@ def q_stream_entity_series(spark, sf):
 
 
 @register("stream_dual_write", with_ctes(ADAPTER_SQL) + """
-SELECT 'raw' AS sink, count(*) AS rows FROM ev WHERE event_type IN ('view', 'click', 'purchase', 'signup')
-UNION ALL SELECT 'impressions', count(*) FROM raw_impressions
-UNION ALL SELECT 'conversions', count(*) FROM raw_conversions""")
+SELECT 'impressions_by_minute' AS sink, count(*) AS rows FROM raw_impressions
+UNION ALL SELECT 'impression_tracking', count(*) FROM impression_tracking
+UNION ALL SELECT 'conversions_by_minute', count(*) FROM raw_conversions
+UNION ALL SELECT 'conversion_tracking', count(*) FROM conversion_tracking""")
 def q_stream_dual_write(spark, sf):
-    """One micro-batch written to three sinks; returns rows per sink."""
+    """Each micro-batch written to the four tables of the intake (raw impressions, their
+    minute rollup, raw conversions, conversion facts); returns rows per sink.  The rollup
+    here is per micro-batch, which equals the minute rollup when a minute arrives in one
+    batch (the intake's model); ``stream_rollup`` is the watermark-finalised general form."""
     from ..sources.adapters import CONVERSION_TYPES, IMPRESSION_TYPES
     scratch = _scratch(spark, "dual")
     dom = _dom(spark, sf, scratch).where(F.col("event_type").isin(*IMPRESSION_TYPES, *CONVERSION_TYPES))
+
+    def imps(b):
+        return b.where(F.col("event_type").isin(*IMPRESSION_TYPES))
+
+    def convs(b):
+        return b.where(F.col("event_type").isin(*CONVERSION_TYPES))
+
     sinks = {
-        "raw": (f"{scratch}/raw", lambda b: b),
-        "impressions": (f"{scratch}/impressions", lambda b: b.where(F.col("event_type").isin(*IMPRESSION_TYPES))),
-        "conversions": (f"{scratch}/conversions", lambda b: b.where(F.col("event_type").isin(*CONVERSION_TYPES))),
+        "impressions_by_minute": (f"{scratch}/impressions_by_minute", imps),
+        "impression_tracking": (f"{scratch}/impression_tracking", lambda b: imps(b).groupBy(
+            "publishers_id", "advertisers_id", "cookie_id", "ts").agg(F.count(F.lit(1)).cast("int").alias("impressions"))),
+        "conversions_by_minute": (f"{scratch}/conversions_by_minute", convs),
+        "conversion_tracking": (f"{scratch}/conversion_tracking",
+                                lambda b: convs(b).select("advertisers_id", "ts", "cookie_id")),
     }
     P.run_foreach_batch(dom, ST.dual_write_sink(sinks), f"{scratch}/checkpoint")
     out = None
