@@ -51,7 +51,8 @@ def first_touch_attribution(impressions: DataFrame, conversions: DataFrame,
     hi = -1
     payload = F.struct(F.col("timestamp").alias("t"), F.col("publishers_id").alias("p"))
     if strategy == "window":
-        hit = earliest_lookup(imp, conv, keys, "timestamp", "conversion_timestamp", payload, lo, hi, span_factor)
+        hit = earliest_lookup(imp, conv, keys, "timestamp", "conversion_timestamp", payload, lo, hi, span_factor,
+                              unique_fact_times=True)   # one impression row per (keys, time) above
     else:
         lookup = range_lookup if strategy == "range" else join_lookup
         hit = lookup(imp, conv, keys, "timestamp", "conversion_timestamp", payload, lo, hi, "min", span_factor)
@@ -82,7 +83,8 @@ def eligible_conversions(impressions: DataFrame, conversion_attempts: DataFrame,
     imp = impressions.where(F.col("cookie_id").isNotNull()).select("cookie_id", "timestamp").distinct()
     lo = -int(window_seconds) * 1_000_000
     hit = earliest_lookup(imp, probes.withColumn("__probe_ts", F.col("timestamp")), ["cookie_id"],
-                          "timestamp", "__probe_ts", F.col("timestamp"), lo, 0, span_factor)
+                          "timestamp", "__probe_ts", F.col("timestamp"), lo, 0, span_factor,
+                          unique_fact_times=True)   # imp is distinct on (cookie, timestamp)
     ok = hit.where(F.col(_OUT).isNotNull()).select("cookie_id", "timestamp")
     return attempts.join(ok, ["cookie_id", "timestamp"], "left_semi")
 

@@ -70,9 +70,14 @@ def range_lookup(facts: DataFrame, probes: DataFrame, keys, fact_time: str, prob
 
 
 def earliest_lookup(facts: DataFrame, probes: DataFrame, keys, fact_time: str, probe_time: str,
-                    payload, lo: int, hi: int, span_factor: int = 4) -> DataFrame:
+                    payload, lo: int, hi: int, span_factor: int = 4,
+                    unique_fact_times: bool = False) -> DataFrame:
     """``range_lookup`` with agg="min" where the payload is ordered by time first
-    (e.g. ``struct(ts, id)``): the earliest fact in ``[t+lo, t+hi]`` or null."""
+    (e.g. ``struct(ts, id)``): the earliest fact in ``[t+lo, t+hi]`` or null.
+
+    ``unique_fact_times``: the caller guarantees one fact per (keys, time) -- e.g.
+    after a per-minute pre-aggregation -- so ties need no payload ordering and the
+    sort key stays two primitive columns."""
     keys = list(keys)
     width = _bucket_width(lo, span_factor)
     f = facts.select(*keys, epoch_micros(fact_time).alias(_T),
@@ -87,8 +92,8 @@ def earliest_lookup(facts: DataFrame, probes: DataFrame, keys, fact_time: str, p
         f = f.withColumn(c, F.lit(None).cast(probes.schema[c].dataType))
     p = p.withColumn(_PAYLOAD, F.lit(None).cast(f.schema[_PAYLOAD].dataType))
     u = f.unionByName(p)
-    w = (Window.partitionBy(*keys, _B)
-         .orderBy(F.col(_T).desc(), F.col(_PROBE).asc(), F.col(_PAYLOAD).desc())
+    order = [F.col(_T).desc(), F.col(_PROBE).asc()] + ([] if unique_fact_times else [F.col(_PAYLOAD).desc()])
+    w = (Window.partitionBy(*keys, _B).orderBy(*order)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     nearest = F.last(_PAYLOAD, ignorenulls=True).over(w)
     out = u.withColumn("__near", nearest).where(F.col(_PROBE))
