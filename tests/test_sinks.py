@@ -76,3 +76,17 @@ def test_failed_version_write_is_invisible_and_retried(spark, scratch):
     assert L.latest_version(spark, base).endswith("v=0")
     path = L.write_version(spark, df.withColumn("v", F.lit(2)), base)
     assert path.endswith("v=1") and L.read_table_version(spark, base).first().v == 2
+
+
+def test_export_fraud_csv(spark, scratch):
+    from clickpath.operators import fraud
+    df = spark.createDataFrame([("C1", 12, 6, ["PID_001", "PID_002"])],
+                               "cookie_id string, total_conversions_last_minute long, "
+                               "unique_publishers_last_90m long, sample_publishers_90m array<string>")
+    path = os.path.join(scratch, "csv")
+    fraud.export_fraud_csv(fraud.fraud_report(df), path)
+    back = spark.read.option("header", True).csv(path).collect()
+    assert len(back) == 1
+    r = back[0].asDict()
+    assert r["Risk Level"] == "medium" and r["Sample Publishers"] == "PID_001; PID_002"
+    assert r["Suspicious Patterns"] == "High conversion velocity; Diverse publisher activity" and r["Risk Score"] == "42"
