@@ -226,3 +226,20 @@ def test_trailing_counts_match_brute_force(spark):
             if n:
                 want[(p, base + dt.timedelta(minutes=t))] = n
     assert got == want
+
+
+def test_timeline_across_bucket_boundaries_matches_brute_force(spark):
+    from clickpath.operators.timeline import conversion_timeline
+    from tests.conftest import ATT_SCHEMA, IMP_SCHEMA
+    base = ts("2024-01-01 00:00")
+    imps = [(f"P{m % 3}", "A1", "C1", base + dt.timedelta(minutes=m), 1) for m in range(0, 400, 4)]
+    atts = []
+    for c in range(50, 400, 37):          # each attributed conversion: first touch within 60 minutes
+        ct = base + dt.timedelta(minutes=c)
+        first = min(it for (_, _, _, it, _) in imps if ct - dt.timedelta(minutes=60) <= it < ct)
+        atts.append(("A1", "P0", "C1", ct, first, int((ct - first).total_seconds()), None))
+    got = conversion_timeline(spark.createDataFrame(imps, IMP_SCHEMA), spark.createDataFrame(atts, ATT_SCHEMA),
+                              lookback_seconds=3600, span_factor=1, limit=10_000).collect()
+    want = sorted((p, it, ct) for (_, _, _, ct, first, _, _) in atts
+                  for (p, _, _, it, _) in imps if first <= it <= ct)
+    assert sorted((r.publishers_id, r.timestamp, r.conversion_timestamp) for r in got) == want
