@@ -99,3 +99,19 @@ def test_invariants(spark):
     row = a.agg(F.min("time_to_conversion_seconds").alias("lo"), F.max("time_to_conversion_seconds").alias("hi"),
                 F.count_if(F.col("impression_timestamp") >= F.col("conversion_timestamp")).alias("bad")).first()
     assert row.lo > 0 and row.hi <= 24 * 3600 and row.bad == 0
+
+
+def test_eligibility_across_bucket_boundaries_matches_brute_force(spark):
+    import datetime as dt
+    import random
+    rnd = random.Random(5)
+    base = ts("2024-01-01 00:00")
+    imps = [("P1", "A9", f"C{rnd.randrange(3)}", base + dt.timedelta(minutes=rnd.randrange(0, 500)), 1)
+            for _ in range(60)]
+    convs = [("A1", base + dt.timedelta(minutes=rnd.randrange(0, 500)), f"C{rnd.randrange(3)}") for _ in range(80)]
+    out = eligible_conversions(spark.createDataFrame(imps, IMP_SCHEMA), spark.createDataFrame(convs, CONV_SCHEMA),
+                               window_seconds=1800, span_factor=1)
+    got = sorted((r.cookie_id, r.timestamp) for r in out.collect())
+    want = sorted((c, t) for (_, t, c) in convs
+                  if any(ic == c and t - dt.timedelta(minutes=30) <= it <= t for (_, _, ic, it, _) in imps))
+    assert got == want
