@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED_WORD, fresh
+from .common import SPACED_WORD, bound, fresh
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
@@ -40,12 +40,6 @@ POLICIES = (
 CURRENT = POLICIES[-1]
 
 
-def bound(value: Column, f) -> Column:
-    """``f(value)`` with the value computed once: inside a lambda a column expression
-    would be evaluated again for every element, a lambda variable is not."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def repeated_window_words(words: Column, size: int = WINDOW) -> Column:
     """Words inside ``size``-word windows that occur twice or more (the first included).
 
