@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, mixing, neardup, packing, rules, urls
+from . import chat, compressquality, decontam, mixing, neardup, packing, rules, secretscan, urls
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,6 +157,16 @@ def op6_quality_rules(spark, sf_dir):
     return rules.report(read(spark, sf_dir, "documents"))
 
 
+@register("op7_compression_quality")
+def op7_compression_quality(spark, sf_dir):
+    return compressquality.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@register("op8_secret_scan")
+def op8_secret_scan(spark, sf_dir):
+    return secretscan.scan(read(spark, sf_dir, "documents"))
+
+
 @register("op9_mix_sources")
 def op9_mix_sources(spark, sf_dir):
     return mixing.report(read(spark, sf_dir, "documents"))
