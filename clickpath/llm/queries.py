@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, compressquality, decontam, mixing, neardup, packing, rules, secretscan, urls
+from . import chat, compressquality, decontam, mixing, neardup, packing, pagetemplate, rules, secretscan, urls
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,6 +124,11 @@ def op4_minhash_near_dedup(spark, sf_dir):
     return neardup.report(read(spark, sf_dir, "documents"))
 
 
+@register("op5_extract_pages")
+def op5_extract_pages(spark, sf_dir):
+    return pagetemplate.extract(read(spark, sf_dir, "pages"))
+
+
 @register("op6_quality_rules", r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
