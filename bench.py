@@ -17,7 +17,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = (
-    "first_touch_attribution",        # flagship, RANGE-frame form
+    "first_touch_attribution",        # flagship, running-frame form
     "first_touch_attribution_join",   # same result, equi-join form
     "first_touch_attribution_24h",
     "attribution_volume",             # lineitem x orders, 90-day look-back

@@ -14,25 +14,23 @@ RANDOM_PREFIX = "CID_RANDOM_"
 
 
 def salt_bucket(key, buckets: int) -> Column:
-    """Stable write-distribution bucket in ``[0, buckets)`` (xxhash64, not per-process)."""
-    return F.pmod(F.xxhash64(col_(key)), F.lit(int(buckets))).cast("short")
+    """Stable write-distribution bucket in ``[0, buckets)``: the first 32 bits of the key's
+    MD5, which any engine can compute."""
+    head = F.conv(F.substring(F.md5(col_(key).cast("string").cast("binary")), 1, 8), 16, 10)
+    return F.pmod(head.cast("bigint"), F.lit(int(buckets))).cast("short")
 
 
-def cookie_class(cookie) -> Column:
+def cookie_class(cookie, cohorts=COHORTS) -> Column:
     """FRAUD, a cohort name, RANDOM, or OTHER from the cookie prefix."""
     c = col_(cookie)
     expr = F.when(c.startswith(FRAUD_PREFIX), F.lit("FRAUD"))
-    for cohort in COHORTS:
+    for cohort in cohorts:
         expr = expr.when(c.startswith(f"CID_{cohort}_"), F.lit(cohort))
     return expr.when(c.startswith(RANDOM_PREFIX), F.lit("RANDOM")).otherwise(F.lit("OTHER"))
 
 
-def publisher_cohort(publisher) -> Column:
-    """Cohort embedded as ``PID_{COHORT}_nnn``; ids without one fall back to
-    ``COHORTS[number % 5]`` using the id's trailing number."""
-    p = col_(publisher)
-    embedded = F.regexp_extract(p, r"^PID_([A-Z]+)_[0-9]+$", 1)
-    num = F.regexp_extract(p, r"([0-9]+)$", 1)
-    fallback = F.element_at(F.array(*[F.lit(c) for c in COHORTS]),
-                            (F.pmod(num.cast("bigint"), F.lit(len(COHORTS))) + 1).cast("int"))
-    return F.when(embedded != "", embedded).when(num != "", fallback)
+def publisher_cohort(publisher, cohorts=COHORTS) -> Column:
+    """Cohort embedded as ``PID_{COHORT}_nnn`` if it is one of ``cohorts`` (None: any), else null."""
+    embedded = F.regexp_extract(col_(publisher), r"^PID_([A-Z]+)_[0-9]+$", 1)
+    known = embedded != "" if cohorts is None else embedded.isin(*cohorts)
+    return F.when(known, embedded)

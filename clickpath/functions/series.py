@@ -18,7 +18,9 @@ SERIES_TYPE = ArrayType(StructType([StructField("ts", LongType()), StructField("
 
 def _elements(json_text) -> Column:
     """JSON text -> array of element JSON strings; blank, malformed or non-array -> []."""
-    arr = F.from_json(col_(json_text), "array<string>")
+    text = F.regexp_replace(col_(json_text), r"^\s+|\s+$", "")
+    # the parser stops at the closing bracket; text after it makes the whole malformed
+    arr = F.when(text.startswith("[") & text.endswith("]"), F.from_json(text, "array<string>"))
     return F.coalesce(arr, F.array().cast("array<string>"))
 
 
@@ -34,6 +36,13 @@ def _count_of(e: Column) -> Column:
     return F.when(e.startswith("["), F.get_json_object(e, "$[1]")).otherwise(F.get_json_object(e, "$.count"))
 
 
+def _is_point(e: Column) -> Column:
+    """A pair of two items or more, or an object that has both keys (their values may be null)."""
+    keys = F.json_object_keys(e)
+    return F.coalesce(F.when(e.startswith("["), F.json_array_length(e) >= 2)
+                      .otherwise(F.array_contains(keys, "ts") & F.array_contains(keys, "count")), F.lit(False))
+
+
 def parse_series(json_text) -> Column:
     """JSON text -> array<struct<ts, count>>.
 
@@ -42,7 +51,7 @@ def parse_series(json_text) -> Column:
     """
     el = _elements(json_text)
     pairs = F.transform(el, lambda e: F.struct(_num(_ts_of(e)).alias("ts"), _num(_count_of(e)).alias("count"),
-                                                (_ts_of(e).isNotNull() & _count_of(e).isNotNull()).alias("ok")))
+                                                _is_point(e).alias("ok")))
     kept = F.filter(pairs, lambda p: p["ok"])
     return F.transform(kept, lambda p: F.struct(p["ts"].alias("ts"), p["count"].alias("count")))
 

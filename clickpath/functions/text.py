@@ -48,7 +48,7 @@ def query_fingerprint(text) -> Column:
 def truncate_text(text, max_length: int = WEB_TRUNCATE) -> Column:
     """Texts over ``max_length``: rtrim(first n) + ``... [truncated from L chars]``."""
     t = col_(text)
-    cut = F.concat(F.rtrim(F.substring(t, 1, max_length)), F.lit("... [truncated from "),
+    cut = F.concat(F.regexp_replace(F.substring(t, 1, max_length), r"\s+$", ""), F.lit("... [truncated from "),
                    F.length(t).cast("string"), F.lit(" chars]"))
     return F.when(F.length(t) > max_length, cut).otherwise(t)
 
@@ -92,7 +92,8 @@ def health_status(age_seconds) -> Column:
 
 def _bytes(v: Column) -> Column:
     units = F.array(*[F.lit(u) for u in ("Bytes", "KB", "MB", "GB", "TB")])
-    i = F.least(F.floor(F.log(1024.0, v)), F.lit(4)).cast("int")
+    """1024 steps; values below one byte stay in bytes, negative ones keep their sign."""
+    i = F.greatest(F.least(F.floor(F.log(1024.0, F.greatest(F.abs(v), F.lit(1.0)))), F.lit(4)), F.lit(0)).cast("int")
     scaled = F.round(v / F.pow(F.lit(1024.0), i), 2)
     num = F.regexp_replace(F.format_number(scaled, 2), r"\.?0+$", "")
     return F.when(v == 0, F.lit("0 Bytes")).otherwise(

@@ -15,7 +15,8 @@ from ..functions.ids import publisher_cohort
 from ..functions.timecols import HOUR, epoch_seconds, trunc_to
 
 
-def fraud_cohorts(impressions: DataFrame, suspects: DataFrame, sample: int = 10) -> DataFrame:
+def fraud_cohorts(impressions: DataFrame, suspects: DataFrame, sample: int = 10,
+                  cohort_of=publisher_cohort) -> DataFrame:
     """Group suspect cookies by the set of publisher cohorts they were seen in.
 
     cohort_key (sorted cohort names joined by ','), suspects, impressions and the
@@ -24,7 +25,7 @@ def fraud_cohorts(impressions: DataFrame, suspects: DataFrame, sample: int = 10)
     """
     s = impressions.join(suspects.select("cookie_id"), "cookie_id", "left_semi")
     per_cookie = (s.groupBy("cookie_id")
-                  .agg(F.array_join(F.array_sort(F.collect_set(publisher_cohort("publishers_id"))), ",")
+                  .agg(F.array_join(F.array_sort(F.collect_set(cohort_of("publishers_id"))), ",")
                        .alias("cohort_key"),
                        F.sum("impressions").cast("bigint").alias("impressions")))
     rn = F.row_number().over(Window.partitionBy("cohort_key").orderBy("cookie_id"))
@@ -58,12 +59,15 @@ def similar_advertisers(impressions: DataFrame, target) -> DataFrame:
                     F.round(F.col("shared_cookies") / union, 6).alias("jaccard"))
 
 
-def cohort_traffic(impressions: DataFrame) -> DataFrame:
+def cohort_traffic(impressions: DataFrame, cohort_of=publisher_cohort) -> DataFrame:
     """Per (cohort, publisher): impressions and share of the cohort's impressions."""
-    g = (impressions.groupBy(publisher_cohort("publishers_id").alias("cohort"), "publishers_id")
+    g = (impressions.groupBy(cohort_of("publishers_id").alias("cohort"), "publishers_id")
          .agg(F.sum("impressions").cast("bigint").alias("impressions")))
-    total = F.sum("impressions").over(Window.partitionBy("cohort"))
-    return g.withColumn("cohort_share", F.round(F.col("impressions") / total, 6))
+    # a sum joined back, not a window: there are few cohorts and each has many publishers
+    total = g.groupBy(F.col("cohort").alias("c")).agg(F.sum("impressions").alias("total"))
+    j = g.join(total, F.col("cohort").eqNullSafe(F.col("c")))
+    return j.select("cohort", "publishers_id", "impressions",
+                    F.round(F.col("impressions") / F.col("total"), 6).alias("cohort_share"))
 
 
 def payouts(attributed: DataFrame, rates: DataFrame) -> DataFrame:

@@ -5,9 +5,8 @@ Stage 1 counts conversions per cookie in a short window and keeps the top
 conversions of a long window to count distinct publishers per cookie.
 
 Scale notes: the only full-size work is one aggregate over the conversions and
-one scan of the attributed table.  Everything after the top-k is bounded by
-``limit`` rows, which is what makes the broadcasts below safe: the broadcast
-sides are the outputs of ``limit(limit)`` (proven size), never raw tables.
+one scan of the attributed table.  Joins carry no broadcast hints: with ``limit``
+the planner sees the small side by itself, and ``limit=None`` stays safe.
 Distinct publishers per cookie are found with a (cookie, publisher) group-by
 (map-side combine, so a hot cookie ships one row per publisher per task) and
 the sample is a partial top-10 per cookie, so no cookie's rows are collected.
@@ -31,6 +30,11 @@ def _window(col: str, as_of, seconds: int):
     return (F.col(col) >= add_seconds(end, -int(seconds))) & (F.col(col) < end)
 
 
+def _top(counts: DataFrame, by: str, limit: int | None) -> DataFrame:
+    """The ``limit`` cookies of highest count, ties by id; None keeps all."""
+    return counts if limit is None else counts.orderBy(F.col(by).desc(), F.col("cookie_id")).limit(limit)
+
+
 def _cookie_filter(df: DataFrame, cookies) -> DataFrame:
     """Restrict to the given cookies; an empty or missing list means no filter."""
     if cookies is None:
@@ -38,42 +42,44 @@ def _cookie_filter(df: DataFrame, cookies) -> DataFrame:
     if isinstance(cookies, DataFrame):
         # no forced broadcast: the planner broadcasts a small (e.g. limit(100)) list by
         # its size estimate, and shuffles a large one
+        if cookies.isEmpty():
+            return df
         return df.join(cookies.select("cookie_id").distinct(), "cookie_id", "left_semi")
     cookies = list(cookies)
     return df.where(F.col("cookie_id").isin(cookies)) if cookies else df
 
 
 def fraud_stage1(raw_conversions: DataFrame, as_of, window_seconds: int = 60,
-                 limit: int = TOP_COOKIES) -> DataFrame:
+                 limit: int | None = TOP_COOKIES) -> DataFrame:
     """cookie_id, conversion_count: conversions per cookie in the minute(s) before
-    ``as_of`` (``[trunc(as_of) - window, trunc(as_of))``), top ``limit``."""
+    ``as_of`` (``[trunc(as_of) - window, trunc(as_of))``), top ``limit`` (None: all)."""
     recent = raw_conversions.where(_window("bucket_date", as_of, window_seconds))
     counts = recent.groupBy("cookie_id").agg(F.count(F.lit(1)).alias("conversion_count"))
-    return counts.orderBy(F.col("conversion_count").desc(), F.col("cookie_id")).limit(limit)
+    return _top(counts, "conversion_count", limit)
 
 
 def fraud_stage2(raw_conversions: DataFrame, attributed: DataFrame, as_of, cookies=None,
                  min_conversions: int = MIN_CONVERSIONS, short_window: int = 60,
-                 long_window: int = 90 * 60, limit: int = TOP_COOKIES) -> DataFrame:
+                 long_window: int = 90 * 60, limit: int | None = TOP_COOKIES,
+                 sample_size: int = SAMPLE_PUBLISHERS) -> DataFrame:
     """cookie_id, total_conversions_last_minute, unique_publishers_last_90m,
     sample_publishers_90m (first 10 distinct publishers, sorted; [] if none)."""
     recent = _cookie_filter(raw_conversions.where(_window("bucket_date", as_of, short_window)), cookies)
-    top = (recent.groupBy("cookie_id").agg(F.count(F.lit(1)).alias("total_conversions_last_minute"))
-           .where(F.col("total_conversions_last_minute") >= min_conversions)
-           .orderBy(F.col("total_conversions_last_minute").desc(), F.col("cookie_id")).limit(limit))
+    top = _top(recent.groupBy("cookie_id").agg(F.count(F.lit(1)).alias("total_conversions_last_minute"))
+               .where(F.col("total_conversions_last_minute") >= min_conversions), "total_conversions_last_minute", limit)
     ident = _cookie_filter(
         attributed.where(_window("conversion_timestamp", as_of, long_window)), cookies
     ).select("cookie_id", "publishers_id").where(F.col("publishers_id").isNotNull())
-    # semi-join to the <= limit top cookies (broadcast of a limit() output)
-    ident = ident.join(F.broadcast(top.select("cookie_id")), "cookie_id", "left_semi")
+    # the planner broadcasts the top cookies when their estimate is small
+    ident = ident.join(top.select("cookie_id"), "cookie_id", "left_semi")
     pairs = ident.select("cookie_id", "publishers_id").distinct()
     per = pairs.groupBy("cookie_id").agg(F.count(F.lit(1)).alias("unique_publishers_last_90m"))
     rn = F.row_number().over(Window.partitionBy("cookie_id").orderBy("publishers_id"))
-    sample = (pairs.withColumn("__rn", rn).where(F.col("__rn") <= SAMPLE_PUBLISHERS)
+    sample = (pairs.withColumn("__rn", rn).where(F.col("__rn") <= sample_size)
               .groupBy("cookie_id")
               .agg(F.array_sort(F.collect_list("publishers_id")).alias("sample_publishers_90m")))
     right = per.join(sample, "cookie_id")
-    out = top.join(F.broadcast(right), "cookie_id", "left")
+    out = top.join(right, "cookie_id", "left")
     return out.select(
         "cookie_id", "total_conversions_last_minute",
         F.coalesce("unique_publishers_last_90m", F.lit(0)).cast("bigint").alias("unique_publishers_last_90m"),
@@ -84,7 +90,7 @@ def fraud_stage_merge(stage1: DataFrame, stage2: DataFrame) -> DataFrame:
     """Refine stage 1 with stage 2: stage-1-only cookies drop out (false positives),
     cookies in both take the stage-1 count, stage-2-only cookies are added."""
     s1 = stage1.select("cookie_id", F.col("conversion_count").alias("__s1"))
-    j = stage2.join(F.broadcast(s1), "cookie_id", "left")   # both sides <= 100 rows
+    j = stage2.join(s1, "cookie_id", "left")
     return j.select(
         "cookie_id",
         F.coalesce("__s1", "total_conversions_last_minute").alias("total_conversions_last_minute"),
@@ -110,8 +116,10 @@ def fraud_report(stage: DataFrame, conversions_col: str = "total_conversions_las
 
 def stage1_report(stage1: DataFrame) -> DataFrame:
     """Stage-1 rows judged on conversions only (publishers not known yet)."""
-    s = stage1.select("cookie_id", F.col("conversion_count").alias("total_conversions_last_minute"))
-    return fraud_report(s, publishers_col="__absent__")
+    s = stage1.select("cookie_id", F.col("conversion_count").alias("total_conversions_last_minute"),
+                      F.lit(None).cast("bigint").alias("unique_publishers_last_90m"),
+                      F.lit(None).cast("array<string>").alias("sample_publishers_90m"))
+    return fraud_report(s)
 
 
 def fraud_summary(report: DataFrame, server_rules: bool = False) -> DataFrame:

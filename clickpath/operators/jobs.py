@@ -19,7 +19,7 @@ from .rollup import WRITE_BATCH_ROWS, entity_metric, impression_rollup, scan_min
 from .series import entity_series_merge
 
 
-def rollup_minute(raw_impressions: DataFrame, minute, lake_path: str, buckets: int = 10) -> dict:
+def rollup_minute(raw_impressions: DataFrame, minute, lake_path: str) -> dict:
     """Roll up one minute of raw impressions, append it to the lake table and return
     the run statistics (raw rows read, groups written, write batches).
 
@@ -28,7 +28,7 @@ def rollup_minute(raw_impressions: DataFrame, minute, lake_path: str, buckets: i
     """
     from pyspark.sql import Observation
     obs = Observation("rollup_minute")
-    roll = impression_rollup(scan_minute_buckets(raw_impressions, minute, buckets))
+    roll = impression_rollup(scan_minute_buckets(raw_impressions, minute))
     roll = roll.observe(obs, F.count(F.lit(1)).alias("impressions_aggregated"),
                         F.coalesce(F.sum("impressions"), F.lit(0)).cast("bigint").alias("impressions_processed"))
     lake.append_facts(roll, lake_path, "timestamp", "publishers_id")

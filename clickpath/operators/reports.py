@@ -1,7 +1,8 @@
 """Report aggregations over the impression / conversion / attributed tables.
 
-Every report is a single declarative plan: filters on ``timestamp`` are
-literal-bounded so they reach the Parquet scan, aggregates combine map-side,
+Every report is a single declarative plan: the caller bounds the raw ``ts`` of its
+source (the minute is computed, a bound on it alone would not reach the Parquet
+scan), aggregates combine map-side,
 and the only joins are between already-aggregated frames (one row per
 publisher, or one row in total), never between raw facts.
 """
@@ -152,10 +153,10 @@ def traffic_class_counts(impressions: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("rows"), F.sum("impressions").cast("bigint").alias("impressions")))
 
 
-def cohort_distribution(impressions: DataFrame) -> DataFrame:
+def cohort_distribution(impressions: DataFrame, cohort_of=publisher_cohort) -> DataFrame:
     """Publishers per cohort."""
     pubs = impressions.select("publishers_id").distinct()
-    return pubs.groupBy(publisher_cohort("publishers_id").alias("cohort")).agg(
+    return pubs.groupBy(cohort_of("publishers_id").alias("cohort")).agg(
         F.count(F.lit(1)).alias("publishers"))
 
 

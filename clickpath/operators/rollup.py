@@ -18,19 +18,19 @@ ENTITY_ID = {"publishers": "publishers_id", "advertisers": "advertisers_id"}
 WRITE_BATCH_ROWS = 10_000   # fixed value: rows per write statement in the reference
 
 
-def scan_minute_buckets(raw: DataFrame, minute, buckets: int = 10) -> DataFrame:
-    """One minute of raw facts across salt buckets ``0..buckets-1``.
+def scan_minute_buckets(raw: DataFrame, minute) -> DataFrame:
+    """One minute of raw facts across all salt buckets, however many the writer used.
 
     One predicate instead of one read per bucket: on a table partitioned by
     (bucket_date, bucket) Catalyst prunes to exactly those partitions.
     """
     from ..functions.timecols import ntz
-    return raw.where((F.col("bucket_date") == ntz(minute)) & F.col("bucket").isin(list(range(buckets))))
+    return raw.where(F.col("bucket_date") == ntz(minute))
 
 
-def scan_minute_range(raw: DataFrame, start, end, buckets: int = 10) -> DataFrame:
+def scan_minute_range(raw: DataFrame, start, end) -> DataFrame:
     """All minutes in ``[start, end)`` across salt buckets (a backfill of the minute scan)."""
-    return raw.where(time_slice("bucket_date", start, end) & F.col("bucket").isin(list(range(buckets))))
+    return raw.where(time_slice("bucket_date", start, end))
 
 
 def impression_rollup(raw_impressions: DataFrame) -> DataFrame:

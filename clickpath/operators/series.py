@@ -130,11 +130,11 @@ def top_entities(entities: DataFrame, id_col: str, limit: int = 10) -> DataFrame
 def entity_sample(entities: DataFrame, id_col: str, limit: int = 10, seed: int = 42) -> DataFrame:
     """Random ``limit`` entities with their totals (the reference's shuffled pick).
 
-    Candidates are ``5 x limit`` rows; the shuffle is ``rand(seed)``, so the pick
-    is reproducible for a fixed seed and partitioning.
+    All entities are candidates, ordered by a hash of id and seed: the pick does not
+    depend on partitioning.
     """
-    t = entity_totals(entities, id_col).limit(5 * limit)
-    return t.orderBy(F.rand(seed)).limit(limit).select(
+    t = entity_totals(entities, id_col)
+    return t.orderBy(F.md5(F.concat(F.col(id_col), F.lit(f":{seed}")).cast("binary")), id_col).limit(limit).select(
         id_col, F.col(id_col).alias("name"), "total_impressions", "total_conversions")
 
 

@@ -9,12 +9,12 @@ from ..sources import adapters
 from .registry import AS_OF
 
 
-def impressions(spark: SparkSession, sf: str) -> DataFrame:
-    return adapters.impression_tracking(spark, sf)
+def impressions(spark: SparkSession, sf: str, start=None, end=None) -> DataFrame:
+    return adapters.impression_tracking(spark, sf, start, end)
 
 
-def conversions(spark: SparkSession, sf: str) -> DataFrame:
-    return adapters.conversion_tracking(spark, sf)
+def conversions(spark: SparkSession, sf: str, start=None, end=None) -> DataFrame:
+    return adapters.conversion_tracking(spark, sf, start, end)
 
 
 def attributed(spark: SparkSession, sf: str, lookback_seconds: int = 5400,

@@ -8,8 +8,9 @@ from ..functions.timecols import DAY
 from ..operators import cohorts as C
 from ..operators import reports as R
 from ..sources.tables import read_table
+from ..sources import adapters
 from . import domain
-from .registry import ADAPTER_SQL, AS_OF, attributed_sql, register, with_ctes
+from .registry import ADAPTER_SQL, AS_OF, attributed_sql, back, register, with_ctes
 
 A = f"TIMESTAMP '{AS_OF}'"
 COHORT_SQL = """CASE WHEN regexp_extract({p}, '^PID_([A-Z]+)_[0-9]+$', 1) <> ''
@@ -20,7 +21,7 @@ COHORT_SQL = """CASE WHEN regexp_extract({p}, '^PID_([A-Z]+)_[0-9]+$', 1) <> ''
 
 
 def _suspects(spark, sf):
-    return R.suspect_cookie_profile(domain.impressions(spark, sf), AS_OF, days=30)
+    return R.suspect_cookie_profile(domain.impressions(spark, sf, back(30 * 86400), AS_OF), AS_OF, days=30)
 
 
 @register("fraud_cohorts", with_ctes(ADAPTER_SQL) + f"""
@@ -40,7 +41,7 @@ SELECT cohort_key, count(*) AS suspects, CAST(sum(impressions) AS BIGINT) AS imp
        list_sort(list(cookie_id ORDER BY cookie_id)[1:10]) AS sample_cookies
 FROM pc GROUP BY cohort_key""")
 def q_fraud_cohorts(spark, sf):
-    return C.fraud_cohorts(domain.impressions(spark, sf), _suspects(spark, sf))
+    return C.fraud_cohorts(domain.impressions(spark, sf), _suspects(spark, sf), cohort_of=adapters.mapped_cohort)
 
 
 TOP_ADV_SQL = """
@@ -75,7 +76,7 @@ FROM (SELECT {COHORT_SQL.format(p='publishers_id')} AS cohort, publishers_id,
              CAST(sum(impressions) AS BIGINT) AS impressions
       FROM impression_tracking GROUP BY 1, 2)""")
 def q_cohort_traffic(spark, sf):
-    return C.cohort_traffic(domain.impressions(spark, sf))
+    return C.cohort_traffic(domain.impressions(spark, sf), adapters.mapped_cohort)
 
 
 @register("payouts", with_ctes(ADAPTER_SQL, attributed_sql("INTERVAL 24 HOUR")) + """

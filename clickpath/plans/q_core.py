@@ -19,14 +19,16 @@ SELECT bucket_date, ts, publishers_id, advertisers_id, cookie_id, impression_id
 FROM raw_impressions
 WHERE bucket_date >= TIMESTAMP '{WINDOW_START}' AND bucket_date < TIMESTAMP '{AS_OF}'""")
 def q_scan_minute_buckets(spark, sf):
-    raw = adapters.raw_impressions(spark, sf)
-    return (rollup.scan_minute_range(raw, WINDOW_START, AS_OF, buckets=adapters.SALT_BUCKETS)
+    raw = adapters.raw_impressions(spark, sf, WINDOW_START, AS_OF)
+    return (rollup.scan_minute_range(raw, WINDOW_START, AS_OF)
             .drop("bucket"))
 
 
-@register("salt_bucket")
+@register("salt_bucket", with_ctes(ADAPTER_SQL) + """
+SELECT CAST(CAST('0x' || substr(md5(publishers_id), 1, 8) AS BIGINT) % 10 AS SMALLINT) AS bucket, count(*) AS rows
+FROM raw_impressions GROUP BY 1""")
 def q_salt_bucket(spark, sf):
-    """Rows per write bucket (xxhash64 is not available to the oracle: rows-only)."""
+    """Rows per write bucket."""
     raw = adapters.raw_impressions(spark, sf)
     return raw.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"))
 

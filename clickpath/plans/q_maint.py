@@ -9,16 +9,19 @@ from ..sources import adapters
 from ..sources import lake as L
 from ..sources.tables import TABLES, read_table
 from . import domain
-from .registry import ADAPTER_SQL, AS_OF, register, with_ctes
+from .registry import ADAPTER_SQL, AS_OF, back, register, with_ctes
 
 A = f"TIMESTAMP '{AS_OF}'"
 UPSERT_CUT = "2024-01-20 00:00:00"
 UPSERT_FROM = "2024-01-18 00:00:00"
 
 
-@register("lake_layout")
+@register("lake_layout", with_ctes(ADAPTER_SQL) + """
+SELECT *, CAST(strftime(timestamp, '%Y%m%d%H') AS INTEGER) AS hour_key,
+       CAST(CAST('0x' || substr(md5(publishers_id), 1, 8) AS BIGINT) % 5 AS SMALLINT) AS id_bucket
+FROM impression_tracking""")
 def q_lake_layout(spark, sf):
-    """Impression rows with their hour / id-bucket partition values (xxhash: rows-only)."""
+    """Impression rows with their hour / id-bucket partition values."""
     return L.lake_layout(domain.impressions(spark, sf), "timestamp", "publishers_id")
 
 
@@ -26,8 +29,9 @@ def q_lake_layout(spark, sf):
 SELECT *, CAST(strftime(timestamp, '%Y%m%d%H') AS INTEGER) AS hour_key FROM impression_tracking
 WHERE timestamp >= TIMESTAMP '2024-01-10 06:30:00' AND timestamp < TIMESTAMP '2024-01-12 18:00:00'""")
 def q_scan_lake_table(spark, sf):
-    laid = domain.impressions(spark, sf).withColumn("hour_key", L.hour_key("timestamp"))
-    return laid.where(L.hour_prune("timestamp", "2024-01-10 06:30:00", "2024-01-12 18:00:00"))
+    start, end = "2024-01-10 06:30:00", "2024-01-12 18:00:00"
+    laid = domain.impressions(spark, sf, start, end).withColumn("hour_key", L.hour_key("timestamp"))
+    return laid.where(L.hour_prune("timestamp", start, end))
 
 
 @register("upsert_by_key", with_ctes(ADAPTER_SQL) + """
@@ -56,13 +60,13 @@ def q_kv_upsert(spark, sf):
 @register("ttl_filter", with_ctes(ADAPTER_SQL) + f"""
 SELECT * FROM impression_tracking WHERE timestamp > {A} - INTERVAL 21600 SECOND""")
 def q_ttl(spark, sf):
-    return L.ttl_filter(domain.impressions(spark, sf), "timestamp", 21600, AS_OF)
+    return L.ttl_filter(domain.impressions(spark, sf, back(21600)), "timestamp", 21600, AS_OF)
 
 
 @register("retention_purge", with_ctes(ADAPTER_SQL) + f"""
 SELECT * FROM conversion_tracking WHERE timestamp >= {A} - INTERVAL 24 HOUR""")
 def q_retention(spark, sf):
-    return L.retention_purge(domain.conversions(spark, sf), "timestamp", AS_OF)
+    return L.retention_purge(domain.conversions(spark, sf, back(86400)), "timestamp", AS_OF)
 
 
 @register("purge_report", with_ctes(ADAPTER_SQL) + f"""

@@ -10,7 +10,7 @@ from ..operators import reports as R
 from ..operators import timeline as TL
 from ..sources import adapters
 from . import domain
-from .registry import ADAPTER_SQL, AS_OF, attributed_sql, register, with_ctes
+from .registry import ADAPTER_SQL, AS_OF, attributed_sql, back, register, with_ctes
 
 A = f"TIMESTAMP '{AS_OF}'"
 
@@ -29,7 +29,7 @@ FROM (SELECT CAST(sum(impressions) AS BIGINT) AS total_impressions FROM impressi
 CROSS JOIN (SELECT count(*) AS total_conversions FROM conversion_tracking
             WHERE {_since('timestamp', '90 MINUTE')}) c""")
 def q_rate_window(spark, sf):
-    return R.conversion_rate_window(domain.impressions(spark, sf), domain.conversions(spark, sf), AS_OF, 90)
+    return R.conversion_rate_window(domain.impressions(spark, sf, back(90 * MINUTE), AS_OF), domain.conversions(spark, sf, back(90 * MINUTE), AS_OF), AS_OF, 90)
 
 
 def _rate_sql(w):
@@ -45,7 +45,7 @@ CROSS JOIN (SELECT count(*) AS n FROM conversion_tracking WHERE {_since('timesta
 @register("conversion_rate_windows", with_ctes(ADAPTER_SQL) + "\nUNION ALL".join(
     _rate_sql(w) for w in R.RATE_WINDOWS))
 def q_rate_windows(spark, sf):
-    return R.conversion_rate_windows(domain.impressions(spark, sf), domain.conversions(spark, sf), AS_OF)
+    return R.conversion_rate_windows(domain.impressions(spark, sf, back(180 * MINUTE), AS_OF), domain.conversions(spark, sf, back(180 * MINUTE), AS_OF), AS_OF)
 
 
 @register("top_publishers", with_ctes(ADAPTER_SQL) + f"""
@@ -54,7 +54,7 @@ SELECT publishers_id, CAST(sum(impressions) AS BIGINT) AS total_impressions,
 FROM impression_tracking WHERE {_since('timestamp', '1 DAY')}
 GROUP BY publishers_id ORDER BY total_impressions DESC, publishers_id LIMIT 10""")
 def q_top_publishers(spark, sf):
-    return R.top_publishers(domain.impressions(spark, sf), AS_OF)
+    return R.top_publishers(domain.impressions(spark, sf, back(DAY), AS_OF), AS_OF)
 
 
 @register("top_publishers_reach", with_ctes(ADAPTER_SQL) + f"""
@@ -63,13 +63,13 @@ SELECT publishers_id, CAST(sum(impressions) AS BIGINT) AS total_impressions,
 FROM impression_tracking WHERE {_since('timestamp', '1 DAY')}
 GROUP BY publishers_id ORDER BY total_impressions DESC, publishers_id LIMIT 10""")
 def q_top_publishers_reach(spark, sf):
-    return R.top_publishers(domain.impressions(spark, sf), AS_OF, distinct_of="cookie_id")
+    return R.top_publishers(domain.impressions(spark, sf, back(DAY), AS_OF), AS_OF, distinct_of="cookie_id")
 
 
 @register("approx_reach")
 def q_approx_reach(spark, sf):
     """HyperLogLog estimate: rows-only check (DuckDB's sketch differs)."""
-    return R.approx_reach(domain.impressions(spark, sf), AS_OF)
+    return R.approx_reach(domain.impressions(spark, sf, back(7 * DAY), AS_OF), AS_OF)
 
 
 @register("advertiser_daily", with_ctes(ADAPTER_SQL) + f"""
@@ -77,7 +77,7 @@ SELECT advertisers_id, CAST(date_trunc('day', timestamp) AS DATE) AS date,
        CAST(sum(impressions) AS BIGINT) AS daily_impressions, count(DISTINCT cookie_id) AS unique_users
 FROM impression_tracking WHERE {_since('timestamp', '7 DAY')} GROUP BY 1, 2""")
 def q_advertiser_daily(spark, sf):
-    return R.entity_daily(domain.impressions(spark, sf), "advertisers_id", AS_OF, 7)
+    return R.entity_daily(domain.impressions(spark, sf, back(7 * DAY), AS_OF), "advertisers_id", AS_OF, 7)
 
 
 @register("publisher_daily", with_ctes(ADAPTER_SQL) + f"""
@@ -85,7 +85,7 @@ SELECT publishers_id, CAST(date_trunc('day', timestamp) AS DATE) AS date,
        CAST(sum(impressions) AS BIGINT) AS daily_impressions
 FROM impression_tracking WHERE {_since('timestamp', '30 DAY')} GROUP BY 1, 2""")
 def q_publisher_daily(spark, sf):
-    return R.entity_daily(domain.impressions(spark, sf), "publishers_id", AS_OF, 30, with_reach=False)
+    return R.entity_daily(domain.impressions(spark, sf, back(30 * DAY), AS_OF), "publishers_id", AS_OF, 30, with_reach=False)
 
 
 BASELINE_SQL = f"""
@@ -99,7 +99,7 @@ baseline AS (
 
 @register("historical_publisher_baseline", with_ctes(ADAPTER_SQL, BASELINE_SQL) + "\nSELECT * FROM baseline")
 def q_baseline(spark, sf):
-    return R.historical_publisher_baseline(domain.impressions(spark, sf), AS_OF)
+    return R.historical_publisher_baseline(domain.impressions(spark, sf, back(7 * DAY), AS_OF), AS_OF)
 
 
 @register("realtime_vs_history", with_ctes(ADAPTER_SQL, BASELINE_SQL) + f"""
@@ -109,7 +109,7 @@ FROM (SELECT publishers_id, count(*) AS recent_impressions FROM raw_impressions
       WHERE bucket_date >= {A} - INTERVAL 60 MINUTE GROUP BY publishers_id) r
 JOIN baseline b ON r.publishers_id = b.publishers_id""")
 def q_realtime_vs_history(spark, sf):
-    return R.realtime_vs_history(adapters.raw_impressions(spark, sf), domain.impressions(spark, sf), AS_OF,
+    return R.realtime_vs_history(adapters.raw_impressions(spark, sf, back(60 * MINUTE)), domain.impressions(spark, sf, back(7 * DAY), AS_OF), AS_OF,
                                  recent_seconds=60 * MINUTE)
 
 
@@ -123,14 +123,14 @@ GROUP BY cookie_id HAVING count(DISTINCT publishers_id) > 10"""
 
 @register("suspect_cookie_profile", with_ctes(ADAPTER_SQL) + SUSPECT_SQL)
 def q_suspect(spark, sf):
-    return R.suspect_cookie_profile(domain.impressions(spark, sf), AS_OF)
+    return R.suspect_cookie_profile(domain.impressions(spark, sf, back(7 * DAY), AS_OF), AS_OF)
 
 
 @register("having", with_ctes(ADAPTER_SQL) + f"""
 SELECT cookie_id, count(*) AS rows FROM impression_tracking WHERE {_since('timestamp', '7 DAY')}
 GROUP BY cookie_id HAVING count(*) >= 5""")
 def q_having(spark, sf):
-    imp = domain.impressions(spark, sf).where(time_slice("timestamp", "2024-01-24 00:00:00", AS_OF))
+    imp = domain.impressions(spark, sf, back(7 * DAY), AS_OF)
     return imp.groupBy("cookie_id").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") >= 5)
 
 
@@ -170,7 +170,7 @@ SELECT CASE WHEN regexp_extract(publishers_id, '^PID_([A-Z]+)_[0-9]+$', 1) <> ''
        count(*) AS publishers
 FROM (SELECT DISTINCT publishers_id FROM impression_tracking) GROUP BY 1""")
 def q_cohort_distribution(spark, sf):
-    return R.cohort_distribution(domain.impressions(spark, sf))
+    return R.cohort_distribution(domain.impressions(spark, sf), adapters.mapped_cohort)
 
 
 @register("publish_stats", with_ctes(ADAPTER_SQL, attributed_sql()) + """
@@ -201,7 +201,7 @@ CROSS JOIN
  (SELECT count(*) AS conversions, count(DISTINCT advertisers_id) AS active_advertisers
   FROM conversion_tracking WHERE timestamp = {A} - INTERVAL 1 MINUTE) c""")
 def q_overview(spark, sf):
-    return R.overview_counts(domain.impressions(spark, sf), domain.conversions(spark, sf), AS_OF)
+    return R.overview_counts(domain.impressions(spark, sf, back(DAY), AS_OF), domain.conversions(spark, sf, back(MINUTE), AS_OF), AS_OF)
 
 
 @register("cookie_window_stats", with_ctes(ADAPTER_SQL) + f"""
@@ -217,8 +217,8 @@ def q_cookie_window_stats(spark, sf):
 SELECT * FROM impression_tracking
 WHERE timestamp >= TIMESTAMP '2024-01-08 00:00:00' AND timestamp < TIMESTAMP '2024-01-15 00:00:00'""")
 def q_time_slice(spark, sf):
-    return domain.impressions(spark, sf).where(time_slice("timestamp", "2024-01-08 00:00:00",
-                                                          "2024-01-15 00:00:00"))
+    start, end = "2024-01-08 00:00:00", "2024-01-15 00:00:00"
+    return domain.impressions(spark, sf, start, end).where(time_slice("timestamp", start, end))
 
 
 @register("cookie_in_list", with_ctes(ADAPTER_SQL) + f"""
@@ -227,7 +227,7 @@ WHERE cookie_id IN (SELECT cookie_id FROM raw_conversions
                     WHERE bucket_date >= {A} - INTERVAL 1 DAY AND bucket_date < {A}
                     GROUP BY cookie_id ORDER BY count(*) DESC, cookie_id LIMIT 100)""")
 def q_cookie_in_list(spark, sf):
-    top = FR.fraud_stage1(adapters.raw_conversions(spark, sf), AS_OF, window_seconds=DAY)
+    top = FR.fraud_stage1(adapters.raw_conversions(spark, sf, back(DAY), AS_OF), AS_OF, window_seconds=DAY)
     return FR._cookie_filter(domain.conversions(spark, sf), top)
 
 

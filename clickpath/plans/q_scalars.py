@@ -82,5 +82,5 @@ FROM impression_tracking WHERE advertisers_id IS NOT NULL
 GROUP BY advertisers_id, timestamp""")
 def q_entity_metric(spark, sf):
     """The generic (entity, metric) aggregate for one day of minutes."""
-    return rollup.entity_metric(domain.impressions(spark, sf), "advertisers", "impressions",
-                                "2024-01-15 00:00:00", "2024-01-16 00:00:00")
+    return rollup.entity_metric(domain.impressions(spark, sf, "2024-01-15 00:00:00", "2024-01-16 00:00:00"),
+                                "advertisers", "impressions", "2024-01-15 00:00:00", "2024-01-16 00:00:00")

@@ -11,6 +11,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.timecols import shift
+
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, QueryFn] = {}
@@ -21,6 +23,11 @@ AS_OF = "2024-01-31 00:00:00"           # end of the supplied event month
 WINDOW_START = "2024-01-01 00:00:00"
 
 
+def back(seconds: int) -> str:
+    """``AS_OF`` less some seconds, as a literal bound."""
+    return shift(AS_OF, -seconds)
+
+
 def register(name: str, sql: str | None = None):
     def deco(fn: QueryFn) -> QueryFn:
         if name in QUERIES:

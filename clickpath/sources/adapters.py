@@ -19,8 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.ids import salt_bucket
-from ..functions.timecols import DAY, minute_of, trunc_to
+from ..functions.ids import COHORTS, publisher_cohort, salt_bucket
+from ..functions.timecols import DAY, minute_of, time_slice, trunc_to
 from .tables import read_table
 
 IMPRESSION_TYPES = ("view", "click")
@@ -34,9 +34,14 @@ def _padded(prefix: str, value) -> F.Column:
     return F.concat(F.lit(prefix), F.lpad(value.cast("string"), 3, "0"))
 
 
-def keyed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events with the domain keys attached (only the columns the domain uses)."""
-    ev = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "props"])
+def keyed_events(spark: SparkSession, sf_dir: str, start=None, end=None) -> DataFrame:
+    """events with the domain keys attached (only the columns the domain uses).
+
+    ``[start, end)`` is put on the raw ``ts``: a bound on the minute, which is computed
+    from date parts, would not reach the Parquet scan.  For bounds on whole minutes
+    the two say the same."""
+    ev = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "props"],
+                    where=time_slice("ts", start, end))
     k = F.get_json_object("props", "$.k").cast("int")
     return ev.select(
         "event_id", "ts", "event_type",
@@ -47,8 +52,8 @@ def keyed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _raw(spark, sf_dir, types, id_name, bucket_key) -> DataFrame:
-    ev = keyed_events(spark, sf_dir).where(F.col("event_type").isin(*types))
+def _raw(spark, sf_dir, types, id_name, bucket_key, start, end) -> DataFrame:
+    ev = keyed_events(spark, sf_dir, start, end).where(F.col("event_type").isin(*types))
     return ev.select(
         minute_of("ts").alias("bucket_date"),
         salt_bucket(F.col(bucket_key), SALT_BUCKETS).alias("bucket"),
@@ -58,26 +63,35 @@ def _raw(spark, sf_dir, types, id_name, bucket_key) -> DataFrame:
     )
 
 
-def raw_impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def mapped_cohort(publisher) -> F.Column:
+    """Cohort of a publisher of this mapping, whose ids carry none: the number in the id
+    chooses one.  Embedded cohorts win."""
+    p = F.col(publisher) if isinstance(publisher, str) else publisher
+    number = F.regexp_extract(p, r"([0-9]+)$", 1)
+    chosen = F.element_at(F.array(*[F.lit(c) for c in COHORTS]), (F.pmod(number.cast("bigint"), F.lit(len(COHORTS))) + 1).cast("int"))
+    return F.coalesce(publisher_cohort(p, None), F.when(number != "", chosen))
+
+
+def raw_impressions(spark: SparkSession, sf_dir: str, start=None, end=None) -> DataFrame:
     """impressions_by_minute: one row per impression; salt bucket from the publisher."""
-    return _raw(spark, sf_dir, IMPRESSION_TYPES, "impression_id", "publishers_id")
+    return _raw(spark, sf_dir, IMPRESSION_TYPES, "impression_id", "publishers_id", start, end)
 
 
-def raw_conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_conversions(spark: SparkSession, sf_dir: str, start=None, end=None) -> DataFrame:
     """conversions_by_minute: one row per conversion; salt bucket from the advertiser."""
-    return _raw(spark, sf_dir, CONVERSION_TYPES, "conversion_id", "advertisers_id")
+    return _raw(spark, sf_dir, CONVERSION_TYPES, "conversion_id", "advertisers_id", start, end)
 
 
-def impression_tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
+def impression_tracking(spark: SparkSession, sf_dir: str, start=None, end=None) -> DataFrame:
     """Lake impression table: minute rollup of the raw impressions."""
     from ..operators.rollup import impression_rollup
-    return impression_rollup(raw_impressions(spark, sf_dir))
+    return impression_rollup(raw_impressions(spark, sf_dir, start, end))
 
 
-def conversion_tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
+def conversion_tracking(spark: SparkSession, sf_dir: str, start=None, end=None) -> DataFrame:
     """Lake conversion table: raw conversions mapped 1:1 (advertiser, minute, cookie)."""
     from ..operators.rollup import conversion_facts
-    return conversion_facts(raw_conversions(spark, sf_dir))
+    return conversion_facts(raw_conversions(spark, sf_dir, start, end))
 
 
 # --- volume mapping (day grain) -------------------------------------------------------------
@@ -91,7 +105,7 @@ def volume_impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     plans a shuffle (sort-merge) join, or a broadcast when AQE measures a
     small side at runtime.
     """
-    li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_suppkey", "l_shipdate"], spread_rows=True)
+    li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_suppkey", "l_shipdate"])
     od = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey"])
     j = li.join(od, li.l_orderkey == od.o_orderkey)
     facts = j.select(

@@ -19,7 +19,6 @@ from ..functions.ids import salt_bucket
 from ..functions.timecols import HOUR, add_seconds, ntz, shift, time_slice
 
 LAKE_BUCKETS = 5          # fixed value: id buckets of the lake layout
-WRITE_BATCH_ROWS = 10_000  # fixed value: rows per write batch (files are capped at this many rows)
 RETENTION_HOURS = 24      # fixed value: lake retention
 
 
@@ -35,13 +34,13 @@ def lake_layout(df: DataFrame, ts_col: str, id_col: str, buckets: int = LAKE_BUC
 
 def write_lake_table(df: DataFrame, path: str, ts_col: str, id_col: str, mode: str = "append",
                      buckets: int = LAKE_BUCKETS) -> None:
-    """Partitioned write (hour_key / id_bucket directories), files capped at 10 000 rows.
+    """Partitioned write (hour_key / id_bucket directories), rebalanced by the partition columns.
 
-    Rows are clustered by the partition columns first so each task writes few files.
+    Rebalancing clusters rows so that a directory gets few files, and lets AQE split
+    an hour and bucket that is too large for one task.
     """
     laid = lake_layout(df, ts_col, id_col, buckets)
-    (laid.repartition("hour_key", "id_bucket")
-     .write.mode(mode).option("maxRecordsPerFile", WRITE_BATCH_ROWS)
+    (laid.hint("rebalance", F.col("hour_key"), F.col("id_bucket")).write.mode(mode)
      .partitionBy("hour_key", "id_bucket").parquet(path))
 
 
@@ -51,8 +50,8 @@ def append_facts(df: DataFrame, path: str, ts_col: str, id_col: str) -> None:
 
 def scan_lake_table(spark: SparkSession, path: str, ts_col: str, start=None, end=None) -> DataFrame:
     """Read a lake table with ``[start, end)`` on ``ts_col``; the matching hour
-    partitions are derived from the bounds so only those directories are listed."""
-    df = spark.read.parquet(path)
+    partitions are derived from the bounds, and only their files are read."""
+    df = spark.read.parquet(path)   # lists all directories, then prunes by hour_key
     return df.where(hour_prune(ts_col, start, end))
 
 
@@ -95,8 +94,7 @@ def write_version(spark: SparkSession, df: DataFrame, base: str, partition_by=No
     retry simply overwrites."""
     v = _versions(spark, base)
     path = os.path.join(base, f"v={(v[-1] + 1) if v else 0}")
-    w = (df.write.mode("overwrite").option("partitionOverwriteMode", "static")
-         .option("maxRecordsPerFile", WRITE_BATCH_ROWS))
+    w = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)

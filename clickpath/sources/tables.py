@@ -16,32 +16,8 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, columns=None, where=None,
-               spread_rows: bool = False) -> DataFrame:
-    """Column-pruned read; ``where`` is applied before any spreading so it still
-    reaches the Parquet scan; ``spread_rows`` for CPU-heavy per-row work."""
+def read_table(spark: SparkSession, sf_dir: str, name: str, columns=None, where=None) -> DataFrame:
+    """Column-pruned read; ``where`` reaches the Parquet scan."""
     df = spark.read.parquet(table_path(sf_dir, name))
     df = df.select(*columns) if columns else df
-    if where is not None:
-        df = df.where(where)
-    return spread(df) if spread_rows else df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin an under-split scan over the cluster's cores.
-
-    A Parquet file splits at row-group boundaries, so a small file written as
-    one row group becomes one task and every per-row expression (JSON fields,
-    id strings, regexes) runs on one core.  When the scan has fewer partitions
-    than ``defaultParallelism`` the rows are spread first; on large inputs the
-    scan already has thousands of splits and nothing is added.
-    It costs one shuffle of the scanned columns, so it is used only in front of
-    expensive per-row expressions.  ``clickpath.spread.enabled=false`` turns it off.
-    """
-    spark = df.sparkSession
-    if spark.conf.get("clickpath.spread.enabled", "true").lower() != "true":
-        return df
-    target = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    return df if where is None else df.where(where)

@@ -38,15 +38,18 @@ def _tracker_fn(window_seconds: int):
             state.remove()
             return
         known = np.array(state.get[0] if state.exists else [], dtype="int64")
-        outs = []
+        # all impressions of the batch first: a key may span Arrow batches in any order
+        held = []
         for pdf in pdfs:
             t = pdf["__us"].to_numpy(dtype="int64")       # epoch micros (same clock as the watermark)
             is_imp = pdf["event_type"].isin(list(IMPRESSION_TYPES)).to_numpy()
             is_conv = pdf["event_type"].isin(list(CONVERSION_TYPES)).to_numpy()
             known = np.union1d(known, t[is_imp])
-            conv = pdf[is_conv]
+            if is_conv.any():
+                held.append((t[is_conv], pdf.loc[is_conv, ["ts", "advertisers_id", "event_id"]]))
+        outs = []
+        for ct, conv in held:
             if len(conv):
-                ct = t[is_conv]
                 # first impression minute >= t - window; eligible if it is <= t
                 idx = np.searchsorted(known, ct - window_us, side="left")
                 ok = np.zeros(len(ct), dtype=bool)
@@ -57,8 +60,9 @@ def _tracker_fn(window_seconds: int):
                     "advertisers_id": conv["advertisers_id"].values,
                     "conversion_id": conv["event_id"].astype("string").values, "eligible": ok}))
         if len(known):
-            horizon = known.max() - window_us
-            known = known[known >= horizon]          # bounded: one look-back of minutes
+            # on-time conversions are not older than the watermark: one look-back before it is kept
+            horizon = min(int(known.max()), state.getCurrentWatermarkMs() * 1000) - window_us
+            known = known[known >= horizon]
             state.update((known.tolist(),))
             expire_ms = int((known.max() + window_us) // 1000) + 1
             state.setTimeoutTimestamp(max(expire_ms, state.getCurrentWatermarkMs() + 1))
