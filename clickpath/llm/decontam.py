@@ -274,7 +274,7 @@ def search(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col:
         if k:
             docs = docs.checkpoint(eager=False)
         schema = T.StructType([*docs.schema.fields, T.StructField(name, RESULT)])
-        docs = docs.mapInArrow(_worker(spark.sparkContext.broadcast(block), text_col), schema)
+        docs = docs.mapInArrow(_worker(spark.sparkContext.broadcast(block), text_col, name), schema)
         if k:
             a, b = F.col(out), F.col(name)
             merged = F.struct(a["n_words"].alias("n_words"),
@@ -297,7 +297,7 @@ def _union_spans(spans):
     return F.aggregate(F.array_sort(spans), F.array().cast(kind), step)
 
 
-def _worker(block, text_col: str):
+def _worker(block, text_col: str, name: str):
     def run(batches):
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text_col))
@@ -307,7 +307,7 @@ def _worker(block, text_col: str):
                         for n, f in zip(n_words, found)]
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(hits, _ARROW)],
-                                                 names=[*part.schema.names, "hits"])
+                                                 names=[*part.schema.names, name])
     return run
 
 
