@@ -16,7 +16,9 @@ per-source index permutations, and a join of blocks by index.
 4. Slot number s reads pass s // n_blocks, index s % n_blocks; a keyed Feistel
    permutation of the source's indices turns it into a block.  A pass takes a
    block once at most, so nothing is taken more than LIMIT times.
-5. Slots and blocks are joined by (source, block).
+5. Slots and blocks are joined by (source, block), by a shuffle of both: the
+   planner takes the slots for as few as the counts they come from and would
+   broadcast them.
 
 All draws are functions of the seed: reruns agree.  Sources are ordered by code
 point, null last.  Null texts have no words and are never taken.
@@ -195,7 +197,7 @@ def report(docs: DataFrame, seed: int = SEED) -> DataFrame:
     plan = targets(rows)
     packed, totals = pieces(rows, plan)
     times = draws(plan, totals, seed).groupBy("sidx", "block").agg(F.count("*").alias("times"))
-    taken = packed.join(times, ["sidx", "block"], "left")
+    taken = packed.join(times.hint("merge"), ["sidx", "block"], "left")
     return taken.groupBy("sidx", "chunk", "uid", "doc_id", "size", "source_size", "target").agg(
         F.sum(F.coalesce(F.col("len") * F.col("times"), F.lit(0))).alias("taken")).select(
         "doc_id", "size", "source_size", "target", "taken")
@@ -242,7 +244,7 @@ def mixed(docs: DataFrame, seed: int = SEED, id_col: str = "doc_id", text_col: s
     rows = sized(docs, id_col, text_col, source_col, key)
     plan = targets(rows)
     packed, totals = pieces(rows, plan)
-    picked = packed.join(draws(plan, totals, seed).select("sidx", "block", "pass"), ["sidx", "block"]).groupBy(
+    picked = packed.join(draws(plan, totals, seed).select("sidx", "block", "pass").hint("merge"), ["sidx", "block"]).groupBy(
         "sidx", "chunk", "uid", "doc_id", "h", "pass").agg(F.collect_list(F.struct("lo", "len")).alias("picks"))
     id_, h, p = (fresh(docs.columns, x) for x in ("pick_id", "pick_h", "picks"))
     picked = picked.select(F.col("doc_id").alias(id_), F.col("h").alias(h), F.col("picks").alias(p))
