@@ -11,15 +11,16 @@
    come in time order and are generated up to a horizon by which every signature
    component has met one; a text for which the horizon was too short is done
    again with twice the horizon, so the result doesn't depend on it.
-3. Bands of the signature give buckets.  Each member is compared with its
-   bucket's leader (never all pairs); the exact weighted Jaccard similarity of a
-   candidate pair decides.  A leader's group is cut into chunks of ``CHUNK``
-   members, so a huge group spreads over many tasks.
+3. Bands of the signature give buckets.  Each bucket has a leader, the member with
+   the most bucket neighbours (it is near the middle of its group), and all
+   members are compared with it, never with each other; the exact weighted Jaccard
+   similarity of a candidate pair decides.  A leader's group is cut into chunks of
+   ``CHUNK`` members, so a huge group spreads over many tasks.
 4. Links give classes by label propagation.  Buckets that still hold several
-   classes are not resolved: small ones compare all pairs of different classes,
-   large ones take more random leaders round by round, and after ``ROUNDS`` the
-   pairs of different classes that are left are all compared.  No candidate that
-   could join two classes is skipped.
+   classes are not resolved: for their members an exact prefix filter lists all
+   pairs of different classes that can be similar enough (texts share one of their
+   rarest shingles), and these are compared too.  So no link between two classes
+   that share a bucket is lost.
 
 Nothing but counts reaches the driver.  Intermediate tables are written to the
 shared folder of ``spark.checkpoint.dir``.
@@ -30,9 +31,8 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import bytesutil as B
 from .common import fresh, text_digest, written
@@ -41,8 +41,6 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 CHUNK = 64
-SMALL = 64
-ROUNDS = 5
 SLICE_BYTES = 4 << 20
 
 _Q = np.uint64(0x9FB21C651E98DF25)
@@ -215,21 +213,67 @@ def components(links: DataFrame) -> DataFrame:
 
 def _open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of the buckets that hold more than one class, with their class."""
-    known = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = known.groupBy("band", "key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).where("x <> y")
-    return known.join(mixed.select("band", "key", "n"), ["band", "key"])
-
-
-def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Distinct pairs (a < b) of different classes that share a bucket."""
-    l = left.select("band", "key", F.col("node").alias("x"), F.col("label").alias("lx"))
-    r = right.select("band", "key", F.col("node").alias("y"), F.col("label").alias("ly"))
-    return l.join(r, ["band", "key"]).where("x <> y and lx <> ly").select(
-        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS,
-            small: int = SMALL, rounds: int = ROUNDS) -> DataFrame:
+    known = members.select("band", "key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = known.groupBy("band", "key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
+    return known.join(mixed.select("band", "key"), ["band", "key"])
+
+
+def _elements(batches):
+    """(node, label, size, element), one row per shingle occurrence: the k-th
+    occurrence of a shingle is an element of its own, so the weighted similarity of
+    two texts is the plain Jaccard similarity of their elements."""
+    for batch in batches:
+        text = batch.column(batch.schema.get_field_index("text"))
+        for i, j in B.slices(text, SLICE_BYTES):
+            h, doc, _ = shingles(text.slice(i, j - i))
+            h, doc, count = multiset(h, doc)
+            which = np.repeat(np.arange(len(h)), count)
+            nth = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+            element = B.mix(h[which] + nth.astype(np.uint64) * _GOLD)
+            size = np.bincount(doc, count, j - i).astype(np.int64)
+            owner = pa.array(doc[which] + i, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(batch.schema.get_field_index("node")).take(owner), batch.column(batch.schema.get_field_index("label")).take(owner),
+                 pa.array(size[doc[which]]), pa.array(element.view(np.int64))],
+                names=["node", "label", "size", "element"])
+
+
+def rare_pairs(open_nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """All pairs (a < b) of different classes among ``open_nodes`` that can reach the
+    similarity, and few others.
+
+    Prefix filter: with the elements of every text in one order, rarest first, two
+    texts of similarity s or more share one of the first n - ceil(2 s n / (1 + s)) + 1
+    of the smaller and the first n - ceil(s n) + 1 of the larger; what their places
+    leave room for must suffice as well.
+    """
+    rows = written(open_nodes.join(texts, "node").select("node", "label", "text").mapInArrow(
+        _elements, "node binary, label binary, size long, element long"), "elements")
+    often = rows.groupBy("element").agg(F.count("*").alias("often"))
+    order = Window.partitionBy("node").orderBy("often", "element")
+    n = F.col("size")
+    long_prefix = n - F.ceil(n * SIMILARITY - 1e-9) + 1
+    short_prefix = n - F.ceil(n * (2 * SIMILARITY / (1 + SIMILARITY)) - 1e-9) + 1
+    first = rows.join(often.where("often > 1"), "element", "left").withColumn("often", F.coalesce("often", F.lit(1))).withColumn(
+        "nth", F.row_number().over(order)).withColumn("alone", F.sum(F.when(F.col("often") == 1, 1).otherwise(0)).over(
+        Window.partitionBy("node"))).where((F.col("nth") <= long_prefix) & (F.col("often") > 1)).withColumn(
+        "short", F.col("nth") <= short_prefix).drop("often")
+    mixed = first.groupBy("element").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("element")
+    first = written(first.join(mixed, "element"), "prefixes")
+    l = first.where("short").select("element", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("size").alias("nx"), F.col("nth").alias("ix"), F.col("alone").alias("ux"))
+    r = first.select("element", F.col("node").alias("y"), F.col("label").alias("ly"), F.col("size").alias("ny"), F.col("nth").alias("iy"), F.col("alone").alias("uy"))
+    least_common = (F.col("nx") + F.col("ny")) * (SIMILARITY / (1 + SIMILARITY)) - 1e-9
+    # before the shared place: common elements are none of those that occur once; after it: what is left
+    could = F.least(F.col("ix") - F.col("ux"), F.col("iy") - F.col("uy")) + F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy")) >= least_common
+    shared = l.join(r, "element").where("lx <> ly and (nx < ny or nx = ny and x < y)").where(
+        (F.col("nx") >= SIMILARITY * F.col("ny") - 1e-9) & could)
+    # all common elements up to the last shared one are among the shared ones
+    pairs = shared.groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("c"), F.max("ix").alias("ix"), F.max("iy").alias("iy"))
+    reach = F.col("c") + F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy")) >= least_common
+    return pairs.where(reach).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(node, id, class_id, keep_id, keep_node): one row per row of ``docs``.
 
     ``node`` is the digest of the text.  A class is a connected component of the
@@ -243,34 +287,24 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ban
     signed = base.mapInArrow(_signer(bands, rows), "node binary, id long, keys array<long>")
     nodes = written(signed.groupBy("node").agg(F.min("id").alias("id"), F.first("keys").alias("keys")), "nodes")
     entries = nodes.select("node", F.posexplode("keys").alias("band", "key"))
-    buckets = entries.groupBy("band", "key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
-    members = written(entries.join(buckets, ["band", "key"]).select("band", "key", "node", "a"), "members")
+    buckets = entries.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    members = written(entries.join(buckets, ["band", "key"]).select("band", "key", "node", "n"), "members")
+    # a node that shares large buckets is near the middle of its group: it leads
+    weight = members.groupBy("node").agg(F.sum("n").alias("weight"))
+    leaders = members.join(weight, "node").groupBy("band", "key").agg(F.max(F.struct("weight", "node"))["node"].alias("a"))
     needed = members.select("node").distinct().join(nodes.select("node", "id"), "node")
     texts = written(
         base.alias("d").join(needed.hint("shuffle_hash").alias("w"), (F.col("d.node") == F.col("w.node")) & F.col("d.id").eqNullSafe(F.col("w.id")))
         .select("d.node", "text").dropDuplicates(["node"]), "texts")
-    tested = written(members.where("node <> a").select("a", F.col("node").alias("b")).distinct(), "pairs")
+    tested = written(members.join(leaders, ["band", "key"]).where("node <> a").select("a", F.col("node").alias("b")).distinct(), "pairs")
     links = written(verified(tested, texts), "links")
     labels = components(links)
-    for turn in range(rounds + 1):
-        open_ = _open_buckets(members, labels)
-        last = turn == rounds
-        few = open_ if last else open_.where(F.col("n") <= small)
-        pairs = _pairs(few, few)
-        if not last:
-            many = open_.where(F.col("n") > small)
-            leaders = many.groupBy("band", "key").agg(F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(turn))).alias("s")).select(
-                "band", "key", "s.node", "s.label")
-            pairs = pairs.unionByName(_pairs(leaders, many)).distinct()
-        fresh_pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if not fresh_pairs.isEmpty():
-            found = written(verified(fresh_pairs, texts), "links")
-            tested = tested.unionByName(fresh_pairs)
-            if not found.isEmpty():
-                links = links.unionByName(found)
-                labels = components(links)
-        if _open_buckets(members, labels).where(F.col("n") > small).isEmpty():
-            break
+    open_nodes = written(_open_buckets(members, labels).select("node", "label").distinct(), "open")
+    if not open_nodes.isEmpty():
+        more = written(rare_pairs(open_nodes, texts).join(tested, ["a", "b"], "left_anti"), "pairs")
+        found = written(verified(more, texts), "links")
+        if not found.isEmpty():
+            labels = components(links.unionByName(found))
     # classes of nodes, then of rows
     node_class = nodes.select("node", "id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = node_class.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("s"))
