@@ -29,7 +29,7 @@ from . import bytesutil as B
 from .common import fresh
 
 WINDOW = 13
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 BLOCK_BYTES = 32 << 20
 SAMPLE = 16
 

@@ -27,7 +27,6 @@ point, null last.  Null texts have no words and are never taken.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,13 +41,14 @@ WEIGHTS = (3.0, 1.0, 2.0)
 RATIO, LIMIT = 1.5, 2
 SHARD_SLOTS = 1 << 14
 SEED = 20240131
+SLICE_BYTES = 4 << 20
 
 
 def _counter(text_col: str):
     def run(batches):
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text_col))
-            for i, j in B.slices(column, 16 << 20):
+            for i, j in B.slices(column, SLICE_BYTES):
                 data, offs = B.buffers(column.slice(i, j - i))
                 s, _ = B.spans(data, offs, B.SPACED)
                 part = batch.slice(i, j - i)
@@ -128,26 +128,29 @@ def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
 
 
 def _shards(seed: int):
-    def run(frames):
-        for pdf in frames:
-            for r in pdf.itertuples():
-                shard, count = _binomial_split(r.sidx, r.slots, r.shards, seed)
-                yield pd.DataFrame({"sidx": r.sidx, "n_blocks": r.n_blocks, "shard": shard, "n": count,
-                                    "at": np.cumsum(count) - count})
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                shard, count = _binomial_split(r["sidx"], r["slots"], r["shards"], seed)
+                yield pa.RecordBatch.from_pydict({
+                    "sidx": np.full(len(shard), r["sidx"], np.int32), "n_blocks": np.full(len(shard), r["n_blocks"], np.int64),
+                    "shard": shard, "n": count, "at": np.cumsum(count) - count})
     return run
 
 
 def _slots(seed: int):
-    def run(frames):
-        for pdf in frames:
-            for r in pdf.itertuples():
-                slot = np.arange(r.at, r.at + r.n)
-                pass_, index = slot // r.n_blocks, slot % r.n_blocks
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                slot = np.arange(r["at"], r["at"] + r["n"])
+                pass_, index = slot // r["n_blocks"], slot % r["n_blocks"]
                 block = np.empty(len(slot), np.int64)
                 for p in np.unique(pass_):
                     mine = pass_ == p
-                    block[mine] = permuted(index[mine], r.n_blocks, hash_key(seed, r.sidx, int(p)))
-                yield pd.DataFrame({"sidx": r.sidx, "block": block, "pass": pass_.astype(np.int32), "shard": r.shard, "slot": slot})
+                    block[mine] = permuted(index[mine], r["n_blocks"], hash_key(seed, r["sidx"], int(p)))
+                yield pa.RecordBatch.from_pydict({
+                    "sidx": np.full(len(slot), r["sidx"], np.int32), "block": block, "pass": pass_.astype(np.int32),
+                    "shard": np.full(len(slot), r["shard"], np.int64), "slot": slot})
     return run
 
 
@@ -187,8 +190,8 @@ def draws(plan: DataFrame, totals: DataFrame, seed: int = SEED, shard_slots: int
     everything = counted.agg(F.sum("slots").alias("all"))
     shards = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("all") / shard_slots, F.lit(1.0))))).cast("long")
     wanted = counted.join(F.broadcast(everything)).select("sidx", "n_blocks", "slots", shards.alias("shards"))
-    dealt = wanted.mapInPandas(_shards(seed), "sidx int, n_blocks long, shard long, n long, at long")
-    return dealt.repartition("sidx", "shard").mapInPandas(_slots(seed), "sidx int, block long, pass int, shard long, slot long")
+    dealt = wanted.mapInArrow(_shards(seed), "sidx int, n_blocks long, shard long, n long, at long")
+    return dealt.repartition("sidx", "shard").mapInArrow(_slots(seed), "sidx int, block long, pass int, shard long, slot long")
 
 
 def report(docs: DataFrame, seed: int = SEED) -> DataFrame:
@@ -209,7 +212,7 @@ def _cutter(text_col: str, picks: str):
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
             spans_of = batch.column(batch.schema.get_field_index(picks))
-            for i, j in B.slices(batch.column(at), 16 << 20):
+            for i, j in B.slices(batch.column(at), SLICE_BYTES):
                 data, offs = B.buffers(batch.column(at).slice(i, j - i))
                 s, e = B.spans(data, offs, B.SPACED)
                 rows = B.row_of(s, offs)

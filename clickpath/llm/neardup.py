@@ -29,7 +29,6 @@ shared folder of ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,7 +40,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 CHUNK = 64
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 _Q = np.uint64(0x9FB21C651E98DF25)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -165,19 +164,18 @@ def _signer(bands: int, rows: int):
     return run
 
 
-def _verify(pdf: pd.DataFrame) -> pd.DataFrame:
+def _verify(rows: pa.Table) -> pa.Table:
     """Members of one chunk of a leader's group against the leader."""
-    h, doc, _ = shingles(pa.array(pdf["text"], pa.string()))
+    h, doc, _ = shingles(rows["text"])
     h, doc, count = multiset(h, doc)
     order = np.lexsort((h, doc))
     h, doc, count = h[order], doc[order], count[order]
-    cut = np.searchsorted(doc, np.arange(len(pdf) + 1))
+    cut = np.searchsorted(doc, np.arange(len(rows) + 1))
     bag = [(h[a:b], count[a:b]) for a, b in zip(cut[:-1], cut[1:])]
-    lead = next((k for k, x in enumerate(pdf["leads"]) if x), None)
-    rows = [] if lead is None else [
-        (pdf["a"].iat[k], pdf["node"].iat[k], s) for k in range(len(pdf))
-        if k != lead and (s := similarity(bag[lead], bag[k])) >= SIMILARITY]
-    return pd.DataFrame(rows, columns=["a", "b", "similarity"])
+    lead = next((k for k, x in enumerate(rows["leads"].to_pylist()) if x), None)
+    score = [0.0 if lead in (None, k) else similarity(bag[lead], bag[k]) for k in range(len(rows))]
+    near = pa.array(np.flatnonzero(np.array(score) >= SIMILARITY))
+    return pa.table({"a": rows["a"].take(near), "b": rows["node"].take(near), "similarity": pa.array(score, pa.float64()).take(near)})
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -188,7 +186,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     wanted = chunked.select("a", "chunk", F.col("b").alias("node"), F.lit(False).alias("leads")).unionByName(
         chunked.select("a", "chunk", F.col("a").alias("node"), F.lit(True).alias("leads")).distinct())
     return (wanted.join(texts, "node").groupBy("a", "chunk")
-            .applyInPandas(_verify, "a binary, b binary, similarity double"))
+            .applyInArrow(_verify, "a binary, b binary, similarity double"))
 
 
 def components(links: DataFrame) -> DataFrame:
