@@ -90,10 +90,10 @@ def q_publisher_daily(spark, sf):
 
 BASELINE_SQL = f"""
 baseline AS (
-  SELECT publishers_id, AVG(CAST(impressions AS DOUBLE)) AS avg_impressions,
-         CAST(count(*) AS DOUBLE) * 100.0 / AVG(CAST(impressions AS DOUBLE)) AS avg_conversion_rate
-  FROM impression_tracking WHERE {_since('timestamp', '7 DAY')}
-  GROUP BY publishers_id HAVING AVG(CAST(impressions AS DOUBLE)) > 0
+  SELECT publishers_id, mean AS avg_impressions, n * 100.0 / mean AS avg_conversion_rate
+  FROM (SELECT publishers_id, avg(impressions) AS mean, CAST(count(*) AS DOUBLE) AS n
+        FROM impression_tracking WHERE {_since('timestamp', '7 DAY')} GROUP BY publishers_id)
+  WHERE mean > 0
 )"""
 
 

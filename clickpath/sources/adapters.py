@@ -141,20 +141,18 @@ def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     cookie = F.concat(F.lit("CID_"), F.col("user_id").cast("string"))
     minute_txt = F.date_format(minute_of("ts"), "yyyy-MM-dd HH:mm:ss")
     et = F.col("event_type")
-    text = (F.when(et == "view", F.concat(
-                F.lit("SELECT impressions, last_updated FROM publishers WHERE publisher_id = '"), pub, F.lit("'")))
-            .when(et == "click", F.concat(
-                F.lit("SELECT publishers_id, timestamp, impressions FROM impression_tracking WHERE cookie_id = '"),
-                cookie, F.lit("' AND timestamp >= TIMESTAMP '"), minute_txt, F.lit("'")))
-            .when(et == "purchase", F.concat(
-                F.lit("SELECT advertisers_id, COUNT(*) as total_conversions FROM conversion_tracking "
-                      "WHERE timestamp = TIMESTAMP '"), minute_txt,
-                F.lit("' AND advertisers_id IS NOT NULL GROUP BY advertisers_id")))
-            .when(et == "signup", F.lit("UPDATE advertisers SET conversions = ?, last_updated = ? "
-                                        "WHERE advertiser_id = ?"))
-            .otherwise(F.concat(
-                F.lit("SELECT cookie_id FROM conversions_identified WHERE cookie_id IN ('"), cookie,
-                F.lit("', 'CID_0') AND publishers_id BETWEEN '"), pub, F.lit("' AND 'PID_999'"))))
+    text = (F.when((et == "view") & (k % 2 == 0),
+                   F.format_string("SELECT points FROM series_store WHERE entity = '%s' AND kind = 7", pub))
+            .when(et == "view", F.format_string("SELECT points FROM series_store WHERE slot = %d LIMIT 90", k))
+            .when(et == "click", F.format_string(
+                "SELECT sum(hits) FROM minute_facts WHERE visitor = '%s' AND at_minute >= TIMESTAMP '%s'", cookie, minute_txt))
+            .when(et == "purchase", F.format_string(
+                "SELECT brand, count(1) AS n FROM sales WHERE at_minute = TIMESTAMP '%s' AND brand <> '' GROUP BY brand",
+                minute_txt))
+            .when(et == "signup", F.lit("MERGE INTO series_store USING new_points ON entity = ? AND slot = ?"))
+            .otherwise(F.format_string(
+                "SELECT visitor FROM matched_sales WHERE visitor IN ('%s', 'CID_0') AND entity BETWEEN '%s' AND 'PID_999'",
+                cookie, pub)))
     hcd = et.isin("view", "signup")
     ms = F.col("value") * F.lit(40.0)
     return ev.select(
