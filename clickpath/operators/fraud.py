@@ -8,8 +8,9 @@ Scale notes: the only full-size work is one aggregate over the conversions and
 one scan of the attributed table.  Joins carry no broadcast hints: with ``limit``
 the planner sees the small side by itself, and ``limit=None`` stays safe.
 Distinct publishers per cookie are found with a (cookie, publisher) group-by
-(map-side combine, so a hot cookie ships one row per publisher per task) and
-the sample is a partial top-10 per cookie, so no cookie's rows are collected.
+(map-side combine, so a hot cookie ships one row per publisher per task); count and
+sample come from one row number over them.  ``fraud_two_stage`` runs both stages
+with one read of every input.
 """
 
 from __future__ import annotations
@@ -67,23 +68,54 @@ def fraud_stage2(raw_conversions: DataFrame, attributed: DataFrame, as_of, cooki
     recent = _cookie_filter(raw_conversions.where(_window("bucket_date", as_of, short_window)), cookies)
     top = _top(recent.groupBy("cookie_id").agg(F.count(F.lit(1)).alias("total_conversions_last_minute"))
                .where(F.col("total_conversions_last_minute") >= min_conversions), "total_conversions_last_minute", limit)
-    ident = _cookie_filter(
-        attributed.where(_window("conversion_timestamp", as_of, long_window)), cookies
-    ).select("cookie_id", "publishers_id").where(F.col("publishers_id").isNotNull())
-    # the planner broadcasts the top cookies when their estimate is small
-    ident = ident.join(top.select("cookie_id"), "cookie_id", "left_semi")
-    pairs = ident.select("cookie_id", "publishers_id").distinct()
-    per = pairs.groupBy("cookie_id").agg(F.count(F.lit(1)).alias("unique_publishers_last_90m"))
+    ident = attributed.where(_window("conversion_timestamp", as_of, long_window)).join(
+        top.select("cookie_id"), "cookie_id", "left_semi")
+    out = top.join(_sources(ident, sample_size), "cookie_id", "left")
+    return out.select("cookie_id", "total_conversions_last_minute", *_source_columns())
+
+
+def _sources(attributed: DataFrame, sample_size: int) -> DataFrame:
+    """cookie_id, number of distinct publishers, the first ``sample_size`` of them sorted.
+
+    One aggregate per (cookie, publisher); the row number in publisher order gives
+    the count (its maximum) and the sample (its first values) in one pass."""
+    pairs = attributed.where(F.col("publishers_id").isNotNull()).select("cookie_id", "publishers_id").distinct()
     rn = F.row_number().over(Window.partitionBy("cookie_id").orderBy("publishers_id"))
-    sample = (pairs.withColumn("__rn", rn).where(F.col("__rn") <= sample_size)
-              .groupBy("cookie_id")
-              .agg(F.array_sort(F.collect_list("publishers_id")).alias("sample_publishers_90m")))
-    right = per.join(sample, "cookie_id")
-    out = top.join(right, "cookie_id", "left")
-    return out.select(
-        "cookie_id", "total_conversions_last_minute",
-        F.coalesce("unique_publishers_last_90m", F.lit(0)).cast("bigint").alias("unique_publishers_last_90m"),
-        F.coalesce("sample_publishers_90m", F.array().cast("array<string>")).alias("sample_publishers_90m"))
+    return pairs.withColumn("__rn", rn).groupBy("cookie_id").agg(
+        F.max("__rn").alias("__n"),
+        F.array_sort(F.collect_list(F.when(F.col("__rn") <= sample_size, F.col("publishers_id")))).alias("__sample"))
+
+
+def _source_columns() -> list:
+    return [F.coalesce("__n", F.lit(0)).cast("bigint").alias("unique_publishers_last_90m"),
+            F.coalesce("__sample", F.array().cast("array<string>")).alias("sample_publishers_90m")]
+
+
+def fraud_two_stage(raw_conversions: DataFrame, attributed: DataFrame, as_of, min_conversions: int = MIN_CONVERSIONS,
+                    short_window: int = 60, long_window: int = 90 * 60, limit: int | None = TOP_COOKIES,
+                    sample_size: int = SAMPLE_PUBLISHERS) -> DataFrame:
+    """Both stages of one run, each input read once: the stage-1 cookies with
+    conversion_count, and the stage-2 columns, null where stage 2 drops the cookie.
+
+    Stage 2 judges the stage-1 cookies on the same window, so its counts are the
+    stage-1 counts and need no second aggregate."""
+    top = fraud_stage1(raw_conversions, as_of, short_window, limit)
+    recent = attributed.where(_window("conversion_timestamp", as_of, long_window))
+    passed = F.col("conversion_count") >= min_conversions
+    count, sample = _source_columns()
+    return top.join(_sources(recent, sample_size), "cookie_id", "left").select(
+        "cookie_id", "conversion_count", F.when(passed, F.col("conversion_count")).alias("total_conversions_last_minute"),
+        F.when(passed, count).alias("unique_publishers_last_90m"), F.when(passed, sample).alias("sample_publishers_90m"))
+
+
+def refined(both: DataFrame) -> DataFrame:
+    """The stage-2 rows of ``fraud_two_stage``."""
+    return both.where(F.col("total_conversions_last_minute").isNotNull()).drop("conversion_count")
+
+
+def dropped(both: DataFrame) -> DataFrame:
+    """The stage-1 rows of ``fraud_two_stage`` that stage 2 drops (false positives)."""
+    return both.where(F.col("total_conversions_last_minute").isNull()).select("cookie_id", "conversion_count")
 
 
 def fraud_stage_merge(stage1: DataFrame, stage2: DataFrame) -> DataFrame:

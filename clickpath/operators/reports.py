@@ -162,14 +162,23 @@ def cohort_distribution(impressions: DataFrame, cohort_of=publisher_cohort) -> D
 
 def publish_stats(impressions: DataFrame, conversions: DataFrame, attributed: DataFrame) -> DataFrame:
     """Per publish task: entities touched and the total published."""
-    def task(df, name, idc, total):
+    per = impressions.groupBy("publishers_id", "advertisers_id").agg(F.sum("impressions").alias("n"))
+
+    def total_of(idc):
+        known = F.col(idc).isNotNull()
+        return F.struct(F.countDistinct(idc).alias("entities"), F.sum(F.when(known, F.col("n"))).cast("bigint").alias("total"))
+
+    # one pass over the rollup gives both impression tasks
+    both = per.agg(total_of("publishers_id").alias("publisher_impressions"), total_of("advertisers_id").alias("advertiser_impressions"))
+    tasks = ("publisher_impressions", "advertiser_impressions")
+    rolled = both.select(F.explode(F.array(*[F.struct(F.lit(t).alias("task"), F.col(t).alias("s")) for t in tasks])).alias("x")).select(
+        "x.task", "x.s.entities", "x.s.total")
+
+    def task(df, name, idc):
         return df.where(F.col(idc).isNotNull()).agg(
-            F.lit(name).alias("task"), F.countDistinct(idc).alias("entities"), total.alias("total"))
-    return (task(impressions, "publisher_impressions", "publishers_id", F.sum("impressions").cast("bigint"))
-            .unionByName(task(impressions, "advertiser_impressions", "advertisers_id",
-                              F.sum("impressions").cast("bigint")))
-            .unionByName(task(conversions, "advertiser_conversions", "advertisers_id", F.count(F.lit(1))))
-            .unionByName(task(attributed, "publisher_conversions", "publishers_id", F.count(F.lit(1)))))
+            F.lit(name).alias("task"), F.countDistinct(idc).alias("entities"), F.count(F.lit(1)).alias("total"))
+    return (rolled.unionByName(task(conversions, "advertiser_conversions", "advertisers_id"))
+            .unionByName(task(attributed, "publisher_conversions", "publishers_id")))
 
 
 def overview_counts(impressions: DataFrame, conversions: DataFrame, as_of) -> DataFrame:

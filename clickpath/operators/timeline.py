@@ -2,11 +2,11 @@
 
 ``conversion_timeline`` pairs each attributed conversion with the impressions
 of the same (advertiser, cookie) between its first-touch impression and the
-conversion -- an impression appears once per conversion it lies under, which
-is the reference's result shape.  The span is bounded by the attribution
-look-back, so the join key carries a time bucket (as in ``lookup``): a hot
-cookie is split over many tasks, and each conversion meets at most one
-look-back of impressions.
+conversion -- an impression appears once per conversion it lies under -- and
+keeps the first rows of each path.  Only the impressions that can reach the cut
+are paired: a running count of open conversions per (path, time bucket) says how
+many rows an impression gives, and all beyond the cut go before the join.  A hot
+cookie is split over its time buckets; each hands at most ``limit`` impressions on.
 """
 
 from __future__ import annotations
@@ -35,25 +35,52 @@ def conversion_timeline(impressions: DataFrame, attributed: DataFrame, lookback_
     span = max(1, int(lookback_seconds)) * 1_000_000
     width = span * max(1, int(span_factor))
     it = imp.select(*keys, "publishers_id", "timestamp", "impressions", epoch_micros("timestamp").alias("__t"))
-    b = F.floor(F.col("__t") / F.lit(width))
-    # an impression can lie under conversions up to one look-back later: copy it
-    # into the next bucket when that reaches past the bucket end
-    it = it.withColumn("__b", F.explode(F.when(F.col("__t") + F.lit(span) >= (b + 1) * F.lit(width),
-                                                F.array(b, b + 1)).otherwise(F.array(b))))
-    ct = att.select(*[F.col(k).alias(f"__c_{k}") for k in keys],
-                    F.col("impression_timestamp").alias("__first"),
-                    F.col("conversion_timestamp"),
-                    F.floor(epoch_micros("conversion_timestamp") / F.lit(width)).alias("__cb"))
-    cond = [it[k] == ct[f"__c_{k}"] for k in keys] + [
-        it["__b"] == ct["__cb"],
-        it["timestamp"] >= ct["__first"], it["timestamp"] <= ct["conversion_timestamp"]]
-    j = it.join(ct, cond)
+    it = it.withColumn("__b", F.floor(F.col("__t") / F.lit(width)))
+    # a conversion is copied into every bucket that its span touches (two at most)
+    spans = att.select(*keys, F.col("impression_timestamp").alias("__first"), "conversion_timestamp",
+                       epoch_micros("impression_timestamp").alias("__from"), epoch_micros("conversion_timestamp").alias("__to"))
+    spans = spans.withColumn("__b", F.explode(F.sequence(F.floor(F.col("__from") / F.lit(width)), F.floor(F.col("__to") / F.lit(width)))))
+    kept = _reach_the_cut(it, spans, keys, limit)
+    ct = spans.select(*[F.col(k).alias(f"__c_{k}") for k in keys], "__first", "conversion_timestamp", F.col("__b").alias("__cb"))
+    cond = [kept[k] == ct[f"__c_{k}"] for k in keys] + [
+        kept["__b"] == ct["__cb"],
+        kept["timestamp"] >= ct["__first"], kept["timestamp"] <= ct["conversion_timestamp"]]
+    j = kept.join(ct, cond)
     w = Window.partitionBy(*keys).orderBy("timestamp", "publishers_id", "conversion_timestamp")
     top = j.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= limit)
     return top.select(*keys, "publishers_id", "timestamp", "impressions", "conversion_timestamp",
                       F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("formatted_time"))
 
 
+def _reach_the_cut(impressions: DataFrame, spans: DataFrame, keys: list, limit: int) -> DataFrame:
+    """The impressions that give a row among the first ``limit`` of their path.
+
+    In time order a span adds one open conversion at its start and takes it away
+    after its end (start, impression, end at one time); the running sum at an
+    impression is the number of its rows.  Impressions stay while the rows before
+    them, in their bucket and then in their path, are below ``limit``.
+    """
+    nothing = [F.lit(None).cast("string").alias("publishers_id"), F.lit(None).cast("timestamp_ntz").alias("timestamp"),
+               F.lit(None).cast("int").alias("impressions")]
+    edge = F.explode(F.array(
+        F.struct(F.col("__from").alias("t"), F.lit(0).alias("kind"), F.lit(1).alias("d")),
+        F.struct(F.col("__to").alias("t"), F.lit(2).alias("kind"), F.lit(-1).alias("d"))))
+    edges = spans.withColumn("__e", edge).select(
+        *keys, "__b", F.col("__e.t").alias("__t"), F.col("__e.kind").alias("__kind"), F.col("__e.d").alias("__d"), *nothing)
+    seen = impressions.select(*keys, "__b", "__t", F.lit(1).alias("__kind"), F.lit(0).alias("__d"),
+                              "publishers_id", "timestamp", "impressions")
+    order = ["__t", "__kind", "publishers_id"]
+    here = Window.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    counted = seen.unionByName(edges).withColumn("__open", F.sum("__d").over(here))
+    rows = F.when(F.col("__kind") == 1, F.col("__open")).otherwise(F.lit(0))
+    counted = counted.withColumn("__rows", rows).withColumn("__before", F.coalesce(F.sum("__rows").over(before), F.lit(0)))
+    first = counted.where((F.col("__rows") > 0) & (F.col("__before") < limit))
+    path = Window.partitionBy(*keys).orderBy("__t", "publishers_id").rowsBetween(Window.unboundedPreceding, -1)
+    first = first.withColumn("__before", F.coalesce(F.sum("__rows").over(path), F.lit(0))).where(F.col("__before") < limit)
+    return first.select(*keys, "publishers_id", "timestamp", "impressions", "__b")
+
+
 def timeline_summary(timeline: DataFrame) -> DataFrame:
     """Per path: total_impressions (= timeline rows) and unique_publishers."""
     return timeline.groupBy("advertisers_id", "cookie_id").agg(

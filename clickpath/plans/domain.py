@@ -40,28 +40,28 @@ def service_points(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import functions as F
 
     from ..functions.timecols import epoch_seconds
-    from ..operators.rollup import rollup_stats
-    raw_i = adapters.raw_impressions(spark, sf)
-    raw_c = adapters.raw_conversions(spark, sf)
-    imp = impressions(spark, sf)
 
     def pts(df, name, metric, ts_col, value):
         return df.groupBy(ts_col).agg(value.cast("double").alias("value")).select(
             F.lit(name).alias("name"), F.lit(metric).alias("metric"),
             epoch_seconds(ts_col).alias("ts"), "value")
-    rs = rollup_stats(raw_i)
-    return (pts(raw_i, "generate_traffic", "impressions_generated", "bucket_date", F.count(F.lit(1)))
-            .unionByName(pts(raw_c, "generate_traffic", "conversions_generated", "bucket_date", F.count(F.lit(1))))
-            .unionByName(rs.select(F.lit("hcd_to_presto").alias("name"), F.lit("impressions_aggregated").alias("metric"),
-                                   epoch_seconds("timestamp").alias("ts"),
-                                   F.col("impressions_aggregated").cast("double").alias("value")))
-            .unionByName(rs.select(F.lit("hcd_to_presto").alias("name"), F.lit("impressions_processed").alias("metric"),
-                                   epoch_seconds("timestamp").alias("ts"),
-                                   F.col("impressions_processed").cast("double").alias("value")))
+    # the four rollup metrics of a minute from one pass over the rollup
+    per_publisher = impressions(spark, sf).groupBy("timestamp", "publishers_id").agg(
+        F.sum("impressions").alias("n"), F.count(F.lit(1)).alias("groups"))
+    per_minute = per_publisher.groupBy("timestamp").agg(
+        F.sum("n").alias("n"), F.sum("groups").alias("groups"), F.count("publishers_id").alias("publishers"))
+    metrics = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(metric).alias("metric"), F.col(c).cast("double").alias("value"))
+                        for name, metric, c in (("generate_traffic", "impressions_generated", "n"),
+                                                ("hcd_to_presto", "impressions_aggregated", "groups"),
+                                                ("hcd_to_presto", "impressions_processed", "n"),
+                                                ("presto_to_hcd", "publishers_updated", "publishers"))])
+    rolled = per_minute.select(epoch_seconds("timestamp").alias("ts"), F.explode(metrics).alias("m")).where(
+        "m.metric <> 'publishers_updated' OR m.value > 0").select("m.name", "m.metric", "ts", "m.value")
+    return (rolled
+            .unionByName(pts(adapters.raw_conversions(spark, sf), "generate_traffic", "conversions_generated", "bucket_date",
+                             F.count(F.lit(1))))
             .unionByName(pts(attributed(spark, sf), "presto_insights", "conversions_identified",
-                             "conversion_timestamp", F.count(F.lit(1))))
-            .unionByName(pts(imp.where(F.col("publishers_id").isNotNull()), "presto_to_hcd", "publishers_updated",
-                             "timestamp", F.countDistinct("publishers_id"))))
+                             "conversion_timestamp", F.count(F.lit(1)))))
 
 
 def service_descriptions(spark: SparkSession) -> DataFrame:

@@ -1,18 +1,27 @@
-"""Lake tables on Parquet: layout, reads with partition pruning, appends,
-versioned overwrites (upsert, retention), counts and descriptions.
-
-There is no table-format jar on the class path, so "atomic replace" is done the
-Spark way: a new version directory is written completely, then readers switch to
-it (``latest_version``).  A failed or retried job leaves the old version intact,
-and task retries inside a write are handled by Spark's output committer.
+"""Lake tables on Parquet: layout, reads with partition pruning, appends, purge and
+truncation on one layout; versioned tables (upsert), counts and descriptions.
+
+A fact table is ``path/hour_key=.../...``: appends, minute jobs, pruned scans, the
+purge and the truncation all work on that layout.  Whole hours are dropped as
+folders; only the hour that holds the cutoff is rewritten.
+
+There is no table-format jar on the class path, so "atomic replace" of a keyed
+table is done the Spark way: a new version directory is written completely, then
+readers switch to it (``latest_version``).  A failed or retried job leaves the old
+version intact, and task retries inside a write are handled by Spark's output
+committer.
 """
 
 from __future__ import annotations
 
+import datetime as dt
+import json
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.ids import salt_bucket
@@ -20,6 +29,8 @@ from ..functions.timecols import HOUR, add_seconds, ntz, shift, time_slice
 
 LAKE_BUCKETS = 5          # fixed value: id buckets of the lake layout
 RETENTION_HOURS = 24      # fixed value: lake retention
+KEEP_VERSIONS = 2         # versions kept of a keyed table: the newest, and the one its readers may still use
+SCHEMA_FOLDER = "_schema"
 
 
 def hour_key(ts) -> F.Column:
@@ -48,10 +59,53 @@ def append_facts(df: DataFrame, path: str, ts_col: str, id_col: str) -> None:
     write_lake_table(df, path, ts_col, id_col, mode="append")
 
 
+def write_minute(df: DataFrame, path: str, ts_col: str) -> None:
+    """Write one minute's rows so that running the minute again replaces them.
+
+    The minute is a partition of its own (``hour_key`` / ``minute_key``), overwritten
+    dynamically: a retried job leaves no duplicates and touches no other minute.
+    """
+    laid = df.withColumn("hour_key", hour_key(ts_col)).withColumn("minute_key", F.minute(ts_col))
+    (laid.hint("rebalance", F.col("hour_key"), F.col("minute_key")).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("hour_key", "minute_key").parquet(path))
+
+
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+
+
+def hours_of(spark: SparkSession, path: str) -> list[int]:
+    """The hour keys of a lake table, by one listing of its top folder."""
+    fs, at = _fs(spark, path)
+    names = [st.getPath().getName() for st in fs.listStatus(at(path))]
+    return sorted(int(n.removeprefix("hour_key=")) for n in names if n.startswith("hour_key="))
+
+
+def _hour_number(value) -> int:
+    """``yyyyMMddHH`` of a Python-side timestamp."""
+    return int(dt.datetime.fromisoformat(str(value)).strftime("%Y%m%d%H"))
+
+
+def _read_hours(spark: SparkSession, path: str, hours: list[int]) -> DataFrame:
+    return spark.read.option("basePath", path).parquet(*[os.path.join(path, f"hour_key={h}") for h in hours])
+
+
 def scan_lake_table(spark: SparkSession, path: str, ts_col: str, start=None, end=None) -> DataFrame:
-    """Read a lake table with ``[start, end)`` on ``ts_col``; the matching hour
-    partitions are derived from the bounds, and only their files are read."""
-    df = spark.read.parquet(path)   # lists all directories, then prunes by hour_key
+    """Read a lake table with ``[start, end)`` on ``ts_col``.
+
+    Only the folders of the hours in range are listed and read; a truncated table,
+    or a range without any hour, gives no rows of the table's schema.
+    """
+    hours = hours_of(spark, path)
+    lo = _hour_number(start) if start is not None else None
+    hi = _hour_number(end) if end is not None else None
+    wanted = [h for h in hours if (lo is None or h >= lo) and (hi is None or h <= hi)]
+    if not hours:
+        schema = StructType.fromJson(json.loads(spark.read.text(os.path.join(path, SCHEMA_FOLDER)).first()[0]))
+        return spark.createDataFrame([], schema)
+    df = _read_hours(spark, path, wanted or hours[:1])
     return df.where(hour_prune(ts_col, start, end))
 
 
@@ -98,6 +152,9 @@ def write_version(spark: SparkSession, df: DataFrame, base: str, partition_by=No
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
+    fs, at = _fs(spark, base)
+    for old in v[:-(KEEP_VERSIONS - 1)]:
+        fs.delete(at(os.path.join(base, f"v={old}")), True)
     return path
 
 
@@ -149,16 +206,55 @@ def retention_purge(df: DataFrame, ts_col: str, as_of, hours: int = RETENTION_HO
     return df.where(F.col(ts_col) >= add_seconds(ntz(as_of), -hours * HOUR))
 
 
-def purge_table(spark: SparkSession, base: str, ts_col: str, as_of, hours: int = RETENTION_HOURS,
-                partition_by=("hour_key",)) -> str:
-    """Apply the purge to a versioned table: hour partitions wholly before the cutoff
-    are skipped by partition pruning, the boundary hour is filtered row by row,
-    and the result becomes the next version.  The work is proportional to what is
-    retained (one retention period), not to what was ever written."""
-    cutoff = shift(as_of, -hours * HOUR)
-    cur = read_table_version(spark, base)
-    kept = cur.where((F.col("hour_key") >= hour_key(ntz(cutoff))) & (F.col(ts_col) >= ntz(cutoff)))
-    return write_version(spark, kept, base, partition_by=list(partition_by))
+def purge_table(spark: SparkSession, path: str, ts_col: str, as_of, hours: int = RETENTION_HOURS) -> None:
+    """Purge a lake table in place: rows before ``as_of - hours`` go.
+
+    Hours wholly before the cutoff are deleted as folders.  The cutoff's own hour is
+    written to a hidden folder first, then put in place of the old one; a purge that
+    died in between is finished by the next one.  Nothing newer is read or written.
+    """
+    fs, at = _fs(spark, path)
+    cutoff = dt.datetime.fromisoformat(str(as_of)) - dt.timedelta(hours=hours)
+    edge = _hour_number(cutoff)
+    _finish_purges(fs, at, path)
+    known = hours_of(spark, path)
+    if known and known[-1] < edge:
+        _keep_schema(spark, path, known)
+    if edge in known and cutoff != cutoff.replace(minute=0, second=0, microsecond=0):
+        staged = os.path.join(path, f"_purge-{uuid.uuid4().hex}")
+        rows = _read_hours(spark, path, [edge])
+        parts = [c for c in ("hour_key", "minute_key", "id_bucket") if c in rows.columns]
+        if known[-1] == edge:
+            _keep_schema(spark, path, known)
+        rows.where(F.col(ts_col) >= ntz(cutoff)).write.partitionBy(*parts).parquet(staged)
+        _finish_purges(fs, at, path, edge)
+    for h in known:
+        if h < edge:
+            fs.delete(at(os.path.join(path, f"hour_key={h}")), True)
+
+
+def _finish_purges(fs, at, path: str, edge: int | None = None) -> None:
+    """Put completely written cutoff hours in place; remove incomplete ones.
+
+    ``edge`` names the hour just purged: its old folder goes even if no row is left.
+    """
+    for st in fs.listStatus(at(path)):
+        staged = st.getPath()
+        if not staged.getName().startswith("_purge-"):
+            continue
+        if fs.exists(at(staged, "_SUCCESS")):
+            fresh = [x.getPath() for x in fs.listStatus(staged) if x.getPath().getName().startswith("hour_key=")]
+            for name in {x.getName() for x in fresh} | ({f"hour_key={edge}"} if edge is not None else set()):
+                fs.delete(at(path, name), True)
+            for x in fresh:
+                fs.rename(x, at(path, x.getName()))
+        fs.delete(staged, True)
+
+
+def _keep_schema(spark: SparkSession, path: str, hours: list[int]) -> None:
+    """Store the schema beside the data, for readers of the emptied table."""
+    schema = _read_hours(spark, path, hours[:1]).schema.json()
+    spark.createDataFrame([(schema,)], "value string").coalesce(1).write.mode("overwrite").text(os.path.join(path, SCHEMA_FOLDER))
 
 
 def purge_report(tables: dict, ts_col: str, as_of, hours: int = RETENTION_HOURS) -> DataFrame:
@@ -176,24 +272,40 @@ def purge_report(tables: dict, ts_col: str, as_of, hours: int = RETENTION_HOURS)
 
 
 def truncate_all(spark: SparkSession, bases: dict) -> list[tuple[str, str]]:
-    """Empty every versioned table (a new empty version); a failure on one table is
-    reported and does not stop the rest."""
+    """Empty every table, lake tables (their hour folders go, the schema stays) and
+    versioned ones (a new empty version); a failure on one table is reported and does
+    not stop the rest."""
     done = []
     for name, base in bases.items():
         try:
-            cur = read_table_version(spark, base)
-            write_version(spark, cur.limit(0), base)
+            if latest_version(spark, base):
+                write_version(spark, read_table_version(spark, base).limit(0), base)
+            else:
+                known = hours_of(spark, base)
+                if known:
+                    _keep_schema(spark, base, known)
+                fs, at = _fs(spark, base)
+                for h in known:
+                    fs.delete(at(os.path.join(base, f"hour_key={h}")), True)
             done.append((name, "ok"))
-        except Exception as e:  # keep going, like the reference
+        except Exception as e:  # keep going: one broken table must not stop the rest
             done.append((name, f"error: {type(e).__name__}"))
     return done
 
 
 def table_row_counts(tables: dict) -> DataFrame:
-    """table_name, row_count for each table (union of one-row counts)."""
+    """table_name, row_count for each table (union of one-row counts).
+
+    A table is a DataFrame or a function that opens it; one that cannot be opened
+    counts -1 and does not fail the others.
+    """
     out = None
-    for name, df in tables.items():
-        one = df.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("row_count"))
+    for name, table in tables.items():
+        try:
+            df = table() if callable(table) else table
+            one = df.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("row_count"))
+        except (AnalysisException, FileNotFoundError):
+            one = SparkSession.active().range(1).select(F.lit(name).alias("table_name"), F.lit(-1).cast("long").alias("row_count"))
         out = one if out is None else out.unionByName(one)
     return out
 

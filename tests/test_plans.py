@@ -46,11 +46,26 @@ def test_capped_series_uses_partial_group_limit(spark):
     assert "WindowGroupLimit" in text
 
 
-def test_fraud_broadcasts_only_bounded_sides(spark):
-    text = _plan(QUERIES["fraud_report"](spark, SF_MID))
-    assert "BroadcastExchange" in text
-    opt = _optimized(QUERIES["fraud_report"](spark, SF_MID))
-    assert "GlobalLimit 100" in opt
+def _scans(name):
+    return lambda spark: _plan(QUERIES[name](spark, SF_MID)).count("FileScan parquet")
+
+
+def test_fraud_family_reads_every_input_once(spark):
+    for name in ("fraud_stage2", "fraud_false_positives", "fraud_report", "fraud_summary", "risk_filter", "fraud_search", "export_fraud_csv"):
+        assert _scans(name)(spark) <= 3, name
+    assert "GlobalLimit 100" in _optimized(QUERIES["fraud_report"](spark, SF_MID))
+
+
+def test_service_points_and_publish_stats_scan_counts(spark):
+    assert _scans("service_stat_series")(spark) <= 4
+    assert _scans("publish_stats")(spark) <= 4
+
+
+def test_timeline_cuts_before_it_pairs(spark):
+    """The impressions are cut by a running count below the join, not only after it."""
+    text = _optimized(QUERIES["conversion_timeline"](spark, SF_MID))
+    below = text[text.index("Join"):]
+    assert "< 100)" in below
 
 
 def test_attribution_window_is_split_by_time_bucket(spark):

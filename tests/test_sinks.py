@@ -37,15 +37,40 @@ def test_versioned_upsert_and_purge(spark, scratch):
     L.write_version(spark, merged, base)
     assert {r.key: r.value for r in L.read_table_version(spark, base).collect()} == {"a": "9", "b": "2"}
     assert L.latest_version(spark, base).endswith("v=1")
+    for v in ("10", "11", "12"):
+        L.write_version(spark, L.read_table_version(spark, base).withColumn("value", F.lit(v)), base)
+    assert sorted(n for n in os.listdir(base) if n.startswith("v=")) == ["v=3", "v=4"]   # old versions are removed
 
-    tbase = os.path.join(scratch, "imp")
-    L.write_version(spark, L.lake_layout(_imps(spark), "timestamp", "publishers_id"), tbase, partition_by=["hour_key"])
-    L.purge_table(spark, tbase, "timestamp", "2024-01-02 10:00:00")
-    assert L.read_table_version(spark, tbase).count() == 3    # the row exactly 24 h old is kept
-    L.purge_table(spark, tbase, "timestamp", "2024-01-02 10:30:00")
-    assert L.read_table_version(spark, tbase).count() == 2
-    assert L.truncate_all(spark, {"imp": tbase, "missing": os.path.join(scratch, "nope")})[0] == ("imp", "ok")
-    assert L.read_table_version(spark, tbase).count() == 0
+
+def test_lake_table_lifecycle(spark, scratch):
+    """Append, scan, purge and truncate on one layout."""
+    path = os.path.join(scratch, "imp")
+    L.append_facts(_imps(spark), path, "timestamp", "publishers_id")
+    scan = lambda: L.scan_lake_table(spark, path, "timestamp")
+    L.purge_table(spark, path, "timestamp", "2024-01-02 10:00:00")
+    assert scan().count() == 3                                # the row exactly 24 h old is kept
+    L.purge_table(spark, path, "timestamp", "2024-01-02 10:30:00")
+    assert scan().count() == 2 and L.hours_of(spark, path) == [2024010111, 2024010209]
+    L.purge_table(spark, path, "timestamp", "2024-01-02 11:30:00.000001")    # a fraction past the 11:30 row
+    assert [r.impressions for r in scan().collect()] == [3]
+    L.append_facts(_imps(spark), path, "timestamp", "publishers_id")
+    assert scan().count() == 4
+    assert L.truncate_all(spark, {"missing": os.path.join(scratch, "nope"), "imp": path})[1] == ("imp", "ok")
+    assert scan().count() == 0 and "impressions" in scan().columns
+    L.append_facts(_imps(spark), path, "timestamp", "publishers_id")
+    L.purge_table(spark, path, "timestamp", "2025-01-01")
+    assert scan().count() == 0
+
+
+def test_a_purge_that_died_is_finished_by_the_next(spark, scratch):
+    path = os.path.join(scratch, "imp")
+    L.append_facts(_imps(spark), path, "timestamp", "publishers_id")
+    staged = os.path.join(path, "_purge-x")
+    edge = spark.read.parquet(path).where("hour_key = 2024010111")
+    edge.withColumn("impressions", F.lit(9)).write.partitionBy("hour_key", "id_bucket").parquet(staged)
+    L._fs(spark, path)[0].delete(L._fs(spark, path)[1](path, "hour_key=2024010111"), True)     # died before the rename
+    L.purge_table(spark, path, "timestamp", "2024-01-02 10:00:00")
+    assert sorted(r.impressions for r in L.scan_lake_table(spark, path, "timestamp").collect()) == [1, 3, 9]
 
 
 def test_dual_write_is_idempotent(spark, scratch):
@@ -64,6 +89,8 @@ def test_sample_rows_and_counts(spark):
     assert r.t == "x" * 30 + "..." and r.b == "<binary: 3 bytes>"
     counts = {r.table_name: r.row_count for r in L.table_row_counts({"a": df, "b": df.limit(0)}).collect()}
     assert counts == {"a": 1, "b": 0}
+    broken = lambda: spark.read.parquet("/nowhere/at/all")
+    assert {r.table_name: r.row_count for r in L.table_row_counts({"a": lambda: df, "x": broken}).collect()} == {"a": 1, "x": -1}
 
 
 def test_failed_version_write_is_invisible_and_retried(spark, scratch):
