@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.timecols import time_slice
+from ..session import shared_path
 from ..sources import adapters
 from ..sources import lake as L
 from ..sources.tables import TABLES, read_table
@@ -34,14 +37,28 @@ def q_scan_lake_table(spark, sf):
     return laid.where(L.hour_prune("timestamp", start, end))
 
 
-@register("upsert_by_key", with_ctes(ADAPTER_SQL) + """
-SELECT publishers_id, advertisers_id, cookie_id, timestamp, impressions FROM impression_tracking""")
+@register("lake_lifecycle", with_ctes(ADAPTER_SQL) + f"""
+SELECT publishers_id, advertisers_id, cookie_id, timestamp, impressions FROM impression_tracking
+WHERE timestamp >= {A} - INTERVAL 96 HOUR - INTERVAL 30 MINUTE AND timestamp < {A} - INTERVAL 24 HOUR""")
+def q_lake_lifecycle(spark, sf):
+    """The rollup's last week appended to a lake table, purged to 96 hours in the middle of
+    an hour, and all but its last day scanned back."""
+    path = shared_path(spark, "lake", uuid.uuid4().hex)
+    L.append_facts(domain.impressions(spark, sf, back(7 * 86400), AS_OF), path, "timestamp", "publishers_id")
+    L.purge_table(spark, path, "timestamp", back(1800), 96)
+    return L.scan_lake_table(spark, path, "timestamp", None, back(86400)).drop("hour_key", "id_bucket")
+
+
+@register("upsert_by_key", with_ctes(ADAPTER_SQL) + f"""
+SELECT publishers_id, advertisers_id, cookie_id, timestamp,
+       CASE WHEN timestamp >= TIMESTAMP '{UPSERT_FROM}' THEN impressions + 100 ELSE impressions END AS impressions
+FROM impression_tracking""")
 def q_upsert(spark, sf):
-    """Old table (before the cut) upserted with a batch re-sending two overlapping days and
-    everything after: primary key (publisher, cookie, advertiser, minute)."""
+    """Old table (before the cut) upserted with a batch re-sending two overlapping days, with
+    other values, and everything after: primary key (publisher, cookie, advertiser, minute)."""
     imp = domain.impressions(spark, sf)
     old = imp.where(time_slice("timestamp", None, UPSERT_CUT))
-    new = imp.where(time_slice("timestamp", UPSERT_FROM, None))
+    new = imp.where(time_slice("timestamp", UPSERT_FROM, None)).withColumn("impressions", F.col("impressions") + 100)
     return L.upsert_by_key(old, new, ["publishers_id", "cookie_id", "advertisers_id", "timestamp"])
 
 

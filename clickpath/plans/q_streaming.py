@@ -25,10 +25,13 @@ def _scratch(spark, name):
 
 
 def _dom(spark, sf, scratch):
-    schema = spark.read.parquet(table_path(sf, "events")).schema
-    P.write_heartbeats(spark, schema, f"{scratch}/heartbeat")
+    events = spark.read.parquet(table_path(sf, "events"))
+    schema = events.schema
+    last = events.agg(F.max("ts")).first()[0]
+    if last is not None:
+        P.write_heartbeats(spark, schema, f"{scratch}/heartbeat", last)
     glob = table_path(sf, "events")[:-1] + "[t]"     # a file stream needs a directory or a glob
-    return P.domain_stream(P.event_stream(spark, glob, schema, heartbeat_dir=f"{scratch}/heartbeat"))
+    return P.domain_stream(P.event_stream(spark, glob, schema, heartbeat_dir=f"{scratch}/heartbeat" if last is not None else None))
 
 
 def _run(spark, sf, name, build, mode="append"):
@@ -91,15 +94,17 @@ def q_stream_entity_series(spark, sf):
 
 
 @register("stream_dual_write", with_ctes(ADAPTER_SQL) + """
-SELECT 'impressions_by_minute' AS sink, count(*) AS rows FROM raw_impressions
-UNION ALL SELECT 'impression_tracking', count(*) FROM impression_tracking
-UNION ALL SELECT 'conversions_by_minute', count(*) FROM raw_conversions
-UNION ALL SELECT 'conversion_tracking', count(*) FROM conversion_tracking""")
+SELECT 'impressions_by_minute' AS sink, publishers_id, advertisers_id, cookie_id, bucket_date AS timestamp, count(*) AS rows
+FROM raw_impressions GROUP BY ALL
+UNION ALL SELECT 'impression_tracking', publishers_id, advertisers_id, cookie_id, timestamp, CAST(impressions AS BIGINT)
+FROM impression_tracking
+UNION ALL SELECT 'conversions_by_minute', publishers_id, advertisers_id, cookie_id, bucket_date, count(*)
+FROM raw_conversions GROUP BY ALL
+UNION ALL SELECT 'conversion_tracking', NULL, advertisers_id, cookie_id, timestamp, count(*) FROM conversion_tracking GROUP BY ALL""")
 def q_stream_dual_write(spark, sf):
     """Each micro-batch written to the four tables of the intake (raw impressions, their
-    minute rollup, raw conversions, conversion facts); returns rows per sink.  The rollup
-    here is per micro-batch, which equals the minute rollup when a minute arrives in one
-    batch (the intake's model); ``stream_rollup`` is the watermark-finalised general form."""
+    minute rollup, raw conversions, conversion facts); returns the rows per sink and key.
+    The rollup is partial per micro-batch and summed when it is read."""
     from ..sources.adapters import CONVERSION_TYPES, IMPRESSION_TYPES
     scratch = _scratch(spark, "dual")
     dom = _dom(spark, sf, scratch).where(F.col("event_type").isin(*IMPRESSION_TYPES, *CONVERSION_TYPES))
@@ -119,8 +124,17 @@ def q_stream_dual_write(spark, sf):
                                 lambda b: convs(b).select("advertisers_id", "ts", "cookie_id")),
     }
     P.run_foreach_batch(dom, ST.dual_write_sink(sinks), f"{scratch}/checkpoint")
+    keys = ["publishers_id", "advertisers_id", "cookie_id", "ts"]
     out = None
-    for name in sinks:
-        one = spark.read.parquet(f"{scratch}/{name}").agg(F.lit(name).alias("sink"), F.count(F.lit(1)).alias("rows"))
+    for name, (path, _) in sinks.items():
+        if name == "impression_tracking":
+            rows = ST.minutes_of_batches(spark, path, keys).withColumnRenamed("impressions", "rows")
+        else:
+            table = spark.read.parquet(path)
+            if "publishers_id" not in table.columns:
+                table = table.withColumn("publishers_id", F.lit(None).cast("string"))
+            rows = table.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
+        one = rows.select(F.lit(name).alias("sink"), *keys[:3], F.col("ts").cast("timestamp_ntz").alias("timestamp"),
+                          F.col("rows").cast("bigint").alias("rows"))
         out = one if out is None else out.unionByName(one)
     return out

@@ -28,13 +28,13 @@ from ..sources.adapters import ADVERTISER_MOD, CONVERSION_TYPES, IMPRESSION_TYPE
 
 WATERMARK_DELAY = "5 seconds"
 HEARTBEAT = "heartbeat"
-HEARTBEAT_TS = _dt.datetime(2100, 1, 1)
+FLUSH = _dt.timedelta(minutes=2)   # past the end of the last minute and the watermark delay
 
 
 def event_stream(spark: SparkSession, path_glob: str, schema, heartbeat_dir: str | None = None) -> DataFrame:
     """File stream over ``path_glob``; with ``heartbeat_dir`` an end-of-input marker
-    stream (one file per trigger) is unioned in so a finite replay flushes every
-    window (a watermark-advancing heartbeat, as a live source would send)."""
+    stream (one file per trigger) is unioned in, so that a finite replay flushes every
+    window.  A live stream needs none: its next rows move the watermark."""
     s = spark.readStream.schema(schema).parquet(path_glob)
     if heartbeat_dir:
         hb = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(heartbeat_dir)
@@ -42,11 +42,14 @@ def event_stream(spark: SparkSession, path_glob: str, schema, heartbeat_dir: str
     return s
 
 
-def write_heartbeats(spark: SparkSession, schema, heartbeat_dir: str, n: int = 2) -> None:
+def write_heartbeats(spark: SparkSession, schema, heartbeat_dir: str, last: _dt.datetime, n: int = 2) -> None:
     """``n`` heartbeat files in one folder (read one per trigger): the first moves the
-    watermark past all data, the next ones give the batches that emit what it released."""
+    watermark past all data, the next ones give the batches that emit what it released.
+
+    Their time is two minutes after ``last``, the replay's last event: enough to close its
+    minute, and rows that arrive live after the replay are not late."""
     row = {f.name: None for f in schema.fields}
-    row.update(event_type=HEARTBEAT, ts=HEARTBEAT_TS)
+    row.update(event_type=HEARTBEAT, ts=last + FLUSH)
     rows = [tuple(row[f.name] for f in schema.fields)] * n
     spark.createDataFrame(rows, schema).repartition(n).write.mode("overwrite").parquet(heartbeat_dir)
 
@@ -69,11 +72,15 @@ def of_types(dom: DataFrame, types) -> DataFrame:
     Catalyst pushes a filter that does not touch the event-time column below the
     watermark (and Parquet statistics may then skip the heartbeat file), so a
     heartbeat would never reach the watermark.  Heartbeats therefore ride along:
-    their null keys never join, and their windows (year 2100) never close, so they
-    never reach an output."""
+    their null keys never join, and windowed counts leave them out (``counted``)."""
     return dom.where(F.col("event_type").isin(*types, HEARTBEAT))
 
 
+def counted(grouped, name: str) -> DataFrame:
+    """Rows per group as ``name``; heartbeats count nothing and make no group."""
+    return grouped.agg(F.count_if(F.col("event_type") != HEARTBEAT).alias(name)).where(F.col(name) > 0)
+
+
 def _impressions(dom: DataFrame) -> DataFrame:
     return of_types(dom, IMPRESSION_TYPES)
 
@@ -84,7 +91,7 @@ def _conversions(dom: DataFrame) -> DataFrame:
 
 def stream_rollup(dom: DataFrame) -> DataFrame:
     """Tumbling one-minute impression counts per (publisher, advertiser, cookie); append mode."""
-    g = _impressions(dom).groupBy(F.window("ts", "1 minute"), "publishers_id", "advertisers_id", "cookie_id").count()
+    g = counted(_impressions(dom).groupBy(F.window("ts", "1 minute"), "publishers_id", "advertisers_id", "cookie_id"), "count")
     return g.select("publishers_id", "advertisers_id", "cookie_id",
                     F.col("window.start").cast("timestamp_ntz").alias("timestamp"),
                     F.col("count").cast("int").alias("impressions"))
@@ -117,8 +124,7 @@ def stream_attribution(dom: DataFrame, lookback_seconds: int = LOOKBACK_SECONDS,
 
 def stream_fraud_velocity(dom: DataFrame) -> DataFrame:
     """Conversions per cookie per minute with the conversions-only risk level."""
-    g = _conversions(dom).groupBy(F.window("ts", "1 minute"), "cookie_id").agg(
-        F.count(F.lit(1)).alias("conversion_count"))
+    g = counted(_conversions(dom).groupBy(F.window("ts", "1 minute"), "cookie_id"), "conversion_count")
     return g.select("cookie_id", F.col("window.start").cast("timestamp_ntz").alias("timestamp"),
                     "conversion_count",
                     risk_level(F.col("conversion_count"), F.lit(None).cast("bigint")).alias("risk_level"))

@@ -22,7 +22,7 @@ from ..operators.attribution import LOOKBACK_SECONDS
 from ..operators.series import entity_series_merge
 from ..sources.adapters import CONVERSION_TYPES, IMPRESSION_TYPES
 from ..sources.lake import latest_version
-from .pipeline import of_types
+from .pipeline import counted, of_types
 
 TRACKER_OUT = ("cookie_id string, timestamp timestamp, advertisers_id string, conversion_id string, "
                "eligible boolean")
@@ -83,8 +83,7 @@ def stream_cookie_window(dom: DataFrame, window_seconds: int = LOOKBACK_SECONDS)
 
 def publisher_minute_stream(dom: DataFrame) -> DataFrame:
     """Finalised per-minute impression totals per publisher (append mode)."""
-    g = (of_types(dom, IMPRESSION_TYPES)
-         .groupBy(F.window("ts", "1 minute"), "publishers_id").agg(F.count(F.lit(1)).alias("count")))
+    g = counted(of_types(dom, IMPRESSION_TYPES).groupBy(F.window("ts", "1 minute"), "publishers_id"), "count")
     return g.select("publishers_id", epoch_seconds(F.col("window.start").cast("timestamp_ntz")).alias("ts"), "count")
 
 
@@ -127,6 +126,13 @@ def dual_write_sink(sinks: dict):
     return fn
 
 
+def minutes_of_batches(spark: SparkSession, path: str, keys: list, count_col: str = "impressions") -> DataFrame:
+    """A rollup written per micro-batch by ``dual_write_sink``, whole: the partial counts
+    of a minute that came in several batches are summed."""
+    parts = spark.read.parquet(path)
+    return parts.groupBy(*keys).agg(F.sum(count_col).cast(parts.schema[count_col].dataType).alias(count_col))
+
+
 # --- first-touch attribution as per-key state (no pairs) -------------------------------------
 
 ATTR_OUT = ("advertisers_id string, publishers_id string, cookie_id string, conversion_us bigint, "
@@ -146,16 +152,12 @@ def _attribution_fn(lookback_seconds: int):
         else:
             book, pend = {}, set()
         for pdf in pdfs:
-            t = pdf["__us"].to_numpy(dtype="int64")       # epoch micros (same clock as the watermark)
-            kind = pdf["event_type"].to_numpy()
-            pub = pdf["publishers_id"].to_numpy()
-            for ti, ki, pi in zip(t, kind, pub):
-                if ki in IMPRESSION_TYPES:
-                    cur = book.get(int(ti))
-                    if cur is None or pi < cur:
-                        book[int(ti)] = pi          # one row per minute: the smallest publisher
-                elif ki in CONVERSION_TYPES:
-                    pend.add(int(ti))               # equal conversions collapse
+            kind = pdf["event_type"]
+            # per minute the smallest publisher; equal conversions collapse
+            first = pdf[kind.isin(list(IMPRESSION_TYPES))].dropna(subset=["publishers_id"]).groupby("__us")["publishers_id"].min()
+            for t, pub in first.items():
+                book[int(t)] = min(pub, book.get(int(t), pub))
+            pend.update(pdf.loc[kind.isin(list(CONVERSION_TYPES)), "__us"].unique().tolist())
         wm = state.getCurrentWatermarkMs() * 1000
         ready = sorted(c for c in pend if c < wm)   # no impression before c can still arrive
         if ready and book:

@@ -55,8 +55,8 @@ def test_state_attribution_across_micro_batches(spark, scratch):
 
     put(0, [(1, dt.datetime(2024, 1, 1, 10, 0, 20), "view")])
     put(1, [(2, dt.datetime(2024, 1, 1, 10, 30, 40), "purchase"), (3, dt.datetime(2024, 1, 1, 10, 30, 50), "signup")])
-    put(2, [(4, P.HEARTBEAT_TS, P.HEARTBEAT)])
-    put(3, [(5, P.HEARTBEAT_TS, P.HEARTBEAT)])
+    put(2, [(4, dt.datetime(2024, 1, 1, 10, 30, 50) + P.FLUSH, P.HEARTBEAT)])
+    put(3, [(5, dt.datetime(2024, 1, 1, 10, 30, 50) + P.FLUSH, P.HEARTBEAT)])
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
     out = stream_attribution_state(P.domain_stream(stream), as_of="2024-02-01 00:00:00")
     sink = os.path.join(scratch, "sink")
@@ -64,3 +64,32 @@ def test_state_attribution_across_micro_batches(spark, scratch):
     rows = spark.read.parquet(sink).collect()
     assert [(r.publishers_id, r.conversion_timestamp, r.impression_timestamp, r.time_to_conversion_seconds)
             for r in rows] == [("PID_003", dt.datetime(2024, 1, 1, 10, 30), dt.datetime(2024, 1, 1, 10, 0), 1800)]
+
+
+def test_live_rows_after_a_replay_are_not_late(spark, scratch):
+    """A heartbeat flushes the replay; rows that follow it count, and it counts nothing itself."""
+    schema = spark.read.parquet("/root/testdata/sf0.001/events.parquet").schema
+    src, hb = os.path.join(scratch, "src"), os.path.join(scratch, "hb")
+    last = dt.datetime(2024, 1, 1, 10, 5, 30)
+
+    def put(n, t):
+        row = {"event_id": n, "ts": t, "user_id": 1, "event_type": "view", "value": 1.0, "props": '{"k": 1}'}
+        spark.createDataFrame([tuple(row[f.name] for f in schema.fields)], schema).coalesce(1).write.mode("append").parquet(src)
+
+    def run(i):
+        dom = P.domain_stream(P.event_stream(spark, src, schema, hb))
+        P.run_available_now(P.stream_rollup(dom), f"{scratch}/sink", f"{scratch}/ck")
+        return sorted(r[0] for r in spark.read.parquet(f"{scratch}/sink").select("timestamp").collect())
+
+    put(1, last)
+    P.write_heartbeats(spark, schema, hb, last)
+    assert run(0) == [dt.datetime(2024, 1, 1, 10, 5)]
+    for n in range(2, 4):
+        put(n, last + dt.timedelta(minutes=3 * n))
+    assert len(run(1)) >= 2        # the first live minute is closed by the second
+    put(5, last + dt.timedelta(hours=1))
+    run(2)
+    put(6, last + dt.timedelta(hours=2))
+    got = run(3)
+    assert [dt.datetime(2024, 1, 1, 10, 5) + dt.timedelta(minutes=m) for m in (0, 6, 9)] == got[:3]
+    assert all(r.cookie_id is not None for r in spark.read.parquet(f"{scratch}/sink").collect())
