@@ -74,6 +74,23 @@ def q_kv_upsert(spark, sf):
     return L.kv_upsert(store, "publisher_all_conversion_rate", rates, AS_OF)
 
 
+@register("kv_overwrite", with_ctes(ADAPTER_SQL) + f"""
+SELECT 'table_counts' AS key, format('{{{{"conversion_tracking":{{}},"impression_tracking":{{}}}}}}',
+         (SELECT count(*) FROM conversion_tracking), (SELECT count(*) FROM impression_tracking)) AS value, {A} AS last_update
+UNION ALL
+SELECT 'recent_counts', format('{{{{"impression_tracking":{{}}}}}}', (SELECT count(*) FROM impression_tracking
+  WHERE timestamp >= {A} - INTERVAL 24 HOUR AND timestamp < {A})), {A}""")
+def q_kv_overwrite(spark, sf):
+    """Table counts written for the last day, under two keys; then one key is overwritten
+    with the counts of the whole tables."""
+    def counts(**tables):
+        return L.table_counts_json(L.table_row_counts(tables))
+    recent = counts(impression_tracking=domain.impressions(spark, sf, back(86400), AS_OF))
+    whole = counts(impression_tracking=domain.impressions(spark, sf), conversion_tracking=domain.conversions(spark, sf))
+    store = L.kv_upsert(L.kv_upsert(None, "table_counts", recent, back(60)), "recent_counts", recent, AS_OF)
+    return L.kv_upsert(store, "table_counts", whole, AS_OF)
+
+
 @register("ttl_filter", with_ctes(ADAPTER_SQL) + f"""
 SELECT * FROM impression_tracking WHERE timestamp > {A} - INTERVAL 21600 SECOND""")
 def q_ttl(spark, sf):

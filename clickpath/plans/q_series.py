@@ -169,18 +169,29 @@ def q_entity_lookup(spark, sf):
     return S.entity_lookup(advertisers_table(spark, sf), "advertisers_id", "AID_003")
 
 
-@register("entity_series_merge", with_ctes(*ADV_CTES) + _table_sql("adv", "advertisers_id"))
+def _resent(name: str) -> str:
+    return f"""
+{name}_new AS (
+  SELECT id, ts, CASE WHEN ts >= epoch(TIMESTAMP '{MERGE_FROM}') THEN cnt + 100 ELSE cnt END AS cnt FROM {name}_pts
+)"""
+
+
+MERGED_CTES = (ADAPTER_SQL, ADV_POINTS_SQL, _resent("adv_imp"), _resent("adv_conv"), _top90("adv_imp_top", "adv_imp_new"),
+               _top90("adv_conv_top", "adv_conv_new"), _json("adv_imp_js", "adv_imp_top"), _json("adv_conv_js", "adv_conv_top"))
+
+
+@register("entity_series_merge", with_ctes(*MERGED_CTES) + _table_sql("adv", "advertisers_id"))
 def q_entity_series_merge(spark, sf):
     """Existing table built from minutes before MERGE_CUT, merged with an update batch
-    that re-sends one overlapping day and everything after; equals the full build."""
+    that re-sends one overlapping day with other counts, and everything after."""
     imp, conv = advertiser_points(spark, sf)
     old = S.entity_table(imp.where(time_slice("timestamp", None, MERGE_CUT)),
                          conv.where(time_slice("timestamp", None, MERGE_CUT)),
                          "advertisers_id", as_of=AS_OF)
-    upd_imp = imp.where(time_slice("timestamp", MERGE_FROM, None)).select(
-        "advertisers_id", epoch_seconds("timestamp").alias("ts"), F.col("total_impressions").alias("count"))
-    upd_conv = conv.where(time_slice("timestamp", MERGE_FROM, None)).select(
-        "advertisers_id", epoch_seconds("timestamp").alias("ts"), F.col("total_conversions").alias("count"))
-    step1 = S.entity_series_merge(old, upd_imp, "advertisers_id", "impressions", as_of=AS_OF)
-    return S.entity_series_merge(step1, upd_conv, "advertisers_id", "conversions", as_of=AS_OF) \
+
+    def resent(points, count):
+        return points.where(time_slice("timestamp", MERGE_FROM, None)).select(
+            "advertisers_id", epoch_seconds("timestamp").alias("ts"), (F.col(count) + 100).alias("count"))
+    step1 = S.entity_series_merge(old, resent(imp, "total_impressions"), "advertisers_id", "impressions", as_of=AS_OF)
+    return S.entity_series_merge(step1, resent(conv, "total_conversions"), "advertisers_id", "conversions", as_of=AS_OF) \
         .select("advertisers_id", "impressions", "conversions", "last_updated")
