@@ -9,10 +9,10 @@
 3. Classes that span at least half of a host's pages are valid.  Those that occur
    once a page are the template's skeleton, nested by path; classes that occur more
    often lie in its list slots; text tokens on nearly all pages are template text.
-4. The host's main slot is the skeleton's article, else its main element, else its
-   container with the most text that is no menu, header, footer, sidebar, notice,
-   advert, form or comment.  A page's text is what remains in that slot; a page
-   without it falls back to its own article, main element or body.
+4. The host's main slot is its articles, else its main elements, if they hold at
+   least 90 % of its pages' text that is no menu, header, footer, sidebar, notice,
+   advert, form or comment; else the body.  A page's text is what remains in that
+   slot; a page of which the slot holds less than half gives its whole body.
 
 Templates (one small row per host) are written and joined back to the pages by
 host: broadcast only if their stored size is under Spark's threshold.
@@ -32,6 +32,12 @@ from .common import written
 from .urls import host_of
 
 MIN_SHARE, TEXT_SHARE, TEXT_PAGES = 0.5, 0.9, 10
+#: Part of the text that an article or main element holds to be the slot: of a host, of one page.
+SLOT_SHARE, PAGE_SHARE = 0.9, 0.5
+#: Kinds of tokens beside containers (-1 boilerplate, 0 plain): text, and the lengths of a page's text.
+TEXT, PAGE = 9, 10
+ZONES = {"article": 2, "main": 1}
+KINDS = ZONES | {"html": 3, "body": 3}
 
 # Elements and names of what is not main text.
 RAW = "script|style|noscript|template|svg|title|textarea|iframe|object|canvas|math"
@@ -51,22 +57,26 @@ _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)
 
 
 class Page:
-    """Blocks of a page: (path, boiler, text); containers: path -> [count, chars, kind]."""
+    """Blocks of a page: (path, boiler, text, zone); containers: path -> [count, chars, kind].
+
+    The zone has bit 2 inside an article and bit 1 inside a main element; chars is
+    the text that is no boilerplate."""
 
     def __init__(self, html: str):
-        self.blocks: list[tuple[str, bool, str]] = []
+        self.blocks: list[tuple[str, bool, str, int]] = []
         self.containers: dict[str, list[int]] = {}
-        stack: list[tuple[str, str, bool]] = []  # tag, path, boiler
+        stack: list[tuple[str, str, bool, int]] = []  # tag, path, boiler, zone
         held: list[str] = []
 
         def flush():
             text = " ".join("".join(held).split())
             held.clear()
             if text:
-                path, boiler = (stack[-1][1], stack[-1][2]) if stack else ("", False)
-                self.blocks.append((path, boiler, text))
-                for _, p, _ in stack:
-                    self.containers[p][1] += len(text)
+                path, boiler, zone = stack[-1][1:] if stack else ("", False, 0)
+                self.blocks.append((path, boiler, text, zone))
+                if not boiler:
+                    for frame in stack:
+                        self.containers[frame[1]][1] += len(text)
 
         for m in _TOKEN.finditer(html):
             tag = m["tag"]
@@ -94,23 +104,29 @@ class Page:
                 stack.pop()
             names = [(k.lower(), a or b or c) for k, a, b, c in _NAMES.findall(m["attrs"])]
             words = {w for _, n in names for w in re.split(r"[\s_-]+", n.lower())}
-            in_article = any(t in ("article", "main") for t, _, _ in stack)
+            zone = stack[-1][3] if stack else 0
             boiler = bool(stack and stack[-1][2]) or bool(words & BOILER_WORDS) or (
-                tag in BOILER_TAGS and not (tag == "header" and in_article))
+                tag in BOILER_TAGS and not (tag == "header" and zone))
             label = tag + "".join("." + n for k, n in names if k == "class" and n)
             path = (stack[-1][1] + "/" if stack else "") + label
-            stack.append((tag, path, boiler))
+            stack.append((tag, path, boiler, zone | ZONES.get(tag, 0)))
             seen = self.containers.setdefault(path, [0, 0, 0])
             seen[0] += 1
-            seen[2] = -1 if boiler else {"article": 2, "main": 1}.get(tag, 0)
+            seen[2] = -1 if boiler else KINDS.get(tag, 0)
         flush()
 
-    def main_text(self, main: str | None = None, constants=()) -> str:
-        if main not in self.containers:
-            own = [(-c[2], len(p), p) for p, c in self.containers.items() if c[2] > 0]
-            main = min(own)[2] if own else ""
-        inside = lambda path: not main or path == main or path.startswith(main + "/")
-        return "\n\n".join(t for p, boiler, t in self.blocks if not boiler and inside(p) and not (constants and text_token(p, t) in constants))
+    def chars(self, zone: int = 0) -> int:
+        """Length of the text that is no boilerplate, in a zone or anywhere."""
+        return sum(len(t) for _, boiler, t, z in self.blocks if not boiler and (z & zone or not zone))
+
+    def main_text(self, slot: int = 0, constants=()) -> str:
+        kept = [(t, z) for p, boiler, t, z in self.blocks if not boiler and not (constants and text_token(p, t) in constants)]
+        total = sum(len(t) for t, _ in kept)
+        for zone in (slot, 3 - slot) if slot else ():
+            inside = [t for t, z in kept if z & zone]
+            if inside and sum(map(len, inside)) >= PAGE_SHARE * total:
+                return "\n\n".join(inside)
+        return "\n\n".join(t for t, _ in kept)
 
 
 def text_token(path: str, text: str) -> int:
@@ -124,11 +140,12 @@ def _tokens(batches):
             page = Page(html or "")
             key = xxhash.xxh64_intdigest(html or "") - (1 << 63)
             rows = [(host, key, c[2], p, 0, c[0], c[1]) for p, c in page.containers.items()]
+            rows += [(host, key, PAGE, name, 0, 1, page.chars(zone)) for name, zone in (("", 0), *ZONES.items())]
             counts: dict[int, list] = {}
-            for p, boiler, t in page.blocks:
+            for p, boiler, t, _ in page.blocks:
                 if not boiler:
                     counts.setdefault(text_token(p, t), [p, 0, len(t)])[1] += 1
-            rows += [(host, key, 9, p, h, n, c) for h, (p, n, c) in counts.items()]
+            rows += [(host, key, TEXT, p, h, n, c) for h, (p, n, c) in counts.items()]
             for row in rows:
                 for name, value in zip(out, row):
                     out[name].append(value)
@@ -138,41 +155,52 @@ def _tokens(batches):
              pa.array(out["chars"], pa.int64())], names=list(out))
 
 
-def equivalence_classes(pages: DataFrame) -> DataFrame:
-    """(host, n_pages, support, total, tokens): the valid classes of each host, tokens
-    being structs (kind, path, text, chars).  Kind 9 is text; the others are
-    containers: 2 article, 1 main element, 0 plain, -1 boilerplate."""
+def vectors(pages: DataFrame) -> DataFrame:
+    """(host, kind, path, text, support, total, chars, vector): the tokens of each host.
+    Text of a single page is no template and left out."""
     seen = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(
         _tokens, "host string, page long, kind int, path string, text long, n long, chars long").dropDuplicates(["host", "page", "kind", "path", "text"])
-    vectors = seen.groupBy("host", "kind", "path", "text").agg(
+    return seen.groupBy("host", "kind", "path", "text").agg(
         F.count("*").alias("support"), F.sum("n").alias("total"), F.sum("chars").alias("chars"),
-        F.sum(F.xxhash64("page", "n").cast("decimal(38,0)")).alias("vector"))
-    sizes = vectors.where("path = 'html' AND kind <> 9").groupBy("host").agg(F.max("support").alias("n_pages"))
-    valid = vectors.join(sizes, "host").where(
-        (F.col("support") >= MIN_SHARE * F.col("n_pages")) & ((F.col("kind") != 9) | (F.col("support") >= TEXT_SHARE * F.col("n_pages")) & (F.col("n_pages") >= TEXT_PAGES)))
+        F.sum(F.xxhash64("page", "n").cast("decimal(38,0)")).alias("vector")).where((F.col("kind") != TEXT) | (F.col("support") > 1))
+
+
+def equivalence_classes(tokens: DataFrame) -> DataFrame:
+    """(host, n_pages, support, total, tokens): the valid classes of each host, tokens
+    being structs (kind, path, text, chars).  Kind 9 is text; the others are
+    containers: 3 html or body, 2 article, 1 main element, 0 plain, -1 boilerplate."""
+    sizes = tokens.where((F.col("path") == "html") & (F.col("kind") < TEXT)).groupBy("host").agg(F.max("support").alias("n_pages"))
+    valid = tokens.where(F.col("kind") != PAGE).join(sizes, "host").where(
+        (F.col("support") >= MIN_SHARE * F.col("n_pages")) & ((F.col("kind") != TEXT) | (F.col("support") >= TEXT_SHARE * F.col("n_pages")) & (F.col("n_pages") >= TEXT_PAGES)))
     return valid.groupBy("host", "n_pages", "vector", "support", "total").agg(
         F.array_sort(F.collect_list(F.struct("path", "kind", "text", "chars"))).alias("tokens"))
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, skeleton, lists, constants, main): one row per host."""
-    token = F.explode("tokens")
-    flat = equivalence_classes(pages).select("host", (F.col("support") == F.col("total")).alias("once"), token.alias("t")).select("host", "once", "t.*")
-    once, holder = F.col("once") & (F.col("kind") != 9), F.col("once") & F.col("kind").between(0, 2)
-    slot = F.when(holder & F.col("path").contains("/") & ~F.col("path").endswith("body"), F.struct("kind", "chars", (-F.length("path")).alias("l"), "path"))
-    return flat.groupBy("host").agg(
-        F.array_sort(F.collect_set(F.when(once, F.col("path")))).alias("skeleton"),
-        F.array_sort(F.collect_set(F.when(~F.col("once") & (F.col("kind") != 9), F.col("path")))).alias("lists"),
-        F.array_sort(F.collect_set(F.when(F.col("kind") == 9, F.col("text")))).alias("constants"),
-        F.max(slot)["path"].alias("main"))
+    """(host, skeleton, lists, constants, main, slot): one row per host."""
+    tokens = written(vectors(pages), "vectors")
+    flat = equivalence_classes(tokens).select("host", (F.col("support") == F.col("total")).alias("once"), F.explode("tokens").alias("t")).select("host", "once", "t.*")
+    container = F.col("kind") != TEXT
+    longest = lambda kind: F.max(F.when(F.col("kind") == kind, F.struct("chars", (-F.length("path")).alias("l"), "path")))["path"]
+    shape = flat.groupBy("host").agg(
+        F.array_sort(F.collect_set(F.when(F.col("once") & container, F.col("path")))).alias("skeleton"),
+        F.array_sort(F.collect_set(F.when(~F.col("once") & container, F.col("path")))).alias("lists"),
+        F.array_sort(F.collect_set(F.when(~container, F.col("text")))).alias("constants"),
+        *[longest(kind).alias(name) for name, kind in ZONES.items()])
+    length = {name: F.sum(F.when(F.col("path") == name, F.col("chars"))).alias(f"{name or 'page'}_chars") for name in ("", *ZONES)}
+    sums = tokens.where(F.col("kind") == PAGE).groupBy("host").agg(*length.values())
+    nearly = lambda name: (F.col(f"{name}_chars") > 0) & (F.col(f"{name}_chars") >= SLOT_SHARE * F.col("page_chars"))
+    return sums.join(shape, "host", "left").select(
+        "host", "skeleton", "lists", "constants", F.when(nearly("article"), F.col("article")).when(nearly("main"), F.col("main")).alias("main"),
+        F.when(nearly("article"), 2).when(nearly("main"), 1).otherwise(0).alias("slot"))
 
 
 def _extract(batches):
     for batch in batches:
-        ids, urls, htmls, mains, constants = (batch.column(k) for k in range(5))
+        ids, urls, htmls, slots, constants = (batch.column(k) for k in range(5))
         texts = []
-        for html, main, fixed in zip(htmls.to_pylist(), mains.to_pylist(), constants.to_pylist()):
-            texts.append(Page(html or "").main_text(main, frozenset(fixed or ())))
+        for html, slot, fixed in zip(htmls.to_pylist(), slots.to_pylist(), constants.to_pylist()):
+            texts.append(Page(html or "").main_text(slot or 0, frozenset(fixed or ())))
         yield pa.RecordBatch.from_arrays(
             [ids, urls, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
@@ -185,6 +213,6 @@ def extract(pages: DataFrame) -> DataFrame:
     columns are not read.
     """
     pages = pages.select("page_id", "url", "html")
-    known = written(templates(pages).select("host", "main", "constants"), "templates")
+    known = written(templates(pages).select("host", "slot", "constants"), "templates")
     rows = pages.withColumn("page_host", host_of(F.col("url"))).join(known, F.col("page_host") == F.col("host"), "left")
-    return rows.select("page_id", "url", "html", "main", "constants").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return rows.select("page_id", "url", "html", "slot", "constants").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

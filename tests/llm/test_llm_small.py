@@ -207,6 +207,22 @@ def test_template_text_is_no_page_text(spark):
     assert shape.main == "html/body/article" and shape.skeleton == ["html", "html/body", "html/body/article"] and shape.lists == ["html/body/article/p"]
 
 
+def page_texts(spark, *bodies):
+    """Texts of pages of one host, from their html."""
+    df = spark.createDataFrame([(i, "http://h.org/x", b) for i, b in enumerate(bodies)], "page_id long, url string, html string")
+    return [r.text for r in pagetemplate.extract(df).orderBy("page_id").collect()]
+
+
+def test_hosts_without_article_and_odd_pages(spark):
+    wrap = "<html><body>%s</body></html>"
+    assert page_texts(spark, wrap % "<h1>T</h1><p>a</p><p>b</p>") == ["T\n\na\n\nb"]
+    assert page_texts(spark, wrap % "<div class=lead>long first part</div><div class=more>second</div>") == ["long first part\n\nsecond"]
+    usual = [wrap % f"<article><h1>T{i}</h1><p>body {i}</p></article>" for i in range(5)]
+    odd = wrap % "<article><h1>T</h1><p>one</p></article><article><p>two</p></article>"
+    bare = wrap % "<h1>B</h1><p>no article</p>"
+    assert page_texts(spark, *usual, odd, bare) == [*(f"T{i}\n\nbody {i}" for i in range(5)), "T\n\none\n\ntwo", "B\n\nno article"]
+
+
 # ---- 6 -----------------------------------------------------------------------------
 
 def test_rules_equal_brute_force(spark, docs):
