@@ -2,13 +2,15 @@
 
 1. Every page is parsed into container tokens (the paths of its block elements)
    and text tokens (path and text of each block).
-2. A token's occurrence vector over the distinct pages of its host is folded into
+2. Pages of a host are distinct if their own main texts are: copies with another
+   advert or menu are one page.  A token's occurrence vector over them is folded into
    a fingerprint, the sum of hash(page, count): tokens of equal fingerprint form an
    equivalence class.  Vectors are summed map-side, never collected, so a host
    with a third of all pages costs no more than its distinct tokens.
 3. Classes that span at least half of a host's pages are valid.  Those that occur
    once a page are the template's skeleton, nested by path; classes that occur more
-   often lie in its list slots; text tokens on nearly all pages are template text.
+   often lie in its list slots; text tokens on nearly all pages, two or more, are
+   template text, unless a page would lose more blocks than it keeps.
 4. The host's main slot is its articles, else its main elements, if they hold at
    least 90 % of its pages' text that is no menu, header, footer, sidebar, notice,
    advert, form or comment; else the body.  A page's text is what remains in that
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import written
 from .urls import host_of
 
-MIN_SHARE, TEXT_SHARE, TEXT_PAGES = 0.5, 0.9, 10
+MIN_SHARE, TEXT_SHARE = 0.5, 0.9
 #: Part of the text that an article or main element holds to be the slot: of a host, of one page.
 SLOT_SHARE, PAGE_SHARE = 0.9, 0.5
 #: Kinds of tokens beside containers (-1 boilerplate, 0 plain): text, and the lengths of a page's text.
@@ -119,14 +121,28 @@ class Page:
         """Length of the text that is no boilerplate, in a zone or anywhere."""
         return sum(len(t) for _, boiler, t, z in self.blocks if not boiler and (z & zone or not zone))
 
+    def own_text(self) -> str:
+        """Text of the page's articles, else of its main elements, else all; without boilerplate."""
+        kept = [(t, z) for _, boiler, t, z in self.blocks if not boiler]
+        zone = max((z for _, z in kept), default=0) & 2 or max((z for _, z in kept), default=0)
+        return "\n\n".join(t for t, z in kept if not zone or z & zone)
+
     def main_text(self, slot: int = 0, constants=()) -> str:
-        kept = [(t, z) for p, boiler, t, z in self.blocks if not boiler and not (constants and text_token(p, t) in constants)]
-        total = sum(len(t) for t, _ in kept)
-        for zone in (slot, 3 - slot) if slot else ():
-            inside = [t for t, z in kept if z & zone]
-            if inside and sum(map(len, inside)) >= PAGE_SHARE * total:
-                return "\n\n".join(inside)
-        return "\n\n".join(t for t, _ in kept)
+        """The slot's text without the template's (``constants``), which stays where it
+        would be more than what is left: the page is then a near copy of others."""
+        kept = [(t, z, bool(constants) and text_token(p, t) in constants) for p, boiler, t, z in self.blocks if not boiler]
+        length = lambda blocks: sum(len(b[0]) for b in blocks)
+        free = [b for b in kept if not b[2]] or kept
+        zone = 0
+        for z in (slot, 3 - slot) if slot else ():
+            if 0 < length(b for b in free if b[1] & z) >= PAGE_SHARE * length(free):
+                zone = z
+                break
+        inside = [b for b in kept if not zone or b[1] & zone]
+        rest, fixed = [b for b in inside if not b[2]], [b for b in inside if b[2]]
+        if rest and (len(rest) >= len(fixed) or not zone and length(rest) >= length(fixed)):
+            inside = rest
+        return "\n\n".join(b[0] for b in inside)
 
 
 def text_token(path: str, text: str) -> int:
@@ -138,7 +154,9 @@ def _tokens(batches):
         out: dict[str, list] = {n: [] for n in ("host", "page", "kind", "path", "text", "n", "chars")}
         for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             page = Page(html or "")
-            key = xxhash.xxh64_intdigest(html or "") - (1 << 63)
+            if not (own := page.own_text()):
+                continue
+            key = xxhash.xxh64_intdigest(own) - (1 << 63)
             rows = [(host, key, c[2], p, 0, c[0], c[1]) for p, c in page.containers.items()]
             rows += [(host, key, PAGE, name, 0, 1, page.chars(zone)) for name, zone in (("", 0), *ZONES.items())]
             counts: dict[int, list] = {}
@@ -159,7 +177,8 @@ def vectors(pages: DataFrame) -> DataFrame:
     """(host, kind, path, text, support, total, chars, vector): the tokens of each host.
     Text of a single page is no template and left out."""
     seen = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(
-        _tokens, "host string, page long, kind int, path string, text long, n long, chars long").dropDuplicates(["host", "page", "kind", "path", "text"])
+        _tokens, "host string, page long, kind int, path string, text long, n long, chars long").groupBy(
+        "host", "page", "kind", "path", "text").agg(F.max("n").alias("n"), F.max("chars").alias("chars"))
     return seen.groupBy("host", "kind", "path", "text").agg(
         F.count("*").alias("support"), F.sum("n").alias("total"), F.sum("chars").alias("chars"),
         F.sum(F.xxhash64("page", "n").cast("decimal(38,0)")).alias("vector")).where((F.col("kind") != TEXT) | (F.col("support") > 1))
@@ -171,7 +190,7 @@ def equivalence_classes(tokens: DataFrame) -> DataFrame:
     containers: 3 html or body, 2 article, 1 main element, 0 plain, -1 boilerplate."""
     sizes = tokens.where((F.col("path") == "html") & (F.col("kind") < TEXT)).groupBy("host").agg(F.max("support").alias("n_pages"))
     valid = tokens.where(F.col("kind") != PAGE).join(sizes, "host").where(
-        (F.col("support") >= MIN_SHARE * F.col("n_pages")) & ((F.col("kind") != TEXT) | (F.col("support") >= TEXT_SHARE * F.col("n_pages")) & (F.col("n_pages") >= TEXT_PAGES)))
+        (F.col("support") >= MIN_SHARE * F.col("n_pages")) & ((F.col("kind") != TEXT) | (F.col("support") >= TEXT_SHARE * F.col("n_pages"))))
     return valid.groupBy("host", "n_pages", "vector", "support", "total").agg(
         F.array_sort(F.collect_list(F.struct("path", "kind", "text", "chars"))).alias("tokens"))
 

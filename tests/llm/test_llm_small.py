@@ -223,6 +223,22 @@ def test_hosts_without_article_and_odd_pages(spark):
     assert page_texts(spark, *usual, odd, bare) == [*(f"T{i}\n\nbody {i}" for i in range(5)), "T\n\none\n\ntwo", "B\n\nno article"]
 
 
+def test_near_copies_keep_their_text(spark):
+    page = "<html><body><div class=box%d><p>box %d</p></div><article><h1>Title</h1><p>first</p><p>second</p>%s</article></body></html>"
+    assert all("Title\n\nfirst\n\nsecond" in t for t in page_texts(spark, *(page % (i, i, "") for i in range(12))))
+    assert page_texts(spark, *(page.replace("<p>box %d</p>", "<!-- %d -->") % (i, i, "") for i in range(12))) == ["Title\n\nfirst\n\nsecond"] * 12
+    assert page_texts(spark, *(page.replace("<p>box %d</p>", "<!-- %d -->") % (i, i, f"<p>no. {i}</p>") for i in range(12))) == [
+        f"Title\n\nfirst\n\nsecond\n\nno. {i}" for i in range(12)]
+    # a line of an article that is copied often, on another page
+    other = "<html><body><article><p>first</p><p>else</p><p>more</p></article></body></html>"
+    plain = "<html><body><article><p>x%d</p><p>y%d</p></article></body></html>"
+    got = page_texts(spark, *(page.replace("<p>box %d</p>", "<!-- %d -->") % (i, i, "") for i in range(40)), other, plain % (1, 1))
+    assert got[40:] == ["first\n\nelse\n\nmore", "x1\n\ny1"]
+    # as with ten pages, so with fewer
+    share = "<html><body><article><p>Share this page</p><p>body %d</p></article></body></html>"
+    assert page_texts(spark, *(share % i for i in range(9))) == [f"body {i}" for i in range(9)]
+
+
 # ---- 6 -----------------------------------------------------------------------------
 
 def test_rules_equal_brute_force(spark, docs):
