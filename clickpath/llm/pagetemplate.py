@@ -16,6 +16,9 @@
    advert, form or comment; else the body.  A page's text is what remains in that
    slot; a page of which the slot holds less than half gives its whole body.
 
+Names mark boilerplate only as a whole or by their last word, and never on html,
+body, main, article or what the page's only article is in.
+
 Templates (one small row per host) are written and joined back to the pages by
 host: broadcast only if their stored size is under Spark's threshold.
 """
@@ -24,6 +27,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -50,6 +54,7 @@ BOILER_TAGS = frozenset("head nav header footer aside form button select menu di
 BOILER_WORDS = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments cookie cookies disqus "
                          "footer header menu nav navbar navigation newsletter notice notices popup promo related share sharing "
                          "sidebar social sponsor sponsored subscribe toolbar widget".split())
+BOILER_NOT = frozenset("has with without no".split())
 SELF_CLOSING = frozenset("p li dt dd option tr td th".split())
 
 _TOKEN = re.compile(
@@ -58,6 +63,15 @@ _TOKEN = re.compile(
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 
 
+@lru_cache(1 << 16)
+def is_boiler_name(name: str) -> bool:
+    """A listed word, whole or last (``site-footer``), that is not what a page has or lacks (``has-sidebar``)."""
+    if name in BOILER_WORDS:
+        return True
+    words = re.split("[_-]+", name)
+    return words[-1] in BOILER_WORDS and not BOILER_NOT.intersection(words)
+
+
 class Page:
     """Blocks of a page: (path, boiler, text, zone); containers: path -> [count, chars, kind].
 
@@ -67,18 +81,17 @@ class Page:
     def __init__(self, html: str):
         self.blocks: list[tuple[str, bool, str, int]] = []
         self.containers: dict[str, list[int]] = {}
-        stack: list[tuple[str, str, bool, int]] = []  # tag, path, boiler, zone
+        # path, boiler by its tags, zone, places of the named elements it is in, kind, place of its parent
+        opened: list[tuple[str, bool, int, frozenset, int, int]] = []
+        texts: list[tuple[int, str]] = []  # place of the container, text
+        stack: list[tuple[str, int]] = []  # tag, place
         held: list[str] = []
 
         def flush():
             text = " ".join("".join(held).split())
             held.clear()
             if text:
-                path, boiler, zone = stack[-1][1:] if stack else ("", False, 0)
-                self.blocks.append((path, boiler, text, zone))
-                if not boiler:
-                    for frame in stack:
-                        self.containers[frame[1]][1] += len(text)
+                texts.append((stack[-1][1] if stack else -1, text))
 
         for m in _TOKEN.finditer(html):
             tag = m["tag"]
@@ -105,17 +118,50 @@ class Page:
             if stack and (stack[-1][0] == "p" or stack[-1][0] == tag and tag in SELF_CLOSING):
                 stack.pop()
             names = [(k.lower(), a or b or c) for k, a, b, c in _NAMES.findall(m["attrs"])]
-            words = {w for _, n in names for w in re.split(r"[\s_-]+", n.lower())}
-            zone = stack[-1][3] if stack else 0
-            boiler = bool(stack and stack[-1][2]) or bool(words & BOILER_WORDS) or (
-                tag in BOILER_TAGS and not (tag == "header" and zone))
+            parent = stack[-1][1] if stack else -1
+            above, boiler, zone, named = opened[parent][:4] if stack else ("", False, 0, frozenset())
+            boiler = boiler or tag in BOILER_TAGS and not (tag == "header" and zone)
+            if tag not in KINDS and any(is_boiler_name(w) for _, n in names for w in n.lower().split()):
+                named = named | {len(opened)}
             label = tag + "".join("." + n for k, n in names if k == "class" and n)
-            path = (stack[-1][1] + "/" if stack else "") + label
-            stack.append((tag, path, boiler, zone | ZONES.get(tag, 0)))
+            stack.append((tag, len(opened)))
+            opened.append((above + "/" * bool(stack[1:]) + label, boiler, zone | ZONES.get(tag, 0), named, KINDS.get(tag, 0), parent))
+        flush()
+        void = self._void_names(opened, texts)
+        boilers = [o[1] or bool(o[3] - void) for o in opened]
+        for (path, _, _, _, kind, _), boiler in zip(opened, boilers):
             seen = self.containers.setdefault(path, [0, 0, 0])
             seen[0] += 1
-            seen[2] = -1 if boiler else KINDS.get(tag, 0)
-        flush()
+            seen[2] = -1 if boiler else kind
+        for k, text in texts:
+            path, _, zone, _, _, _ = opened[k] if k >= 0 else ("", False, 0, None, 0, -1)
+            boiler = k >= 0 and boilers[k]
+            self.blocks.append((path, boiler, text, zone))
+            while k >= 0 and not boiler:
+                self.containers[opened[k][0]][1] += len(text)
+                k = opened[k][5]
+
+    @staticmethod
+    def _void_names(opened, texts) -> frozenset:
+        """Places of the named elements that the page's only articles (or main elements)
+        are in: their names say nothing of the text."""
+        for zone in (2, 1):
+            around: frozenset = frozenset()
+            inside = other = 0
+            for k, text in texts:
+                if k < 0 or opened[k][1]:
+                    continue
+                names = frozenset(n for n in opened[k][3] if not opened[n][2] & zone)
+                if opened[k][2] & zone and not names:
+                    break
+                if opened[k][2] & zone:
+                    around, inside = around | names, inside + len(text)
+                elif opened[k][2] and not names:
+                    other += len(text)
+            else:
+                if inside and inside >= other:
+                    return around
+        return frozenset()
 
     def chars(self, zone: int = 0) -> int:
         """Length of the text that is no boilerplate, in a zone or anywhere."""

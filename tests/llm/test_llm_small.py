@@ -239,6 +239,17 @@ def test_near_copies_keep_their_text(spark):
     assert page_texts(spark, *(share % i for i in range(9))) == [f"body {i}" for i in range(9)]
 
 
+@pytest.mark.parametrize("html", [
+    "<html><body class='has-sidebar'>%s</body></html>", "<html class='no-js cookie'><body id=menu>%s</body></html>",
+    "<html><body><main id='main-with-sidebar'>%s</main></body></html>", "<html><body><div class=widget>%s</div><div class=widget>w</div></body></html>",
+    "<html><body>%s<div class=related><article>teaser</article></div><div class=site-footer>f</div></body></html>",
+    "<html><body><div class='layout-with-sidebar'><p>Intro</p>%s</div></body></html>"])
+def test_names_around_the_article(html):
+    article = "<article class='post comments-open share'><h1>T</h1><p class=ad-free>text</p><div class='comments'><article>spoken</article></div></article>"
+    assert pagetemplate.Page(html % article).main_text(2) in ("T\n\ntext", "Intro\n\nT\n\ntext" if "Intro" in html else "")
+    assert pagetemplate.Page("<div class='home no-sidebar'>%s</div>" % "<p>a</p>").main_text() == "a"
+
+
 # ---- 6 -----------------------------------------------------------------------------
 
 def test_rules_equal_brute_force(spark, docs):
