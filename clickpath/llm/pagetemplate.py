@@ -234,7 +234,7 @@ def equivalence_classes(tokens: DataFrame) -> DataFrame:
     """(host, n_pages, support, total, tokens): the valid classes of each host, tokens
     being structs (kind, path, text, chars).  Kind 9 is text; the others are
     containers: 3 html or body, 2 article, 1 main element, 0 plain, -1 boilerplate."""
-    sizes = tokens.where((F.col("path") == "html") & (F.col("kind") < TEXT)).groupBy("host").agg(F.max("support").alias("n_pages"))
+    sizes = tokens.where((F.col("kind") == PAGE) & (F.col("path") == "")).select("host", F.col("support").alias("n_pages"))
     valid = tokens.where(F.col("kind") != PAGE).join(sizes, "host").where(
         (F.col("support") >= MIN_SHARE * F.col("n_pages")) & ((F.col("kind") != TEXT) | (F.col("support") >= TEXT_SHARE * F.col("n_pages"))))
     return valid.groupBy("host", "n_pages", "vector", "support", "total").agg(

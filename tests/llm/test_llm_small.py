@@ -250,6 +250,15 @@ def test_names_around_the_article(html):
     assert pagetemplate.Page("<div class='home no-sidebar'>%s</div>" % "<p>a</p>").main_text() == "a"
 
 
+def test_pages_count_whatever_their_root(spark):
+    share = "%s<body><article><p>Share this page</p><p>body %d</p></article></body>"
+    for root in ("<html class='no-js'>", ""):
+        assert page_texts(spark, *(share % (root, i) for i in range(12))) == [f"body {i}" for i in range(12)]
+    few = [f"<html><body><article><p>said twice</p><p>a{i}</p><p>b{i}</p></article></body></html>" for i in range(2)]
+    many = [f"<html class='no-js'><body><article><p>c{i}</p></article></body></html>" for i in range(30)]
+    assert page_texts(spark, *few, *many) == [*(f"said twice\n\na{i}\n\nb{i}" for i in range(2)), *(f"c{i}" for i in range(30))]
+
+
 # ---- 6 -----------------------------------------------------------------------------
 
 def test_rules_equal_brute_force(spark, docs):
