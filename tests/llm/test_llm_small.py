@@ -259,6 +259,17 @@ def test_pages_count_whatever_their_root(spark):
     assert page_texts(spark, *few, *many) == [*(f"said twice\n\na{i}\n\nb{i}" for i in range(2)), *(f"c{i}" for i in range(30))]
 
 
+def test_classes_mark_the_template(spark):
+    top = "<div class=topbox><ul><li>Home</li><li>About</li></ul></div>"
+    own = "<h1>T%d</h1><p>a%d</p><p>b%d and</p>"
+    bodies = [(top if i < 6 else "") + own % (i, i, i) for i in range(10)]
+    assert page_texts(spark, *(f"<html><body>{b}</body></html>" for b in bodies)) == [f"T{i}\n\na{i}\n\nb{i} and" for i in range(10)]
+    # template text does not count against the article as slot; text at another place of an article stays
+    bodies = [f"{top}<div class=x>Follow us on all channels</div><article><p>a{i}</p><p>{'same' if i else 'other'}</p>{'<p>same</p>' if i == 3 else ''}</article>" for i in range(10)]
+    got = page_texts(spark, *(f"<html><body>{b}</body></html>" for b in bodies))
+    assert got == [f"a{i}\n\n{'same' if i else 'other'}" + ("\n\nsame" if i == 3 else "") for i in range(10)]
+
+
 # ---- 6 -----------------------------------------------------------------------------
 
 def test_rules_equal_brute_force(spark, docs):
