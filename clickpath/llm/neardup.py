@@ -314,8 +314,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ban
 def report(docs: DataFrame) -> DataFrame:
     """One row per document: its class, the class's size and whether it stays."""
     found = written(classes(docs), "classes")
-    size = found.groupBy("class_id", "keep_node").agg(F.count("*").alias("class_size"))
-    return found.join(size, ["class_id", "keep_node"]).select(
+    size = found.groupBy("keep_node").agg(F.count("*").alias("class_size"))  # class_id may be null
+    return found.join(size, "keep_node").select(
         F.col("id").alias("doc_id"), "class_id", "class_size",
         (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("node") == F.col("keep_node"))).alias("kept"))
 

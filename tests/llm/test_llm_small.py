@@ -172,6 +172,13 @@ def test_near_duplicate_classes_equal_brute_force(spark, docs):
     assert neardup.keep_one(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_without_an_id_stay(spark):
+    df = spark.createDataFrame([(None, "a text of its own"), (None, "a text of its own"), (1, "another one"), (None, "third text")], "doc_id long, text string")
+    got = Counter((r.doc_id, r.class_id, r.class_size, r.kept) for r in neardup.report(df).collect())
+    assert got == Counter([(None, None, 2, True), (None, None, 2, True), (1, 1, 1, True), (None, None, 1, True)])
+    assert Counter(r.text for r in neardup.keep_one(df).collect()) == Counter(["a text of its own", "another one", "third text"])
+
+
 def test_signatures_are_unbiased():
     rng = random.Random(1)
     t = [f"w{rng.randrange(99)}" for _ in range(120)]
