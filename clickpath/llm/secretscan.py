@@ -37,6 +37,8 @@ KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
 _JWT = re.compile(r"eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
 _BASE64 = re.compile(r"[A-Za-z0-9+/]{24,}(?:\r?\n[A-Za-z0-9+/]{4,})*={0,2}")
+_URL_SAFE = re.compile(r"(?!-----)[A-Za-z0-9_-]{24,}(?:\r?\n(?!-----)[A-Za-z0-9_-]{4,})*={0,2}")
+_FROM_URL_SAFE = str.maketrans("-_", "+/")
 _LONG_HEX = re.compile(r"[0-9a-fA-F]{32,}")
 _SSH_NAME = re.compile(rb"(ssh|ecdsa|sk)-[A-Za-z0-9@.-]{3,60}\Z")
 SLICE_BYTES = 16 << 20
@@ -99,6 +101,8 @@ def ssh_length(data: bytes) -> int | None:
             break
         if fields == 0 and not _SSH_NAME.match(data[4:4 + n]):
             return None
+        if fields >= 2 and _SSH_NAME.match(data[at + 4:at + 4 + n]):
+            break  # the next key
         at, fields = at + 4 + n, fields + 1
     return at if fields >= 2 else None
 
@@ -112,20 +116,61 @@ def _is_token(found: str) -> bool:
     return isinstance(head, dict) and isinstance(claims, dict) and isinstance(head.get("alg"), str)
 
 
+def _decoded(chars: str) -> bytes:
+    chars = chars[:len(chars) - (len(chars) % 4 == 1)]
+    return base64.b64decode(chars + "=" * (-len(chars) % 4))
+
+
+def _names_ssh(chars: str, start: int) -> bool:
+    if not chars.startswith("AAAA", start):
+        return False
+    raw = _decoded(chars[start:start + 96])
+    return bool(_SSH_NAME.match(raw[4:4 + int.from_bytes(raw[:4], "big")]))
+
+
+def _keys(found: str) -> list[tuple[str, int, int]]:
+    """Keys (kind, start, end) in base64 lines: from each line's start and from the end
+    of the key before.  Only what can begin a key is decoded."""
+    at = [k for k, c in enumerate(found) if c not in "\r\n="]
+    chars = "".join(found[k] for k in at).translate(_FROM_URL_SAFE)
+    lines = [k for k in range(len(at) - 1, -1, -1) if k == 0 or found[at[k] - 1] == "\n"]
+    out, end, following = [], 0, False
+    while lines or following:
+        start = end if following else lines.pop()
+        following = False
+        if start < end or start >= len(chars):
+            continue
+        head, kind, n = chars[start:start + 96], "", None
+        if head[0] == "M":
+            raw = _decoded(head)
+            size = 2 + raw[1] if raw[1:2] and raw[1] < 0x80 else 2 + (raw[1] & 0x7F) + int.from_bytes(raw[2:2 + (raw[1] & 0x7F)], "big") if raw[1:2] and raw[1] & 0x7F <= 4 else 0
+            if 0 < size <= (len(chars) - start) * 3 // 4:
+                kind, n = "der", der_length(_decoded(chars[start:start - (-size * 4 // 3)]))
+        elif head.startswith("b3BlbnNzaC1rZXktdjEA"):
+            kind, n = "ssh", ssh_length(_decoded(chars[start:]))
+        elif _names_ssh(chars, start):
+            stop = next((k for k in reversed(lines) if k > start and _names_ssh(chars, k)), len(chars))
+            kind, n = "ssh", ssh_length(_decoded(chars[start:stop]))
+        if n is not None:
+            end, following = min(len(at), start - (-n * 4 // 3)), True
+            last = at[end - 1] + 1
+            while last < len(found) and found[last] == "=":
+                last += 1
+            out.append((kind, at[start], last))
+    return out
+
+
 def confirmed(text: str) -> list[tuple[str, int, int]]:
     """Structurally confirmed spans (kind, start, end) of a text."""
     out = [("jwt", m.start(), m.end()) for m in _JWT.finditer(text) if _is_token(m.group())]
-    for m in _BASE64.finditer(text):
-        found = m.group()
-        at = [k for k, c in enumerate(found) if c not in "\r\n="]
-        chars = "".join(found[k] for k in at)
-        raw = base64.b64decode(chars[:len(chars) // 4 * 4] + (chars[len(chars) // 4 * 4:] + "=" * (-len(chars) % 4) if len(chars) % 4 > 1 else ""))
-        for kind, parse in (("der", der_length), ("ssh", ssh_length)):
-            if (n := parse(raw)) is not None:
-                last = at[min(len(at), -(-n * 4 // 3)) - 1] + 1
-                while last < len(found) and found[last] == "=":
-                    last += 1
-                out.append((kind, m.start(), m.start() + last))
+    found = {}
+    for pattern in (_BASE64, _URL_SAFE):
+        for m in pattern.finditer(text):
+            if pattern is _BASE64 or "-" in m.group() or "_" in m.group():
+                for kind, start, end in _keys(m.group()):
+                    place = kind, m.start() + start
+                    found[place] = max(found.get(place, 0), m.start() + end)
+    out += [(kind, start, end) for (kind, start), end in found.items()]
     for m in _LONG_HEX.finditer(text):
         raw = bytes.fromhex(m.group()[:len(m.group()) // 2 * 2])
         for kind, parse in (("der", der_length), ("ssh", ssh_length)):

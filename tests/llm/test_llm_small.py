@@ -339,6 +339,25 @@ def test_secret_spans(spark):
 
 # ---- 9 and 10 ----------------------------------------------------------------------
 
+def test_keys_on_adjoining_lines():
+    def der(tag, body):
+        n = len(body)
+        return bytes([tag]) + (bytes([n]) if n < 128 else bytes([0x82]) + n.to_bytes(2, "big")) + body
+
+    rng = random.Random(3)
+    keys = [base64.b64encode(der(0x30, der(0x30, der(0x02, rng.randbytes(20))) + der(0x03, rng.randbytes(259)))).decode() for _ in range(2)]
+    keys = [k.rstrip("=") for k in keys]
+    n = len(keys[0])
+    assert secretscan.confirmed("\n".join(keys)) == [("der", 0, n), ("der", n + 1, 2 * n + 1)]
+    assert secretscan.confirmed("".join(keys))[:1] == [("der", 0, n)]
+    assert secretscan.confirmed("0123456789abcdef0123" * 2 + "\n" + keys[0]) == [("der", 41, 41 + n)]
+    safe = keys[0].replace("+", "-").replace("/", "_")
+    assert safe != keys[0] and secretscan.confirmed(f"key: {safe} end") == [("der", 5, 5 + n)]
+    field = lambda b: len(b).to_bytes(4, "big") + b
+    ssh = [base64.b64encode(field(b"ssh-ed25519") + field(rng.randbytes(31))).decode().rstrip("=") for _ in range(2)]
+    assert secretscan.confirmed("\n".join(ssh)) == [("ssh", 0, len(ssh[0])), ("ssh", len(ssh[0]) + 1, 2 * len(ssh[0]) + 1)]
+
+
 def test_mix_reaches_targets(spark, docs):
     rows = mixing.report(docs).collect()
     size = {}
