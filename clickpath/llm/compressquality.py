@@ -6,7 +6,7 @@ compressed whole with either and without any; the normalised size difference
 length are the inputs of a logistic calibration.  Labels, language, source and id
 are never inputs.
 
-The fit uses a bounded sample: at most ``SAMPLE`` labelled texts of each class of
+The fit uses a bounded sample: at most ``SAMPLE`` labelled texts of each class, one an id, of
 at most ``SAMPLE_BYTES`` bytes each (dictionaries from the first 60 %, calibration
 from the rest, which the dictionaries have not seen).  Scoring is one
 ``mapInArrow`` over all documents; the model (a few hundred kilobytes, fixed by
@@ -89,12 +89,18 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-3)
     return beta
 
 
-def training_rows(labels: DataFrame, sample: int = SAMPLE) -> list[tuple[int, int]]:
-    """(doc_id, label) of the fit: of the rows outside the held-out fold at most
-    ``sample`` per class, by hash of the id.  Ids with both labels or a null are out."""
+def usable(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text").where(F.octet_length("text").between(1, SAMPLE_BYTES))
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[tuple[int, int]]:
+    """(doc_id, label) of the fit: of the rows outside the held-out fold that have a
+    text of usable length at most ``sample`` per class, by hash of the id.  Ids with
+    both labels or a null are out."""
     outside = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) != 1
     one = labels.where(outside & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(
         F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other")
+    one = one.join(usable(docs).select("doc_id").distinct(), "doc_id", "left_semi")
     out = []
     for q in (0, 1):
         rows = one.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id").collect()
@@ -105,10 +111,10 @@ def training_rows(labels: DataFrame, sample: int = SAMPLE) -> list[tuple[int, in
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Dictionaries and calibration from the bounded sample.  Without texts of both
     classes the score is 0.5 for every text."""
-    rows = training_rows(labels, sample)
+    rows = training_rows(docs, labels, sample)
     spark = docs.sparkSession
     wanted = spark.createDataFrame(rows, "doc_id long, quality int")
-    found = docs.select("doc_id", "text").where(F.octet_length("text").between(1, SAMPLE_BYTES)).join(F.broadcast(wanted), "doc_id")
+    found = usable(docs).join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
     texts = {q: [] for q in (0, 1)}
     for r in sorted(found.select(F.xxhash64("doc_id"), "doc_id", "quality", "text").collect()):
         texts[r[2]].append(r[3].encode())

@@ -317,6 +317,17 @@ def test_compression_classifier_held_out(spark):
     assert all(x.score == 0.5 for x in rows) and len(rows) == 2
 
 
+def test_fit_takes_usable_texts_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(0, 60)] + [(0, "again")] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(-2000, 60)], "doc_id long, quality int")
+    rows = compressquality.training_rows(docs, labels, 10)
+    assert all(i >= 0 for i, _ in rows) and Counter(q for _, q in rows) == {0: 10, 1: 10}
+    seen = []
+    monkeypatch.setattr(compressquality, "_dictionary", lambda texts: seen.append(texts) or b"\n" * 8)
+    compressquality.fit(docs, labels, 40)
+    assert sum(map(len, seen)) <= 36 and len({t for x in seen for t in x}) == sum(map(len, seen))
+
+
 def test_secret_spans(spark):
     def der(tag, body):
         return bytes([tag, len(body)]) + body if len(body) < 128 else bytes([tag, 0x82]) + len(body).to_bytes(2, "big") + body
