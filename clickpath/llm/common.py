@@ -23,8 +23,8 @@ def fresh(columns, base: str) -> str:
     return name
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
+def stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """Write ``df`` as Parquet in the shared folder; it read back, and its path.
 
     Cuts the lineage: a lost executor costs the tasks of the current stage only.
     The folder is the one of ``spark.checkpoint.dir``, which all executors see.
@@ -32,7 +32,18 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, f"llm-{label}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``stored``, without the path."""
+    return stored(df, label)[0]
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a table of ``stored`` that nothing reads any more."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def bound(value: Column, f) -> Column:

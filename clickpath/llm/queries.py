@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, compressquality, decontam, mixing, neardup, packing, pagetemplate, rules, secretscan, urls
+from . import (chat, collocations, compressquality, decontam, infill, mixing, neardup, packing, pagetemplate, rules, secretscan,
+               tokencount, urls)
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -182,6 +183,70 @@ def op10_pack_tokens(spark, sf_dir):
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+@register("op11_count_tokens")
+def op11_count_tokens(spark, sf_dir):
+    return tokencount.count(read(spark, sf_dir, "documents"))
+
+
+@register("op12_fill_in_middle", r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, CAST(length(coalesce(text, '')) AS BIGINT) AS n,
+         sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), g AS (
+  SELECT doc_id, t, n, list_transform([1, 9, 17, 25], lambda i: list_sum(list_transform(range(0, 8), lambda j:
+           CAST(instr('0123456789abcdef', substr(h, i + j, 1)) - 1 AS BIGINT) << (28 - 4 * j)))::BIGINT) AS v FROM d
+), f AS (
+  SELECT doc_id, t, n, least(v[1] % (n + 1), v[2] % (n + 1)) AS p, greatest(v[1] % (n + 1), v[2] % (n + 1)) AS q,
+         CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR v[3] % 100 >= 90 THEN 'plain'
+              WHEN v[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM g
+), o AS (
+  SELECT *, CASE form WHEN 'plain' THEN t
+                 WHEN 'psm' THEN '<P>' || substr(t, 1, p) || '<S>' || substr(t, q + 1) || '<M>' || substr(t, p + 1, q - p)
+                 ELSE '<S>' || substr(t, q + 1) || '<P>' || substr(t, 1, p) || '<M>' || substr(t, p + 1, q - p) END AS output FROM f
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN p END AS prefix_chars, CASE WHEN form <> 'plain' THEN q - p END AS middle_chars,
+       sha256(output) AS output_sha256, sha256(t) AS restored_sha256 FROM o""")
+def op12_fill_in_middle(spark, sf_dir):
+    return infill.report(read(spark, sf_dir, "documents"))
+
+
+@register("op13_mine_collocations", r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), p AS (
+  SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w
+  FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?
+-]')) AS piece FROM d)
+), g AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, w[i:i + k - 1] AS words
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(w) >= k)
+), f AS (
+  SELECT lang, k, phrase, any_value(words) AS words, count(*) AS c FROM g GROUP BY lang, k, phrase
+), n AS (
+  SELECT lang, sum(c)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang
+), cand AS (
+  SELECT * FROM f WHERE k > 1 AND c >= 100
+), cuts AS (
+  SELECT c.lang, c.k, c.phrase, c.c AS a, l.c AS l, r.c AS r, n.n, j, (1000::HUGEINT * c.c * n.n) // (l.c::HUGEINT * r.c) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM cand) c
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.words[1:j], ' ')
+  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.words[j + 1:], ' ')
+  JOIN n ON n.lang = c.lang
+), low AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+), covered AS (
+  SELECT DISTINCT s.lang, s.phrase
+  FROM (SELECT lang, c, k, words, unnest(range(2, k)) AS m FROM cand) b, unnest(range(1, b.k - b.m + 2)) AS u(i), cand s
+  WHERE s.lang = b.lang AND s.phrase = array_to_string(b.words[u.i:u.i + b.m - 1], ' ') AND b.c >= s.c
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM low ANTI JOIN covered USING (lang, phrase)
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000""")
+def op13_mine_collocations(spark, sf_dir):
+    return collocations.mine(read(spark, sf_dir, "documents"))
+
+
 @register("pipeline")
 def pipeline(spark, sf_dir):
     import corpus_pipeline
