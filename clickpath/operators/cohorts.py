@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import publisher_cohort
 from ..functions.timecols import HOUR, epoch_seconds, trunc_to
+from ..sources.scratch import stored
+from .graph import connected_components
+
+LIFT = 3
 
 
 def fraud_cohorts(impressions: DataFrame, suspects: DataFrame, sample: int = 10,
@@ -36,6 +40,64 @@ def fraud_cohorts(impressions: DataFrame, suspects: DataFrame, sample: int = 10,
     return sizes.join(samples, "cohort_key")
 
 
+def cookie_links(impressions: DataFrame, suspects: DataFrame, lift: int = LIFT) -> tuple[DataFrame, DataFrame]:
+    """Per (cookie, publisher) of the suspects the impressions and whether it is a link, and
+    per cookie the impressions.
+
+    A publisher links a cookie that spends there ``lift`` times the publisher's share of
+    all suspects' impressions.  A hub has a large share, so hardly any cookie is linked by
+    it, though its rows count in every figure; integers only, so no rounding decides."""
+    seen = impressions.join(suspects.select("cookie_id"), "cookie_id", "left_semi")
+    per_pair, _ = stored(seen.groupBy("cookie_id", "publishers_id").agg(F.sum("impressions").cast("bigint").alias("n")), "cookie-publishers")
+    per_cookie = per_pair.groupBy("cookie_id").agg(F.sum("n").alias("cookie_n"))
+    per_publisher = per_pair.groupBy("publishers_id").agg(F.sum("n").alias("publisher_n"))
+    total = per_publisher.agg(F.sum("publisher_n").alias("total"))      # one row
+    wide = lambda c: F.col(c).cast("decimal(18,0)")
+    linked = wide("n") * wide("total") >= F.lit(int(lift)) * (wide("cookie_n") * wide("publisher_n"))
+    pairs = per_pair.join(per_cookie, "cookie_id").join(per_publisher, "publishers_id").crossJoin(F.broadcast(total))
+    return pairs.select("cookie_id", "publishers_id", "n", linked.alias("linked")), per_cookie
+
+
+def _linked(impressions: DataFrame, suspects: DataFrame, lift: int):
+    pairs, per_cookie = cookie_links(impressions, suspects, lift)
+    links = pairs.where("linked").select("cookie_id", "publishers_id", "n")
+    # a cookie is a node by a loop, so that those without a link have a component too
+    edges = links.select(F.concat(F.lit("0"), "cookie_id").alias("a"), F.concat(F.lit("1"), "publishers_id").alias("b")).union(
+        per_cookie.select(F.concat(F.lit("0"), "cookie_id").alias("a"), F.concat(F.lit("0"), "cookie_id").alias("b")))
+    found = connected_components(edges, "a", "b").where(F.substring("node", 1, 1) == "0")
+    cohort = found.select(F.expr("substring(node, 2)").alias("cookie_id"), F.expr("substring(component, 2)").alias("cohort_id"))
+    mine = links.groupBy("cookie_id").agg(F.count(F.lit(1)).alias("linked_publishers"), F.sum("n").alias("linked_impressions"))
+    members = per_cookie.join(cohort, "cookie_id").join(mine, "cookie_id", "left").select(
+        "cohort_id", "cookie_id", F.coalesce("linked_publishers", F.lit(0)).alias("linked_publishers"),
+        F.col("cookie_n").alias("impressions"), F.coalesce("linked_impressions", F.lit(0)).alias("linked_impressions"))
+    return members, links, cohort
+
+
+def linked_cohort_members(impressions: DataFrame, suspects: DataFrame, lift: int = LIFT) -> DataFrame:
+    """Suspect cookies by connected components of the cookie-publisher links: cohort_id (its
+    least cookie), linked_publishers, impressions, linked_impressions, linked_share (of the
+    cookie's impressions) and cohort_share (of the cohort's).  A cookie without a link is a
+    cohort of one."""
+    members, _, _ = _linked(impressions, suspects, lift)
+    total = members.groupBy("cohort_id").agg(F.sum("impressions").alias("total"))
+    return members.join(total, "cohort_id").select(
+        "cohort_id", "cookie_id", "linked_publishers", "impressions", "linked_impressions",
+        F.round(F.col("linked_impressions") / F.col("impressions"), 6).alias("linked_share"),
+        F.round(F.col("impressions") / F.col("total"), 6).alias("cohort_share"))
+
+
+def linked_cohorts(impressions: DataFrame, suspects: DataFrame, lift: int = LIFT) -> DataFrame:
+    """One row per cohort of ``linked_cohort_members``: cookies, linking publishers, impressions."""
+    members, links, cohort = _linked(impressions, suspects, lift)
+    publishers = (links.join(cohort, "cookie_id").select("cohort_id", "publishers_id").distinct()
+                  .groupBy("cohort_id").agg(F.count(F.lit(1)).alias("publishers")))
+    sums = members.groupBy("cohort_id").agg(
+        F.count(F.lit(1)).alias("cookies"), F.sum("impressions").alias("impressions"), F.sum("linked_impressions").alias("linked_impressions"))
+    return sums.join(publishers, "cohort_id", "left").select(
+        "cohort_id", "cookies", F.coalesce("publishers", F.lit(0)).alias("publishers"), "impressions", "linked_impressions",
+        F.round(F.col("linked_impressions") / F.col("impressions"), 6).alias("linked_share"))
+
+
 def similar_advertisers(impressions: DataFrame, target) -> DataFrame:
     """Cookie-overlap Jaccard of every advertiser with the ``target`` advertiser(s).
 

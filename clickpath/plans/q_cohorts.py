@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.timecols import DAY
 from ..operators import cohorts as C
 from ..operators import reports as R
+from ..operators import similarity as SIM
 from ..sources.tables import read_table
 from ..sources import adapters
 from . import domain
@@ -127,3 +128,89 @@ SELECT advertisers_id, period, impressions, conversions, round(rate, 6) AS rate,
 FROM w""")
 def q_rate_anomalies(spark, sf):
     return C.rate_anomalies(domain.impressions(spark, sf), domain.conversions(spark, sf))
+
+
+# --- similar entities, all pairs -------------------------------------------------------------
+
+def similar_sql(source: str, entity: str, member: str, top: int, least: float) -> str:
+    """Exact Jaccard of all pairs of entities."""
+    return f"""
+, m AS (SELECT DISTINCT {entity} AS e, {member} AS x FROM {source}),
+size AS (SELECT e, count(*) AS n FROM m GROUP BY e),
+both_seen AS (SELECT a.e AS t, b.e AS e, count(*) AS shared FROM m a JOIN m b ON a.x = b.x AND a.e <> b.e GROUP BY ALL),
+j AS (SELECT t, both_seen.e, shared, s.n, st.n AS tn, shared / (s.n + st.n - shared) AS j
+      FROM both_seen JOIN size s ON s.e = both_seen.e JOIN size st ON st.e = t)
+SELECT t AS target_id, row_number() OVER w AS rank, e AS entity_id, shared AS shared_members, n AS members, tn AS target_members,
+       round(j, 6) AS jaccard
+FROM j WHERE j >= {least} WINDOW w AS (PARTITION BY t ORDER BY j DESC, e) QUALIFY row_number() OVER w <= {top}"""
+
+
+@register("similar_advertisers_all", with_ctes(ADAPTER_SQL) + similar_sql("raw_impressions", "advertisers_id", "cookie_id", 10, 0.3))
+def q_similar_advertisers_all(spark, sf):
+    return SIM.similar_entities(domain.impressions(spark, sf), "advertisers_id", "cookie_id")
+
+
+@register("similar_publishers_all", with_ctes(ADAPTER_SQL) + similar_sql("raw_impressions", "publishers_id", "cookie_id", 10, 0.3))
+def q_similar_publishers_all(spark, sf):
+    return SIM.similar_entities(domain.impressions(spark, sf), "publishers_id", "cookie_id")
+
+
+@register("similar_publishers_volume", """WITH shipped AS (
+  SELECT 'PID_' || l_suppkey AS publishers_id, 'CID_' || o_custkey AS cookie_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+)""" + similar_sql("shipped", "publishers_id", "cookie_id", 5, 0.15))
+def q_similar_publishers_volume(spark, sf):
+    """Suppliers by their customers, in single-bin bands: the sets overlap by a fifth only."""
+    return SIM.similar_entities(adapters.volume_impressions(spark, sf), "publishers_id", "cookie_id", top=5, least=0.15, rows=1)
+
+
+# --- cohorts of cookies that share unusual publishers -----------------------------------------
+
+LINKED_SQL = f"""
+, susp AS (
+  SELECT cookie_id FROM impression_tracking
+  WHERE timestamp >= {A} - INTERVAL 30 DAY AND timestamp < {A}
+  GROUP BY cookie_id HAVING count(DISTINCT publishers_id) > 10
+), cp AS (
+  SELECT cookie_id, publishers_id, CAST(sum(impressions) AS BIGINT) AS n FROM impression_tracking
+  WHERE cookie_id IN (SELECT cookie_id FROM susp) GROUP BY ALL
+), c AS (SELECT cookie_id, CAST(sum(n) AS BIGINT) AS n FROM cp GROUP BY ALL
+), p AS (SELECT publishers_id, CAST(sum(n) AS BIGINT) AS n FROM cp GROUP BY ALL
+), link AS (
+  SELECT cp.cookie_id, cp.publishers_id, cp.n FROM cp JOIN c USING (cookie_id) JOIN p USING (publishers_id)
+  WHERE cp.n::HUGEINT * (SELECT sum(n) FROM cp) >= 3::HUGEINT * c.n * p.n
+), reach AS (
+  WITH RECURSIVE r(node, root) AS (
+    SELECT cookie_id, cookie_id FROM susp
+    UNION
+    SELECT b.cookie_id, r.root FROM r JOIN link a ON a.cookie_id = r.node JOIN link b ON a.publishers_id = b.publishers_id
+  ) SELECT node AS cookie_id, min(root) AS cohort_id FROM r GROUP BY node
+), linked AS (SELECT cookie_id, count(*) AS publishers, CAST(sum(n) AS BIGINT) AS n FROM link GROUP BY ALL
+), members AS (
+  SELECT cohort_id, c.cookie_id, coalesce(publishers, 0) AS linked_publishers, c.n AS impressions,
+         coalesce(linked.n, 0) AS linked_impressions
+  FROM c JOIN reach USING (cookie_id) LEFT JOIN linked USING (cookie_id)
+)"""
+
+
+def _members(spark, sf):
+    return C.linked_cohort_members(domain.impressions(spark, sf), _suspects(spark, sf))
+
+
+@register("fraud_cohort_members", with_ctes(ADAPTER_SQL) + LINKED_SQL + """
+SELECT cohort_id, cookie_id, linked_publishers, impressions, linked_impressions,
+       round(linked_impressions / impressions, 6) AS linked_share,
+       round(impressions / sum(impressions) OVER (PARTITION BY cohort_id), 6) AS cohort_share
+FROM members""")
+def q_cohort_members(spark, sf):
+    return _members(spark, sf)
+
+
+@register("fraud_cohorts_linked", with_ctes(ADAPTER_SQL) + LINKED_SQL + """
+SELECT m.cohort_id, count(*) AS cookies, max(pubs.n) AS publishers, CAST(sum(impressions) AS BIGINT) AS impressions,
+       CAST(sum(linked_impressions) AS BIGINT) AS linked_impressions,
+       round(sum(linked_impressions) / sum(impressions), 6) AS linked_share
+FROM members m
+JOIN (SELECT cohort_id, count(DISTINCT publishers_id) AS n FROM reach LEFT JOIN link USING (cookie_id) GROUP BY ALL) pubs USING (cohort_id)
+GROUP BY m.cohort_id""")
+def q_cohorts_linked(spark, sf):
+    return C.linked_cohorts(domain.impressions(spark, sf), _suspects(spark, sf))

@@ -99,14 +99,14 @@ query_log AS (
     CASE WHEN event_type IN ('view', 'signup') THEN 'cql_' ELSE 'presto_' END || CAST(event_id AS VARCHAR)
       AS query_id,
     CASE
-      WHEN event_type = 'view' AND k % 2 = 0 THEN format('SELECT points FROM series_store WHERE entity = ''{}'' AND kind = 7', pub)
-      WHEN event_type = 'view' THEN format('SELECT points FROM series_store WHERE slot = {} LIMIT 90', k)
+      WHEN event_type = 'view' AND k % 2 = 0 THEN format('DELETE FROM shelf_tally WHERE shelf = ''{}'' AND days_old = 7.5', pub)
+      WHEN event_type = 'view' THEN format('EXPLAIN SELECT price FROM tags WHERE tag_no IN ({}, 77) OR colour = ''red''', k)
       WHEN event_type = 'click' THEN
-        format('SELECT sum(hits) FROM minute_facts WHERE visitor = ''{}'' AND at_minute >= TIMESTAMP ''{}''', cookie, minute_txt)
+        format('UPDATE guests SET last_press = TIMESTAMP ''{}'', presses = presses + 1 WHERE guest = "{}"', minute_txt, cookie)
       WHEN event_type = 'purchase' THEN
-        format('SELECT brand, count(1) AS n FROM sales WHERE at_minute = TIMESTAMP ''{}'' AND brand <> '''' GROUP BY brand', minute_txt)
-      WHEN event_type = 'signup' THEN 'MERGE INTO series_store USING new_points ON entity = ? AND slot = ?'
-      ELSE format('SELECT visitor FROM matched_sales WHERE visitor IN (''{}'', ''CID_0'') AND entity BETWEEN ''{}'' AND ''PID_999''', cookie, pub)
+        format('INSERT INTO receipts TABLE till WHERE till_no BETWEEN {} AND {} OR closed >= ''{}''', k, k + 9, minute_txt)
+      WHEN event_type = 'signup' THEN 'MERGE INTO members m USING joined j ON m.card = ? WHEN NOT MATCHED THEN INSERT VALUES (?, ?)'
+      ELSE format('ALTER TABLE receipts DROP PARTITION (branch = ''{}'', lot IN (''{}'', ''spare''))', pub, cookie)
     END AS query_text,
     'pipeline ' || event_type || ' statement' AS query_description,
     CASE WHEN event_type IN ('view', 'signup') THEN 'HCD' ELSE 'Presto' END AS query_type,

@@ -128,10 +128,10 @@ def volume_conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- query log derived from events ----------------------------------------------------------
-# Each event stands for one statement the pipeline issued (fixed templates below): a view is
-# a hot-store point read, a click a lake range read, a purchase a per-minute conversion count,
-# a signup a prepared series update, and an error a failed lake query.  The log grows with
-# the events table, so pattern analytics run at table scale.
+# Each event stands for one statement of a made-up shop (fixed templates below) that together
+# reach every rewrite of the fingerprint: quoted and numeric values, lists, ranges, bounds that
+# stay and placeholders.  The log grows with the events table, so pattern analytics run at
+# table scale.
 
 def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "value", "props"])
@@ -142,17 +142,14 @@ def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     minute_txt = F.date_format(minute_of("ts"), "yyyy-MM-dd HH:mm:ss")
     et = F.col("event_type")
     text = (F.when((et == "view") & (k % 2 == 0),
-                   F.format_string("SELECT points FROM series_store WHERE entity = '%s' AND kind = 7", pub))
-            .when(et == "view", F.format_string("SELECT points FROM series_store WHERE slot = %d LIMIT 90", k))
+                   F.format_string("DELETE FROM shelf_tally WHERE shelf = '%s' AND days_old = 7.5", pub))
+            .when(et == "view", F.format_string("EXPLAIN SELECT price FROM tags WHERE tag_no IN (%d, 77) OR colour = 'red'", k))
             .when(et == "click", F.format_string(
-                "SELECT sum(hits) FROM minute_facts WHERE visitor = '%s' AND at_minute >= TIMESTAMP '%s'", cookie, minute_txt))
+                "UPDATE guests SET last_press = TIMESTAMP '%s', presses = presses + 1 WHERE guest = \"%s\"", minute_txt, cookie))
             .when(et == "purchase", F.format_string(
-                "SELECT brand, count(1) AS n FROM sales WHERE at_minute = TIMESTAMP '%s' AND brand <> '' GROUP BY brand",
-                minute_txt))
-            .when(et == "signup", F.lit("MERGE INTO series_store USING new_points ON entity = ? AND slot = ?"))
-            .otherwise(F.format_string(
-                "SELECT visitor FROM matched_sales WHERE visitor IN ('%s', 'CID_0') AND entity BETWEEN '%s' AND 'PID_999'",
-                cookie, pub)))
+                "INSERT INTO receipts TABLE till WHERE till_no BETWEEN %d AND %d OR closed >= '%s'", k, k + 9, minute_txt))
+            .when(et == "signup", F.lit("MERGE INTO members m USING joined j ON m.card = ? WHEN NOT MATCHED THEN INSERT VALUES (?, ?)"))
+            .otherwise(F.format_string("ALTER TABLE receipts DROP PARTITION (branch = '%s', lot IN ('%s', 'spare'))", pub, cookie)))
     hcd = et.isin("view", "signup")
     ms = F.col("value") * F.lit(40.0)
     return ev.select(
