@@ -16,6 +16,7 @@ from ..session import shared_path
 from ..sources.tables import table_path
 from ..streaming import pipeline as P
 from ..streaming import stateful as ST
+from ..streaming import tracker as TR
 from . import q_series
 from .registry import ADAPTER_SQL, AS_OF, attributed_sql, register, with_ctes
 
@@ -76,11 +77,25 @@ FROM raw_conversions c
 WHERE EXISTS (SELECT 1 FROM raw_impressions i WHERE i.cookie_id = c.cookie_id
               AND i.bucket_date >= c.bucket_date - INTERVAL 90 MINUTE AND i.bucket_date <= c.bucket_date)""")
 def q_stream_cookie_window(spark, sf):
-    out = _run(spark, sf, "tracker", ST.stream_cookie_window)
+    with TR.rocksdb_state(spark):
+        out = _run(spark, sf, "tracker", TR.stream_cookie_window)
     return out.where("eligible").select("cookie_id", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"),
                                         "advertisers_id", "conversion_id")
 
 
+@register("stream_state_left", with_ctes(ADAPTER_SQL) + """
+SELECT DISTINCT 'impression_minutes' AS state, cookie_id, bucket_date AS timestamp
+FROM raw_impressions, (SELECT date_trunc('minute', max(ts) + INTERVAL 2 MINUTE) - INTERVAL 5 SECOND AS watermark FROM events)
+WHERE bucket_date + INTERVAL 90 MINUTE >= watermark""")
+def q_stream_state_left(spark, sf):
+    """State of the tracker after the whole replay, read back from its checkpoint: only the
+    impression minutes of one look-back before the watermark, and no waiting conversion."""
+    scratch = _scratch(spark, "tracker-state")
+    with TR.rocksdb_state(spark):
+        P.run_available_now(TR.stream_cookie_window(_dom(spark, sf, scratch)), f"{scratch}/sink", f"{scratch}/checkpoint")
+        return TR.state_left(spark, f"{scratch}/checkpoint")
+
+
 @register("stream_entity_series", with_ctes(*q_series.PUB_CTES) + f"""
 SELECT i.id AS publishers_id, i.js AS impressions, '[]' AS conversions, TIMESTAMP '{AS_OF}' AS last_updated
 FROM pub_imp_js i""")

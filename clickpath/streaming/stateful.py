@@ -1,10 +1,5 @@
-"""Stateful streaming: per-cookie impression tracker, series publishing through
+"""Stateful streaming: first-touch attribution as per-key state, series publishing through
 ``foreachBatch`` into a versioned table, and the multi-sink dual write.
-
-The tracker uses ``applyInPandasWithState``: the state per cookie is the list of
-minutes with impressions in the last look-back (at most 91 entries however hot
-the cookie), rows reach the function as Arrow batches, and an event-time timeout
-drops a cookie's state once the watermark is a look-back past its last impression.
 """
 
 from __future__ import annotations
@@ -24,63 +19,6 @@ from ..sources.adapters import CONVERSION_TYPES, IMPRESSION_TYPES
 from ..sources.lake import latest_version
 from .pipeline import counted, of_types
 
-TRACKER_OUT = ("cookie_id string, timestamp timestamp, advertisers_id string, conversion_id string, "
-               "eligible boolean")
-TRACKER_STATE = "minutes array<bigint>"
-
-
-def _tracker_fn(window_seconds: int):
-    window_us = int(window_seconds) * 1_000_000
-
-    def fn(key, pdfs, state):
-        (cookie,) = key
-        if state.hasTimedOut:
-            state.remove()
-            return
-        known = np.array(state.get[0] if state.exists else [], dtype="int64")
-        # all impressions of the batch first: a key may span Arrow batches in any order
-        held = []
-        for pdf in pdfs:
-            t = pdf["__us"].to_numpy(dtype="int64")       # epoch micros (same clock as the watermark)
-            is_imp = pdf["event_type"].isin(list(IMPRESSION_TYPES)).to_numpy()
-            is_conv = pdf["event_type"].isin(list(CONVERSION_TYPES)).to_numpy()
-            known = np.union1d(known, t[is_imp])
-            if is_conv.any():
-                held.append((t[is_conv], pdf.loc[is_conv, ["ts", "advertisers_id", "event_id"]]))
-        outs = []
-        for ct, conv in held:
-            if len(conv):
-                # first impression minute >= t - window; eligible if it is <= t
-                idx = np.searchsorted(known, ct - window_us, side="left")
-                ok = np.zeros(len(ct), dtype=bool)
-                has = idx < len(known)
-                ok[has] = known[idx[has]] <= ct[has]
-                outs.append(pd.DataFrame({
-                    "cookie_id": cookie, "timestamp": conv["ts"].values,
-                    "advertisers_id": conv["advertisers_id"].values,
-                    "conversion_id": conv["event_id"].astype("string").values, "eligible": ok}))
-        if len(known):
-            # on-time conversions are not older than the watermark: one look-back before it is kept
-            horizon = min(int(known.max()), state.getCurrentWatermarkMs() * 1000) - window_us
-            known = known[known >= horizon]
-            state.update((known.tolist(),))
-            expire_ms = int((known.max() + window_us) // 1000) + 1
-            state.setTimeoutTimestamp(max(expire_ms, state.getCurrentWatermarkMs() + 1))
-        for o in outs:
-            yield o
-    return fn
-
-
-def stream_cookie_window(dom: DataFrame, window_seconds: int = LOOKBACK_SECONDS) -> DataFrame:
-    """Conversion attempts flagged ``eligible`` when their cookie had an impression
-    (any advertiser) in ``[t - window, t]`` among the rows seen so far."""
-    rows = of_types(dom, (*IMPRESSION_TYPES, *CONVERSION_TYPES)).select(
-        "cookie_id", "ts", F.unix_micros("ts").alias("__us"), "event_type", "advertisers_id",
-        F.col("event_id").cast("string").alias("event_id"))
-    return rows.groupBy("cookie_id").applyInPandasWithState(
-        _tracker_fn(window_seconds), TRACKER_OUT, TRACKER_STATE, "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def publisher_minute_stream(dom: DataFrame) -> DataFrame:
     """Finalised per-minute impression totals per publisher (append mode)."""
     g = counted(of_types(dom, IMPRESSION_TYPES).groupBy(F.window("ts", "1 minute"), "publishers_id"), "count")
