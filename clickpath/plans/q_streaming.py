@@ -12,9 +12,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions.timecols import DAY
 from ..session import shared_path
 from ..sources.tables import table_path
 from ..streaming import pipeline as P
+from ..streaming import restate as RS
 from ..streaming import stateful as ST
 from ..streaming import tracker as TR
 from . import q_series
@@ -153,3 +155,34 @@ def q_stream_dual_write(spark, sf):
                           F.col("rows").cast("bigint").alias("rows"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+@register("late_restated", with_ctes(ADAPTER_SQL, attributed_sql()) + """
+SELECT 'rollup' AS part, publishers_id, advertisers_id, cookie_id, timestamp, CAST(NULL AS TIMESTAMP) AS impression_timestamp,
+       CAST(impressions AS BIGINT) AS n FROM impression_tracking
+UNION ALL SELECT 'attributed', publishers_id, advertisers_id, cookie_id, conversion_timestamp, impression_timestamp, 1 FROM attributed
+UNION ALL SELECT 'late', publishers_id, advertisers_id, cookie_id, date_trunc('minute', ts), NULL, count(*) FROM ev
+WHERE event_id % 20 = 0 AND event_type IN ('view', 'click', 'purchase', 'signup')
+  AND date_trunc('day', ts) < (SELECT date_trunc('day', date_trunc('minute', max(ts)) - INTERVAL 5 SECOND) FROM ev WHERE event_id % 20 <> 0)
+GROUP BY ALL""")
+def q_late_restated(spark, sf):
+    """A replay in which every twentieth event comes after all others: the tables after the
+    restatement equal the batch results, and the side table holds the late rows."""
+    scratch = _scratch(spark, "restated")
+    events = spark.read.parquet(table_path(sf, "events"))
+    tables = RS.Restated(spark, f"{scratch}/tables", seconds=DAY, as_of=AS_OF)
+    for rows in (F.col("event_id") % 20 != 0, F.col("event_id") % 20 == 0):
+        events.where(rows).write.mode("append").parquet(f"{scratch}/src")
+        dom = P.domain_stream(spark.readStream.schema(events.schema).parquet(f"{scratch}/src"))
+        P.run_foreach_batch(dom, tables.intake, f"{scratch}/checkpoint")
+    tables.restate()
+    tables.finish()
+    none = F.lit(None).cast("timestamp_ntz")
+    ids = ["publishers_id", "advertisers_id", "cookie_id"]
+    rollup = tables.rollup().select(F.lit("rollup").alias("part"), *ids, "timestamp", none.alias("impression_timestamp"),
+                                    F.col("impressions").cast("bigint").alias("n"))
+    attributed = tables.attributed().select(F.lit("attributed").alias("part"), *ids, F.col("conversion_timestamp").alias("timestamp"),
+                                            "impression_timestamp", F.lit(1).cast("bigint").alias("n"))
+    late = tables.late().groupBy(*ids, "timestamp").agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit("late").alias("part"), *ids, "timestamp", none.alias("impression_timestamp"), "n")
+    return rollup.unionByName(attributed).unionByName(late)
