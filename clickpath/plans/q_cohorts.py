@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.timecols import DAY
 from ..operators import cohorts as C
+from ..operators import payout as PO
 from ..operators import reports as R
 from ..operators import similarity as SIM
 from ..sources.tables import read_table
@@ -214,3 +215,25 @@ JOIN (SELECT cohort_id, count(DISTINCT publishers_id) AS n FROM reach LEFT JOIN
 GROUP BY m.cohort_id""")
 def q_cohorts_linked(spark, sf):
     return C.linked_cohorts(domain.impressions(spark, sf), _suspects(spark, sf))
+
+
+@register("payouts_dated", with_ctes(ADAPTER_SQL, attributed_sql("INTERVAL 24 HOUR")) + """
+, rates AS (
+  SELECT 'AID_' || lpad(CAST(a AS VARCHAR), 3, '0') AS advertisers_id, TIMESTAMP '2024-01-01' + third * INTERVAL 10 DAY AS valid_from,
+         cents // (n * 100) AS payout_cents, cents // n AS value_cents
+  FROM (SELECT o_orderkey % 5 AS a, least((day(o_orderdate) - 1) // 10, 2) AS third, count(*) AS n,
+               CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents FROM orders GROUP BY ALL)
+  WHERE a <> 4 OR third > 0
+), rated AS (
+  SELECT a.publishers_id, a.advertisers_id, r.payout_cents, r.value_cents
+  FROM attributed a ASOF LEFT JOIN rates r ON a.advertisers_id = r.advertisers_id AND a.conversion_timestamp >= r.valid_from
+), sums AS (
+  SELECT publishers_id, advertisers_id, count(*) AS conversions, count(*) FILTER (WHERE payout_cents IS NULL) AS unrated_conversions,
+         CAST(coalesce(sum(payout_cents), 0) AS BIGINT) AS paid, CAST(coalesce(sum(value_cents), 0) AS BIGINT) AS brought
+  FROM rated GROUP BY publishers_id, advertisers_id
+)
+SELECT publishers_id, advertisers_id, conversions, unrated_conversions, paid / 100 AS payout, brought / 100 AS value,
+       CASE WHEN paid > 0 THEN round((brought - paid) / paid, 6) END AS roi FROM sums""")
+def q_payouts_dated(spark, sf):
+    rates = PO.dated_order_rates(read_table(spark, sf, "orders", ["o_orderkey", "o_totalprice", "o_orderdate"]), "2024-01-01 00:00:00")
+    return PO.payout_report(domain.attributed(spark, sf, lookback_seconds=DAY), rates)

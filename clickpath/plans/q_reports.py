@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.timecols import DAY, MINUTE, time_slice
 from ..operators import fraud as FR
+from ..operators import partials as PA
 from ..operators import reports as R
 from ..operators import timeline as TL
+from ..session import shared_path
 from ..sources import adapters
 from . import domain
 from .registry import ADAPTER_SQL, AS_OF, attributed_sql, back, register, with_ctes
@@ -273,3 +277,44 @@ SELECT advertisers_id, publishers_id, cookie_id, conversion_timestamp, impressio
   FROM attributed) WHERE rn <= 100""")
 def q_advertiser_conversions(spark, sf):
     return TL.advertiser_conversions(domain.attributed(spark, sf, lookback_seconds=DAY))
+
+
+# --- reports from hourly partial states -------------------------------------------------------
+
+def _partials(spark, sf, days):
+    """The month's partials written to the lake (one pass over the facts), read for some days."""
+    path = shared_path(spark, "lake", f"publisher-hours-{uuid.uuid4().hex[:12]}")
+    PA.write_partials(PA.hourly_partials(domain.impressions(spark, sf), "publishers_id"), path)
+    return lambda d: PA.read_partials(spark, path, back(d * DAY), AS_OF)
+
+
+@register("baseline_from_partials", with_ctes(ADAPTER_SQL, BASELINE_SQL) + "\nSELECT * FROM baseline")
+def q_baseline_from_partials(spark, sf):
+    return PA.baseline(_partials(spark, sf, 7)(7))
+
+
+@register("publisher_daily_from_partials", with_ctes(ADAPTER_SQL) + f"""
+SELECT publishers_id, CAST(date_trunc('day', timestamp) AS DATE) AS date,
+       CAST(sum(impressions) AS BIGINT) AS daily_impressions
+FROM impression_tracking WHERE {_since('timestamp', '30 DAY')} GROUP BY 1, 2""")
+def q_daily_from_partials(spark, sf):
+    return PA.daily(_partials(spark, sf, 30)(30))
+
+
+@register("reach_from_sketches", with_ctes(ADAPTER_SQL) + """
+SELECT publishers_id, days, CAST(sum(impressions) AS BIGINT) AS impressions, count(DISTINCT cookie_id) AS unique_users, true AS within_error
+FROM impression_tracking, (SELECT unnest([1, 7, 30]) AS days)
+WHERE timestamp >= """ + A + """ - days * INTERVAL 1 DAY AND timestamp < """ + A + """ GROUP BY ALL""")
+def q_reach_from_sketches(spark, sf):
+    """Reach of every publisher over three windows from one set of sketches, beside the exact
+    count and whether the estimate keeps the stated error."""
+    window = _partials(spark, sf, 30)
+    out = None
+    for days in (1, 7, 30):
+        exact = (domain.impressions(spark, sf, back(days * DAY), AS_OF).groupBy("publishers_id")
+                 .agg(F.countDistinct("cookie_id").alias("unique_users")))
+        near = F.abs(F.col("approx_unique_users") - F.col("unique_users")) <= F.ceil(F.col("unique_users") * PA.STATED_ERROR)
+        one = PA.reach(window(days)).join(exact, "publishers_id").select(
+            "publishers_id", F.lit(days).alias("days"), "impressions", "unique_users", near.alias("within_error"))
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -19,6 +19,7 @@ from ..streaming import pipeline as P
 from ..streaming import restate as RS
 from ..streaming import stateful as ST
 from ..streaming import tracker as TR
+from ..streaming import velocity as VE
 from . import q_series
 from .registry import ADAPTER_SQL, AS_OF, attributed_sql, register, with_ctes
 
@@ -186,3 +187,29 @@ def q_late_restated(spark, sf):
     late = tables.late().groupBy(*ids, "timestamp").agg(F.count(F.lit(1)).alias("n")).select(
         F.lit("late").alias("part"), *ids, "timestamp", none.alias("impression_timestamp"), "n")
     return rollup.unionByName(attributed).unionByName(late)
+
+
+@register("stream_velocity_updates", with_ctes(ADAPTER_SQL) + """
+, parts AS (
+  SELECT cookie_id, to_timestamp(floor(epoch(ts) / 864000) * 864000) AT TIME ZONE 'UTC' AS timestamp, event_id % 4 AS part, count(*) AS n
+  FROM ev WHERE event_type IN ('purchase', 'signup') GROUP BY ALL
+), rising AS (
+  SELECT *, CAST(sum(n) OVER (PARTITION BY cookie_id, timestamp ORDER BY part) AS BIGINT) AS so_far FROM parts
+), judged AS (
+  SELECT *, CASE WHEN so_far >= 20 THEN 'high' WHEN so_far >= 10 THEN 'medium' WHEN so_far >= 5 THEN 'low' ELSE 'clean' END AS risk_level
+  FROM rising
+), firsts AS (SELECT cookie_id, timestamp, risk_level, min(part) AS since FROM judged GROUP BY ALL)
+SELECT cookie_id, timestamp, max(so_far) AS conversion_count, arg_max(risk_level, part) AS risk_level, count(*) AS updates,
+       any_value(l.levels) AS levels
+FROM judged JOIN (SELECT cookie_id, timestamp, string_agg(risk_level, '>' ORDER BY since) AS levels FROM firsts GROUP BY ALL) l
+USING (cookie_id, timestamp) GROUP BY cookie_id, timestamp""")
+def q_velocity_updates(spark, sf):
+    """Counts of ten-day windows in update mode while a quarter of the events comes at a time."""
+    scratch = _scratch(spark, "velocity-updates")
+    events = spark.read.parquet(table_path(sf, "events"))
+    for part in range(4):
+        events.where(F.col("event_id") % 4 == part).write.mode("append").parquet(f"{scratch}/src")
+        dom = P.domain_stream(spark.readStream.schema(events.schema).parquet(f"{scratch}/src"), "60 days")
+        P.run_foreach_batch(VE.velocity_updates(dom, "10 days"), VE.updates_sink(f"{scratch}/updates"), f"{scratch}/checkpoint", "update")
+    rows = VE.updates(spark, f"{scratch}/updates")
+    return VE.current(rows).join(VE.levels(rows), list(VE.KEY))
