@@ -42,10 +42,12 @@ def _cookie_filter(df: DataFrame, cookies) -> DataFrame:
         return df
     if isinstance(cookies, DataFrame):
         # no forced broadcast: the planner broadcasts a small (e.g. limit(100)) list by
-        # its size estimate, and shuffles a large one
-        if cookies.isEmpty():
-            return df
-        return df.join(cookies.select("cookie_id").distinct(), "cookie_id", "left_semi")
+        # its size estimate, and shuffles a large one.  Whether the list is empty is one
+        # row of the same plan, not a job of its own.
+        listed = cookies.select("cookie_id").distinct()
+        none = listed.agg((F.count(F.lit(1)) == 0).alias("__all"))
+        hit = df.join(listed.withColumn("__listed", F.lit(True)), "cookie_id", "left")
+        return hit.crossJoin(F.broadcast(none)).where(F.col("__listed") | F.col("__all")).select(*df.columns)
     cookies = list(cookies)
     return df.where(F.col("cookie_id").isin(cookies)) if cookies else df
 
@@ -100,7 +102,9 @@ def fraud_two_stage(raw_conversions: DataFrame, attributed: DataFrame, as_of, mi
     Stage 2 judges the stage-1 cookies on the same window, so its counts are the
     stage-1 counts and need no second aggregate."""
     top = fraud_stage1(raw_conversions, as_of, short_window, limit)
-    recent = attributed.where(_window("conversion_timestamp", as_of, long_window))
+    # only the stage-1 cookies' publishers are counted
+    recent = attributed.where(_window("conversion_timestamp", as_of, long_window)).join(
+        top.select("cookie_id"), "cookie_id", "left_semi")
     passed = F.col("conversion_count") >= min_conversions
     count, sample = _source_columns()
     return top.join(_sources(recent, sample_size), "cookie_id", "left").select(

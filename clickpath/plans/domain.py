@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.timecols import shift
 from ..operators.attribution import first_touch_attribution
 from ..sources import adapters
 from .registry import AS_OF
@@ -18,11 +19,16 @@ def conversions(spark: SparkSession, sf: str, start=None, end=None) -> DataFrame
 
 
 def attributed(spark: SparkSession, sf: str, lookback_seconds: int = 5400,
-               strategy: str = "window") -> DataFrame:
-    """conversions_identified over the whole event month (every minute's job at once)."""
-    return first_touch_attribution(impressions(spark, sf), conversions(spark, sf),
-                                   lookback_seconds=lookback_seconds, as_of=AS_OF,
-                                   strategy=strategy)
+               strategy: str = "window", start=None, end=None, cookies: DataFrame | None = None) -> DataFrame:
+    """conversions_identified over the whole event month (every minute's job at once).
+
+    ``start``/``end`` bound the conversions, and the impressions by one look-back more; both
+    bounds reach the scans.  ``cookies`` restricts both sides before anything is attributed."""
+    imp = impressions(spark, sf, shift(start, -lookback_seconds) if start is not None else None, end)
+    conv = conversions(spark, sf, start, end)
+    if cookies is not None:
+        imp, conv = (df.join(cookies.select("cookie_id"), "cookie_id", "left_semi") for df in (imp, conv))
+    return first_touch_attribution(imp, conv, lookback_seconds=lookback_seconds, as_of=AS_OF, strategy=strategy)
 
 
 # --- service run statistics derived from the pipeline's own outputs --------------------------

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.timecols import epoch_seconds, time_slice
 from ..operators import rollup
 from ..operators import series as S
+from ..operators.rollup import ENTITY_ID
+from ..session import shared_path
+from ..sources import lake
+from ..sources.pointread import look_up_options, point_read, sorted_by, write_sorted
 from . import domain
 from .registry import ADAPTER_SQL, AS_OF, attributed_sql, register, with_ctes
 
@@ -36,6 +44,20 @@ def advertisers_table(spark, sf):
     return S.entity_table(imp, conv, "advertisers_id", as_of=AS_OF)
 
 
+def published(spark, sf, entity: str):
+    """The served table of an entity, read from its newest published version.
+
+    A dashboard reads what the publishing job wrote; here the first reader of a session
+    and data folder publishes it, sorted by id and with a Bloom filter on it."""
+    id_col = ENTITY_ID[entity]
+    name = hashlib.md5(f"{spark.sparkContext.applicationId}:{os.path.abspath(sf)}:{entity}".encode()).hexdigest()[:16]
+    base = shared_path(spark, "published", f"{entity}-{name}")
+    if lake.latest_version(spark, base) is None:
+        build = {"publishers": publishers_table, "advertisers": advertisers_table}[entity]
+        lake.write_version(spark, sorted_by(build(spark, sf), id_col), base, options=look_up_options([id_col]))
+    return lake.read_table_version(spark, base)
+
+
 # ---- oracle building blocks ---------------------------------------------------------------
 def _top90(name: str, source: str) -> str:
     """CTE ``name``(id, ts, cnt) = newest 90 points per id of ``source``(id, ts, cnt)."""
@@ -116,12 +138,12 @@ def q_advertiser_series(spark, sf):
 
 @register("entity_totals", with_ctes(*PUB_CTES) + _totals_sql("pub", "publishers_id"))
 def q_entity_totals(spark, sf):
-    return S.entity_totals(publishers_table(spark, sf), "publishers_id")
+    return S.entity_totals(published(spark, sf, "publishers"), "publishers_id")
 
 
 @register("advertiser_totals", with_ctes(*ADV_CTES) + _totals_sql("adv", "advertisers_id"))
 def q_advertiser_totals(spark, sf):
-    return S.entity_totals(advertisers_table(spark, sf), "advertisers_id")
+    return S.entity_totals(published(spark, sf, "advertisers"), "advertisers_id")
 
 
 @register("entity_chart", with_ctes(*PUB_CTES) + """
@@ -130,7 +152,7 @@ SELECT coalesce(i.id, c.id) AS publishers_id, coalesce(i.ts, c.ts) AS ts,
        CAST(coalesce(i.cnt, 0) AS BIGINT) AS impressions, CAST(coalesce(c.cnt, 0) AS BIGINT) AS conversions
 FROM pub_imp_top i FULL OUTER JOIN pub_conv_top c ON i.id = c.id AND i.ts = c.ts""")
 def q_entity_chart(spark, sf):
-    return S.entity_chart(publishers_table(spark, sf), "publishers_id")
+    return S.entity_chart(published(spark, sf, "publishers"), "publishers_id")
 
 
 @register("top_advertisers", with_ctes(*ADV_CTES) + """
@@ -138,7 +160,7 @@ SELECT advertisers_id, advertisers_id AS name, total_conversions, total_impressi
 """ + _totals_sql("adv", "advertisers_id") + """
 ) ORDER BY total_conversions DESC, total_impressions DESC, advertisers_id LIMIT 10""")
 def q_top_advertisers(spark, sf):
-    return S.top_entities(advertisers_table(spark, sf), "advertisers_id", 10)
+    return S.top_entities(published(spark, sf, "advertisers"), "advertisers_id", 10)
 
 
 @register("top_publishers_by_totals", with_ctes(*PUB_CTES) + """
@@ -146,7 +168,7 @@ SELECT publishers_id, publishers_id AS name, total_conversions, total_impression
 """ + _totals_sql("pub", "publishers_id") + """
 ) ORDER BY total_conversions DESC, total_impressions DESC, publishers_id LIMIT 10""")
 def q_top_publishers_by_totals(spark, sf):
-    return S.top_entities(publishers_table(spark, sf), "publishers_id", 10)
+    return S.top_entities(published(spark, sf, "publishers"), "publishers_id", 10)
 
 
 @register("publisher_sample", with_ctes(*PUB_CTES) + """
@@ -154,19 +176,40 @@ SELECT publishers_id, publishers_id AS name, total_impressions, total_conversion
 ORDER BY md5(publishers_id || ':7'), publishers_id LIMIT 10""")
 def q_publisher_sample(spark, sf):
     """A pick by hash of id and seed over all publishers."""
-    return S.entity_sample(publishers_table(spark, sf), "publishers_id", limit=10, seed=7)
+    return S.entity_sample(published(spark, sf, "publishers"), "publishers_id", limit=10, seed=7)
 
 
 @register("entity_list", with_ctes(*PUB_CTES) + """
 SELECT publishers_id, publishers_id AS name FROM (""" + _table_sql("pub", "publishers_id") + ")")
 def q_entity_list(spark, sf):
-    return S.entity_list(publishers_table(spark, sf), "publishers_id")
+    return S.entity_list(published(spark, sf, "publishers"), "publishers_id")
 
 
 @register("entity_lookup", with_ctes(*ADV_CTES) + """
 SELECT * FROM (""" + _table_sql("adv", "advertisers_id") + ") WHERE advertisers_id = 'AID_003'")
 def q_entity_lookup(spark, sf):
-    return S.entity_lookup(advertisers_table(spark, sf), "advertisers_id", "AID_003")
+    return S.entity_lookup(published(spark, sf, "advertisers"), "advertisers_id", "AID_003")
+
+
+@register("cookie_path", with_ctes(ADAPTER_SQL) + """
+, chosen AS (SELECT cookie_id FROM conversion_tracking GROUP BY cookie_id ORDER BY count(*) DESC, cookie_id LIMIT 1)
+SELECT 'impression' AS kind, publishers_id, advertisers_id, cookie_id, timestamp, CAST(impressions AS BIGINT) AS n
+FROM impression_tracking WHERE cookie_id IN (FROM chosen)
+UNION ALL SELECT 'conversion', NULL, advertisers_id, cookie_id, timestamp, count(*) FROM conversion_tracking
+WHERE cookie_id IN (FROM chosen) GROUP BY ALL""")
+def q_cookie_path(spark, sf):
+    """All facts of one cookie (the one with most conversions), by a point read of the fact table
+    that is sorted by cookie and time."""
+    none = F.lit(None).cast("string")
+    imp = domain.impressions(spark, sf).select(F.lit("impression").alias("kind"), "publishers_id", "advertisers_id", "cookie_id", "timestamp",
+                                               F.col("impressions").cast("bigint").alias("n"))
+    conv = domain.conversions(spark, sf)
+    done = conv.groupBy("advertisers_id", "cookie_id", "timestamp").agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit("conversion").alias("kind"), none.alias("publishers_id"), "advertisers_id", "cookie_id", "timestamp", "n")
+    path = shared_path(spark, "lake", f"paths-{uuid.uuid4().hex[:12]}")
+    write_sorted(imp.unionByName(done), path, ["cookie_id", "timestamp"], bloom=["cookie_id"])
+    busiest = conv.groupBy("cookie_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "cookie_id").first()
+    return point_read(spark, path, cookie_id=busiest.cookie_id if busiest else None)
 
 
 def _resent(name: str) -> str:

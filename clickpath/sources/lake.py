@@ -59,6 +59,14 @@ def append_facts(df: DataFrame, path: str, ts_col: str, id_col: str) -> None:
     write_lake_table(df, path, ts_col, id_col, mode="append")
 
 
+def append_batch(df: DataFrame, path: str, ts_col: str, batch_id: int) -> None:
+    """Append a batch so that appending it again replaces it: its rows are partitions of
+    their own (``hour_key`` / ``batch_id``), overwritten dynamically."""
+    laid = df.withColumn("hour_key", hour_key(ts_col)).withColumn("batch_id", F.lit(int(batch_id)).cast("bigint"))
+    (laid.hint("rebalance", F.col("hour_key")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("hour_key", "batch_id").parquet(path))
+
+
 def write_minute(df: DataFrame, path: str, ts_col: str) -> None:
     """Write one minute's rows so that running the minute again replaces them.
 
@@ -140,7 +148,7 @@ def latest_version(spark: SparkSession, base: str) -> str | None:
     return os.path.join(base, f"v={v[-1]}") if v else None
 
 
-def write_version(spark: SparkSession, df: DataFrame, base: str, partition_by=None) -> str:
+def write_version(spark: SparkSession, df: DataFrame, base: str, partition_by=None, options: dict | None = None) -> str:
     """Write ``df`` as the next version of ``base``.
 
     A version counts only once its ``_SUCCESS`` marker exists, so readers never see
@@ -148,7 +156,7 @@ def write_version(spark: SparkSession, df: DataFrame, base: str, partition_by=No
     retry simply overwrites."""
     v = _versions(spark, base)
     path = os.path.join(base, f"v={(v[-1] + 1) if v else 0}")
-    w = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
+    w = df.write.mode("overwrite").option("partitionOverwriteMode", "static").options(**(options or {}))
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
@@ -169,21 +177,25 @@ def upsert_by_key(existing: DataFrame, updates: DataFrame, keys, order_col: str
     """Primary-key last-write-wins.
 
     Without ``order_col`` the update batch is the newest write: existing rows whose
-    key is updated are dropped with a left-anti join and the (de-duplicated) updates
-    appended.  A small batch is broadcast by the planner, so the existing table is
+    key is updated are dropped with a left-anti join and the updates appended; of several
+    rows of one key in the batch the greatest (by the other columns, in their order) stays.
+    A small batch is broadcast by the planner, so the existing table is
     scanned once and never shuffled; a large one becomes a sort-merge anti join.
     With ``order_col`` (a write time) the newest row per key wins across both sides,
-    updates winning ties -- a row_number over the key.
+    updates winning ties, then the greatest row -- a row_number over the key.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     cols = existing.columns
+    others = [c for c in cols if c not in keys]
     if order_col is None:
-        latest = updates.select(*cols).dropDuplicates(keys)
+        latest = updates.select(*cols).distinct()
+        if others:
+            latest = updates.groupBy(*keys).agg(F.max(F.struct(*others)).alias("__row")).select(*keys, "__row.*").select(*cols)
         kept = existing.join(latest.select(*keys), keys, "left_anti")
         return kept.unionByName(latest)
     u = (existing.select(*cols, F.lit(0).alias("__src"))
          .unionByName(updates.select(*cols, F.lit(1).alias("__src"))))
-    order = [F.col(order_col).desc_nulls_last(), F.col("__src").desc()]
+    order = [F.col(order_col).desc_nulls_last(), F.col("__src").desc(), F.struct(*others).desc()]
     w = Window.partitionBy(*keys).orderBy(*order)
     return u.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") == 1).select(*cols)
 
