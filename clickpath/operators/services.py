@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import format_metric, health_status, humanize_age
-from ..functions.timecols import from_epoch_micros, localtime_or, ntz, seconds_between
+from ..functions.timecols import epoch_seconds, from_epoch_micros, localtime_or, ntz, seconds_between
 from .querylog import RECENT_QUERIES
 from .series import SERIES_CAP, keep_last_n
 
@@ -52,9 +52,11 @@ def metric_chart(points: DataFrame) -> DataFrame:
 
 
 def services_table(points: DataFrame, descriptions: DataFrame, query_log: DataFrame | None = None,
-                   service_of_query=None, cap: int = SERIES_CAP) -> DataFrame:
+                   service_of_query=None, cap: int = SERIES_CAP, settings: DataFrame | None = None) -> DataFrame:
     """Served rows: name, description, last_updated (time of the newest point),
-    stats JSON, settings JSON, query_metrics JSON (the service's last 50 queries)."""
+    stats JSON, settings JSON, query_metrics JSON (the service's last 50 queries).
+
+    ``settings``: name, setting, value (text); none stored gives ``{}``."""
     st = stats_json(points, cap)
     out = descriptions.join(st, "name", "left").select(
         "name", "description",
@@ -62,17 +64,49 @@ def services_table(points: DataFrame, descriptions: DataFrame, query_log: DataFr
         .alias("last_updated"),
         F.coalesce("stats", F.lit("{}")).alias("stats"),
         F.lit("{}").alias("settings"))
+    if settings is not None:
+        stored = settings.groupBy("name").agg(F.to_json(F.map_from_entries(F.array_sort(
+            F.collect_list(F.struct("setting", "value"))))).alias("__settings"))
+        out = out.join(stored, "name", "left").withColumn("settings", F.coalesce("__settings", "settings")).drop("__settings")
     if query_log is not None and service_of_query is not None:
         q = query_log.withColumn("name", service_of_query)
         w = Window.partitionBy("name").orderBy(F.col("start_time").desc(), F.col("query_id").desc())
         last = q.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= RECENT_QUERIES).drop("__rn")
         qm = last.groupBy("name").agg(F.to_json(F.collect_list(F.struct(
-            "query_id", "query_type", "query_description", F.date_format("start_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-            .alias("start_time"), "execution_time_ms", "rows_returned", "success"))).alias("query_metrics"))
+            "query_id", "query_text", "query_type", "query_description", "parameters", _iso("start_time"), _iso("end_time"),
+            "execution_time_ms", "rows_returned", "success", "error_message", "prepared", "retry_count"))).alias("query_metrics"))
         out = out.join(qm, "name", "left").withColumn("query_metrics", F.coalesce("query_metrics", F.lit("[]")))
     return out
 
 
+def _iso(c: str):
+    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias(c)
+
+
+def services_parsed(services: DataFrame) -> DataFrame:
+    """Long form of the stored JSON of every service: (name, kind, key, points, value).
+
+    A metric of ``stats`` gives the number of its points and the newest value; a setting
+    gives its value.  Text that is no JSON gives no rows."""
+    stats = services.select("name", F.explode(F.from_json("stats", "map<string,array<array<double>>>")).alias("key", "pts"))
+    stats = stats.select("name", F.lit("stat").alias("kind"), "key", F.size("pts").cast("bigint").alias("points"),
+                         F.get(F.element_at("pts", -1), F.lit(1)).cast("string").alias("value"))
+    settings = services.select("name", F.explode(F.from_json("settings", "map<string,string>")).alias("key", "value"))
+    return stats.unionByName(settings.select("name", F.lit("setting").alias("kind"), "key", F.lit(None).cast("bigint").alias("points"), "value"))
+
+
+def health_history(points: DataFrame, as_of) -> DataFrame:
+    """Per (service, health, age text): how often a service was that old when its next run came,
+    or ``as_of`` for the last one.  Runs are distinct times, so a service's window holds
+    one row a minute at most."""
+    runs = points.select("name", "ts").distinct()
+    w = Window.partitionBy("name").orderBy("ts")
+    now = epoch_seconds(localtime_or(as_of))
+    age = (F.coalesce(F.lead("ts").over(w), now) - F.col("ts")).alias("age_seconds")
+    return runs.select("name", age).groupBy("name", health_status("age_seconds").alias("health_status"),
+                                            humanize_age("age_seconds").alias("age_text")).agg(F.count(F.lit(1)).alias("runs"))
+
+
 def services_overview(services: DataFrame, as_of=None) -> DataFrame:
     """Per service: age_seconds, health, human age, sort_order (fixed order, unknown last)."""
     age = seconds_between(F.col("last_updated"), localtime_or(as_of))
@@ -89,8 +123,9 @@ def healthy_services(overview: DataFrame) -> DataFrame:
     return overview.where(F.col("health_status") == "green").orderBy("name")
 
 
-QUERY_METRIC_SCHEMA = ("array<struct<query_id:string,query_type:string,query_description:string,"
-                       "start_time:string,execution_time_ms:double,rows_returned:bigint,success:boolean>>")
+QUERY_METRIC_SCHEMA = ("array<struct<query_id:string,query_text:string,query_type:string,query_description:string,"
+                       "parameters:array<string>,start_time:string,end_time:string,execution_time_ms:double,rows_returned:bigint,"
+                       "success:boolean,error_message:string,prepared:boolean,retry_count:int>>")
 
 
 def service_query_log(services: DataFrame) -> DataFrame:

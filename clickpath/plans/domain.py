@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.timecols import shift
 from ..operators.attribution import first_touch_attribution
-from ..sources import adapters
+from ..session import shared_path
+from ..sources import adapters, lake
 from .registry import AS_OF
 
 
@@ -31,6 +35,18 @@ def attributed(spark: SparkSession, sf: str, lookback_seconds: int = 5400,
     return first_touch_attribution(imp, conv, lookback_seconds=lookback_seconds, as_of=AS_OF, strategy=strategy)
 
 
+def lake_table(spark: SparkSession, sf: str, name: str) -> str:
+    """Path of a fact table in the lake (hour folders, one repeatable append), written by the first
+    reader of a session and data folder: ``raw_impressions`` or ``impression_tracking``."""
+    build, ts = {"raw_impressions": (adapters.raw_impressions, "bucket_date"),
+                 "impression_tracking": (adapters.impression_tracking, "timestamp")}[name]
+    key = hashlib.md5(f"{spark.sparkContext.applicationId}:{os.path.abspath(sf)}".encode()).hexdigest()[:16]
+    path = shared_path(spark, "lake", f"{name}-{key}")
+    if not lake.is_written(spark, path):
+        lake.append_batch(build(spark, sf), path, ts, 0)
+    return path
+
+
 # --- service run statistics derived from the pipeline's own outputs --------------------------
 SERVICE_DESCRIPTIONS = (
     ("generate_traffic", "Raw impression and conversion intake"),

@@ -4,24 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.timecols import MINUTE, shift
 from ..operators import attribution as att
 from ..operators import rollup
-from ..sources import adapters
+from ..sources import adapters, lake
 from . import domain
-from .registry import ADAPTER_SQL, AS_OF, WINDOW_START, attributed_sql, register, with_ctes
+from .registry import ADAPTER_SQL, AS_OF, attributed_sql, register, with_ctes
 
 ATTR_COLS = ("advertisers_id, publishers_id, cookie_id, conversion_timestamp, impression_timestamp, "
              "time_to_conversion_seconds, created_at")
 
 
-@register("scan_minute_buckets", with_ctes(ADAPTER_SQL) + f"""
+@register("scan_minute_buckets", with_ctes(ADAPTER_SQL) + """
 SELECT bucket_date, ts, publishers_id, advertisers_id, cookie_id, impression_id
-FROM raw_impressions
-WHERE bucket_date >= TIMESTAMP '{WINDOW_START}' AND bucket_date < TIMESTAMP '{AS_OF}'""")
+FROM raw_impressions""")
 def q_scan_minute_buckets(spark, sf):
-    raw = adapters.raw_impressions(spark, sf, WINDOW_START, AS_OF)
-    return (rollup.scan_minute_range(raw, WINDOW_START, AS_OF)
-            .drop("bucket"))
+    """All minutes of the raw facts, scanned from the lake table across salt buckets."""
+    raw = lake.scan_lake_table(spark, domain.lake_table(spark, sf, "raw_impressions"), "bucket_date")
+    return rollup.scan_minute_range(raw, None, None).drop("bucket", "hour_key", "batch_id")
+
+
+@register("scan_busiest_minute", with_ctes(ADAPTER_SQL) + """
+SELECT bucket_date, ts, publishers_id, advertisers_id, cookie_id, impression_id FROM raw_impressions
+WHERE bucket_date = (SELECT bucket_date FROM raw_impressions GROUP BY bucket_date ORDER BY count(*) DESC, bucket_date LIMIT 1)""")
+def q_scan_busiest_minute(spark, sf):
+    """The minute with most rows, read across its salt buckets from its hour's folder only."""
+    path = domain.lake_table(spark, sf, "raw_impressions")
+    per_minute = lake.scan_lake_table(spark, path, "bucket_date").groupBy("bucket_date").agg(F.count(F.lit(1)).alias("n"))
+    minute = per_minute.orderBy(F.col("n").desc(), "bucket_date").first()[0]
+    raw = lake.scan_lake_table(spark, path, "bucket_date", minute, shift(minute, MINUTE))
+    return rollup.scan_minute_buckets(raw, minute).drop("bucket", "hour_key", "batch_id")
 
 
 @register("salt_bucket", with_ctes(ADAPTER_SQL) + """

@@ -32,9 +32,9 @@ def q_lake_layout(spark, sf):
 SELECT *, CAST(strftime(timestamp, '%Y%m%d%H') AS INTEGER) AS hour_key FROM impression_tracking
 WHERE timestamp >= TIMESTAMP '2024-01-10 06:30:00' AND timestamp < TIMESTAMP '2024-01-12 18:00:00'""")
 def q_scan_lake_table(spark, sf):
-    start, end = "2024-01-10 06:30:00", "2024-01-12 18:00:00"
-    laid = domain.impressions(spark, sf, start, end).withColumn("hour_key", L.hour_key("timestamp"))
-    return laid.where(L.hour_prune("timestamp", start, end))
+    """A range of the rollup's lake table: only the folders of its hours are listed and read."""
+    path = domain.lake_table(spark, sf, "impression_tracking")
+    return L.scan_lake_table(spark, path, "timestamp", "2024-01-10 06:30:00", "2024-01-12 18:00:00").drop("batch_id")
 
 
 @register("lake_lifecycle", with_ctes(ADAPTER_SQL) + f"""
@@ -144,3 +144,21 @@ WHERE advertisers_id IS NOT NULL AND cookie_id IS NOT NULL""")
 def q_not_null(spark, sf):
     c = domain.conversions(spark, sf)
     return c.where(F.col("advertisers_id").isNotNull() & F.col("cookie_id").isNotNull())
+
+
+@register("truncate_all", with_ctes(ADAPTER_SQL) + """
+SELECT 'impressions_by_day' AS table_name, count(*) AS rows_before, 0 AS rows_after FROM impression_tracking
+UNION ALL SELECT 'conversions_by_day', count(*), 0 FROM conversion_tracking""")
+def q_truncate_all(spark, sf):
+    """Two lake tables written, truncated and scanned again: no rows of the same schema."""
+    facts = {"impressions_by_day": domain.impressions(spark, sf), "conversions_by_day": domain.conversions(spark, sf)}
+    out = None
+    for name, df in facts.items():
+        path = shared_path(spark, "lake", f"{name}-{uuid.uuid4().hex}")
+        L.append_batch(df.withColumn("day", F.date_trunc("day", "timestamp")), path, "day", 0)
+        before = L.scan_lake_table(spark, path, "timestamp").count()
+        L.truncate_all(spark, {name: path})
+        after = L.scan_lake_table(spark, path, "timestamp").agg(F.count(F.lit(1)).cast("int").alias("rows_after"))
+        one = after.select(F.lit(name).alias("table_name"), F.lit(before).cast("bigint").alias("rows_before"), "rows_after")
+        out = one if out is None else out.unionByName(one)
+    return out

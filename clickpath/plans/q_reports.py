@@ -177,6 +177,25 @@ def q_cohort_distribution(spark, sf):
     return R.cohort_distribution(domain.impressions(spark, sf), adapters.mapped_cohort)
 
 
+@register("traffic_class_prefixed", with_ctes(ADAPTER_SQL) + """
+SELECT ['FRAUD', 'TECH', 'FASHION', 'HEALTH', 'FINANCE', 'TRAVEL', 'RANDOM', 'OTHER'][
+         CAST(CAST(substr(cookie_id, 5) AS BIGINT) % 8 + 1 AS INTEGER)] AS cookie_class,
+       count(*) AS rows, CAST(sum(impressions) AS BIGINT) AS impressions
+FROM impression_tracking GROUP BY 1""")
+def q_traffic_class_prefixed(spark, sf):
+    """Cookie classes over ids that carry them: every class is reached."""
+    return R.traffic_class_counts(adapters.prefixed_facts(domain.impressions(spark, sf)))
+
+
+@register("cohort_distribution_prefixed", with_ctes(ADAPTER_SQL) + """
+SELECT ['TECH', 'FASHION', 'HEALTH', 'FINANCE', 'TRAVEL', NULL][CAST(CAST(substr(publishers_id, 5) AS BIGINT) % 6 + 1 AS INTEGER)] AS cohort,
+       count(*) AS publishers
+FROM (SELECT DISTINCT publishers_id FROM impression_tracking) GROUP BY 1""")
+def q_cohort_distribution_prefixed(spark, sf):
+    """Embedded cohorts of publishers, and the publishers without one."""
+    return R.cohort_distribution(adapters.prefixed_facts(domain.impressions(spark, sf)))
+
+
 @register("publish_stats", with_ctes(ADAPTER_SQL, attributed_sql()) + """
 SELECT 'publisher_impressions' AS task, count(DISTINCT publishers_id) AS entities,
        CAST(sum(impressions) AS BIGINT) AS total FROM impression_tracking WHERE publishers_id IS NOT NULL

@@ -76,11 +76,19 @@ def q_humanize_duration(spark, sf):
 
 
 @register("entity_metric", with_ctes(ADAPTER_SQL) + """
-SELECT advertisers_id, timestamp, CAST(sum(impressions) AS BIGINT) AS total_impressions
-FROM impression_tracking WHERE advertisers_id IS NOT NULL
-  AND timestamp >= TIMESTAMP '2024-01-15 00:00:00' AND timestamp < TIMESTAMP '2024-01-16 00:00:00'
-GROUP BY advertisers_id, timestamp""")
+SELECT 'publishers' AS entity, 'impressions' AS metric, publishers_id AS id, timestamp, CAST(sum(impressions) AS BIGINT) AS total
+FROM impression_tracking WHERE publishers_id IS NOT NULL GROUP BY ALL
+UNION ALL SELECT 'advertisers', 'impressions', advertisers_id, timestamp, CAST(sum(impressions) AS BIGINT)
+FROM impression_tracking WHERE advertisers_id IS NOT NULL GROUP BY ALL
+UNION ALL SELECT 'advertisers', 'conversions', advertisers_id, timestamp, count(*)
+FROM conversion_tracking WHERE advertisers_id IS NOT NULL GROUP BY ALL""")
 def q_entity_metric(spark, sf):
-    """The generic (entity, metric) aggregate for one day of minutes."""
-    return rollup.entity_metric(domain.impressions(spark, sf, "2024-01-15 00:00:00", "2024-01-16 00:00:00"),
-                                "advertisers", "impressions", "2024-01-15 00:00:00", "2024-01-16 00:00:00")
+    """The generic (entity, metric) aggregate of all minutes, for the three pairs it answers."""
+    facts = {"impressions": domain.impressions(spark, sf), "conversions": domain.conversions(spark, sf)}
+    out = None
+    for entity, metric in (("publishers", "impressions"), ("advertisers", "impressions"), ("advertisers", "conversions")):
+        one = rollup.entity_metric(facts[metric], entity, metric).select(
+            F.lit(entity).alias("entity"), F.lit(metric).alias("metric"), F.col(rollup.ENTITY_ID[entity]).alias("id"), "timestamp",
+            F.col(f"total_{metric}").alias("total"))
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import format_metric
 from ..operators import services as SV
 from ..sources import adapters
 from . import domain
@@ -109,10 +110,63 @@ def q_health(spark, sf):
 
 
 @register("service_query_log", with_ctes(QUERY_LOG_SQL) + """
-SELECT service_name, query_id, query_type, query_description,
-       strftime(start_time, '%Y-%m-%dT%H:%M:%S.%f') AS start_time, execution_time_ms, rows_returned, success
+SELECT service_name, query_id, query_text, query_type, query_description, parameters,
+       strftime(start_time, '%Y-%m-%dT%H:%M:%S.%f') AS start_time, strftime(end_time, '%Y-%m-%dT%H:%M:%S.%f') AS end_time,
+       execution_time_ms, rows_returned, success, error_message, prepared, retry_count
 FROM (SELECT *, CASE WHEN query_type = 'HCD' THEN 'presto_to_hcd' ELSE 'presto_insights' END AS service_name,
              row_number() OVER (PARTITION BY query_type ORDER BY start_time DESC, query_id DESC) AS rn
       FROM query_log) WHERE rn <= 50""")
 def q_service_query_log(spark, sf):
     return SV.service_query_log(services(spark, sf, with_log=True))
+
+
+SETTINGS = (("generate_traffic", "impression_types", "view,click"), ("generate_traffic", "conversion_types", "purchase,signup"),
+            ("presto_insights", "lookback_minutes", "90"), ("presto_to_hcd", "series_points", "90"),
+            ("presto_cleanup", "retention_hours", "24"))
+
+
+@register("services_parsed", with_ctes(*CTES) + """
+SELECT name, 'stat' AS kind, metric AS key, count(*) AS points, format('{:.1f}', arg_max(value, ts)) AS value FROM capped GROUP BY name, metric
+UNION ALL SELECT * FROM (VALUES """ + ", ".join(f"('{n}', 'setting', '{k}', NULL, '{v}')" for n, k, v in SETTINGS) + ")")
+def q_services_parsed(spark, sf):
+    """Stats and settings of every service, read back from the stored JSON."""
+    stored = SV.services_table(points(spark, sf), domain.service_descriptions(spark),
+                               settings=spark.createDataFrame(list(SETTINGS), "name string, setting string, value string"))
+    return SV.services_parsed(stored)
+
+
+@register("service_health_history", with_ctes(*CTES) + f"""
+, runs AS (SELECT DISTINCT name, ts FROM points),
+ages AS (
+  SELECT name, coalesce(lead(ts) OVER (PARTITION BY name ORDER BY ts), CAST(epoch(TIMESTAMP '{AS_OF}') AS BIGINT)) - ts AS age_seconds FROM runs
+)
+SELECT name, CASE WHEN age_seconds > 180 THEN 'red' WHEN age_seconds > 90 THEN 'yellow' ELSE 'green' END AS health_status,
+       CASE WHEN age_seconds < 60 THEN {_plural_sql('age_seconds', 'second')}
+            WHEN age_seconds < 3600 THEN {_plural_sql('CAST(floor(age_seconds / 60) AS BIGINT)', 'minute')}
+            ELSE {_plural_sql('CAST(floor(age_seconds / 3600) AS BIGINT)', 'hour')} END AS age_text, count(*) AS runs
+FROM ages GROUP BY ALL""")
+def q_health_history(spark, sf):
+    """Every colour is reached: the services' runs follow the events, which leave gaps."""
+    return SV.health_history(points(spark, sf), AS_OF)
+
+
+_KINDS = ("error_percent", "memory_bytes", "run_seconds", "latency", "rows")
+
+
+@register("format_metric_kinds", with_ctes(ADAPTER_SQL) + """
+, v AS (
+  SELECT metric, k, round(k * pow(37, k % 7) / 7.0, 4) AS value
+  FROM (SELECT DISTINCT k FROM ev), (SELECT unnest(['error_percent', 'memory_bytes', 'run_seconds', 'latency', 'rows']) AS metric)
+), b AS (SELECT *, CAST(greatest(least(floor(ln(greatest(value, 1.0)) / ln(1024.0)), 4), 0) AS INTEGER) AS i FROM v)
+SELECT metric, k, CASE metric WHEN 'error_percent' THEN printf('%.2f%%', value) WHEN 'run_seconds' THEN printf('%.3fs', value)
+         WHEN 'latency' THEN printf('%.2fms', value)
+         WHEN 'memory_bytes' THEN CASE WHEN value = 0 THEN '0 Bytes' ELSE
+           regexp_replace(printf('%.2f', round(value / pow(1024.0, i), 2)), '\\.?0+$', '') || ' ' || ['Bytes', 'KB', 'MB', 'GB', 'TB'][i + 1] END
+         ELSE regexp_replace(format('{:,.3f}', value), '\\.?0+$', '') END AS display
+FROM b""")
+def q_format_metric_kinds(spark, sf):
+    """Every kind of metric text, over the values of the event keys in seven orders of magnitude."""
+    k = adapters.keyed_events(spark, sf).select("k").distinct()
+    value = F.round(F.col("k") * F.pow(F.lit(37.0), F.col("k") % 7) / 7.0, 4)
+    rows = k.select("k", F.explode(F.array(*[F.lit(m) for m in _KINDS])).alias("metric"), value.alias("value"))
+    return rows.select("metric", "k", format_metric("value", "metric").alias("display"))

@@ -63,6 +63,18 @@ def _raw(spark, sf_dir, types, id_name, bucket_key, start, end) -> DataFrame:
     )
 
 
+def prefixed_facts(impressions: DataFrame) -> DataFrame:
+    """The rollup with ids that carry their class, as the traffic generator writes them: a cookie's
+    number chooses its prefix (fraud, a cohort, random or none), a publisher's its cohort or none."""
+    def renamed(col, prefixes):
+        head, number = F.substring(col, 1, 4), F.regexp_extract(col, r"([0-9]+)$", 1)
+        tag = F.element_at(F.array(*[F.lit(p) for p in prefixes]), (F.pmod(number.cast("bigint"), F.lit(len(prefixes))) + 1).cast("int"))
+        return F.concat(head, tag, number).alias(col)
+    return impressions.select(
+        renamed("publishers_id", [*(f"{c}_" for c in COHORTS), ""]), "advertisers_id",
+        renamed("cookie_id", ["FRAUD_", *(f"{c}_" for c in COHORTS), "RANDOM_", ""]), "timestamp", "impressions")
+
+
 def mapped_cohort(publisher) -> F.Column:
     """Cohort of a publisher of this mapping, whose ids carry none: the number in the id
     chooses one.  Embedded cohorts win."""

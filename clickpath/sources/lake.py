@@ -84,6 +84,12 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
 
+def is_written(spark: SparkSession, path: str) -> bool:
+    """Whether a job has written the table to its end."""
+    fs, at = _fs(spark, path)
+    return fs.exists(at(os.path.join(path, "_SUCCESS")))
+
+
 def hours_of(spark: SparkSession, path: str) -> list[int]:
     """The hour keys of a lake table, by one listing of its top folder."""
     fs, at = _fs(spark, path)
