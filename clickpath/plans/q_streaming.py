@@ -103,12 +103,10 @@ def q_stream_state_left(spark, sf):
 SELECT i.id AS publishers_id, i.js AS impressions, '[]' AS conversions, TIMESTAMP '{AS_OF}' AS last_updated
 FROM pub_imp_js i""")
 def q_stream_entity_series(spark, sf):
-    from ..sources.lake import latest_version
     scratch = _scratch(spark, "series")
-    dom = _dom(spark, sf, scratch)
-    sink = ST.series_sink(spark, f"{scratch}/table", as_of=AS_OF)
-    P.run_foreach_batch(ST.publisher_minute_stream(dom), sink, f"{scratch}/checkpoint")
-    return spark.read.parquet(latest_version(spark, f"{scratch}/table"))
+    table = ST.SeriesTable(spark, f"{scratch}/table")
+    P.run_foreach_batch(ST.publisher_minute_stream(_dom(spark, sf, scratch)), table.sink(f"{scratch}/checkpoint", as_of=AS_OF), f"{scratch}/checkpoint")
+    return table.read()
 
 
 @register("stream_dual_write", with_ctes(ADAPTER_SQL) + """

@@ -4,6 +4,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 import numpy as np
@@ -12,11 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from ..functions.ids import salt_bucket
 from ..functions.timecols import epoch_seconds
 from ..operators.attribution import LOOKBACK_SECONDS
 from ..operators.series import entity_series_merge
 from ..sources.adapters import CONVERSION_TYPES, IMPRESSION_TYPES
-from ..sources.lake import latest_version
+from ..sources.lake import KEEP_VERSIONS
 from .pipeline import counted, of_types
 
 def publisher_minute_stream(dom: DataFrame) -> DataFrame:
@@ -25,26 +27,84 @@ def publisher_minute_stream(dom: DataFrame) -> DataFrame:
     return g.select("publishers_id", epoch_seconds(F.col("window.start").cast("timestamp_ntz")).alias("ts"), "count")
 
 
-def series_sink(spark: SparkSession, base: str, id_col: str = "publishers_id", metric: str = "impressions",
-                as_of=None):
-    """``foreachBatch`` function merging each micro-batch of (id, ts, count) into the
-    versioned entity table at ``base``.  Version ``v=<batch_id>`` makes a replayed
-    batch a no-op, and every version is read back from Parquet (lineage is cut)."""
-    def fn(batch: DataFrame, batch_id: int) -> None:
-        target = os.path.join(base, f"v={batch_id}")
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(target, "_SUCCESS")
-        if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-            return   # this batch was committed before a restart
-        prev = latest_version(spark, base)
-        if prev is None:
-            existing = spark.createDataFrame([], f"{id_col} string, impressions string, conversions string, "
-                                                 "last_updated timestamp_ntz")
-        else:
-            existing = spark.read.parquet(prev)
-        merged = entity_series_merge(existing, batch, id_col, metric, as_of=as_of)
-        merged.write.mode("overwrite").parquet(target)
-    return fn
+SERIES_BUCKETS = 16
+
+
+class SeriesTable:
+    """Served entity rows in id buckets, each with versions of its own: ``base/id_bucket=b/v=n``.
+
+    A micro-batch rewrites only the buckets of the ids it touches and leaves the other
+    buckets' files alone; a bucket keeps its newest version and the one before it, which
+    readers may still use.  Versions count per stream: a stream (its checkpoint) takes an
+    offset above all versions it finds when it first writes, so a new checkpoint over an
+    old table never meets an old batch's number, and a batch that runs again writes the
+    versions it wrote before, from the same versions below them.
+    """
+
+    def __init__(self, spark: SparkSession, base: str, id_col: str = "publishers_id", buckets: int = SERIES_BUCKETS):
+        self.spark, self.base, self.id_col, self.buckets = spark, base, id_col, buckets
+        self.schema = f"{id_col} string, impressions string, conversions string, last_updated timestamp_ntz"
+
+    def _fs(self):
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path
+        return at(self.base).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
+
+    def versions(self) -> dict[int, list[int]]:
+        """Finished versions of each bucket, ascending."""
+        fs, at = self._fs()
+        out: dict[int, list[int]] = {}
+        for st in fs.globStatus(at(os.path.join(self.base, "id_bucket=*", "v=*", "_SUCCESS"))) or ():
+            version = st.getPath().getParent()
+            bucket = int(version.getParent().getName().removeprefix("id_bucket="))
+            out.setdefault(bucket, []).append(int(version.getName().removeprefix("v=")))
+        return {b: sorted(v) for b, v in out.items()}
+
+    def _path(self, bucket: int, version: int) -> str:
+        return os.path.join(self.base, f"id_bucket={bucket}", f"v={version}")
+
+    def _offset(self, checkpoint: str) -> int:
+        fs, at = self._fs()
+        name = hashlib.md5(checkpoint.encode()).hexdigest()
+        found = fs.globStatus(at(os.path.join(self.base, "_streams", f"{name}-*"))) or ()
+        for st in found:
+            return int(st.getPath().getName().rsplit("-", 1)[1])
+        offset = max((v[-1] for v in self.versions().values()), default=-1) + 1
+        fs.mkdirs(at(os.path.join(self.base, "_streams", f"{name}-{offset}")))
+        return offset
+
+    def read(self, below: int | None = None, buckets=None) -> DataFrame:
+        """The newest rows of all (or the given) buckets, of versions below ``below``."""
+        paths = []
+        for b, known in self.versions().items():
+            usable = [v for v in known if below is None or v < below]
+            if usable and (buckets is None or b in buckets):
+                paths.append(self._path(b, usable[-1]))
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def merge(self, points: DataFrame, version: int, metric: str, as_of=None) -> None:
+        """Merge (id, ts, count) points as ``version`` of the buckets they touch."""
+        bucket = salt_bucket(self.id_col, self.buckets).cast("int")
+        touched = sorted(r[0] for r in points.select(bucket.alias("b")).distinct().collect())    # SERIES_BUCKETS at most
+        if not touched:
+            return
+        merged = entity_series_merge(self.read(version, touched), points, self.id_col, metric, as_of=as_of)
+        merged = merged.select(self.id_col, "impressions", "conversions", "last_updated").withColumn("__b", bucket).persist()
+        fs, at = self._fs()
+        try:
+            for b in touched:
+                merged.where(F.col("__b") == b).drop("__b").write.mode("overwrite").parquet(self._path(b, version))
+        finally:
+            merged.unpersist()
+        for b, known in self.versions().items():
+            for old in known[:-KEEP_VERSIONS] if b in touched else ():
+                fs.delete(at(self._path(b, old)), True)
+
+    def sink(self, checkpoint: str, metric: str = "impressions", as_of=None):
+        """``foreachBatch`` function of the stream with this checkpoint."""
+        def fn(batch: DataFrame, batch_id: int) -> None:
+            self.merge(batch, self._offset(checkpoint) + batch_id, metric, as_of)
+        return fn
 
 
 def dual_write_sink(sinks: dict):

@@ -97,3 +97,26 @@ def test_stored_service_json_is_parsed(spark):
     rows = [("a", "d", '{"m":[[1.0,2.0],[3.0,4.5]]}', '{"x":"1"}'), ("b", "d", "no json", "{}"), ("c", "d", None, None)]
     got = SV.services_parsed(spark.createDataFrame(rows, "name string, description string, stats string, settings string")).collect()
     assert {tuple(r) for r in got} == {("a", "stat", "m", 2, "4.5"), ("a", "setting", "x", None, "1")}
+
+
+def test_series_batches_rewrite_touched_buckets_only(spark, scratch):
+    from clickpath.streaming.stateful import SeriesTable
+    table = SeriesTable(spark, os.path.join(scratch, "s"), buckets=4)
+    points = lambda *rows: spark.createDataFrame(list(rows), "publishers_id string, ts bigint, count bigint")
+    write = table.sink("ck-1", as_of="2024-02-01")
+    write(points(*[(f"P{i}", 60, i) for i in range(20)]), 0)
+    first = table.versions()
+    assert len(first) == 4 and all(v == [0] for v in first.values())
+    write(points(("P3", 120, 7)), 1)
+    write(points(("P3", 180, 8), ("P3", 120, 9)), 2)
+    write(points(("P3", 180, 8), ("P3", 120, 9)), 2)               # a batch that runs again
+    touched = [b for b, v in table.versions().items() if v != [0]]
+    assert len(touched) == 1 and table.versions()[touched[0]] == [1, 2]
+    got = {r.publishers_id: r.impressions for r in table.read().collect()}
+    assert len(got) == 20 and got["P3"] == "[[60, 3], [120, 9], [180, 8]]" and got["P4"] == "[[60, 4]]"
+    # a new checkpoint over the table starts at batch 0 and is not skipped
+    table.sink("ck-2", as_of="2024-02-01")(points(("P3", 240, 1)), 0)
+    table.sink("ck-2", as_of="2024-02-01")(points(("P3", 300, 1)), 1)
+    got = {r.publishers_id: r.impressions for r in table.read().collect()}
+    assert got["P3"] == "[[60, 3], [120, 9], [180, 8], [240, 1], [300, 1]]"
+    assert all(len(v) <= 2 for v in table.versions().values())
