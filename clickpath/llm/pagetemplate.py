@@ -9,11 +9,12 @@
    with a third of all pages costs no more than its distinct tokens.
 3. Classes that span at least half of a host's pages are valid.  Containers that occur
    once a page are the template's skeleton, nested by path; those that occur more
-   often lie in its list slots.  Text is the template's if a container it is nested
-   in has the same vector and it is on nearly all pages, two or more; outside articles
-   and main elements also if it is on nearly all pages at any place, or if its class
-   has three tokens or more (a notice with its frame on half of the pages).  A page that
-   would lose more blocks than it keeps keeps all.
+   often lie in its list slots.  Text outside articles and main elements is the
+   template's if it is on nearly all pages, two or more, or if its class has three tokens
+   or more and a container it is nested in (a notice with its frame on half of the
+   pages).  Inside them no text is, however many pages repeat it: a heading on every
+   page of a host is part of every article.  A page without article or main element
+   that would lose more blocks than it keeps keeps all.
 4. The host's slot is its articles, else its main elements, if they hold at least
    90 % of its pages' text that is neither the template's nor a menu, header, footer,
    sidebar, notice, advert, form or comment by element or name; else the body.  A
@@ -46,8 +47,8 @@ MIN_SHARE, TEXT_SHARE = 0.5, 0.9
 SLOT_SHARE, PAGE_SHARE = 0.9, 0.5
 #: Tokens that a class has at least to be a template's where it is not on nearly all pages.
 CLASS_TOKENS = 3
-#: Kinds of tokens beside containers (-1 boilerplate, 0 plain): text inside an article or main element, other text, the lengths of a page's text.
-INNER, TEXT, PAGE = 8, 9, 10
+#: Kinds of tokens beside containers (-1 boilerplate, 0 plain): text outside articles and main elements, the lengths of a page's text.
+TEXT, PAGE = 9, 10
 ZONES = {"article": 2, "main": 1}
 KINDS = ZONES | {"html": 3, "body": 3}
 
@@ -180,9 +181,9 @@ class Page:
         return "\n\n".join(t for t, z in kept if not zone or z & zone)
 
     def main_text(self, slot: int = 0, constants=()) -> str:
-        """The slot's text without the template's (``constants``), which stays where it
-        would be more than what is left: the page is then a near copy of others."""
-        kept = [(t, z, bool(constants) and text_token(p, t) in constants) for p, boiler, t, z in self.blocks if not boiler]
+        """The slot's text without the template's (``constants``, outside articles only), which
+        stays where it would be more than what is left: the page is then a near copy of others."""
+        kept = [(t, z, bool(constants) and not z and text_token(p, t) in constants) for p, boiler, t, z in self.blocks if not boiler]
         length = lambda blocks: sum(len(b[0]) for b in blocks)
         free = [b for b in kept if not b[2]] or kept
         zone = 0
@@ -213,8 +214,8 @@ def _tokens(batches):
             rows += [(host, key, PAGE, name, 0, 1, page.chars(zone)) for name, zone in (("", 0), *ZONES.items())]
             counts: dict[int, list] = {}
             for p, boiler, t, zone in page.blocks:
-                if not boiler:
-                    counts.setdefault(text_token(p, t), [INNER if zone else TEXT, p, 0, len(t)])[2] += 1
+                if not boiler and not zone:
+                    counts.setdefault(text_token(p, t), [TEXT, p, 0, len(t)])[2] += 1
             rows += [(host, key, kind, p, h, n, n * c) for h, (kind, p, n, c) in counts.items()]
             for row in rows:
                 for name, value in zip(out, row):
@@ -233,16 +234,15 @@ def vectors(pages: DataFrame) -> DataFrame:
         "host", "page", "kind", "path", "text").agg(F.max("n").alias("n"), F.max("chars").alias("chars"))
     return seen.groupBy("host", "kind", "path", "text").agg(
         F.count("*").alias("support"), F.sum("n").alias("total"), F.sum("chars").alias("chars"),
-        F.sum(F.xxhash64("page", "n").cast("decimal(38,0)")).alias("vector")).where(~F.col("kind").isin(INNER, TEXT) | (F.col("support") > 1))
+        F.sum(F.xxhash64("page", "n").cast("decimal(38,0)")).alias("vector")).where((F.col("kind") != TEXT) | (F.col("support") > 1))
 
 
 def equivalence_classes(tokens: DataFrame) -> DataFrame:
     """(host, n_pages, support, total, tokens): the valid classes of each host, tokens
-    being structs (kind, path, text, chars).  Kinds 8 and 9 are text; the others are
+    being structs (kind, path, text, chars).  Kind 9 is text; the others are
     containers: 3 html or body, 2 article, 1 main element, 0 plain, -1 boilerplate."""
     sizes = tokens.where((F.col("kind") == PAGE) & (F.col("path") == "")).select("host", F.col("support").alias("n_pages"))
-    valid = tokens.where(F.col("kind") != PAGE).join(sizes, "host").where(
-        (F.col("support") >= MIN_SHARE * F.col("n_pages")) & ((F.col("kind") != INNER) | (F.col("support") >= TEXT_SHARE * F.col("n_pages"))))
+    valid = tokens.where(F.col("kind") != PAGE).join(sizes, "host").where(F.col("support") >= MIN_SHARE * F.col("n_pages"))
     return valid.groupBy("host", "n_pages", "vector", "support", "total").agg(
         F.array_sort(F.collect_list(F.struct("path", "kind", "text", "chars"))).alias("tokens"))
 
@@ -251,20 +251,19 @@ def templates(pages: DataFrame) -> DataFrame:
     """(host, skeleton, lists, constants, main, slot): one row per host."""
     tokens = written(vectors(pages), "vectors")
     classes = equivalence_classes(tokens).withColumn("nearly_all", F.col("support") >= TEXT_SHARE * F.col("n_pages"))
-    # text nested in a container of its own class is the template's, if the class is on nearly all pages or, outside the articles, has several tokens
-    nested = lambda t: F.exists("tokens", lambda c: (c["kind"] < INNER) & F.concat(t["path"], F.lit("/")).startswith(F.concat(c["path"], F.lit("/"))))
-    fixed = lambda t: (t["kind"] >= INNER) & F.when(t["kind"] == INNER, F.col("nearly_all") & nested(t)).otherwise(
-        F.col("nearly_all") | (F.size("tokens") >= CLASS_TOKENS) & nested(t))
+    # text is the template's if its class is on nearly all pages, or has several tokens and a container that the text is nested in
+    nested = lambda t: F.exists("tokens", lambda c: (c["kind"] < TEXT) & F.concat(t["path"], F.lit("/")).startswith(F.concat(c["path"], F.lit("/"))))
+    fixed = lambda t: (t["kind"] == TEXT) & (F.col("nearly_all") | (F.size("tokens") >= CLASS_TOKENS) & nested(t))
     flat = classes.select("host", (F.col("support") == F.col("total")).alias("once"), F.explode(
         F.transform("tokens", lambda t: F.struct(t["path"].alias("path"), t["kind"].alias("kind"), t["text"].alias("text"), t["chars"].alias("chars"), fixed(t).alias("fixed")))
     ).alias("t")).select("host", "once", "t.*")
-    container = F.col("kind") < INNER
+    container = F.col("kind") < TEXT
     longest = lambda kind: F.max(F.when(F.col("kind") == kind, F.struct("chars", (-F.length("path")).alias("l"), "path")))["path"]
     shape = flat.groupBy("host").agg(
         F.array_sort(F.collect_set(F.when(F.col("once") & container, F.col("path")))).alias("skeleton"),
         F.array_sort(F.collect_set(F.when(~F.col("once") & container, F.col("path")))).alias("lists"),
         F.array_sort(F.collect_set(F.when(F.col("fixed"), F.col("text")))).alias("constants"),
-        F.sum(F.when(F.col("fixed") & (F.col("kind") == TEXT), F.col("chars")).otherwise(0)).alias("fixed_chars"),
+        F.sum(F.when(F.col("fixed"), F.col("chars")).otherwise(0)).alias("fixed_chars"),
         *[longest(kind).alias(name) for name, kind in ZONES.items()])
     length = {name: F.sum(F.when(F.col("path") == name, F.col("chars"))).alias(f"{name or 'page'}_chars") for name in ("", *ZONES)}
     sums = tokens.where(F.col("kind") == PAGE).groupBy("host").agg(*length.values())

@@ -206,10 +206,11 @@ def test_page_text(spark):
     assert pagetemplate.extract(df.limit(0)).count() == 0
 
 
-def test_template_text_is_no_page_text(spark):
+def test_articles_keep_what_all_pages_repeat(spark):
     pages = [(i, "http://h.org/x", f"<html><body><article><p>Share this page</p><p>body {i}</p></article></body></html>") for i in range(12)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
-    assert {r.text for r in pagetemplate.extract(df).collect()} == {f"body {i}" for i in range(12)}
+    # a line of all articles is part of every article
+    assert {r.text for r in pagetemplate.extract(df).collect()} == {f"Share this page\n\nbody {i}" for i in range(12)}
     shape = pagetemplate.templates(df).first()
     assert shape.main == "html/body/article" and shape.skeleton == ["html", "html/body", "html/body/article"] and shape.lists == ["html/body/article/p"]
 
@@ -241,9 +242,13 @@ def test_near_copies_keep_their_text(spark):
     plain = "<html><body><article><p>x%d</p><p>y%d</p></article></body></html>"
     got = page_texts(spark, *(page.replace("<p>box %d</p>", "<!-- %d -->") % (i, i, "") for i in range(40)), other, plain % (1, 1))
     assert got[40:] == ["first\n\nelse\n\nmore", "x1\n\ny1"]
-    # as with ten pages, so with fewer
-    share = "<html><body><article><p>Share this page</p><p>body %d</p></article></body></html>"
-    assert page_texts(spark, *(share % i for i in range(9))) == [f"body {i}" for i in range(9)]
+    # headings inside articles stay with any number of pages; outside they are the template's
+    recipe = "<html><body>%s<article><h1>Dish %d</h1><h2>Ingredients</h2><p>salt, two cups of flour sifted twice, and water %d</p><h3>Method</h3><p>stir all of it until it is done %d</p></article></body></html>"
+    for n in (1, 2, 6, 12):
+        want = [f"Dish {i}\n\nIngredients\n\nsalt, two cups of flour sifted twice, and water {i}\n\nMethod\n\nstir all of it until it is done {i}" for i in range(n)]
+        assert page_texts(spark, *(recipe % ("<div class=box><p>Follow us</p></div>", i, i, i) for i in range(n))) == want
+    plain = "<html><body><div class=box><p>Follow us on all channels</p></div><h1>Dish %d</h1><p>salt and more of it %d</p><p>stir %d</p></body></html>"
+    assert page_texts(spark, *(plain % (i, i, i) for i in range(9))) == [f"Dish {i}\n\nsalt and more of it {i}\n\nstir {i}" for i in range(9)]
 
 
 @pytest.mark.parametrize("html", [
@@ -258,9 +263,9 @@ def test_names_around_the_article(html):
 
 
 def test_pages_count_whatever_their_root(spark):
-    share = "%s<body><article><p>Share this page</p><p>body %d</p></article></body>"
+    share = "%s<body><div class=box>Share this page</div><h1>T%d</h1><p>body %d</p></body>"
     for root in ("<html class='no-js'>", ""):
-        assert page_texts(spark, *(share % (root, i) for i in range(12))) == [f"body {i}" for i in range(12)]
+        assert page_texts(spark, *(share % (root, i, i) for i in range(12))) == [f"T{i}\n\nbody {i}" for i in range(12)]
     few = [f"<html><body><article><p>said twice</p><p>a{i}</p><p>b{i}</p></article></body></html>" for i in range(2)]
     many = [f"<html class='no-js'><body><article><p>c{i}</p></article></body></html>" for i in range(30)]
     assert page_texts(spark, *few, *many) == [*(f"said twice\n\na{i}\n\nb{i}" for i in range(2)), *(f"c{i}" for i in range(30))]
