@@ -191,7 +191,9 @@ def draws(plan: DataFrame, totals: DataFrame, seed: int = SEED, shard_slots: int
     shards = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("all") / shard_slots, F.lit(1.0))))).cast("long")
     wanted = counted.join(F.broadcast(everything)).select("sidx", "n_blocks", "slots", shards.alias("shards"))
     dealt = wanted.mapInArrow(_shards(seed), "sidx int, n_blocks long, shard long, n long, at long")
-    return dealt.repartition("sidx", "shard").mapInArrow(_slots(seed), "sidx int, block long, pass int, shard long, slot long")
+    # with a number, or adaptive execution would merge the few small shard rows into one task that makes all slots
+    tasks = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(tasks, "sidx", "shard").mapInArrow(_slots(seed), "sidx int, block long, pass int, shard long, slot long")
 
 
 def report(docs: DataFrame, seed: int = SEED) -> DataFrame:
