@@ -10,11 +10,13 @@ every 16 symbols and at each run start.  All windows are searched backwards at
 once through wavelet ranks; occurrences are located by stepping to the next
 sampled position, and overlapping ones merge into removal spans.
 
-Spark side: one ``mapInArrow`` over the documents, no shuffle.  The benchmark
-is the stated query set; it is read in blocks of at most ``block_bytes`` and
-each block is one broadcast and one pass, so what is broadcast has a fixed
-bound.  Words are compared by 64-bit hashes (two different words agree with
-probability 2**-64; a false window needs 13 of them in a row).
+Spark side: one ``mapInArrow`` per benchmark block, all in one stage: one pass over
+the documents, no shuffle, nothing written.  The benchmark is the stated query set;
+it is read in blocks of about ``BLOCK_BYTES`` as sent (arrays: a window is its start
+in the block's words), so what is broadcast has a fixed bound; every further block
+adds one worker with one block to a task.  Words are compared by 64-bit hashes (two
+different words agree with probability 2**-64; a false window needs 13 of them in a
+row), windows of the benchmark among each other by a 64-bit hash too.
 """
 
 from __future__ import annotations
@@ -30,7 +32,9 @@ from .common import fresh
 
 WINDOW = 13
 SHARD_BYTES = 8 << 20
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 64 << 20
+WORD_BYTES, ITEM_BYTES = 24, 16
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # a word before A-Z are lower-cased
 SAMPLE = 16
 
 RESULT = T.StructType([
@@ -134,19 +138,24 @@ class FMIndex:
 
     def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row ranges of the patterns (one a row, of equal length) that occur."""
-        which = np.arange(len(patterns))
-        c = patterns[:, -1]
+        n, length = patterns.shape
+        return self.search_windows(patterns.reshape(-1), np.arange(n) * length, length)
+
+    def search_windows(self, symbols: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row ranges of the windows of ``length`` symbols at ``starts`` that occur."""
+        c = symbols[starts + (length - 1)]
+        which = np.flatnonzero(self.first[c] < self.first[c + 1])
+        c = c[which]
         lo, hi = self.first[c], self.first[c + 1]
-        for t in range(patterns.shape[1] - 2, -1, -1):
-            live = lo < hi
-            which, lo, hi = which[live], lo[live], hi[live]
+        for t in range(length - 2, -1, -1):
             if not len(which):
                 break
-            c = patterns[which, t]
+            c = symbols[starts[which] + t].astype(np.int64)
             both = self.first[np.r_[c, c]] + self.matrix.rank(np.r_[c, c], np.r_[lo, hi])
             lo, hi = both[:len(c)], both[len(c):]
-        live = lo < hi
-        return which[live], lo[live], hi[live]
+            live = lo < hi
+            which, lo, hi = which[live], lo[live], hi[live]
+        return which, lo, hi
 
     def locate(self, rows: np.ndarray) -> np.ndarray:
         """Text positions of rows: step back until a sampled row."""
@@ -169,25 +178,44 @@ def word_hashes(column):
     return data, offs, s, e, B.span_hashes(data, s, e), B.row_of(s, offs)
 
 
+def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """``counts[k]`` consecutive numbers from ``starts[k]`` on, for every k in turn."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts - starts, counts)
+
+
 def query_block(ids: list, texts: list, window: int = WINDOW) -> dict:
-    """Vocabulary and distinct windows of some benchmark items.
+    """Vocabulary and distinct windows of some benchmark items, all as arrays.
 
-    An item of fewer words than ``window``, but not none, is one window.  A null
-    item id stands for itself under the name ``null``.
+    An item of fewer words than ``window``, but not none, is one window.  The words
+    of all items stand once in ``symbols`` (ranks in ``vocab``); a window is its start
+    there.  Per window length: the starts of the distinct windows and, in one flat
+    array cut by ``offsets``, the places of their items in ``names``.  ``names`` are the
+    distinct ids in string order, a null id last.
     """
     _, _, _, _, h, rows = word_hashes(pa.array(texts, pa.string()))
-    vocab = np.unique(h)
-    sym = np.searchsorted(vocab, h) + 1
-    owners: dict[tuple, set] = {}
-    for k, item in enumerate(ids):
-        words = sym[rows[k]:rows[k + 1]].tolist()
-        for i in range(max(1, len(words) - window + 1) if words else 0):
-            owners.setdefault(tuple(words[i:i + window]), set()).add("null" if item is None else str(item))
-    by_length: dict[int, list] = {}
-    for w in owners:
-        by_length.setdefault(len(w), []).append(w)
-    return {"vocab": vocab, "groups": [
-        (n, np.array(ws, np.int64), [sorted(owners[w]) for w in ws]) for n, ws in sorted(by_length.items())]}
+    vocab, symbols = np.unique(h, return_inverse=True)
+    symbols = (symbols + 1).astype(np.int32)
+    names = sorted({str(i) for i in ids if i is not None}) + [None]
+    place = {name: k for k, name in enumerate(names)}
+    named = np.array([place[None if i is None else str(i)] for i in ids], np.int32)
+    n_words = np.diff(rows)
+    length = np.minimum(n_words, window)
+    groups = []
+    for n in np.unique(length[length > 0]).tolist():
+        here = np.flatnonzero(length == n)
+        count = n_words[here] - n + 1
+        start, owner = ragged(rows[:-1][here], count), np.repeat(named[here], count)
+        key = np.zeros(len(start), np.uint64)
+        for t in range(n):
+            key = B.mix(key + symbols[start + t].astype(np.uint64) + np.uint64(t + 1))
+        order = np.lexsort((owner, key))
+        key, start, owner = key[order], start[order], owner[order]
+        fresh_key = np.r_[True, key[1:] != key[:-1]]
+        once = fresh_key | np.r_[True, owner[1:] != owner[:-1]]
+        first = np.flatnonzero(fresh_key[once])
+        groups.append((n, start[fresh_key].astype(np.int32), np.r_[first, once.sum()].astype(np.int32), owner[once]))
+    return {"vocab": vocab, "symbols": symbols, "names": names, "groups": groups}
 
 
 def find(column, block: dict) -> tuple[np.ndarray, list]:
@@ -195,7 +223,7 @@ def find(column, block: dict) -> tuple[np.ndarray, list]:
     data, offs, s, e, h, rows = word_hashes(column)
     n_words = np.diff(rows)
     found: list = [None] * len(n_words)
-    vocab, groups = block["vocab"], block["groups"]
+    vocab, groups, names = block["vocab"], block["groups"], block["names"]
     if not len(h) or not groups:
         return n_words, found
     at = np.searchsorted(vocab, h)
@@ -218,37 +246,48 @@ def find(column, block: dict) -> tuple[np.ndarray, list]:
     text[ends - 1] = 0
     index = FMIndex(text, len(vocab) + 1)
     cover = np.zeros(len(h) + 1, np.int64)
-    items: dict[int, set] = {}
-    for n, patterns, owners in groups:
-        which, lo, hi = index.search(patterns)
+    named = []
+    for n, starts, offsets, owners in groups:
+        which, lo, hi = index.search_windows(block["symbols"], starts, n)
         if not len(which):
             continue
         count = hi - lo
-        row = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
-        word = position[index.locate(row)]
+        word = position[index.locate(ragged(lo, count))]
         np.add.at(cover, word, 1)
         np.add.at(cover, word + n, -1)
         text_of = np.searchsorted(rows, word, "right") - 1
-        pairs = np.unique(text_of * len(patterns) + np.repeat(which, count))
-        for p in pairs.tolist():
-            items.setdefault(p // len(patterns), set()).update(owners[p % len(patterns)])
+        pairs = np.unique(text_of * len(starts) + np.repeat(which, count))
+        text_of, which = pairs // len(starts), pairs % len(starts)
+        count = offsets[which + 1].astype(np.int64) - offsets[which]
+        named.append(np.unique(np.repeat(text_of, count) * len(names) + owners[ragged(offsets[which].astype(np.int64), count)]))
+    if not named:
+        return n_words, found
+    named = np.unique(np.concatenate(named))
+    text_of, named = named // len(names), named % len(names)
+    with_hits, first_name = np.unique(text_of, return_index=True)
     hit = np.cumsum(cover[:-1]) > 0
-    for r, who in items.items():
+    for r, who in zip(with_hits.tolist(), np.split(named, first_name[1:])):
         a, b = int(rows[r]), int(rows[r + 1])
         edge = np.diff(np.r_[0, hit[a:b].astype(np.int8), 0])
         ws, we = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         o = int(offs[r])
         chars = np.r_[0, np.cumsum((data[o:int(offs[r + 1])] & 0xC0) != 0x80)]
-        found[r] = (sorted(who), [
+        found[r] = ([names[k] for k in who.tolist()], [
             {"word_start": int(x), "word_end": int(y), "start": int(chars[s[a + x] - o]), "end": int(chars[e[a + y - 1] - o])}
             for x, y in zip(ws, we)])
     return n_words, found
 
 
 def benchmark_blocks(bench: DataFrame, item_col: str, text_col: str, block_bytes: int = BLOCK_BYTES):
-    """The benchmark in blocks of about ``block_bytes``; an item is never split."""
+    """The benchmark in blocks of about ``block_bytes`` as sent; an item is never split.
+
+    What an item adds to a block is at most ``WORD_BYTES`` a word (symbol, window start,
+    offset, owner, vocabulary entry) and its id.
+    """
     bench = bench.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    words = F.size(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
+    sent = words * WORD_BYTES + F.coalesce(F.octet_length("item"), F.lit(0)) + ITEM_BYTES
+    total = bench.agg(F.sum(sent.cast("long"))).first()[0] or 0
     n = int(total // block_bytes) + 1
     for k in range(n):
         part = bench if n == 1 else bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
@@ -262,7 +301,7 @@ def search(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col:
     """``docs`` with a struct column of hits, and that column's name.
 
     The struct holds ``n_words``, ``items`` (ids of items with an occurring window,
-    sorted as strings) and ``spans`` (merged hit words: word positions and code
+    sorted as strings, a null id last) and ``spans`` (merged hit words: word positions and code
     points, end exclusive).  Null and empty texts have no words; repeated rows are
     judged one by one; an empty benchmark hits nothing.  Other columns pass
     through, whatever their names.  With ``keep_text=False`` the text is left out.
@@ -271,8 +310,6 @@ def search(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col:
     spark = docs.sparkSession
     for k, block in enumerate(benchmark_blocks(bench, item_col, bench_text_col, block_bytes)):
         name = out if k == 0 else fresh(docs.columns, "more_hits")
-        if k:
-            docs = docs.checkpoint(eager=False)
         schema = T.StructType([*docs.schema.fields, T.StructField(name, RESULT)])
         docs = docs.mapInArrow(_worker(spark.sparkContext.broadcast(block), text_col, name), schema)
         if k:
@@ -331,7 +368,8 @@ def remove_spans(text, hits):
 
 
 def report(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    """One row per document: counts, digest of the item ids, the verdict, spans."""
+    """One row per document: counts, digest of the item ids, the verdict.  A null item
+    id counts as one item and has no name in the digest.  ``search`` gives the spans."""
     found, h = search(docs.select("doc_id", "text"), bench, keep_text=False)
     hits = F.col(h)
     return found.select(

@@ -80,6 +80,36 @@ def test_decontamination_blocks_and_spans(spark, docs):
     assert decontam.report(docs.limit(0), bench).count() == 0
 
 
+def test_benchmark_ids_null_and_named_null(spark):
+    bench = spark.createDataFrame([(None, "alpha beta"), ("null", "beta gamma"), ("10", "alpha beta"), ("9", "Alpha Beta")], "item_id string, text string")
+    df = spark.createDataFrame([(1, "x alpha beta gamma"), (2, "beta gamma"), (3, "Alpha, BETA")], "doc_id long, text string")
+    for block_bytes in (1 << 20, 16):
+        found, h = decontam.search(df, bench, block_bytes=block_bytes)
+        assert {r.doc_id: r[h]["items"] for r in found.collect()} == {1: ["10", "9", "null", None], 2: ["null"], 3: ["10", "9", None]}
+    got = {r.doc_id: (r.n_items, r.items_sha256) for r in decontam.report(df, bench).collect()}
+    assert got[1] == (4, hashlib.sha256(b"10,9,null").hexdigest()) and got[3] == (3, hashlib.sha256(b"10,9").hexdigest())
+
+
+def test_windows_are_distinct_with_all_their_items():
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice("abc") for _ in range(rng.choice([0, 1, 5, 13, 40]))) for _ in range(60)]
+    block = decontam.query_block(list(range(60)), texts, window=4)
+    spelled = ["a", "b", "c"]
+    order = sorted(spelled, key=lambda w: decontam.word_hashes(pa.array([w]))[4][0])
+    got = {}
+    for n, starts, offsets, owners in block["groups"]:
+        for k, at in enumerate(starts):
+            window = tuple(order[x - 1] for x in block["symbols"][at:at + n])
+            assert window not in got
+            got[window] = [block["names"][x] for x in owners[offsets[k]:offsets[k + 1]]]
+    want = {}
+    for i, t in enumerate(texts):
+        w = t.split()
+        for at in range(max(1, len(w) - 3) if w else 0):
+            want.setdefault(tuple(w[at:at + 4]), set()).add(str(i))
+    assert got == {k: sorted(v) for k, v in want.items()}
+
+
 def test_suffix_array_and_index():
     rng = np.random.default_rng(3)
     sym = rng.integers(0, 4, 500)
