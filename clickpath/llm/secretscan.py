@@ -4,6 +4,10 @@ Base spans come from three patterns.  The method adds spans that are secrets by
 their structure: base64 or hex candidates are decoded and reported only if the
 bytes parse as a key encoding (DER with nested lengths that fill their parents,
 OpenSSH wire fields) or the token's header and claims are JSON (signed tokens).
+Lines of a key may be indented or joined by escaped line ends (a key inside a
+JSON or source string).  DER public keys, certificates and requests are told by
+their shape (algorithm identifier before a bit string, two integers) and not
+reported; OpenSSH lines are reported as ``ssh`` whichever half of a pair they hold.
 
 A byte-level pass over the Arrow buffer marks the few texts that can hold a
 candidate of each kind; only those are decoded and searched.  One ``mapInArrow``,
@@ -36,8 +40,12 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
 _JWT = re.compile(r"eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
-_BASE64 = re.compile(r"[A-Za-z0-9+/]{24,}(?:\r?\n[A-Za-z0-9+/]{4,})*={0,2}")
-_URL_SAFE = re.compile(r"(?!-----)[A-Za-z0-9_-]{24,}(?:\r?\n(?!-----)[A-Za-z0-9_-]{4,})*={0,2}")
+# A line end inside a key: white space and the next line's indentation, or an escape.
+_BREAK = r"(?:[\x20\t]*\r?\n[\x20\t]*|(?:\\+r)?\\+n)"
+_BREAKS = re.compile(_BREAK)
+_ESCAPE_END = r"(?:(?<=\\)[nrt])?"
+_BASE64 = re.compile(_ESCAPE_END + r"([A-Za-z0-9+/]{24,}(?:" + _BREAK + r"[A-Za-z0-9+/]{4,})*={0,2})")
+_URL_SAFE = re.compile(_ESCAPE_END + r"(?!-----)([A-Za-z0-9_-]{24,}(?:" + _BREAK + r"(?!-----)[A-Za-z0-9_-]{4,})*={0,2})")
 _FROM_URL_SAFE = str.maketrans("-_", "+/")
 _LONG_HEX = re.compile(r"[0-9a-fA-F]{32,}")
 _SSH_NAME = re.compile(rb"(ssh|ecdsa|sk)-[A-Za-z0-9@.-]{3,60}\Z")
@@ -52,42 +60,59 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 
 
+def _element(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
+    """(tag, start, end) of the DER element at ``at``, or None."""
+    if at + 2 > end:
+        return None
+    tag, n, at = data[at], data[at + 1], at + 2
+    if n & 0x80:
+        k = n & 0x7F
+        if not 1 <= k <= 4 or at + k > end:
+            return None
+        n, at = int.from_bytes(data[at:at + k], "big"), at + k
+        if n < 0x80:
+            return None
+    return (tag, at, at + n) if at + n <= end else None
+
+
+def _elements(data: bytes, at: int, end: int, depth: int = 0) -> list | None:
+    """The elements that fill ``data[at:end]`` exactly, SEQUENCEs among them filled too."""
+    out = []
+    while at < end:
+        e = _element(data, at, end)
+        if e is None or depth > 12:
+            return None
+        if e[0] == 0x30 and _elements(data, e[1], e[2], depth + 1) is None:
+            return None
+        out.append(e)
+        at = e[2]
+    return out
+
+
 def der_length(data: bytes) -> int | None:
     """Bytes of the DER key structure that ``data`` starts with, or None.
 
     A key is a SEQUENCE whose elements fill it exactly, two or more, the first an
     INTEGER or a SEQUENCE, and whose nested SEQUENCEs are filled exactly too.
     """
-    def header(at: int, end: int):
-        if at + 2 > end:
-            return None
-        tag, n, at = data[at], data[at + 1], at + 2
-        if n & 0x80:
-            k = n & 0x7F
-            if not 1 <= k <= 4 or at + k > end:
-                return None
-            n, at = int.from_bytes(data[at:at + k], "big"), at + k
-            if n < 0x80:
-                return None
-        return (tag, at, at + n) if at + n <= end else None
-
-    def filled(at: int, end: int, depth: int) -> list | None:
-        tags = []
-        while at < end:
-            h = header(at, end)
-            if h is None or depth > 12:
-                return None
-            if h[0] == 0x30 and filled(h[1], h[2], depth + 1) is None:
-                return None
-            tags.append(h[0])
-            at = h[2]
-        return tags
-
-    h = header(0, len(data))
-    if h is None or h[0] != 0x30 or h[2] < 16:
+    whole = _element(data, 0, len(data))
+    if whole is None or whole[0] != 0x30 or whole[2] < 16:
         return None
-    tags = filled(h[1], h[2], 0)
-    return h[2] if tags and len(tags) >= 2 and tags[0] in (0x02, 0x30) else None
+    parts = _elements(data, whole[1], whole[2])
+    return whole[2] if parts and len(parts) >= 2 and parts[0][0] in (0x02, 0x30) else None
+
+
+def is_public(data: bytes) -> bool:
+    """Whether a structure that ``der_length`` accepts is a public one: a public key
+    (algorithm, bit string), a certificate or the like (body, algorithm, bit string)
+    or a bare RSA public key (modulus, small exponent)."""
+    whole = _element(data, 0, len(data))
+    parts = _elements(data, whole[1], whole[2])
+    tags = [p[0] for p in parts]
+    if tags in ([0x30, 0x03], [0x30, 0x30, 0x03]):
+        inner = _element(data, parts[-2][1], parts[-2][2])  # an algorithm begins with an object identifier
+        return inner is not None and inner[0] == 0x06
+    return tags == [0x02, 0x02] and parts[0][2] - parts[0][1] >= 64 and parts[1][2] - parts[1][1] <= 8
 
 
 def ssh_length(data: bytes) -> int | None:
@@ -131,7 +156,8 @@ def _names_ssh(chars: str, start: int) -> bool:
 def _keys(found: str) -> list[tuple[str, int, int]]:
     """Keys (kind, start, end) in base64 lines: from each line's start and from the end
     of the key before.  Only what can begin a key is decoded."""
-    at = [k for k, c in enumerate(found) if c not in "\r\n="]
+    found = _BREAKS.sub(lambda m: "\n" * len(m.group()), found)
+    at = [k for k, c in enumerate(found) if c not in "\n="]
     chars = "".join(found[k] for k in at).translate(_FROM_URL_SAFE)
     lines = [k for k in range(len(at) - 1, -1, -1) if k == 0 or found[at[k] - 1] == "\n"]
     out, end, following = [], 0, False
@@ -156,7 +182,8 @@ def _keys(found: str) -> list[tuple[str, int, int]]:
             last = at[end - 1] + 1
             while last < len(found) and found[last] == "=":
                 last += 1
-            out.append((kind, at[start], last))
+            if kind != "der" or not is_public(_decoded(chars[start:end])):
+                out.append((kind, at[start], last))
     return out
 
 
@@ -166,15 +193,15 @@ def confirmed(text: str) -> list[tuple[str, int, int]]:
     found = {}
     for pattern in (_BASE64, _URL_SAFE):
         for m in pattern.finditer(text):
-            if pattern is _BASE64 or "-" in m.group() or "_" in m.group():
-                for kind, start, end in _keys(m.group()):
-                    place = kind, m.start() + start
-                    found[place] = max(found.get(place, 0), m.start() + end)
+            if pattern is _BASE64 or "-" in m.group(1) or "_" in m.group(1):
+                for kind, start, end in _keys(m.group(1)):
+                    place = kind, m.start(1) + start
+                    found[place] = max(found.get(place, 0), m.start(1) + end)
     out += [(kind, start, end) for (kind, start), end in found.items()]
     for m in _LONG_HEX.finditer(text):
         raw = bytes.fromhex(m.group()[:len(m.group()) // 2 * 2])
         for kind, parse in (("der", der_length), ("ssh", ssh_length)):
-            if (n := parse(raw)) is not None:
+            if (n := parse(raw)) is not None and not (kind == "der" and is_public(raw)):
                 out.append((kind, m.start(), m.start() + 2 * n))
     return out
 
@@ -245,7 +272,7 @@ def _scanner(text_col: str):
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: counts of the base kinds, digest of the base spans, and
     all spans as ``kind:start:end`` (code points, end exclusive).  Null and empty
-    texts have no spans; repeated rows are scanned one by one; other columns are
-    not read."""
+    texts have no spans, an empty table gives no rows; repeated rows are scanned one by
+    one; other columns are not read, whatever their names."""
     rows = docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as text")
     return rows.mapInArrow(_scanner("text"), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")

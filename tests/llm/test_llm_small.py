@@ -383,6 +383,87 @@ def test_secret_spans(spark):
     assert (got[7].n_assign, got[7].n_access, got[7].n_hex) == (2, 1, 1)
 
 
+def _der(tag, body):
+    n = len(body)
+    return bytes([tag]) + (bytes([n]) if n < 128 else bytes([0x82]) + n.to_bytes(2, "big")) + body
+
+
+def _number(rng, n):
+    return _der(0x02, b"\1" + rng.randbytes(n - 1))
+
+
+def _private_keys(rng):
+    """RSA, EC, wrapped and encrypted private keys with random numbers of real sizes."""
+    oid = _der(0x06, bytes.fromhex("2a864886f70d010101"))
+    rsa = _der(0x30, _der(0x02, b"\0") + _number(rng, 257) + _der(0x02, b"\1\0\1") + b"".join(_number(rng, k) for k in (256, 129, 129, 128, 128, 128)))
+    ec = _der(0x30, _der(0x02, b"\1") + _der(0x04, rng.randbytes(32)) + _der(0xA0, _der(0x06, bytes.fromhex("2a8648ce3d030107"))))
+    wrapped = _der(0x30, _der(0x02, b"\0") + _der(0x30, oid + b"\5\0") + _der(0x04, rsa))
+    encrypted = _der(0x30, _der(0x30, oid + _der(0x30, _der(0x04, rng.randbytes(8)) + _der(0x02, b"\x08\0"))) + _der(0x04, rng.randbytes(320)))
+    return [rsa, ec, wrapped, encrypted]
+
+
+def _public_structures(rng):
+    algorithm = _der(0x30, _der(0x06, bytes.fromhex("2a864886f70d01010b")) + b"\5\0")
+    rsa = _der(0x30, _number(rng, 257) + _der(0x02, b"\1\0\1"))
+    key = _der(0x30, algorithm + _der(0x03, b"\0" + rsa))
+    body = _der(0x30, _der(0xA0, _der(0x02, b"\2")) + _number(rng, 16) + algorithm + key)
+    return [rsa, key, _der(0x30, body + algorithm + _der(0x03, b"\0" + rng.randbytes(256)))]
+
+
+def _forms(raw):
+    """(text, key as it stands there) of one structure in the usual wrappings."""
+    for width in (64, 76):
+        flat = base64.b64encode(raw).decode()
+        lines = [flat[i:i + width] for i in range(0, len(flat), width)]
+        for joint in ("\n", "\r\n", "\n  ", "\n\t\t", " \n    ", "\\n", "\\r\\n", "\\\\n"):
+            key = joint.join(lines)
+            yield f"-----BEGIN KEY-----{joint}{key}{joint}-----END KEY-----", key
+        yield f'key: "{flat}"', flat
+    yield f"hex {raw.hex()}.", raw.hex()
+
+
+def test_private_keys_in_all_wrappings_and_no_public_ones():
+    rng = random.Random(12)
+    for _ in range(3):
+        for raw in _private_keys(rng):
+            for text, key in _forms(raw):
+                text = "é says: " + text + " and on"
+                at = text.index(key)
+                assert [x for x in secretscan.confirmed(text) if x[0] == "der"] == [("der", at, at + len(key))], text
+        for raw in _public_structures(rng):
+            for text, _ in _forms(raw):
+                assert secretscan.confirmed(text) == [], text
+    private, public = base64.b64encode(_private_keys(rng)[0]).decode(), base64.b64encode(_public_structures(rng)[1]).decode()
+    text = public.rstrip("=") + "\n" + private
+    assert secretscan.confirmed(text) == [("der", len(text) - len(private), len(text))]
+
+
+def test_secret_scan_equals_plain_patterns(spark, docs):
+    """Base spans against the contract's patterns applied to every text, without prefilters."""
+    assign = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    rng = random.Random(4)
+    parts = ["password", "PassWd", "ſecret", "secret", "apI_Key", "apikey", "toKen", ":", "=", " ", "'", '"', "AKIA", "AKIAABCDEFGHIJKLMN",
+             "0123456789abcdef", "deadbeef", "Zz9+/_.=-Zz9+", "é", "\n", "😀", "x" * 12]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 60))) for _ in range(400)] + ["x " * 200_000 + "token=" + "a" * 12]
+    df = docs.select("doc_id", "text").union(spark.createDataFrame(list(enumerate(texts, 1000)), "doc_id long, text string")).union(
+        spark.read.parquet("/root/testdata/sf0.01/documents.parquet").selectExpr("doc_id + 100000", "text"))
+    rows = {}
+    for r in df.collect():
+        t = r.text or ""
+        found = ([("assign", m.start(), m.end()) for m in assign.finditer(t) if len(m.group(2)) >= 12]
+                 + [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if m.end() - m.start() >= 18]
+                 + [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", t) if m.end() - m.start() >= 16])
+        found.sort(key=lambda x: (x[1], ("assign", "access", "hex").index(x[0])))
+        base = ",".join(f"{k}:{a}:{b}" for k, a, b in found)
+        n = Counter(k for k, _, _ in found)
+        rows.setdefault(r.doc_id, set()).add((n["assign"], n["access"], n["hex"], hashlib.sha256(base.encode()).hexdigest()))
+    got = {}
+    for r in secretscan.scan(df).collect():
+        got.setdefault(r.doc_id, set()).add((r.n_assign, r.n_access, r.n_hex, r.base_sha256))
+    assert got == rows and sum(sum(x[:3]) for v in got.values() for x in v) > 300
+    assert secretscan.scan(df.limit(0)).count() == 0
+
+
 # ---- 9 and 10 ----------------------------------------------------------------------
 
 def test_keys_on_adjoining_lines():
