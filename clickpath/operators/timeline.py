@@ -7,6 +7,11 @@ keeps the first rows of each path.  Only the impressions that can reach the cut
 are paired: a running count of open conversions per (path, time bucket) says how
 many rows an impression gives, and all beyond the cut go before the join.  A hot
 cookie is split over its time buckets; each hands at most ``limit`` impressions on.
+
+First-touch spans begin at an impression of their path, so every span gives a row at
+its start and the first ``limit`` spans of a path hold its first ``limit`` rows
+(``first_touch=True``): those spans travel as one short list per (path, time bucket),
+impressions look them up, and no conversion is paired beyond the cut.
 """
 
 from __future__ import annotations
@@ -22,10 +27,12 @@ CONVERSION_ROWS = 100    # fixed value: rows per advertiser conversion list
 
 def conversion_timeline(impressions: DataFrame, attributed: DataFrame, lookback_seconds: int,
                         advertiser=None, cookie=None, limit: int = TIMELINE_ROWS,
-                        span_factor: int = 4) -> DataFrame:
+                        span_factor: int = 4, first_touch: bool = False) -> DataFrame:
     """advertisers_id, cookie_id, publishers_id, timestamp, impressions, conversion_timestamp,
     formatted_time; the first ``limit`` rows per (advertiser, cookie) by time
-    (ties: publisher, conversion time).  ``advertiser``/``cookie`` narrow to one path."""
+    (ties: publisher, conversion time).  ``advertiser``/``cookie`` narrow to one path.
+    ``first_touch`` states that every ``impression_timestamp`` is the time of an impression
+    of its path in ``impressions``, as ``first_touch_attribution`` gives it."""
     keys = ["advertisers_id", "cookie_id"]
     imp, att = impressions, attributed
     for k, v in (("advertisers_id", advertiser), ("cookie_id", cookie)):
@@ -36,22 +43,52 @@ def conversion_timeline(impressions: DataFrame, attributed: DataFrame, lookback_
     width = span * max(1, int(span_factor))
     it = imp.select(*keys, "publishers_id", "timestamp", "impressions", epoch_micros("timestamp").alias("__t"))
     it = it.withColumn("__b", F.floor(F.col("__t") / F.lit(width)))
+    if first_touch:
+        att = _first_spans(att, keys, width, limit)
     # a conversion is copied into every bucket that its span touches (two at most)
     spans = att.select(*keys, F.col("impression_timestamp").alias("__first"), "conversion_timestamp",
                        epoch_micros("impression_timestamp").alias("__from"), epoch_micros("conversion_timestamp").alias("__to"))
     spans = spans.withColumn("__b", F.explode(F.sequence(F.floor(F.col("__from") / F.lit(width)), F.floor(F.col("__to") / F.lit(width)))))
+    if first_touch:
+        return _timeline_rows(_under_listed_spans(it, spans, keys, limit), keys, limit)
     kept = _reach_the_cut(it, spans, keys, limit)
     ct = spans.select(*[F.col(k).alias(f"__c_{k}") for k in keys], "__first", "conversion_timestamp", F.col("__b").alias("__cb"))
     cond = [kept[k] == ct[f"__c_{k}"] for k in keys] + [
         kept["__b"] == ct["__cb"],
         kept["timestamp"] >= ct["__first"], kept["timestamp"] <= ct["conversion_timestamp"]]
-    j = kept.join(ct, cond)
+    return _timeline_rows(kept.join(ct, cond), keys, limit)
+
+
+def _timeline_rows(pairs: DataFrame, keys: list, limit: int) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("timestamp", "publishers_id", "conversion_timestamp")
-    top = j.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= limit)
+    top = pairs.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= limit)
     return top.select(*keys, "publishers_id", "timestamp", "impressions", "conversion_timestamp",
                       F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("formatted_time"))
 
 
+def _first_spans(attributed: DataFrame, keys: list, width: int, limit: int) -> DataFrame:
+    """The first ``limit`` spans of each path by start and end, cut in the time bucket of
+    their start and then in their path, so a hot path's spans are sorted bucket by bucket."""
+    order = ["impression_timestamp", "conversion_timestamp"]
+    spans = attributed.select(*keys, *order, F.floor(epoch_micros("impression_timestamp") / F.lit(width)).alias("__b"))
+    here = Window.partitionBy(*keys, "__b").orderBy(*order)
+    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("__rn", F.row_number().over(here)).where(F.col("__rn") <= limit)
+    return spans.withColumn("__before", F.count(F.lit(1)).over(before)).where(F.col("__before") < limit).select(*keys, *order)
+
+
+def _under_listed_spans(impressions: DataFrame, spans: DataFrame, keys: list, limit: int) -> DataFrame:
+    """(impression, conversion) rows of the first ``limit`` impressions of each path that lie
+    under one of its spans; a path has ``limit`` spans at most, listed per time bucket."""
+    span = F.struct(F.col("__from").alias("from"), F.col("__to").alias("to"), "conversion_timestamp")
+    lists = spans.groupBy(*keys, "__b").agg(F.collect_list(span).alias("__spans"))
+    under = impressions.join(lists, [*keys, "__b"]).withColumn(
+        "__open", F.filter("__spans", lambda x: (x["from"] <= F.col("__t")) & (x["to"] >= F.col("__t")))).where(F.size("__open") > 0)
+    path = Window.partitionBy(*keys).orderBy("timestamp", "publishers_id")
+    first = under.withColumn("__rn", F.row_number().over(path)).where(F.col("__rn") <= limit)
+    return first.select(*keys, "publishers_id", "timestamp", "impressions", F.explode("__open.conversion_timestamp").alias("conversion_timestamp"))
+
+
 def _reach_the_cut(impressions: DataFrame, spans: DataFrame, keys: list, limit: int) -> DataFrame:
     """The impressions that give a row among the first ``limit`` of their path.
 

@@ -272,7 +272,7 @@ timeline AS (
 
 def _timeline(spark, sf):
     return TL.conversion_timeline(domain.impressions(spark, sf),
-                                  domain.attributed(spark, sf, lookback_seconds=DAY), lookback_seconds=DAY)
+                                  domain.attributed(spark, sf, lookback_seconds=DAY), lookback_seconds=DAY, first_touch=True)
 
 
 @register("conversion_timeline", with_ctes(ADAPTER_SQL, attributed_sql("INTERVAL 24 HOUR"), TIMELINE_SQL)
