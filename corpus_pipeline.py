@@ -1,7 +1,8 @@
 """The training-data pipeline: five stages over ``documents``, each one Spark job.
 
 ``run`` writes every stage's result as Parquet in the shared folder and rereads it
-for the next one, so a lost executor never reaches back past a stage.
+for the next one, so a lost executor never reaches back past a stage.  A stage's table
+is removed when the next one's is complete.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from clickpath.llm import decontam, mixing, neardup, packing, rules
-from clickpath.llm.common import read, written
+from clickpath.llm.common import read, removed, stored
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +52,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """The packed rows of ``documents`` after all stages.  Nulls, empty and repeated rows are
+    treated as each stage's operator states; an empty table gives no rows."""
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs, path = stored(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            removed(spark, before)
+        before = path
     return docs
