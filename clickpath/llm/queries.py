@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import (chat, collocations, compressquality, decontam, infill, mixing, neardup, packing, pagetemplate, rules, secretscan,
                tokencount, urls)
-from .common import read
+from .common import read, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -130,7 +130,7 @@ def op5_extract_pages(spark, sf_dir):
     return pagetemplate.extract(read(spark, sf_dir, "pages"))
 
 
-@register("op6_quality_rules", r"""
+_LEDGER = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
@@ -154,6 +154,10 @@ WITH d AS (
          2 * n_dup_lines > n_lines AS f3, word_chars < 2 * n_words OR word_chars > 40 * n_words AS f4,
          word_chars >= 40 AND 10 * n_upper > 3 * word_chars AS f5 FROM m
 )
+"""
+
+
+@register("op6_quality_rules", _LEDGER + r"""
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f0 OR f1 AS base_failed,
        NOT (f0 OR f1 OR f2 OR f3 OR f4 OR f5) AS kept,
        CAST(f0 AS BIGINT) + 2 * CAST(f1 AS BIGINT) + 4 * CAST(f2 AS BIGINT) + 8 * CAST(f3 AS BIGINT)
@@ -163,6 +167,24 @@ def op6_quality_rules(spark, sf_dir):
     return rules.report(read(spark, sf_dir, "documents"))
 
 
+_BITS = " + ".join(f"{1 << k} * CAST(f{k} AS BIGINT)" for k in range(len(rules.RULES)))
+_CASES = ", ".join(f"('{p.version}', '{name}', {1 << rules.BIT[name]}, {p.mask & ~rules.BASE_MASK}, {p.allowed})"
+                   for p in rules.POLICIES for name in rules.RULES if p.mask & 1 << rules.BIT[name])
+
+
+@register("quality_rule_ablation", _LEDGER + f""", e AS (
+  SELECT *, v & ~bit AS u FROM (SELECT {_BITS} AS v FROM b), (VALUES {_CASES}) AS c(policy, rule, bit, rest, allowed)
+)
+SELECT policy, rule, CAST(count(*) FILTER (WHERE v & bit <> 0) AS BIGINT) AS n_failed,
+       CAST(count(*) FILTER (WHERE (v & {rules.BASE_MASK} <> 0 OR bit_count(v & rest) > allowed)
+                               AND u & {rules.BASE_MASK} = 0 AND bit_count(u & rest) <= allowed) AS BIGINT) AS n_only_this_rule
+FROM e GROUP BY policy, rule""")
+def quality_rule_ablation(spark, sf_dir):
+    """Every policy and rule of the stored ledger of all documents: what fails, and what only that rule rejects."""
+    book = written(rules.ledger(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "ledger")
+    return rules.ablation(book)
+
+
 @register("op7_compression_quality")
 def op7_compression_quality(spark, sf_dir):
     return compressquality.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
@@ -217,7 +239,8 @@ WITH d AS (
 ), p AS (
   SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w
   FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?
--]')) AS piece FROM d)
+-
+]')) AS piece FROM d)
 ), g AS (
   SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, w[i:i + k - 1] AS words
   FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(w) >= k)

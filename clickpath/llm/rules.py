@@ -128,24 +128,27 @@ def passes(bits: Column, policy: Policy) -> Column:
 
 
 def ablation(book: DataFrame, policies=POLICIES, bits: str = "fail_bits") -> DataFrame:
-    """Per policy and rule: documents that fail the rule, and those that only it rejects."""
-    masks = book.groupBy(F.col(bits).alias("b")).agg(F.count("*").alias("n"))
-    out = None
-    for p in policies:
-        for name in RULES:
-            bit = 1 << BIT[name]
-            if not p.mask & bit:
-                continue
-            without = Policy(p.version, p.mask & ~bit, p.allowed)
-            b = F.col("b")
-            kept_without = passes(b.bitwiseAND(F.lit(~bit & 0xFFFF)), without)
-            one = masks.select(
-                F.lit(p.version).alias("policy"), F.lit(name).alias("rule"), "n",
-                (b.bitwiseAND(F.lit(bit)) != 0).alias("fails"), (~passes(b, p) & kept_without).alias("alone"))
-            out = one if out is None else out.unionByName(one)
-    return out.groupBy("policy", "rule").agg(
-        F.sum(F.when(F.col("fails"), F.col("n")).otherwise(0)).alias("n_failed"),
-        F.sum(F.when(F.col("alone"), F.col("n")).otherwise(0)).alias("n_only_this_rule"))
+    """Per policy and rule: documents that fail the rule, and those that only it rejects.
+
+    Documents are first counted per distinct bitmask; policies and rules then apply to
+    the masks alone.  A null bitmask counts nowhere; an empty ledger gives no rows.
+    """
+    cases = F.array(*[
+        F.struct(F.lit(p.version).alias("policy"), F.lit(name).alias("rule"), F.lit(1 << BIT[name]).cast("long").alias("bit"),
+                 F.lit(p.mask & ~BASE_MASK).cast("long").alias("rest"), F.lit(p.allowed).alias("allowed"))
+        for p in policies for name in RULES if p.mask & 1 << BIT[name]])
+    masks = book.groupBy(F.col(bits).alias("b")).agg(F.count("*").alias("n")).where("b is not null")
+    each = masks.select("b", "n", F.explode(cases).alias("c")).select("b", "n", "c.*")
+
+    def kept(b):
+        return (b.bitwiseAND(F.lit(BASE_MASK)) == 0) & (F.bit_count(b.bitwiseAND(F.col("rest"))) <= F.col("allowed"))
+
+    b, bit = F.col("b"), F.col("bit")
+    fails = b.bitwiseAND(bit) != 0
+    alone = ~kept(b) & kept(b.bitwiseAND(F.bitwise_not(bit)))
+    return each.groupBy("policy", "rule").agg(
+        F.sum(F.when(fails, F.col("n")).otherwise(0)).alias("n_failed"),
+        F.sum(F.when(alone, F.col("n")).otherwise(0)).alias("n_only_this_rule"))
 
 
 def report(docs: DataFrame, policy: Policy = CURRENT) -> DataFrame:
