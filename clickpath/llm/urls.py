@@ -6,9 +6,10 @@ the day it was fetched, under every parent domain of its host and under its host
 with the first path segment; the most specific active entry decides.
 
 Captures collapse to units (host, segment, day) before anything is shuffled by key,
-and the units' keys to distinct (key, day) probes, so a host with a third of all
-captures is as many rows as days.  The as-of join is one window per key over
-probes and entries together; the verdicts join back by unit.
+and the units' keys to distinct (key, day) probes, so in the as-of window a host with a
+third of all captures is as many rows as days.  That window holds probes and entries of
+a key together; the verdicts join back by unit, and there a host has one row for each of
+its (segment, day) pairs.
 """
 
 from __future__ import annotations
