@@ -17,13 +17,16 @@
    similarity of a candidate pair decides.  A leader's group is cut into chunks of
    ``CHUNK`` members, so a huge group spreads over many tasks.
 4. Links give classes by label propagation.  Buckets that still hold several
-   classes are not resolved: for their members an exact prefix filter lists all
+   classes are not resolved: for their members an exact prefix filter finds all
    pairs of different classes that can be similar enough (texts share one of their
    rarest shingles), and these are compared too.  So no link between two classes
-   that share a bucket is lost.
+   that share a bucket is lost.  Where that would be many pairs, turns of leaders
+   (one comparison a row) join classes before it, and the largest class of a
+   shingle never meets itself; a hot shingle's rows are split over tasks.
 
 Nothing but counts reaches the driver.  Intermediate tables are written to the
-shared folder of ``spark.checkpoint.dir``.
+shared folder of ``spark.checkpoint.dir``; the ones with texts, buckets and pairs
+are removed when the classes are known.
 """
 
 from __future__ import annotations
@@ -34,12 +37,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytesutil as B
-from .common import fresh, text_digest, written
+from .common import fresh, removed, stored, text_digest, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 CHUNK = 64
+TURNS, EASY = 8, 4
+SPLIT = 4096
+SALTS = 8
 SLICE_BYTES = 2 << 20
 
 _Q = np.uint64(0x9FB21C651E98DF25)
@@ -179,9 +185,14 @@ def _verify(rows: pa.Table) -> pa.Table:
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose exact similarity is high enough."""
-    sizes = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    chunked = pairs.join(sizes, "a").select(
+    """The pairs (a, b) whose exact similarity is high enough.
+
+    ``n``, where the pairs have it, says about how many pairs of ``a`` there are: the
+    partners are split into chunks by it, without a join on ``a``.
+    """
+    if "n" not in pairs.columns:
+        pairs = pairs.join(pairs.groupBy("a").agg(F.count("*").alias("n")), "a")
+    chunked = pairs.select(
         "a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / CHUNK)).cast("int").alias("chunk"))
     wanted = chunked.select("a", "chunk", F.col("b").alias("node"), F.lit(False).alias("leads")).unionByName(
         chunked.select("a", "chunk", F.col("a").alias("node"), F.lit(True).alias("leads")).distinct())
@@ -217,7 +228,7 @@ def _open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _elements(batches):
-    """(node, label, size, element), one row per shingle occurrence: the k-th
+    """(node, size, element), one row per shingle occurrence: the k-th
     occurrence of a shingle is an element of its own, so the weighted similarity of
     two texts is the plain Jaccard similarity of their elements."""
     for batch in batches:
@@ -231,48 +242,141 @@ def _elements(batches):
             size = np.bincount(doc, count, j - i).astype(np.int64)
             owner = pa.array(doc[which] + i, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(batch.schema.get_field_index("node")).take(owner), batch.column(batch.schema.get_field_index("label")).take(owner),
+                [batch.column(batch.schema.get_field_index("node")).take(owner),
                  pa.array(size[doc[which]]), pa.array(element.view(np.int64))],
-                names=["node", "label", "size", "element"])
+                names=["node", "size", "element"])
 
 
-def rare_pairs(open_nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """All pairs (a < b) of different classes among ``open_nodes`` that can reach the
-    similarity, and few others.
+def prefixes(open_nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(element, node, size, nth, alone, short): the rarest elements of every node.
 
     Prefix filter: with the elements of every text in one order, rarest first, two
     texts of similarity s or more share one of the first n - ceil(2 s n / (1 + s)) + 1
-    of the smaller and the first n - ceil(s n) + 1 of the larger; what their places
-    leave room for must suffice as well.
+    of the smaller (``short``) and the first n - ceil(s n) + 1 of the larger.
+    Elements that can join nobody (in one text only, or in no short prefix) are left out.
     """
-    rows = written(open_nodes.join(texts, "node").select("node", "label", "text").mapInArrow(
-        _elements, "node binary, label binary, size long, element long"), "elements")
-    often = rows.groupBy("element").agg(F.count("*").alias("often"))
-    order = Window.partitionBy("node").orderBy("often", "element")
+    rows = open_nodes.join(texts, "node").select("node", "text").mapInArrow(_elements, "node binary, size long, element long")
+    rows, path = stored(rows, "elements")
+    often = rows.groupBy("element").agg(F.count("*").alias("often")).where("often > 1")
+    by_node = Window.partitionBy("node")
     n = F.col("size")
     long_prefix = n - F.ceil(n * SIMILARITY - 1e-9) + 1
     short_prefix = n - F.ceil(n * (2 * SIMILARITY / (1 + SIMILARITY)) - 1e-9) + 1
-    first = rows.join(often.where("often > 1"), "element", "left").withColumn("often", F.coalesce("often", F.lit(1))).withColumn(
-        "nth", F.row_number().over(order)).withColumn("alone", F.sum(F.when(F.col("often") == 1, 1).otherwise(0)).over(
-        Window.partitionBy("node"))).where((F.col("nth") <= long_prefix) & (F.col("often") > 1)).withColumn(
-        "short", F.col("nth") <= short_prefix).drop("often")
-    mixed = first.groupBy("element").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("element")
-    first = written(first.join(mixed, "element"), "prefixes")
-    l = first.where("short").select("element", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("size").alias("nx"), F.col("nth").alias("ix"), F.col("alone").alias("ux"))
-    r = first.select("element", F.col("node").alias("y"), F.col("label").alias("ly"), F.col("size").alias("ny"), F.col("nth").alias("iy"), F.col("alone").alias("uy"))
-    least_common = (F.col("nx") + F.col("ny")) * (SIMILARITY / (1 + SIMILARITY)) - 1e-9
+    first = (rows.join(often, "element", "left").withColumn("often", F.coalesce("often", F.lit(1)))
+             .withColumn("nth", F.row_number().over(by_node.orderBy("often", "element")))
+             .withColumn("alone", F.count(F.when(F.col("often") == 1, 1)).over(by_node))
+             .where((F.col("nth") <= long_prefix) & (F.col("often") > 1))
+             .withColumn("short", F.col("nth") <= short_prefix).drop("often"))
+    first, all_first = stored(first, "prefixes")
+    used = first.groupBy("element").agg(F.count("*").alias("m"), F.max("short").alias("has_short")).where("has_short and m > 1").select("element")
+    kept = written(first.join(used, "element"), "prefixes")
+    for done in (path, all_first):
+        removed(first.sparkSession, done)
+    return kept
+
+
+def mixed(first: DataFrame, labels: DataFrame) -> DataFrame:
+    """The prefix rows of the elements that several classes hold, with their class
+    ``label``, the element's largest class ``dom``, its rows ``m`` and the ``k`` of
+    them that are outside ``dom``."""
+    known = first.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    parts = known.groupBy("element", "label").agg(F.count("*").alias("n"))
+    top = parts.groupBy("element").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("m"))
+    top = top.select("element", F.col("top.label").alias("dom"), "m", (F.col("m") - F.col("top.n")).alias("k")).where("k > 0")
+    return known.join(top, "element")
+
+
+def leader_pairs(rows: DataFrame, turn: int) -> DataFrame:
+    """One pair for each row outside its element's largest class: it and one member of
+    that class, another one each turn."""
+    lead = rows.where("label = dom").groupBy("element").agg(
+        F.max_by("node", F.xxhash64("node", F.lit(turn))).alias("a"))
+    return (rows.where("label <> dom").join(lead, "element")
+            .groupBy("a", F.col("node").alias("b")).agg(F.max("k").alias("n")))
+
+
+def cross_pairs(rows: DataFrame) -> DataFrame:
+    """All pairs (a < b) of different classes that can reach the similarity, and few others.
+
+    Two rows of an element are of different classes only if one of them is outside
+    the element's largest class: those ``k`` rows meet the ``m`` of the element, and
+    the largest class never meets itself.  The ``k`` are split into parts of ``SPLIT``
+    rows, so a hot element is many tasks.  What the places of a shared element leave
+    room for must suffice.
+    """
+    parts = F.ceil(F.col("k") / SPLIT).cast("int")
+    names = ("node", "label", "size", "nth", "alone", "short")
+    p = rows.where("label <> dom").select("element", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"),
+                                          *[F.col(c).alias(f"p_{c}") for c in names])
+    q = rows.select("element", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"),
+                    (F.col("label") == F.col("dom")).alias("inside"), *[F.col(c).alias(f"q_{c}") for c in names])
+    least_common = (F.col("p_size") + F.col("q_size")) * (SIMILARITY / (1 + SIMILARITY)) - 1e-9
+    after = F.least(F.col("p_size") - F.col("p_nth"), F.col("q_size") - F.col("q_nth"))
     # before the shared place: common elements are none of those that occur once; after it: what is left
-    could = F.least(F.col("ix") - F.col("ux"), F.col("iy") - F.col("uy")) + F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy")) >= least_common
-    shared = l.join(r, "element").where("lx <> ly and (nx < ny or nx = ny and x < y)").where(
-        (F.col("nx") >= SIMILARITY * F.col("ny") - 1e-9) & could)
+    could = F.least(F.col("p_nth") - F.col("p_alone"), F.col("q_nth") - F.col("q_alone")) + after >= least_common
+    p_smaller = F.struct("p_size", "p_node") < F.struct("q_size", "q_node")
+    shared = p.join(q, ["element", "part"]).where(
+        (F.col("p_label") != F.col("q_label")) & (F.col("inside") | (F.col("p_node") < F.col("q_node")))
+        & F.when(p_smaller, F.col("p_short")).otherwise(F.col("q_short"))
+        & (F.least("p_size", "q_size") >= SIMILARITY * F.greatest("p_size", "q_size") - 1e-9) & could)
+    swap = F.col("p_node") > F.col("q_node")
+
+    def side(one: str, other: str, c: str):
+        return F.when(swap, F.col(f"{one}_{c}")).otherwise(F.col(f"{other}_{c}"))
+
+    shared = shared.select(*[side("q", "p", c).alias(f"a_{c}") for c in ("node", "size", "nth")],
+                           *[side("p", "q", c).alias(f"b_{c}") for c in ("node", "size", "nth")])
     # all common elements up to the last shared one are among the shared ones
-    pairs = shared.groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("c"), F.max("ix").alias("ix"), F.max("iy").alias("iy"))
-    reach = F.col("c") + F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy")) >= least_common
-    return pairs.where(reach).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    pairs = shared.groupBy("a_node", "b_node", "a_size", "b_size").agg(
+        F.count("*").alias("c"), F.max("a_nth").alias("ia"), F.max("b_nth").alias("ib"))
+    reach = F.col("c") + F.least(F.col("a_size") - F.col("ia"), F.col("b_size") - F.col("ib"))
+    return pairs.where(reach >= (F.col("a_size") + F.col("b_size")) * (SIMILARITY / (1 + SIMILARITY)) - 1e-9).select(
+        F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+
+
+def joined(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """``labels`` after the links ``found``: only the classes that they join are
+    worked on, not the links of earlier steps."""
+    ends = found.select("a", "b")
+    for end in ("a", "b"):
+        ends = ends.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"l{end}")), end, "left")
+    ends = ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b").distinct()
+    more = components(ends)
+    moved = labels.join(more.select(F.col("node").alias("label"), F.col("label").alias("next")), "label", "left").select(
+        "node", F.coalesce("next", "label").alias("label"))
+    return written(moved.unionByName(more.join(labels, "node", "left_anti")), "labels")
+
+
+def resolve(open_nodes: DataFrame, texts: DataFrame, labels: DataFrame) -> DataFrame:
+    """``labels`` with every link between different classes of ``open_nodes`` followed.
+
+    Turns first: while comparing all pairs of different classes would form more than
+    ``EASY`` rows for each prefix row, every row outside its element's largest class is
+    compared with one member of that class, and the classes found alike are joined.
+    That takes as many comparisons as there are rows and leaves little for
+    ``cross_pairs``, which then finds every link that is left.
+    """
+    spark = texts.sparkSession
+    first = prefixes(open_nodes, texts)
+    n_first = first.count()
+    for turn in range(TURNS + 1):
+        rows, path = stored(mixed(first, labels), "mixed")
+        work = rows.where("label <> dom").agg(F.sum("m")).first()[0] or 0
+        if not work:
+            break
+        last = turn == TURNS or work <= EASY * n_first
+        found, found_path = stored(verified(cross_pairs(rows) if last else leader_pairs(rows, turn), texts), "links")
+        if not found.isEmpty():
+            labels = joined(labels, found)
+        for done in (path, found_path):
+            removed(spark, done)
+        if last:
+            break
+    return labels
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(node, id, class_id, keep_id, keep_node): one row per row of ``docs``.
+    """(node, id, class_id, keep_id, keep_node, class_size): one row per row of ``docs``.
 
     ``node`` is the digest of the text.  A class is a connected component of the
     links of similarity 0.8 or more; ``class_id`` is its least id, and
@@ -281,41 +385,46 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ban
     linked by exact equality only.  Repeated rows are copies of each other.  Null
     ids sort last.
     """
+    spark = docs.sparkSession
     base = docs.select(text_digest(F.col(text_col)).alias("node"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = base.mapInArrow(_signer(bands, rows), "node binary, id long, keys array<long>")
-    nodes = written(signed.groupBy("node").agg(F.min("id").alias("id"), F.first("keys").alias("keys")), "nodes")
+    nodes = written(signed.groupBy("node").agg(
+        F.min("id").alias("id"), F.first("keys").alias("keys"), F.count("*").alias("copies")), "nodes")
     entries = nodes.select("node", F.posexplode("keys").alias("band", "key"))
     buckets = entries.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    members = written(entries.join(buckets, ["band", "key"]).select("band", "key", "node", "n"), "members")
+    members, members_path = stored(entries.join(buckets, ["band", "key"]).select("band", "key", "node", "n"), "members")
     # a node that shares large buckets is near the middle of its group: it leads
     weight = members.groupBy("node").agg(F.sum("n").alias("weight"))
     leaders = members.join(weight, "node").groupBy("band", "key").agg(F.max(F.struct("weight", "node"))["node"].alias("a"))
     needed = members.select("node").distinct().join(nodes.select("node", "id"), "node")
-    texts = written(
+    texts, texts_path = stored(
         base.alias("d").join(needed.hint("shuffle_hash").alias("w"), (F.col("d.node") == F.col("w.node")) & F.col("d.id").eqNullSafe(F.col("w.id")))
         .select("d.node", "text").dropDuplicates(["node"]), "texts")
-    tested = written(members.join(leaders, ["band", "key"]).where("node <> a").select("a", F.col("node").alias("b")).distinct(), "pairs")
-    links = written(verified(tested, texts), "links")
+    tested, tested_path = stored(members.join(leaders, ["band", "key"]).where("node <> a").groupBy("a", F.col("node").alias("b")).agg(
+        F.max("n").alias("n")), "pairs")
+    links, links_path = stored(verified(tested, texts), "links")
     labels = components(links)
-    open_nodes = written(_open_buckets(members, labels).select("node", "label").distinct(), "open")
+    open_nodes = written(_open_buckets(members, labels).select("node").distinct(), "open")
     if not open_nodes.isEmpty():
-        more = written(rare_pairs(open_nodes, texts).join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = written(verified(more, texts), "links")
-        if not found.isEmpty():
-            labels = components(links.unionByName(found))
-    # classes of nodes, then of rows
-    node_class = nodes.select("node", "id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = node_class.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("s"))
-    node_class = node_class.join(least, "label").select(
-        "node", F.col("s.id").alias("class_id"), F.col("s.id").alias("keep_id"), F.col("s.node").alias("keep_node"))
+        labels = resolve(open_nodes, texts, labels)
+    for done in (members_path, texts_path, tested_path, links_path):
+        removed(spark, done)
+    # classes of nodes, then of rows; a large class is several keys, a text alone needs no join
+    in_class = labels.join(nodes.select("node", "id", "copies"), "node").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
+    least = in_class.groupBy("label").agg(
+        F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("s"), F.sum("copies").alias("size"))
+    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    of_class = in_class.join(least, ["label", "salt"]).select("node", "s", "size")
+    single = F.struct(F.col("id").isNull().alias("none"), "id", "node")
+    node_class = nodes.join(of_class, "node", "left").select("node", F.coalesce("s", single).alias("s"), F.coalesce("size", "copies").alias("class_size"))
+    node_class = node_class.select("node", F.col("s.id").alias("class_id"), F.col("s.id").alias("keep_id"),
+                                   F.col("s.node").alias("keep_node"), "class_size")
     return base.select("node", "id").join(node_class, "node")
 
 
 def report(docs: DataFrame) -> DataFrame:
     """One row per document: its class, the class's size and whether it stays."""
-    found = written(classes(docs), "classes")
-    size = found.groupBy("keep_node").agg(F.count("*").alias("class_size"))  # class_id may be null
-    return found.join(size, "keep_node").select(
+    return classes(docs).select(
         F.col("id").alias("doc_id"), "class_id", "class_size",
         (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("node") == F.col("keep_node"))).alias("kept"))
 
