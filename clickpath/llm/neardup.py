@@ -353,18 +353,21 @@ def resolve(open_nodes: DataFrame, texts: DataFrame, labels: DataFrame) -> DataF
     Turns first: while comparing all pairs of different classes would form more than
     ``EASY`` rows for each prefix row, every row outside its element's largest class is
     compared with one member of that class, and the classes found alike are joined.
-    That takes as many comparisons as there are rows and leaves little for
-    ``cross_pairs``, which then finds every link that is left.
+    That takes as many comparisons as there are rows and leaves less for ``cross_pairs``,
+    which then finds every link that is left.  A turn that takes less than 5 % of those
+    rows away is the last one: the texts are not alike, and more turns would only repeat that.
     """
     spark = texts.sparkSession
     first = prefixes(open_nodes, texts)
     n_first = first.count()
+    before = None
     for turn in range(TURNS + 1):
         rows, path = stored(mixed(first, labels), "mixed")
         work = rows.where("label <> dom").agg(F.sum("m")).first()[0] or 0
         if not work:
             break
-        last = turn == TURNS or work <= EASY * n_first
+        last = turn == TURNS or work <= EASY * n_first or before is not None and work > 0.95 * before
+        before = work
         found, found_path = stored(verified(cross_pairs(rows) if last else leader_pairs(rows, turn), texts), "links")
         if not found.isEmpty():
             labels = joined(labels, found)
