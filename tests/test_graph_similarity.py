@@ -7,6 +7,8 @@ import random
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from clickpath.operators import cohorts, similarity
 from clickpath.operators.graph import connected_components
 from tests.conftest import IMP_SCHEMA
@@ -142,3 +144,32 @@ def test_signatures_merge(spark):
     key = lambda df: sorted(map(tuple, df.collect()))
     assert key(whole) == key(parts)
     assert all(len(r.signature) == 64 for r in similarity.densified(whole, 64).collect())
+
+
+def test_hub_members_and_ordinary_ones_give_all_pairs(spark):
+    """Whichever members count as hubs, the pairs and their figures are those of brute force."""
+    rng = random.Random(5)
+    groups = [[f"m{rng.randrange(400)}" for _ in range(40)] for _ in range(8)]
+    hubs = [f"hub{h}" for h in range(12)]
+    sets = {f"E{i:02d}": {m for m in groups[i % 8] if rng.random() < 0.8} | {h for h in hubs if rng.random() < 0.7} for i in range(60)}
+    sets |= {f"H{i:02d}": {h for h in hubs if rng.random() < 0.8} | {f"own{i}"} for i in range(15)}     # alike by hubs alone
+    want = {(a, b, len(x & y), len(y), len(x)) for a, x in sets.items() for b, y in sets.items()
+            if a != b and len(x & y) / len(x | y) >= 0.3}
+    facts = spark.createDataFrame([(e, m) for e, s in sets.items() for m in s], "e string, m string")
+    for most in (0, 10, 1000):
+        got = similarity.similar_entities(facts, "e", "m", top=1000, rows=1, most_with_member=most).collect()
+        assert {(r.target_id, r.entity_id, r.shared_members, r.members, r.target_members) for r in got} == want and len(got) == len(want)
+
+
+def test_no_exploded_table_is_broadcast(spark, scratch):
+    """A stored table of few bytes stands for millions of rows once its bands or salts are exploded."""
+    sigs = spark.createDataFrame([("a", [1] * 8), ("b", [1] * 8)], "entity string, signature array<bigint>")
+    sigs.write.parquet(f"{scratch}/sigs")
+    pairs = similarity.candidate_pairs(spark.read.parquet(f"{scratch}/sigs"), 1, 8)
+    spark.createDataFrame([("a", "x"), ("b", "x")], "entity string, member string").write.parquet(f"{scratch}/members")
+    members = spark.read.parquet(f"{scratch}/members")
+    pairs.write.parquet(f"{scratch}/pairs")
+    shared = similarity.shared_members(spark.read.parquet(f"{scratch}/pairs"), members, members.groupBy("entity").agg(F.count("*").alias("n")))
+    for df in (pairs, shared, similarity.ordinary_shared(members)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in shared.collect()] == [("a", "b", 1, 1, 1)]
