@@ -6,8 +6,8 @@ from __future__ import annotations
 
 import hashlib
 import os
+from bisect import bisect_left
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -135,63 +135,78 @@ def minutes_of_batches(spark: SparkSession, path: str, keys: list, count_col: st
 
 ATTR_OUT = ("advertisers_id string, publishers_id string, cookie_id string, conversion_us bigint, "
             "impression_us bigint, time_to_conversion_seconds bigint")
-ATTR_STATE = "imp_minutes array<bigint>, imp_pubs array<string>, pending array<bigint>"
+ATTR_STATE = ("imp_advs array<string>, imp_minutes array<bigint>, imp_pubs array<string>, "
+              "conv_advs array<string>, pending array<bigint>")
 
 
 def _attribution_fn(lookback_seconds: int):
     span = int(lookback_seconds) * 1_000_000
 
     def fn(key, pdfs, state):
-        adv, cookie = key
+        cookie = key[0]
+        books, pend = {}, {}        # by advertiser: publisher of each minute; minutes of waiting conversions
         if state.exists:
-            minutes, pubs, pending = state.get
-            book = dict(zip(minutes, pubs))
-            pend = set(pending)
-        else:
-            book, pend = {}, set()
+            advs, minutes, pubs, conv_advs, pending = state.get
+            for adv, t, pub in zip(advs, minutes, pubs):
+                books.setdefault(adv, {})[t] = pub
+            for adv, t in zip(conv_advs, pending):
+                pend.setdefault(adv, set()).add(t)
         for pdf in pdfs:
-            kind = pdf["event_type"]
-            # per minute the smallest publisher; equal conversions collapse
-            first = pdf[kind.isin(list(IMPRESSION_TYPES))].dropna(subset=["publishers_id"]).groupby("__us")["publishers_id"].min()
-            for t, pub in first.items():
-                book[int(t)] = min(pub, book.get(int(t), pub))
-            pend.update(pdf.loc[kind.isin(list(CONVERSION_TYPES)), "__us"].unique().tolist())
+            if cookie is None or not len(pdf):
+                continue
+            # plain values: a group has few rows, for which pandas calls cost more than the loop
+            for adv, t, kind, pub in zip(*(pdf[c].tolist() for c in ("advertisers_id", "__us", "event_type", "publishers_id"))):
+                if t is None or t != t:     # no time
+                    continue
+                if kind in CONVERSION_TYPES:
+                    pend.setdefault(adv, set()).add(int(t))         # equal conversions collapse
+                elif kind in IMPRESSION_TYPES and isinstance(pub, str):
+                    book = books.setdefault(adv, {})
+                    book[int(t)] = min(pub, book.get(int(t), pub))  # per minute the smallest publisher
         wm = state.getCurrentWatermarkMs() * 1000
-        ready = sorted(c for c in pend if c < wm)   # no impression before c can still arrive
-        if ready and book:
-            ms = np.array(sorted(book), dtype="int64")
-            out = []
-            for c in ready:
-                i = int(np.searchsorted(ms, c - span, side="left"))
-                if i < len(ms) and ms[i] < c:
-                    out.append((adv, book[int(ms[i])], cookie, c, int(ms[i]), (c - int(ms[i])) // 1_000_000))
-            if out:
-                yield pd.DataFrame(out, columns=["advertisers_id", "publishers_id", "cookie_id",
-                                                 "conversion_us", "impression_us", "time_to_conversion_seconds"])
-        pend -= set(ready)
-        # keep only impressions a pending or future conversion can still reach
-        horizon = (min(pend) if pend else wm) - span
-        book = {m: p for m, p in book.items() if m >= horizon}
-        if not book and not pend:
-            state.remove()
+        out, kept, waits, wake = [], [], [], []
+        for adv in {**books, **pend}:
+            book, waiting = books.get(adv, {}), pend.get(adv, set())
+            ready = sorted(c for c in waiting if c < wm)    # no impression before c can still arrive
+            if ready and book:
+                ms = sorted(book)
+                for c in ready:
+                    i = bisect_left(ms, c - span)
+                    if i < len(ms) and ms[i] < c:
+                        out.append((adv, book[ms[i]], cookie, c, ms[i], (c - ms[i]) // 1_000_000))
+            waiting = sorted(waiting.difference(ready))
+            # keep only impressions a pending or future conversion can still reach
+            horizon = (waiting[0] if waiting else wm) - span
+            left = sorted(m for m in book if m >= horizon)
+            kept += [(adv, m, book[m]) for m in left]
+            waits += [(adv, c) for c in waiting]
+            if waiting or left:
+                wake.append(waiting[0] if waiting else left[-1] + span)
+        if out:
+            yield pd.DataFrame(out, columns=["advertisers_id", "publishers_id", "cookie_id",
+                                             "conversion_us", "impression_us", "time_to_conversion_seconds"])
+        if not wake:
+            if state.exists:
+                state.remove()
             return
-        state.update((sorted(book), [book[m] for m in sorted(book)], sorted(pend)))
-        nxt = (min(pend) if pend else max(book) + span) // 1000 + 1
-        state.setTimeoutTimestamp(max(nxt, state.getCurrentWatermarkMs() + 1))
+        state.update((*([r[i] for r in kept] for i in range(3)), *([r[i] for r in waits] for i in range(2))))
+        state.setTimeoutTimestamp(max(min(wake) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
     return fn
 
 
 def stream_attribution_state(dom: DataFrame, lookback_seconds: int = LOOKBACK_SECONDS, as_of=None) -> DataFrame:
-    """First-touch attribution as per-(advertiser, cookie) state: one entry per
+    """First-touch attribution as per-cookie state: one entry per advertiser and
     impression minute for one look-back, conversions held until the watermark passes
     them, then answered by a sorted search.  No (conversion x impression) pairs are
-    formed, and state per key is bounded by the look-back in minutes."""
+    formed, and state per key is bounded by the look-back in minutes per advertiser.
+
+    A call per key costs more than the work in it, so a cookie's advertisers share one."""
     rows = of_types(dom, (*IMPRESSION_TYPES, *CONVERSION_TYPES)).select(
-        "advertisers_id", "cookie_id", "ts", F.unix_micros("ts").alias("__us"), "event_type", "publishers_id")
-    out = rows.groupBy("advertisers_id", "cookie_id").applyInPandasWithState(
+        "cookie_id", "ts", "advertisers_id", F.unix_micros("ts").alias("__us"), "event_type", "publishers_id")
+    out = rows.groupBy("cookie_id").applyInPandasWithState(
         _attribution_fn(lookback_seconds), ATTR_OUT, ATTR_STATE, "append", GroupStateTimeout.EventTimeTimeout)
     created = F.lit(str(as_of)).cast("timestamp_ntz") if as_of is not None else F.localtimestamp()
-    return out.where(F.col("cookie_id").isNotNull()).select(
+    return out.select(
         "advertisers_id", "publishers_id", "cookie_id",
         F.timestamp_micros("conversion_us").cast("timestamp_ntz").alias("conversion_timestamp"),
         F.timestamp_micros("impression_us").cast("timestamp_ntz").alias("impression_timestamp"),

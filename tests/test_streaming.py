@@ -93,3 +93,45 @@ def test_live_rows_after_a_replay_are_not_late(spark, scratch):
     got = run(3)
     assert [dt.datetime(2024, 1, 1, 10, 5) + dt.timedelta(minutes=m) for m in (0, 6, 9)] == got[:3]
     assert all(r.cookie_id is not None for r in spark.read.parquet(f"{scratch}/sink").collect())
+
+
+def test_state_attribution_takes_a_cookie_in_one_call():
+    """All advertisers of a cookie share a state entry and a call; each has its own look-back."""
+    import pandas as pd
+    from clickpath.streaming.stateful import _attribution_fn
+
+    class State:
+        value, wm, timeout = None, 0, None
+        exists = property(lambda self: self.value is not None)
+        get = property(lambda self: self.value)
+
+        def getCurrentWatermarkMs(self):
+            return self.wm
+
+        def update(self, value):
+            self.value = tuple(list(v) for v in value)
+
+        def remove(self):
+            self.value = None
+
+        def setTimeoutTimestamp(self, ms):
+            self.timeout = ms
+
+    minute = 60_000_000
+    rows = [("A", 10 * minute, "view", "P2"), ("A", 10 * minute, "click", "P1"), ("A", 20 * minute, "purchase", "P9"),
+            ("A", 20 * minute, "signup", "P9"), ("B", 15 * minute, "view", "P3"), ("B", 40 * minute, "purchase", "P3"),
+            ("C", 20 * minute, "purchase", "P1"), ("A", None, "view", "P0"), ("B", 14 * minute, "view", None)]
+    pdf = pd.DataFrame(rows, columns=["advertisers_id", "__us", "event_type", "publishers_id"])
+    fn, state = _attribution_fn(90 * 60), State()
+    assert list(fn(("CID_1",), iter([pdf]), state)) == [] and state.timeout == 20 * 60_000 + 1
+    state.wm = 30 * 60_000
+    (out,) = fn(("CID_1",), iter([pdf.iloc[:0]]), state)
+    assert [tuple(r) for r in out.itertuples(index=False)] == [("A", "P1", "CID_1", 20 * minute, 10 * minute, 600)]
+    assert state.value == (["A", "B"], [10 * minute, 15 * minute], ["P1", "P3"], ["B"], [40 * minute])
+    state.wm = 101 * 60_000
+    (out,) = fn(("CID_1",), iter([]), state)
+    assert [tuple(r) for r in out.itertuples(index=False)] == [("B", "P3", "CID_1", 40 * minute, 15 * minute, 1500)]
+    assert state.value == (["B"], [15 * minute], ["P3"], [], []) and state.timeout == 105 * 60_000 + 1
+    state.wm = 106 * 60_000
+    assert list(fn(("CID_1",), iter([]), state)) == [] and not state.exists
+    assert list(fn((None,), iter([pdf]), state)) == [] and not state.exists
