@@ -95,3 +95,56 @@ def test_state_keeps_what_can_still_be_reached(spark, scratch):
     run(spark, scratch, source, "0 seconds")
     left = sorted((r.state, r.cookie_id, int((r.timestamp - T0).total_seconds()) // 60) for r in TR.state_left(spark, f"{scratch}/ck-a").collect())
     assert left == [(TR.SEEN, "CID_1", m) for m in (60, 95, 130)] + [(TR.SEEN, "CID_3", 150)]
+
+
+class Handle:
+    """State of one key in plain lists; counts the timers that are set."""
+
+    def __init__(self):
+        self.lists, self.timers, self.set = {}, set(), 0
+
+    def getListState(self, name, schema):
+        handle, self.lists[name] = self, []
+
+        class Listed:
+            get = staticmethod(lambda: iter(list(handle.lists[name])))
+            appendList = staticmethod(lambda rows: handle.lists[name].extend(rows))
+            put = staticmethod(lambda rows: handle.lists.update({name: list(rows)}))
+            clear = staticmethod(lambda: handle.lists.update({name: []}))
+        return Listed()
+
+    def registerTimer(self, ms):
+        self.timers.add(ms)
+        self.set += 1
+
+
+class Clock:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = lambda: ms
+
+
+def test_one_timer_a_cookie_and_batch():
+    """Many waiting minutes need one timer: it moves on to the next time at which something leaves."""
+    import pandas as pd
+    minute, n = 60_000, 40
+    rows = [(m * minute * 1000, "purchase", "AID_1", str(m)) for m in range(100, 100 + n)]
+    rows += [(m * minute * 1000, "view", "AID_1", f"i{m}") for m in range(95, 100)] + [(None, "view", "AID_1", "none")]
+    window, handle = TR.CookieWindow(90 * 60), Handle()
+    window.init(handle)
+    window.handleInputRows(("CID_1",), iter([pd.DataFrame(rows, columns=["us", "event_type", "advertisers_id", "event_id"])]), Clock(0))
+    assert handle.set == 1 and handle.timers == {100 * minute}
+
+    judged, fired = [], 0
+    for wm in (100, 110, 130, 184, 185, 186, 190, 191):      # in minutes
+        for at in sorted(t for t in handle.timers if t <= wm * minute):
+            for pdf in window.handleExpiredTimer(("CID_1",), Clock(wm * minute), None):
+                judged += zip(pdf["conversion_id"], pdf["eligible"])
+            handle.timers.discard(at)
+            fired += 1
+        waits = [w[0] // 1000 for w in handle.lists[TR.WAITING]]
+        assert all(w >= wm * minute for w in waits)
+        left = [s[0] // 60_000_000 for s in handle.lists[TR.SEEN]]
+        assert left == [m for m in range(95, 100) if m >= min([wm, *(w // minute for w in waits)]) - 90]
+        assert bool(handle.timers) == bool(waits or left)
+    assert sorted(judged) == [(str(m), True) for m in range(100, 100 + n)]
+    assert fired < 10 and not any(handle.lists.values())
