@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import itertools
 import random
+import time
+from collections import Counter
 
 import datetime as dt
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from clickpath.operators import cohorts, similarity
@@ -173,3 +176,73 @@ def test_no_exploded_table_is_broadcast(spark, scratch):
     for df in (pairs, shared, similarity.ordinary_shared(members)):
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
     assert [tuple(r) for r in shared.collect()] == [("a", "b", 1, 1, 1)]
+
+
+def shared_counts(sets):
+    """{(a, b): shared} by brute force, a < b."""
+    counts = {(a, b): len(sets[a] & sets[b]) for a, b in itertools.combinations(sorted(sets), 2)}
+    return {p: n for p, n in counts.items() if n}
+
+
+def test_pairs_counted_in_turns_and_dealt_over_tasks(spark, monkeypatch):
+    """Turns, pieces and tasks change nothing; ``least`` of the lesser entity leaves out the lower counts."""
+    monkeypatch.setattr(similarity, "PAIRS_A_MEMBERSHIP", 1)
+    monkeypatch.setattr(similarity, "PAIRS_A_CALL", 40)
+    rng = random.Random(11)
+    sets = {e: {rng.randrange(300) for _ in range(rng.randrange(1, 40))} for e in range(70)}
+    want = shared_counts(sets)
+    rows = [(e, f"m{m}", 1 + e % 3, 1 + e % 4) for e, s in sets.items() for m in s]
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, "entity int, member string, least long, tasks int").repartition(5)
+    found = [tuple(r) for r in similarity.ordinary_shared(frame.select("entity", "member", "tasks")).collect()]
+    assert len(found) == len(want) and {(a, b): n for a, b, n in found} == want
+    found = [tuple(r) for r in similarity.ordinary_shared(frame).collect()]
+    assert len(found) == len(set(found)) and {(a, b): n for a, b, n in found} == {(a, b): n for (a, b), n in want.items() if n >= 1 + a % 3}
+    names = frame.select(F.format_string("E%03d", "entity").alias("entity"), "member")
+    found = similarity.ordinary_shared(names).collect()
+    assert {(int(r.a[1:]), int(r.b[1:])): r.shared for r in found} == want and len(found) == len(want)
+    assert similarity.ordinary_shared(names.limit(0)).collect() == []
+
+
+SENT = pa.schema([("a", pa.int32()), ("task", pa.int32()), ("least", pa.int64()), ("others", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
+
+
+def test_pairs_are_added_up_before_they_are_sent(monkeypatch):
+    """Lists of the same entities give each pair once a batch, in every turn other first entities; sums go on over batches."""
+    kind = pa.list_(pa.struct([("entity", pa.int32()), ("least", pa.int64()), ("tasks", pa.int32())]))
+    lists = [[{"entity": e, "least": 2, "tasks": 1 + 2 * (e == 0)} for e in of] for of in [range(6)] * 200 + [(0, 9), (7, 8), (7, 8)]]
+    batches = [pa.RecordBatch.from_arrays([pa.array(some, kind)], ["of"]) for some in (lists[:100], lists[100:], [])]
+    want = {(a, b): 200 for a, b in itertools.combinations(range(6), 2)} | {(7, 8): 2}
+    for call in (1 << 22, 700, 3):
+        monkeypatch.setattr(similarity, "PAIRS_A_CALL", call)
+        turns = [pa.Table.from_batches(similarity._pairs_in(k, 3)(batches), SENT) for k in range(3)]
+        seen = [set(t["a"].to_pylist()) for t in turns]
+        assert sum(map(len, seen)) == len(set().union(*seen))
+        if call > 700:
+            assert sum(len(x) for t in turns for x in t["others"].to_pylist()) == 2 * 15 + 2
+        found = Counter()
+        for t in turns:
+            for b in similarity._summed(t.sort_by([("a", "ascending"), ("task", "ascending")]).to_batches(max_chunksize=2)):
+                found.update({(a, b): n for a, b, n in zip(*(c.to_pylist() for c in b.columns), strict=True)})
+        assert found == want
+
+
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {f for f in files.mkString(" ").split() if "shuffle_" in f}
+
+
+def test_shuffle_files_go_when_a_step_stands(spark):
+    """Before the result is read, no step's shuffle files are left, and the session's setting is as it was."""
+    rng = random.Random(3)
+    facts = spark.createDataFrame([(f"E{rng.randrange(40)}", f"m{rng.randrange(500)}") for _ in range(4000)], "e string, m string")
+    before, setting = shuffle_files(spark), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
+    similar = similarity.similar_entities(facts, "e", "m", most_with_member=20)
+    for _ in range(40):
+        if not (left := shuffle_files(spark) - before):
+            break
+        time.sleep(0.25)
+    assert not left
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == setting
+    assert similar.count() >= 0
